@@ -144,7 +144,7 @@ _SESSION_SQL = """
 SELECT user_id, event_type, min(us) AS session_start, max(us) AS session_end, count(*) AS events FROM (
  SELECT *, sum(opens) OVER (PARTITION BY user_id, event_type ORDER BY us) AS sid FROM (
   SELECT user_id, event_type, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER
-     (PARTITION BY user_id, event_type ORDER BY ts) <= {gap} * 1000000 THEN 0 ELSE 1 END AS opens FROM events))
+     (PARTITION BY user_id, event_type ORDER BY ts) <= {gap} * 1000000::BIGINT THEN 0 ELSE 1 END AS opens FROM events))
 GROUP BY user_id, event_type, sid"""
 
 
