@@ -4,7 +4,7 @@ from importlib import import_module
 
 from cairnbook.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("scalars", "profiles", "listings", "sources", "changes", "logs", "sinks", "ranking", "guarded")
+_MODULES = ("scalars", "profiles", "listings", "sources", "changes", "logs", "sinks", "ranking", "guarded", "streams")
 
 for _name in _MODULES:
     import_module(f"cairnbook.plans.{_name}")
