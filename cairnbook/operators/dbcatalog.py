@@ -10,16 +10,17 @@ def index_groups(index_rows: DataFrame, key: list[str]) -> DataFrame:
     """``(key…, columns)``: index columns in ordinal order.
 
     A database limits the columns of an index to a few dozen, so the list is short
-    however many indexes there are.
+    however many indexes there are; repeated rows are dropped before.
     """
     cols = F.array_sort(F.collect_list(F.struct("ordinal", "column_name")))
-    return index_rows.groupBy(*key).agg(cols.getField("column_name").alias("columns"))
+    return index_rows.select(*key, "ordinal", "column_name").distinct().groupBy(*key).agg(cols.getField("column_name").alias("columns"))
 
 
 def foreign_key_groups(fk_rows: DataFrame, key: list[str]) -> DataFrame:
     """``(key…, target_table, columns, target_columns)`` per constraint."""
     rows = F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "target_column")))
-    return fk_rows.groupBy(*key).agg(
+    needed = fk_rows.select(*key, "ordinal", "column_name", "target_table", "target_column").distinct()
+    return needed.groupBy(*key).agg(
         F.max("target_table").alias("target_table"), rows.alias("_r")).select(
         *key, "target_table", F.col("_r.column_name").alias("columns"),
         F.col("_r.target_column").alias("target_columns"))
@@ -48,6 +49,7 @@ def table_catalog(columns: DataFrame, primary: DataFrame, stats: DataFrame, inde
     database, so the nested lists stay small; tables spread over all tasks.
     """
     pk = primary.select("table_name", "column_name").distinct().withColumn("_pk", F.lit(True))
+    columns = columns.select("table_name", "ordinal", "column_name", "data_type", "nullable").distinct()
     cols = columns.join(pk, ["table_name", "column_name"], "left").groupBy("table_name").agg(
         F.array_sort(F.collect_list(F.struct(
             "ordinal", "column_name", "data_type", "nullable",
@@ -88,5 +90,7 @@ def infer_fields(documents: DataFrame, body: str, seq: str, sample: int | None =
     docs = documents.orderBy(seq).limit(sample) if sample else documents
     raw = F.from_json(F.col(body), "map<string,variant>")
     fields = docs.select(seq, F.explode(raw).alias("name", "v"))
-    return fields.groupBy("name").agg(
-        F.min_by(document_type(F.to_json("v")), seq).alias("data_type"), F.count("*").alias("seen"))
+    # Few types per field: counting them first leaves almost nothing for the ordered step.
+    kinds = fields.groupBy("name", document_type(F.to_json("v")).alias("kind")).agg(
+        F.min(seq).alias("first"), F.count("*").alias("n"))
+    return kinds.groupBy("name").agg(F.min_by("kind", "first").alias("data_type"), F.sum("n").alias("seen"))

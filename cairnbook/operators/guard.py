@@ -69,15 +69,20 @@ def bind_address(sql: str, address: str) -> str:
     return re.sub(call, PLACEHOLDER.replace("\\", r"\\"), sql)
 
 
-def guarded_sql(spark: SparkSession, sql: str, table: DataFrame, limit: int = ROW_CAP) -> DataFrame:
-    """Run one checked SELECT against one bound table, capped at ``limit`` rows."""
+def guarded_sql(spark: SparkSession, sql: str, table: DataFrame, limit: int | None = ROW_CAP) -> DataFrame:
+    """Run one checked SELECT against one bound table.
+
+    Results shown to a person are capped; with ``limit=None`` a result that stays in
+    Spark, to be written or queried on, is whole.
+    """
     reason = check_file_sql(sql)
     if reason:
         raise ValueError(reason)
     text = sql.strip().rstrip(";")
     # Braces of the statement itself are kept as they are.
     text = text.replace("{", "{{").replace("}", "}}").replace("{{{{file}}}}", "{bound_table}")
-    return spark.sql(text, bound_table=table).limit(min(limit, ROW_CAP))
+    out = spark.sql(text, bound_table=table)
+    return out if limit is None else out.limit(min(limit, ROW_CAP))
 
 
 def result_meta(df: DataFrame, limit: int) -> DataFrame:

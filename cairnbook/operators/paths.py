@@ -21,23 +21,22 @@ def owning_root(paths: DataFrame, roots: DataFrame, path: str = "path", root: st
 
     Instead of comparing every path with every root, each path is cut at the lengths
     roots have and the pieces are equi-joined.  Those lengths are few, however many
-    roots there are.  With ``components`` a root must end at a path component.
+    roots there are.  With ``components`` a root must end at a path component.  Spark
+    broadcasts the roots when they are small and splits skewed pieces when they are not.
     """
-    names = paths.select(path).distinct()
     if components:
-        keyed = names.select(path, F.explode(_component_prefixes(F.col(path))).alias("_p"))
+        pieces = _component_prefixes(F.col(path))
         owners = roots.select(F.when(F.rtrim(F.col(root), F.lit("/")) == "", "/").otherwise(
             F.rtrim(F.col(root), F.lit("/"))).alias("_p"), F.col(root), F.col(order))
     else:
         lengths = sorted(r[0] for r in roots.select(F.length(root)).distinct().collect() if r[0])
         cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length(path))
-        keyed = names.select(path, F.explode(F.transform(
-            cuts, lambda n: F.substr(F.col(path), F.lit(1), n))).alias("_p"))
+        pieces = F.transform(cuts, lambda n: F.substr(F.col(path), F.lit(1), n))
         owners = roots.select(F.col(root).alias("_p"), F.col(root), F.col(order))
     # Equal roots: the first configured one speaks for all.
     owners = owners.groupBy("_p").agg(F.min_by(root, order).alias(root), F.min(order).alias(order))
-    best = keyed.join(owners, "_p").groupBy(path).agg(F.min_by(root, order).alias(root))
-    return names.join(best, path, "left")
+    keyed = paths.select(path, F.explode_outer(pieces).alias("_p"))
+    return keyed.join(owners, "_p", "left").groupBy(path).agg(F.min_by(root, order).alias(root))
 
 
 def allowed(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from cairnbook.functions.cells import average_text, cell_text, plain_double, type_name
 
-# Columns aggregated together; more would outgrow one generated method.
-CHUNK = 100
+# Columns aggregated per scan.  Each scan reads only its own columns, so nothing is read
+# twice, while generated code stays small enough for the JVM to compile.
+CHUNK = 3
 
 PROFILE_COLUMNS = ["column_name", "column_type", "count", "null_percentage", "approx_unique",
                    "min", "max", "avg", "std"]
@@ -21,46 +22,54 @@ def _is_number(dt: T.DataType) -> bool:
     return isinstance(dt, T.NumericType)
 
 
+def _is_float(dt: T.DataType) -> bool:
+    return isinstance(dt, (T.FloatType, T.DoubleType))
+
+
 def _has_order(dt: T.DataType) -> bool:
     return not isinstance(dt, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
 
 
-def _column_aggs(field: T.StructField, i: int, unique: str) -> list[Column]:
-    c = F.col(f"`{field.name}`")
-    out = [F.count(c).alias(f"n{i}")]
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _column_aggs(field: T.StructField, i: int, sketch: bool) -> list[str]:
+    c = _quoted(field.name)
+    out = [f"count({c}) AS n{i}"]
     if _has_order(field.dataType):
-        out += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
-        if unique == "approx":
-            out.append(F.approx_count_distinct(c).alias(f"u{i}"))
+        out += [f"min({c}) AS lo{i}", f"max({c}) AS hi{i}"]
+        if sketch:
+            out.append(f"approx_count_distinct({c}) AS u{i}")
     if _is_number(field.dataType):
-        out += [F.avg(c.cast("double")).alias(f"a{i}"), F.stddev_samp(c.cast("double")).alias(f"s{i}")]
+        out += [f"avg(CAST({c} AS DOUBLE)) AS a{i}", f"stddev_samp(CAST({c} AS DOUBLE)) AS s{i}"]
     return out
 
 
-def _profile_row(field: T.StructField, i: int, unique: str) -> Column:
-    text = F.lit(None).cast("string")
-    ordered, numeric = _has_order(field.dataType), _is_number(field.dataType)
-
-    def shown(name: str) -> Column:
-        return F.when(F.col(name).isNotNull(), cell_text(F.col(name), field.dataType, temporal="iso"))
-
-    return F.struct(
-        F.lit(field.name).alias("column_name"),
-        F.lit(type_name(field.dataType)).alias("column_type"),
-        F.col("total").alias("count"),
-        F.when(F.col("total") > 0, F.round(
-            (F.col("total") - F.col(f"n{i}")) * 100.0 / F.col("total"), 2)).otherwise(
-            F.lit(0.0)).cast("double").alias("null_percentage"),
-        (F.col(f"u{i}") if ordered and unique == "approx" else F.lit(None)).cast("long").alias("approx_unique"),
-        (shown(f"lo{i}") if ordered else text).alias("min"),
-        (shown(f"hi{i}") if ordered else text).alias("max"),
-        (average_text(F.col(f"a{i}")) if numeric else text).alias("avg"),
-        (plain_double(F.round(F.col(f"s{i}"), 4)) if numeric else text).alias("std"),
-    )
+def _column_facts(field: T.StructField, i: int, sketch: bool) -> str:
+    """Facts of one column as a struct: extremes as text, or as numbers still to be shown."""
+    ordered, number, is_float = _has_order(field.dataType), _is_number(field.dataType), _is_float(field.dataType)
+    name = field.name.replace("\\", "\\\\").replace("'", "\\'")
+
+    def fact(label: str, value: str, kind: str, there: bool) -> str:
+        return f"'{label}', CAST({value if there else 'NULL'} AS {kind})"
+
+    def text(value: str) -> str:
+        if isinstance(field.dataType, T.BinaryType):
+            return f"concat('<', octet_length({value}), ' bytes>')"
+        return value
+
+    return "named_struct(" + ", ".join([
+        f"'column_name', '{name}'", f"'column_type', '{type_name(field.dataType)}'", f"'n', n{i}",
+        fact("approx_unique", f"u{i}", "BIGINT", ordered and sketch),
+        fact("lo", text(f"lo{i}"), "STRING", ordered and not is_float),
+        fact("hi", text(f"hi{i}"), "STRING", ordered and not is_float),
+        fact("lo_number", f"lo{i}", "DOUBLE", is_float), fact("hi_number", f"hi{i}", "DOUBLE", is_float),
+        fact("mean", f"a{i}", "DOUBLE", number), fact("deviation", f"s{i}", "DOUBLE", number)]) + ")"
 
 
 def exact_distinct(df: DataFrame) -> DataFrame:
-    """``(column_name, n)`` distinct counts of all columns.
+    """``(column_name, n_distinct)`` distinct counts of all columns.
 
     Values are unpivoted as text, de-duplicated on (column, value) with map-side
     combining, then counted: a hot value costs one row per map task.
@@ -71,32 +80,34 @@ def exact_distinct(df: DataFrame) -> DataFrame:
     return (
         df.select(F.inline(pairs)).where(F.col("v").isNotNull())
         .groupBy("column_name", "v").agg(F.lit(1).alias("one"))
-        .groupBy("column_name").agg(F.count("*").alias("n"))
+        .groupBy("column_name").agg(F.count("*").alias("n_distinct"))
     )
 
 
 def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """One row per column: count, null share, distinct values, min, max, mean, deviation.
 
-    The default reads the data once and shuffles one partial row per task, with
+    The default reads every column once and shuffles one partial row per task, with
     distinct counts from a HyperLogLog sketch.  ``exact=True`` counts distinct values
     in a second pass whose shuffle grows with the number of different values.
     """
-    unique = "none" if exact else "approx"
     parts = []
-    for lo in range(0, len(df.columns), CHUNK):
-        fields = df.schema.fields[lo:lo + CHUNK]
-        aggs = [a for i, f in enumerate(fields) for a in _column_aggs(f, i, unique)]
-        one = df.agg(F.count(F.lit(1)).alias("total"), *aggs)
-        parts.append(one.select(F.inline(F.array(
-            *[_profile_row(f, i, unique) for i, f in enumerate(fields)]))))
-    out = reduce(DataFrame.unionByName, parts)
+    for at in range(0, len(df.columns), CHUNK):
+        fields = list(enumerate(df.schema.fields[at:at + CHUNK]))
+        aggs = [a for i, f in fields for a in _column_aggs(f, i, not exact)]
+        facts = ", ".join(_column_facts(f, i, not exact) for i, f in fields)
+        parts.append(df.selectExpr("count(1) AS total", *aggs).selectExpr("total", f"inline(array({facts}))"))
+    rows = reduce(DataFrame.unionByName, parts)
     if exact:
-        out = (
-            out.drop("approx_unique").join(exact_distinct(df), "column_name", "left")
-            .withColumn("approx_unique", F.coalesce("n", F.lit(0)).cast("long"))
-        )
-    return out.select(*PROFILE_COLUMNS)
+        rows = rows.drop("approx_unique").join(exact_distinct(df), "column_name", "left").withColumn(
+            "approx_unique", F.coalesce("n_distinct", F.lit(0)).cast("long"))
+    nulls = F.expr("CASE WHEN total > 0 THEN round((total - n) * 100.0D / total, 2) ELSE 0.0D END")
+    return rows.select(
+        "column_name", "column_type", F.col("total").alias("count"), nulls.alias("null_percentage"), "approx_unique",
+        F.coalesce("lo", plain_double(F.col("lo_number"))).alias("min"),
+        F.coalesce("hi", plain_double(F.col("hi_number"))).alias("max"),
+        average_text(F.col("mean")).alias("avg"),
+        plain_double(F.round("deviation", 4)).alias("std"))
 
 
 def sample_profile(df: DataFrame, order_by: list[Column], rows: int = 100) -> DataFrame:

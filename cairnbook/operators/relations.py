@@ -99,9 +99,12 @@ def merge_edges(edges: DataFrame, order: str = "seq", times: str | None = None)
     """
     key = ["source_id", "target_id", "source_column", "target_column"]
     n = F.col(times) if times else F.lit(1)
-    e = edges.withColumn("_n", n).withColumn("_from_history", (F.col("method") == "query_history_join"))
+    # Equal findings of one edge are counted first, so a much repeated edge shuffles little.
+    e = (edges.withColumn("_n", n).groupBy(*key, "confidence", "method")
+         .agg(F.min(order).alias("_first"), F.sum("_n").alias("_n"))
+         .withColumn("_from_history", F.col("method") == "query_history_join"))
     merged = e.groupBy(*key).agg(
-        F.min_by(F.struct("confidence", "method", "_from_history", "_n"), order).alias("f"),
+        F.min_by(F.struct("confidence", "method", "_from_history"), "_first").alias("f"),
         F.sum("_n").alias("n"), F.sum(F.when(F.col("_from_history"), F.col("_n")).otherwise(0)).alias("h"))
     # History findings besides the very first one.
     later = F.col("h") - F.when(F.col("f._from_history"), 1).otherwise(0)

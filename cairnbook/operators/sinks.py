@@ -155,13 +155,17 @@ def commit_snapshot(df: DataFrame, base: str, keep: int = 2) -> str:
     spark = df.sparkSession
     name = f"snapshot-{time.time_ns():020d}"
     df.write.mode("errorifexists").parquet(f"{base}/{name}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
     fs, tmp = _fs(spark, f"{base}/_current.tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(name, "utf-8"))
     out.close()
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs.delete(path(f"{base}/_current"), False)
-    fs.rename(tmp, path(f"{base}/_current"))
+    mode = getattr(hadoop, "Options$Rename")
+    overwrite = spark.sparkContext._gateway.new_array(mode, 1)
+    overwrite[0] = mode.OVERWRITE
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(tmp, hadoop.Path(f"{base}/_current"), overwrite)
+    path = hadoop.Path
     names = sorted(s.getPath().getName() for s in fs.listStatus(path(base))
                    if s.getPath().getName().startswith("snapshot-"))
     for old in names[:-keep]:
@@ -173,9 +177,7 @@ def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
     """Current version of a table, None when there is none yet."""
     fs, pointer = _fs(spark, f"{base}/_current")
     if not fs.exists(pointer):
-        names = sorted(s.getPath().getName() for s in fs.listStatus(pointer.getParent())
-                       if s.getPath().getName().startswith("snapshot-")) if fs.exists(pointer.getParent()) else []
-        return spark.read.parquet(f"{base}/{names[-1]}") if names else None
+        return None
     stream = fs.open(pointer)
     try:
         name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")

@@ -199,11 +199,10 @@ SELECT l_suppkey AS source_id, l_linenumber AS target_id, 'a' AS source_column,
  CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') > first(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END ORDER BY seq)
   THEN 'query_history_join+schema'
   ELSE first(CASE WHEN l_returnflag = 'R' THEN 'query_history_join' ELSE 'schema_fk_pattern' END ORDER BY seq) END AS method
-FROM (SELECT *, l_orderkey || ':' || l_partkey || ':' || l_quantity || ':' || l_extendedprice || l_returnflag AS seq FROM lineitem) GROUP BY l_suppkey, l_linenumber""")
+FROM (SELECT *, l_orderkey * 100000000 + l_partkey AS seq FROM lineitem) GROUP BY l_suppkey, l_linenumber""")
 def _j8(t):
     hist = F.col("l_returnflag") == "R"
-    seq = F.concat_ws(":", "l_orderkey", "l_partkey", F.col("l_quantity").cast("string"),
-                      F.concat(F.col("l_extendedprice").cast("string"), "l_returnflag"))
+    seq = F.col("l_orderkey") * 100000000 + F.col("l_partkey")
     edges = t.lineitem.select(
         F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").alias("target_id"),
         F.lit("a").alias("source_column"), F.lit("b").alias("target_column"),
@@ -219,14 +218,14 @@ _ICOL = """(SELECT DISTINCT 't' || l_orderkey AS table_name, l_linenumber AS ord
 def _info_columns(t):
     return t.lineitem.select(F.concat(F.lit("t"), "l_orderkey").alias("table_name"),
                              F.col("l_linenumber").alias("ordinal"),
-                             F.concat(F.lit("c"), "l_linenumber").alias("column_name")).distinct()
+                             F.concat(F.lit("c"), "l_linenumber").alias("column_name"))
 
 
 def _index_rows(t):
     return t.lineitem.select(
         F.concat(F.lit("t"), "l_orderkey").alias("table_name"),
         F.concat(F.lit("ix_"), "l_returnflag").alias("index_name"), F.col("l_linenumber").alias("ordinal"),
-        F.concat(F.lit("c"), "l_linenumber").alias("column_name")).distinct()
+        F.concat(F.lit("c"), "l_linenumber").alias("column_name"))
 
 
 _IDX = """(SELECT table_name, index_name, string_agg(column_name, ',' ORDER BY ordinal) AS cols FROM
@@ -244,7 +243,7 @@ def _fk_rows(t):
     table = F.concat(F.lit("t"), "l_orderkey").alias("table_name")
     usage = t.lineitem.select(table, F.concat(F.lit("fk"), "l_orderkey", "l_linestatus").alias("constraint_name"),
                               F.col("l_linenumber").alias("ordinal"),
-                              F.concat(F.lit("c"), "l_linenumber").alias("column_name")).distinct()
+                              F.concat(F.lit("c"), "l_linenumber").alias("column_name"))
     constraints = t.orders.select(F.explode(F.array(F.lit("F"), F.lit("O"))).alias("s"), "o_orderkey", "o_custkey").select(
         F.concat(F.lit("fk"), "o_orderkey", "s").alias("constraint_name"),
         F.concat(F.lit("pk"), "o_custkey").alias("unique_name"))

@@ -6,8 +6,8 @@ from cairnbook.operators import guard
 from cairnbook.plans.registry import query
 
 
-def shape(name, table, spark_sql, duck_sql=None, limit=guard.ROW_CAP):
-    """Register one accepted SQL shape; ``{{file}}`` stands for the table on both sides."""
+def shape(name, table, spark_sql, duck_sql=None, limit=None):
+    """Register one accepted SQL shape, uncapped; ``{{file}}`` is the table on both sides."""
     @query(name, sql=(duck_sql or spark_sql).replace("{{file}}", table))
     def _run(t):
         return guard.guarded_sql(t.spark, spark_sql, getattr(t, table), limit)
@@ -90,4 +90,4 @@ def _q7(t):
     """A reader call on an address becomes the placeholder and is bound to that table."""
     address = t.path("lineitem")
     sql = guard.bind_address(f"SELECT l_returnflag, count(*) AS n FROM read_parquet('{address}', x=1) GROUP BY 1", address)
-    return guard.guarded_sql(t.spark, sql, t.spark.read.parquet(address))
+    return guard.guarded_sql(t.spark, sql, t.spark.read.parquet(address), limit=1000)

@@ -117,6 +117,10 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["path", "start", "quotes", "if_outside", "if_inside"])
 
 
+def _parts(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def count_lines(files: DataFrame) -> DataFrame:
     """``(path, lines)``: non-blank records of delimited files, header included.
 
@@ -126,7 +130,9 @@ def count_lines(files: DataFrame) -> DataFrame:
     """
     ranges = files.where(F.col("size_bytes") > 0).select("path", "size_bytes", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(CHUNK_BYTES).cast("long"))).alias("start"))
-    counted = ranges.repartition("path", "start").mapInPandas(
+    # A fixed number of partitions: each tiny row stands for much work, which adaptive
+    # merging of small partitions cannot know.
+    counted = ranges.repartition(_parts(files.sparkSession), "path", "start").mapInPandas(
         _count_batches, "path string, start long, quotes long, if_outside long, if_inside long")
     before = F.coalesce(F.sum("quotes").over(
         Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -145,7 +151,7 @@ def scan_files(spark: SparkSession, listing: DataFrame, parts: int | None = None
     """
     files = listing.withColumn("file_format", extension(F.col("path")))
     known = files.where(F.col("file_format").isin("parquet", "csv", "tsv"))
-    n = parts or max(spark.sparkContext.defaultParallelism, 1)
+    n = parts or _parts(spark)
     records = (known.select("path", "relative_path", "size_bytes", "modified", "file_format")
                .repartition(n, "path").mapInPandas(_inspect_batches, _RECORD))
     lines = count_lines(known.where(F.col("file_format").isin("csv", "tsv")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnbook.functions.text import extension
-from cairnbook.session import cut_lineage
+from cairnbook.session import cut_lineage, new_dir
 from cairnbook.sources.listing import SUPPORTED
 
 # Folder type, prefix of editor-native types, native types that can be exported.
@@ -15,6 +15,9 @@ NATIVE_PREFIX = "application/vnd.google-apps."
 EXPORTABLE = ("application/vnd.google-apps.spreadsheet",)
 
 
+_ENTRY = "parent string, id string, name string, mime string, class string"
+
+
 def node_class(mime: Column, name: Column) -> Column:
     """``folder``, ``file``, ``export`` (native but exportable), ``native`` or ``unsupported``."""
     return (
@@ -34,28 +37,22 @@ def walk_tree(edges: DataFrame, root: str, max_depth: int = 1000) -> DataFrame:
     edges; levels are written to the shared folder, which keeps plans short and lets
     lost tasks be redone.
     """
+    spark = edges.sparkSession
     edges = cut_lineage(edges.select("parent", "id", "name", "mime")
                         .withColumn("class", node_class(F.col("mime"), F.col("name"))), "edges")
-    frontier = edges.sparkSession.range(1).select(F.lit(root).alias("id"))
-    seen = frontier
-    levels = []
+    levels, entered = new_dir(spark, "levels"), new_dir(spark, "entered")
+    spark.range(1).select(F.lit(root).alias("id")).write.parquet(f"{entered}/depth=0")
     for depth in range(1, max_depth + 1):
-        level = cut_lineage(
-            edges.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi")
-            .withColumn("depth", F.lit(depth)), "level")
-        if level.isEmpty():
-            break
-        levels.append(level)
+        frontier = spark.read.schema("id string").parquet(f"{entered}/depth={depth - 1}")
+        (edges.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi")
+         .write.parquet(f"{levels}/depth={depth}"))
+        level = spark.read.schema(edges.schema).parquet(f"{levels}/depth={depth}")
+        seen = spark.read.schema("id string").parquet(f"{entered}/depth=*")
         folders = level.where(F.col("class") == "folder").select("id").distinct()
-        frontier = cut_lineage(folders.join(seen, "id", "left_anti"), "frontier")
-        seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
+        folders.join(seen, "id", "left_anti").write.parquet(f"{entered}/depth={depth}")
+        if spark.read.schema("id string").parquet(f"{entered}/depth={depth}").isEmpty():
             break
-    if not levels:
-        return edges.limit(0).drop("parent").withColumn("depth", F.lit(0))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+    out = spark.read.schema(f"{_ENTRY}, depth int").parquet(levels)
     first = F.min_by(F.struct("name", "mime", "class"), "depth")
     return out.where(F.col("id") != root).groupBy("id").agg(first.alias("e"), F.min("depth").alias("depth")).select(
         "id", "e.name", "e.mime", "e.class", "depth")
