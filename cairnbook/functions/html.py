@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cairnbook.session import spread
+
 _SILENT = {"script", "style", "noscript", "template", "svg"}
 _BLOCK = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul",
           "ol", "table", "tr", "blockquote", "pre", "form", "figure", "dl", "dt", "dd"}
@@ -87,5 +89,5 @@ def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html")
             yield pd.DataFrame({key: batch[key], "title": [m[0] for m in made],
                                 "markdown": [m[1] for m in made]})
 
-    return pages.select(key, html).mapInPandas(
+    return spread(pages.select(key, html)).mapInPandas(
         convert, f"{key} {key_type}, title string, markdown string")

@@ -21,10 +21,13 @@ _BLANKS = " \t\n\r\x0b\x0c"
 
 def snippet(text: Column, query: str, margin: int = SNIPPET_MARGIN) -> Column:
     """Text around the first case-insensitive hit on one line; null without a hit."""
-    pos = F.locate(query.lower(), F.lower(text))
-    start = F.greatest(pos - margin, F.lit(1))
-    cut = F.substr(text, start, pos + F.lit(len(query) + margin) - start)
-    return F.when(pos > 0, F.btrim(F.replace(cut, F.lit("\n"), F.lit(" ")), F.lit(_BLANKS)))
+    def around(pos: Column) -> Column:
+        start = F.greatest(pos - margin, F.lit(1))
+        cut = F.substr(text, start, pos + F.lit(len(query) + margin) - start)
+        return F.when(pos > 0, F.btrim(F.replace(cut, F.lit("\n"), F.lit(" ")), F.lit(_BLANKS)))
+
+    # A one-element array binds the position, so the text is folded and searched once.
+    return F.transform(F.array(F.locate(query.lower(), F.lower(text))), around)[0]
 
 
 def truncate_pages(text: Column, max_pages: int) -> Column:

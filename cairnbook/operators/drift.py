@@ -19,19 +19,21 @@ def parse_schema(df: DataFrame, key: list[str], schema_json: str = "schema_json"
 
 
 def schema_diff(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """``(key…, kind, name, old_type, new_type)`` for all datasets in one join.
+    """``(key…, kind, name, old_type, new_type)`` for all datasets with one shuffle.
 
     Both sides have ``key…, name, type``.  Names are compared as data, so letter case
-    counts and order does not; a rename shows as one removal and one addition.  The join
+    counts and order does not; a rename shows as one removal and one addition.  The grouping
     key includes the column name, which keeps one very wide dataset spread out.
     """
     on = [*key, "name"]
+    nothing = F.lit(None).cast("string")
+    both = old.select(*on, F.col("type").alias("o"), nothing.alias("n")).unionByName(
+        new.select(*on, nothing.alias("o"), F.col("type").alias("n")))
     # Equal names within a dataset: the last entry would win; ``max`` makes that definite.
-    o = old.groupBy(*on).agg(F.max("type").alias("old_type"), F.lit(1).alias("_o"))
-    n = new.groupBy(*on).agg(F.max("type").alias("new_type"), F.lit(1).alias("_n"))
-    kind = (F.when(F.col("_o").isNull(), "Added").when(F.col("_n").isNull(), "Removed")
+    sides = both.groupBy(*on).agg(F.max("o").alias("old_type"), F.max("n").alias("new_type"))
+    kind = (F.when(F.col("old_type").isNull(), "Added").when(F.col("new_type").isNull(), "Removed")
             .when(F.col("old_type") != F.col("new_type"), "TypeChanged"))
-    return (o.join(n, on, "full").withColumn("kind", kind).where(F.col("kind").isNotNull())
+    return (sides.withColumn("kind", kind).where(F.col("kind").isNotNull())
             .select(*key, "kind", "name", "old_type", "new_type"))
 
 

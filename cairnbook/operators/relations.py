@@ -52,30 +52,34 @@ def join_patterns(sql: Column, strict: bool = True) -> Column:
     ``strict`` a join without alias needs two blanks before ON, as history has it.
     """
     pattern = JOIN_PATTERN if strict else LENIENT_JOIN_PATTERN
-    low = F.lower(sql)
-    groups = [F.regexp_extract_all(low, F.lit(pattern), g) for g in range(1, 7)]
-    rows = F.arrays_zip(*[g.alias(f"g{i}") for i, g in enumerate(groups, 1)])
+    return F.transform(F.regexp_extract_all(F.lower(sql), F.lit(pattern), 0),
+                       lambda clause: _resolved(clause, pattern))
 
-    def resolve(r: Column) -> Column:
-        alias = F.when(r["g2"] == "", r["g1"]).otherwise(r["g2"])
-        return F.struct(
-            F.when(r["g3"] == alias, r["g1"]).otherwise(r["g3"]).alias("left_table"),
-            F.when(r["g5"] == alias, r["g1"]).otherwise(r["g5"]).alias("right_table"),
-            r["g4"].alias("left_column"), r["g6"].alias("right_column"))
 
-    return F.transform(rows, resolve)
+def _resolved(clause: Column, pattern: str) -> Column:
+    """Tables and columns of one join clause."""
+    table, alias, left, left_column, right, right_column = (
+        F.regexp_extract(clause, pattern, g) for g in range(1, 7))
+    alias = F.when(alias == "", table).otherwise(alias)
+    return F.struct(
+        F.when(left == alias, table).otherwise(left).alias("left_table"),
+        F.when(right == alias, table).otherwise(right).alias("right_table"),
+        left_column.alias("left_column"), right_column.alias("right_column"))
 
 
 def mined_joins(history: DataFrame, sql: str = "sql", strict: bool = True) -> DataFrame:
     """``(left_table, right_table, left_column, right_column, times)`` over all good queries.
 
-    Equal joins are counted where they are found, so a join used by a third of the
-    history shuffles one row per task.
+    Equal join clauses are counted where they are found and taken apart only then, so a
+    join used by a third of the history shuffles one row per task.
     """
-    return (
+    pattern = JOIN_PATTERN if strict else LENIENT_JOIN_PATTERN
+    clauses = (
         history.where((F.col("status") == "success") & F.lower(sql).contains("join"))
-        .select(F.inline(join_patterns(F.col(sql), strict)))
-        .groupBy("left_table", "right_table", "left_column", "right_column").agg(F.count("*").alias("times")))
+        .select(F.explode(F.regexp_extract_all(F.lower(sql), F.lit(pattern), 0)).alias("clause"))
+        .groupBy("clause").agg(F.count("*").alias("n")))
+    return (clauses.select(_resolved(F.col("clause"), pattern).alias("j"), "n").select("j.*", "n")
+            .groupBy("left_table", "right_table", "left_column", "right_column").agg(F.sum("n").alias("times")))
 
 
 def history_relations(datasets: DataFrame, history: DataFrame, strict: bool = True) -> DataFrame:

@@ -25,10 +25,14 @@ def score_entries(entries: DataFrame, query: str) -> DataFrame:
     """Matching entries with score, reasons, best column and snippet.
 
     ``entries`` has ``folder_path, relative_path, schema ARRAY<STRUCT<name,type>>, text``.
-    One pass over the data; nothing is shuffled before the top-k.
+    One pass over the data; nothing is shuffled before the top-k.  Every kind of hit
+    contains the query, so one cheap test drops other entries before they are graded.
     """
     q = query.strip().lower()
     path = F.lower("relative_path")
+    entries = entries.where(
+        path.contains(q) | F.coalesce(F.exists("schema", lambda c: F.lower(c["name"]).contains(q)), F.lit(False))
+        | F.coalesce(F.lower("text").contains(q), F.lit(False)))
     by_name = F.coalesce(_graded(base_name(path), q, NAME_SCORES),
                          F.when(path.contains(q), NAME_SCORES["folder"]), F.lit(0))
     cols = F.transform(F.coalesce("schema", F.array().cast("array<struct<name:string,type:string>>")),
@@ -43,7 +47,7 @@ def score_entries(entries: DataFrame, query: str) -> DataFrame:
     reasons = F.filter(F.array(
         F.when(F.col("_name") > 0, "filename"), F.when(has_col, "column"),
         F.when(F.col("snippet").isNotNull(), "content")), lambda r: r.isNotNull())
-    return (scored.withColumn("score", score.cast("int")).where(F.col("score") > 0)
+    return (scored.withColumn("score", score.cast("int"))
             .withColumn("reasons", reasons)
             .withColumn("match_column", F.when(has_col, F.col("_col.name")))
             .withColumn("match_type", F.when(has_col, F.col("_col.type")))

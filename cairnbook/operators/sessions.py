@@ -12,38 +12,32 @@ def gap_sessions(events: DataFrame, key: list[str], ts_micros: str, gap_seconds:
 
     A session goes on while the next event comes at most ``gap_seconds`` later.  Events
     are grouped into local sessions per key and time bucket, so a hot key is sorted in
-    many tasks.  What crosses a bucket border is decided on one summary row per key and
-    bucket, whose number is limited by the time covered, not by the number of events.
+    many tasks.  Only the first and last local session of a bucket can continue in
+    another one; these meet per key, at most two per bucket, so their number is limited
+    by the time covered and not by the number of events.  All others are already whole.
     """
     gap = gap_seconds * 1_000_000
     ts = F.col(ts_micros)
     place = [*key, "_bucket"]
     rows = events.select(*key, ts.alias("_ts"), F.floor(ts / (bucket_seconds * 1_000_000)).alias("_bucket"))
 
-    in_bucket = Window.partitionBy(*place).orderBy("_ts")
-    opens = F.coalesce((F.col("_ts") - F.lag("_ts").over(in_bucket) > gap).cast("int"), F.lit(0))
-    local = (rows.withColumn("_opens", opens)
-             .withColumn("_no", F.sum("_opens").over(
-                 in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    local = (_numbered(rows, place, "_ts", "_ts", gap)
              .groupBy(*place, "_no")
              .agg(F.min("_ts").alias("_start"), F.max("_ts").alias("_end"), F.count("*").alias("_n")))
-
-    summary = local.groupBy(*place).agg(
-        F.max("_no").alias("_last_no"), F.min("_start").alias("_first_start"),
-        F.max("_start").alias("_last_start"), F.max("_end").alias("_last_end"))
-    by_time = Window.partitionBy(*key).orderBy("_bucket")
-    joins = F.coalesce(F.col("_first_start") - F.lag("_last_end").over(by_time) <= gap, F.lit(False))
-    summary = summary.withColumn("_joins", joins).withColumn(
-        "_before_many", F.coalesce(F.lag("_last_no").over(by_time) > 0, F.lit(False))).withColumn(
-        "_before_start", F.lag("_last_start").over(by_time))
-    # Start of the session that the first local session of each bucket belongs to.
-    own = F.when(~F.col("_joins"), F.col("_first_start")).when(F.col("_before_many"), F.col("_before_start"))
-    anchor = F.last(own, ignorenulls=True).over(
-        by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    anchors = summary.select(*place, anchor.alias("_anchor"), F.lit(0).cast("long").alias("_no"))
-
-    return (
-        local.join(anchors, [*place, "_no"], "left")
-        .withColumn("session_start", F.coalesce("_anchor", "_start"))
-        .groupBy(*key, "session_start")
-        .agg(F.max("_end").alias("session_end"), F.sum("_n").alias("events")))
+    last = F.max("_no").over(Window.partitionBy(*place))
+    border = (F.col("_no") == 0) | (F.col("_no") == last)
+    routed = local.withColumn("_route", F.when(border, F.lit(-1).cast("long")).otherwise(F.col("_bucket")))
+
+    return (_numbered(routed.drop("_no"), [*key, "_route"], "_start", "_end", gap)
+            .groupBy(*key, "_route", "_no")
+            .agg(F.min("_start").alias("session_start"), F.max("_end").alias("session_end"),
+                 F.sum("_n").alias("events"))
+            .drop("_route", "_no"))
+
+
+def _numbered(rows: DataFrame, group: list[str], start: str, end: str, gap: int) -> DataFrame:
+    """Rows with ``_no``, counting up from 0 at every gap inside a group."""
+    by_time = Window.partitionBy(*group).orderBy(start)
+    opens = F.coalesce((F.col(start) - F.lag(end).over(by_time) > gap).cast("int"), F.lit(0))
+    running = by_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("_opens", opens).withColumn("_no", F.sum("_opens").over(running))

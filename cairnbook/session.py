@@ -67,3 +67,12 @@ def cut_lineage(df: DataFrame, label: str = "cut", partition_by: list[str] | Non
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Input of a costly map stage, on at least as many partitions as there are cores.
+
+    Large inputs already have more partitions than that and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnbook.session import spread
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
@@ -102,7 +104,7 @@ def read_workbooks(files: DataFrame, batch_rows: int = 5000) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return files.select("path", "content").mapInPandas(
+    return spread(files.select("path", "content")).mapInPandas(
         parse, "path string, row_no long, cells array<string>, error string")
 
 
