@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def index_columns(definition: Column) -> Column:
-    """Column list of an index definition: the names in its last parentheses."""
-    inner = F.regexp_extract(definition, r"(?s)^.*\(([^()]*)\)[^)]*$", 1)
+    """Names between the last opening and the last closing parenthesis of an index definition."""
+    inner = F.regexp_extract(definition, r"(?s)^.*\(([^(]*?)(?:\)[^)]*)?$", 1)
     names = F.transform(
         F.split(inner, ","), lambda s: F.btrim(F.btrim(s, F.lit(" \t\n\r")), F.lit('"')))
     return F.filter(names, lambda s: s != "")

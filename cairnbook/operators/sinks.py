@@ -80,14 +80,14 @@ def upsert_catalog(base: DataFrame, updates: DataFrame, seq: str, id_key: str =
             .join(_latest(updates, paths, seq), [*paths, seq], "left_semi"))
     kept = (base.join(updates.select(id_key), id_key, "left_anti")
             .join(updates.select(*paths), paths, "left_anti"))
-    return kept.unionByName(live.select(*base.columns))
+    return kept.select(*base.columns).unionByName(live.select(*base.columns))
 
 
 def upsert_keyed(base: DataFrame, updates: DataFrame, key: list[str], seq: str) -> DataFrame:
     """Cache table after its updates; the last one per key counts."""
     live = updates.join(_latest(updates, key, seq), [*key, seq], "left_semi")
     kept = base.join(updates.select(*key), key, "left_anti")
-    return kept.unionByName(live.select(*base.columns))
+    return kept.select(*base.columns).unionByName(live.select(*base.columns))
 
 
 def cache_get(wanted: DataFrame, cache: DataFrame, key: list[str], payload_schema: StructType | str,

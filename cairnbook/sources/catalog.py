@@ -94,34 +94,38 @@ def _inspect_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for path, size, start in zip(batch["path"], batch["size_bytes"], batch["start"]):
-            try:
-                with _open(path) as handle:
-                    lead = min(int(start), 2)
-                    raw = handle.read_at(min(CHUNK_BYTES, int(size) - int(start)) + lead, int(start) - lead)
-                data = np.frombuffer(raw, dtype=np.uint8)
-                data = np.concatenate([np.full(2 - lead, 10, dtype=np.uint8), data])
-                body, before, before2 = data[2:], data[1:-1], data[:-2]
-                last = np.where(before == 13, before2, before)
-                ends = (body == 10) & (last != 10)
-                if int(start) + len(body) >= int(size) and len(body) and body[-1] not in (10, 13):
-                    ends[-1] = True
-                inside = (np.cumsum(body == 34) & 1).astype(bool)
-                out.append((path, int(start), int((body == 34).sum()), int((ends & ~inside).sum()),
-                            int((ends & inside).sum())))
-            except Exception:  # noqa: BLE001 - the record itself already carries the error
-                continue
-        yield pd.DataFrame(out, columns=["path", "start", "quotes", "if_outside", "if_inside"])
+def _line_counter(chunk: int):
+    """Counter of record ends in byte ranges of at most ``chunk`` bytes."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, size, start in zip(batch["path"], batch["size_bytes"], batch["start"]):
+                try:
+                    with _open(path) as handle:
+                        lead = min(int(start), 2)
+                        raw = handle.read_at(min(chunk, int(size) - int(start)) + lead, int(start) - lead)
+                    data = np.frombuffer(raw, dtype=np.uint8)
+                    data = np.concatenate([np.full(2 - lead, 10, dtype=np.uint8), data])
+                    body, before, before2 = data[2:], data[1:-1], data[:-2]
+                    last = np.where(before == 13, before2, before)
+                    ends = (body == 10) & (last != 10)
+                    if int(start) + len(body) >= int(size) and len(body) and body[-1] not in (10, 13):
+                        ends[-1] = True
+                    inside = (np.cumsum(body == 34) & 1).astype(bool)
+                    out.append((path, int(start), int((body == 34).sum()), int((ends & ~inside).sum()),
+                                int((ends & inside).sum())))
+                except Exception:  # noqa: BLE001 - the record itself already carries the error
+                    continue
+            yield pd.DataFrame(out, columns=["path", "start", "quotes", "if_outside", "if_inside"])
+
+    return count
 
 
 def _parts(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def count_lines(files: DataFrame) -> DataFrame:
+def count_lines(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """``(path, lines)``: non-blank records of delimited files, header included.
 
     Files are cut into byte ranges counted by separate tasks, so one huge file spreads
@@ -129,11 +133,11 @@ def count_lines(files: DataFrame) -> DataFrame:
     inside quotes follows from the quote count of the ranges before it.
     """
     ranges = files.where(F.col("size_bytes") > 0).select("path", "size_bytes", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(CHUNK_BYTES).cast("long"))).alias("start"))
+        F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(chunk).cast("long"))).alias("start"))
     # A fixed number of partitions: each tiny row stands for much work, which adaptive
     # merging of small partitions cannot know.
     counted = ranges.repartition(_parts(files.sparkSession), "path", "start").mapInPandas(
-        _count_batches, "path string, start long, quotes long, if_outside long, if_inside long")
+        _line_counter(chunk), "path string, start long, quotes long, if_outside long, if_inside long")
     before = F.coalesce(F.sum("quotes").over(
         Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (

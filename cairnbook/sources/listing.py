@@ -124,7 +124,8 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None,
     """``(path, relative_path, size_bytes, modified)`` of all files below a folder.
 
     Only file facts are selected, so no file content is read.  Without a glob the
-    listing keeps csv, tsv and parquet files.
+    listing keeps csv, tsv and parquet files.  Spark's file index leaves out empty files
+    and those whose name begins with a dot or an underscore.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob is not None:
