@@ -113,10 +113,10 @@ def _line_counter(chunk: int):
                         ends[-1] = True
                     inside = (np.cumsum(body == 34) & 1).astype(bool)
                     out.append((path, int(start), int((body == 34).sum()), int((ends & ~inside).sum()),
-                                int((ends & inside).sum())))
-                except Exception:  # noqa: BLE001 - the record itself already carries the error
-                    continue
-            yield pd.DataFrame(out, columns=["path", "start", "quotes", "if_outside", "if_inside"])
+                                int((ends & inside).sum()), False))
+                except Exception:  # noqa: BLE001 - one bad file must not stop the scan
+                    out.append((path, int(start), 0, 0, 0, True))
+            yield pd.DataFrame(out, columns=["path", "start", "quotes", "if_outside", "if_inside", "failed"])
 
     return count
 
@@ -126,7 +126,7 @@ def _parts(spark: SparkSession) -> int:
 
 
 def count_lines(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """``(path, lines)``: non-blank records of delimited files, header included.
+    """``(path, lines, failed)``: non-blank records of delimited files, header included.
 
     Files are cut into byte ranges counted by separate tasks, so one huge file spreads
     over the cluster.  A line end inside quotes is no record end; whether a range starts
@@ -137,13 +137,14 @@ def count_lines(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     # A fixed number of partitions: each tiny row stands for much work, which adaptive
     # merging of small partitions cannot know.
     counted = ranges.repartition(_parts(files.sparkSession), "path", "start").mapInPandas(
-        _line_counter(chunk), "path string, start long, quotes long, if_outside long, if_inside long")
+        _line_counter(chunk), "path string, start long, quotes long, if_outside long, if_inside long, failed boolean")
     before = F.coalesce(F.sum("quotes").over(
         Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
         counted.withColumn("open", before % 2 == 1)
-        .groupBy("path").agg(F.sum(F.when(F.col("open"), F.col("if_inside")).otherwise(
-            F.col("if_outside"))).alias("lines"))
+        .groupBy("path").agg(
+            F.sum(F.when(F.col("open"), F.col("if_inside")).otherwise(F.col("if_outside"))).alias("lines"),
+            F.bool_or("failed").alias("failed"))
     )
 
 
@@ -159,10 +160,12 @@ def scan_files(spark: SparkSession, listing: DataFrame, parts: int | None = None
     records = (known.select("path", "relative_path", "size_bytes", "modified", "file_format")
                .repartition(n, "path").mapInPandas(_inspect_batches, _RECORD))
     lines = count_lines(known.where(F.col("file_format").isin("csv", "tsv")))
-    delimited = F.col("error").isNull() & F.col("file_format").isin("csv", "tsv")
+    partly = F.coalesce("failed", F.lit(False))
+    delimited = F.col("error").isNull() & F.col("file_format").isin("csv", "tsv") & ~partly
     return records.join(lines, "path", "left").withColumn("row_count", F.when(
         delimited, F.greatest(F.coalesce("lines", F.lit(0)) - 1, F.lit(0))).otherwise(
-        F.col("row_count"))).drop("lines")
+        F.col("row_count"))).withColumn("error", F.coalesce(
+            "error", F.when(partly, "file could not be read to its end"))).drop("lines", "failed")
 
 
 def scan_catalog(spark: SparkSession, root: str, glob: str | None = None, **filters) -> DataFrame:
