@@ -124,18 +124,16 @@ def bit_text(col: Column, bits: int) -> Column:
 
 def http_date_epoch(col: Column) -> Column:
     """Seconds since 1970 of an HTTP date in any of its three historic spellings."""
-    rest = F.regexp_replace(F.trim(col), r"^[A-Za-z]+,?\s+", "")
-    rest = F.regexp_replace(rest, r"\s+", " ")
-    imf = F.try_to_timestamp(F.regexp_replace(rest, " GMT$", ""), F.lit("d MMM yyyy HH:mm:ss"))
-    rfc850 = F.try_to_timestamp(F.regexp_replace(rest, " GMT$", ""), F.lit("dd-MMM-yy HH:mm:ss"))
-    asctime = F.try_to_timestamp(rest, F.lit("MMM d HH:mm:ss yyyy"))
-    with_zone = col.rlike(r"GMT\s*$")
-    stamp = F.when(with_zone, F.coalesce(imf, rfc850)).otherwise(asctime)
-    # Two-digit years at or above 70 belong to the last century.
-    epoch = F.unix_timestamp(stamp)
-    late = with_zone & imf.isNull() & (F.year(stamp) >= 2070)
-    return F.when(late, F.unix_timestamp(F.add_months(stamp, -1200).cast("timestamp"))
-                  + F.hour(stamp) * 3600 + F.minute(stamp) * 60 + F.second(stamp)).otherwise(epoch)
+    rest = F.regexp_replace(F.regexp_replace(F.trim(col), r"^[A-Za-z]+,?\s+", ""), r"\s+", " ")
+    # Two-digit years from 70 on belong to the last century.
+    rest = F.regexp_replace(rest, r"^(\d\d-[A-Za-z]{3})-(?=[7-9]\d )", "$1-19")
+    rest = F.regexp_replace(rest, r"^(\d\d-[A-Za-z]{3})-(?=[0-6]\d )", "$1-20")
+    utc = F.concat(F.regexp_replace(rest, " GMT$", ""), F.lit(" +0000"))
+    imf = F.try_to_timestamp(utc, F.lit("d MMM yyyy HH:mm:ss Z"))
+    rfc850 = F.try_to_timestamp(utc, F.lit("dd-MMM-yyyy HH:mm:ss Z"))
+    asctime = F.try_to_timestamp(utc, F.lit("MMM d HH:mm:ss yyyy Z"))
+    with_zone = rest.endswith(" GMT")
+    return F.unix_seconds(F.when(with_zone, F.coalesce(imf, rfc850)).otherwise(asctime))
 
 
 def day_key(ts: Column) -> Column:

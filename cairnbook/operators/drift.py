@@ -48,8 +48,8 @@ def catalog_drift(catalog: DataFrame, scanned: DataFrame, key: list[str]) -> Dat
 
     Both sides have ``key…, schema_json``.
     """
-    seen = scanned.join(catalog.select(*key), key, "left_semi")
-    present = catalog.join(scanned.select(*key), key, "left_semi")
+    seen = scanned.join(catalog.select(*key).distinct(), key, "left_semi")
+    present = catalog.join(scanned.select(*key).distinct(), key, "left_semi")
     return schema_diff(parse_schema(present, key), parse_schema(seen, key), key)
 
 

@@ -53,21 +53,25 @@ def manifest_diff(old: DataFrame, new: DataFrame, key: str = "key", size: str =
 
 def drop_missing(manifest: DataFrame, listing: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
     """Manifest entries still listed, and the dropped ones."""
-    keys = listing.select(key)
+    keys = listing.select(key).distinct()
     return manifest.join(keys, key, "left_semi"), manifest.join(keys, key, "left_anti")
 
 
 def key_differences(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     """``(key, side)`` with ``added`` and ``removed`` keys."""
-    o, n = old.select(key), new.select(key)
-    return (n.join(o, key, "left_anti").distinct().withColumn("side", F.lit("added"))
-            .unionByName(o.join(n, key, "left_anti").distinct().withColumn("side", F.lit("removed"))))
+    o, n = old.select(key).distinct(), new.select(key).distinct()
+    return (n.join(o, key, "left_anti").withColumn("side", F.lit("added"))
+            .unionByName(o.join(n, key, "left_anti").withColumn("side", F.lit("removed"))))
 
 
 def orphans(old: DataFrame, new: DataFrame, others: DataFrame, file_id: str = "file_id") -> DataFrame:
-    """Files gone from a root's latest walk that no other root refers to."""
-    return (old.select(file_id).join(new.select(file_id), file_id, "left_anti")
-            .join(others.select(file_id), file_id, "left_anti").distinct())
+    """Files gone from a root's latest walk that no other root refers to.
+
+    Ids are made unique inside the tasks first, so one listed by most roots stays small, and
+    all three sides share one partitioning.
+    """
+    gone, here, elsewhere = (df.select(file_id).distinct() for df in (old, new, others))
+    return gone.join(here, file_id, "left_anti").join(elsewhere, file_id, "left_anti")
 
 
 def changed_roots(listing: DataFrame, last_scan: DataFrame, root: str = "root", mtime: str = "mtime",

@@ -43,7 +43,7 @@ def allowed(paths: DataFrame, roots: DataFrame, path: str = "path", root: str =
     """Paths that lie under a registered root, component by component."""
     pieces = paths.select(path, F.explode(_component_prefixes(F.col(path))).alias("_p"))
     owners = roots.select(F.when(F.rtrim(F.col(root), F.lit("/")) == "", "/").otherwise(
-        F.rtrim(F.col(root), F.lit("/"))).alias("_p"))
+        F.rtrim(F.col(root), F.lit("/"))).alias("_p")).distinct()
     return pieces.join(owners, "_p", "left_semi").select(path).distinct()
 
 
@@ -74,7 +74,8 @@ def resolve_addresses(addresses: DataFrame, roots: DataFrame, files: DataFrame,
 
     absolute = files.select(F.ltrim("file", F.lit("/")).alias("_path"), "file", F.lit(-1).cast("long").alias("_order"))
     placed = files.select("file", F.explode(_component_prefixes(F.col("file"))).alias("_p"))
-    keyed_roots = roots.select(F.rtrim("root", F.lit("/")).alias("_p"), F.col("order").cast("long").alias("_order"))
+    keyed_roots = roots.groupBy(F.rtrim("root", F.lit("/")).alias("_p")).agg(
+        F.min(F.col("order").cast("long")).alias("_order"))
     below = placed.join(keyed_roots, "_p").select(
         F.expr("substring(file, length(_p) + 2)").alias("_path"), "file", "_order")
     known = absolute.unionByName(below).groupBy("_path").agg(F.min_by("file", "_order").alias("file"))

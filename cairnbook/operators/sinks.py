@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cairnbook.operators.numbering import number_rows
+from cairnbook.session import hadoop_path
 from cairnbook.sources.readers import read_csv_ladder, read_table
 
 # Attempts at a free name, version of the export bundle, queries exported.
@@ -18,19 +19,13 @@ BUNDLE_VERSION = "1.0"
 BUNDLE_QUERIES = 500
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def _bytes(spark: SparkSession, path: str) -> int:
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_path(spark, path)
     return int(fs.getContentSummary(p).getLength())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = hadoop_path(spark, path)
     return bool(fs.exists(p))
 
 
@@ -55,8 +50,7 @@ def convert(spark: SparkSession, source: str, folder: str) -> dict:
         raise ValueError("file is already Parquet")
     target = free_target(spark, folder, stem)
     if ext == "csv":
-        _, rung = read_csv_ladder(spark, source, target)
-        target = target if rung == 1 else f"{target}-rung{rung}"
+        read_csv_ladder(spark, source, target)
     else:
         read_table(spark, source, ext).write.mode("errorifexists").option("compression", "zstd").parquet(target)
     return {"target": target, "source_bytes": _bytes(spark, source), "target_bytes": _bytes(spark, target)}
@@ -78,15 +72,15 @@ def upsert_catalog(base: DataFrame, updates: DataFrame, seq: str, id_key: str =
     paths = list(path_key)
     live = (updates.join(_latest(updates, [id_key], seq), [id_key, seq], "left_semi")
             .join(_latest(updates, paths, seq), [*paths, seq], "left_semi"))
-    kept = (base.join(updates.select(id_key), id_key, "left_anti")
-            .join(updates.select(*paths), paths, "left_anti"))
+    kept = (base.join(updates.select(id_key).distinct(), id_key, "left_anti")
+            .join(updates.select(*paths).distinct(), paths, "left_anti"))
     return kept.select(*base.columns).unionByName(live.select(*base.columns))
 
 
 def upsert_keyed(base: DataFrame, updates: DataFrame, key: list[str], seq: str) -> DataFrame:
     """Cache table after its updates; the last one per key counts."""
     live = updates.join(_latest(updates, key, seq), [*key, seq], "left_semi")
-    kept = base.join(updates.select(*key), key, "left_anti")
+    kept = base.join(updates.select(*key).distinct(), key, "left_anti")
     return kept.select(*base.columns).unionByName(live.select(*base.columns))
 
 
@@ -140,7 +134,7 @@ def register_sources(existing: DataFrame, offered: DataFrame, address: str = "ad
     """
     addressed = offered.where(F.col(address).isNotNull())
     first = addressed.join(addressed.groupBy(address).agg(F.min(seq).alias(seq)), [address, seq], "left_semi")
-    fresh = first.join(existing.select(address).where(F.col(address).isNotNull()), address, "left_anti")
+    fresh = first.join(existing.select(address).where(F.col(address).isNotNull()).distinct(), address, "left_anti")
     fresh = fresh.unionByName(offered.where(F.col(address).isNull()).select(*fresh.columns))
     top = existing.agg(F.max(order)).first()[0]
     numbered = number_rows(fresh, [F.col(seq).asc()], order, 0 if top is None else int(top) + 1)
@@ -156,7 +150,7 @@ def commit_snapshot(df: DataFrame, base: str, keep: int = 2) -> str:
     name = f"snapshot-{time.time_ns():020d}"
     df.write.mode("errorifexists").parquet(f"{base}/{name}")
     hadoop = spark._jvm.org.apache.hadoop.fs
-    fs, tmp = _fs(spark, f"{base}/_current.tmp")
+    fs, tmp = hadoop_path(spark, f"{base}/_current.tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(name, "utf-8"))
     out.close()
@@ -175,7 +169,7 @@ def commit_snapshot(df: DataFrame, base: str, keep: int = 2) -> str:
 
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
     """Current version of a table, None when there is none yet."""
-    fs, pointer = _fs(spark, f"{base}/_current")
+    fs, pointer = hadoop_path(spark, f"{base}/_current")
     if not fs.exists(pointer):
         return None
     stream = fs.open(pointer)

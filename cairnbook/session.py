@@ -69,10 +69,22 @@ def cut_lineage(df: DataFrame, label: str = "cut", partition_by: list[str] | Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """``(file system, path)`` of the Hadoop client for driver-side file operations."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+# Below this many bytes per core Spark packs files together instead of splitting them.
+_OPEN_COST = 4 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Input of a costly map stage, on at least as many partitions as there are cores.
+    """Small input of a costly map stage on as many partitions as there are cores.
 
-    Large inputs already have more partitions than that and are left as they are.
+    Larger inputs are split by Spark itself and left as they are; the decision takes the
+    planner's size estimate and runs nothing.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * _OPEN_COST else df

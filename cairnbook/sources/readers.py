@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnbook.session import new_dir
+from cairnbook.session import hadoop_path, new_dir
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -74,11 +74,12 @@ def read_csv_ladder(spark: SparkSession, path: str, out: str | None = None) -> t
     header; 4 all text.  Reading is lazy, so a rung counts as good only once its
     Parquet copy is completely written.
     """
+    target = out or new_dir(spark, "csv")
+    fs, made = hadoop_path(spark, target)
+    if fs.exists(made):
+        raise ValueError(f"{target} exists")
     last: Exception | None = None
     for rung in (1, 2, 3, 4):
-        target = out or new_dir(spark, "csv")
-        if out is not None and rung > 1:
-            target = f"{out}-rung{rung}"
         try:
             df = _rung(spark, path, rung)
             if not df.columns:
@@ -87,6 +88,7 @@ def read_csv_ladder(spark: SparkSession, path: str, out: str | None = None) -> t
             return spark.read.parquet(target), rung
         except (PySparkException, Py4JError, ValueError) as exc:
             last = exc
+            fs.delete(made, True)  # what the failed attempt has left behind
     raise ValueError(f"CSV to Parquet conversion failed after 4 attempts: {last}")
 
 

@@ -194,13 +194,12 @@ def upsert_stream(df: DataFrame, base: str, key: list[str], checkpoint: str, mod
         stored = sinks.read_snapshot(spark, base)
         if stored is None:
             stored = spark.createDataFrame([], batch.schema)
-        fresh = batch
+        best = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in key]), order).alias("_b"))
+        live = best.select(*key, "_b.*").select(*batch.columns)
         if rank is not None:
             newest = stored.select(*key, F.col(rank).alias("_old_rank"))
-            fresh = batch.join(newest, key, "left").where(
-                F.col("_old_rank").isNull() | (F.col(rank) >= F.col("_old_rank"))).drop("_old_rank")
-        best = fresh.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in key]), order).alias("_b"))
-        live = best.select(*key, "_b.*").select(*batch.columns)
+            live = live.join(newest, key, "left").where(
+                F.col("_old_rank").isNull() | (F.col(rank) >= F.col("_old_rank"))).select(*batch.columns)
         kept = stored.join(live.select(*key), key, "left_anti").select(*batch.columns)
         sinks.commit_snapshot(kept.unionByName(live), base)
 
