@@ -39,16 +39,21 @@ def type_name_col(simple: Column) -> Column:
 
 
 def plain_double(x: Column) -> Column:
-    """Shortest decimal text of a double: no exponent, no trailing ``.0``."""
+    """Shortest decimal text of a double: no exponent, no trailing ``.0``.
+
+    Whole numbers and everyday magnitudes take a cheap path; only very large or small
+    values go through a decimal.
+    """
     x = x.cast("double")
+    size = F.abs(x)
     digits = F.regexp_replace(
         F.regexp_replace(x.cast("decimal(38,18)").cast("string"), r"0+$", ""), r"\.$", "")
     return (
-        F.when(x.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(x), "NaN")
-        .when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
-        .when(x == 0, "0")
-        .when((F.abs(x) >= 1e-12) & (F.abs(x) < 1e18), digits)
+        F.when(F.isnan(x), "NaN")
+        .when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf"))
+        .when((size < 1e15) & (x == F.rint(x)), x.cast("long").cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), x.cast("string"))
+        .when((size >= 1e-12) & (size < 1e18), digits)
         .otherwise(x.cast("string"))
     )
 

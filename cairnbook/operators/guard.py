@@ -24,10 +24,22 @@ ROW_CAP = 100_000
 TIMEOUT_SECONDS = 60
 MISSING = "SQL is missing the {{file}} placeholder"
 
-_FILE_RULES = [(rf"(?i)(?<![a-z0-9_]){n}[ \t\n]*\(", f"forbidden file-access function: {n}") for n in FILE_FUNCTIONS]
-_FILE_RULES += [(rf"(?i)(?<![a-z0-9_]){k}(?![a-z0-9_])", f"forbidden keyword: {k.upper()}") for k in FILE_KEYWORDS]
-_DB_RULES = [(rf"(?i)(?<![a-z0-9_]){k}(?![a-z0-9_])", f"DB queries must be SELECT-only. Forbidden keyword: {k}")
-             for k in DB_KEYWORDS]
+
+
+def _tokens(functions: tuple[str, ...], keywords: tuple[str, ...]) -> str:
+    """One pattern for all forbidden tokens, standing alone and in any letter case.
+
+    Functions count only when called, keywords wherever they are a whole word.
+    """
+    called = rf"(?:{'|'.join(functions)})(?=[ \t\n]*\()|" if functions else ""
+    return rf"(?i)(?<![a-z0-9_])({called}(?:{'|'.join(keywords)})(?![a-z0-9_]))"
+
+
+_FILE_TOKENS = _tokens(FILE_FUNCTIONS, FILE_KEYWORDS)
+_DB_TOKENS = _tokens((), DB_KEYWORDS)
+_FILE_REASONS = {f: f"forbidden file-access function: {f}" for f in FILE_FUNCTIONS} | {
+    k: f"forbidden keyword: {k.upper()}" for k in FILE_KEYWORDS}
+_DB_REASONS = {k: f"DB queries must be SELECT-only. Forbidden keyword: {k}" for k in DB_KEYWORDS}
 # Spark can also address files and run code from inside a SELECT; both are closed off.
 _SPARK_RULES = [
     (r"(?i)(?<![a-z0-9_])(?:parquet|csv|json|orc|text|avro|binaryfile|delta|jdbc)\s*\.\s*`",
@@ -36,31 +48,41 @@ _SPARK_RULES = [
 ]
 
 
+def _first_reason(sql: str, pattern: str, reasons: dict[str, str]) -> str | None:
+    found = {m.lower() for m in re.findall(pattern, sql)}
+    return next((why for token, why in reasons.items() if token in found), None)
+
+
 def check_file_sql(sql: str) -> str | None:
     """Reason why a statement on a bound file is refused, or None."""
     if PLACEHOLDER not in sql:
         return MISSING
-    return next((why for rule, why in [*_FILE_RULES, *_SPARK_RULES] if re.search(rule, sql)), None)
+    return _first_reason(sql, _FILE_TOKENS, _FILE_REASONS) or next(
+        (why for rule, why in _SPARK_RULES if re.search(rule, sql)), None)
 
 
 def check_db_sql(sql: str) -> str | None:
     """Reason why a statement on a database is refused, or None."""
-    return next((why for rule, why in _DB_RULES if re.search(rule, sql)), None)
+    return _first_reason(sql, _DB_TOKENS, _DB_REASONS)
+
+
+def _first_reason_col(sql: Column, pattern: str, reasons: dict[str, str]) -> Column:
+    """The same for a column: one pass over the text, then the first rule it breaks."""
+    found = F.transform(F.regexp_extract_all(sql, F.lit(pattern), 1), F.lower)
+    rules = F.array(*[F.lit(t) for t in reasons])
+    why = F.create_map(*[F.lit(x) for kv in reasons.items() for x in kv])
+    return F.try_element_at(why, F.get(F.array_intersect(rules, found), F.lit(0)))
 
 
 def file_sql_reason(sql: Column) -> Column:
     """First reason of refusal for statements in a column, null when allowed."""
-    out = F.when(~sql.contains(PLACEHOLDER), MISSING)
-    for rule, why in _FILE_RULES:
-        out = out.when(sql.rlike(rule), why)
-    return out
+    return F.when(~sql.contains(PLACEHOLDER), MISSING).otherwise(
+        _first_reason_col(sql, _FILE_TOKENS, _FILE_REASONS))
 
 
 def db_sql_reason(sql: Column) -> Column:
-    out = F.when(sql.rlike(_DB_RULES[0][0]), _DB_RULES[0][1])
-    for rule, why in _DB_RULES[1:]:
-        out = out.when(sql.rlike(rule), why)
-    return out
+    """First word that makes a database statement more than a SELECT, as a reason."""
+    return _first_reason_col(sql, _DB_TOKENS, _DB_REASONS)
 
 
 def bind_address(sql: str, address: str) -> str:
