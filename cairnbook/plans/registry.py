@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cairnbook.session import tune
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,8 +33,7 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(Tables(spark, sf_dir))
+            return fn(Tables(tune(spark), sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -9,6 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The JVM never compiles methods above 8000 bytes of bytecode.  Beyond it Spark should split
+# a wide projection into several methods rather than run one huge method interpreted.
+JIT_METHOD_LIMIT = "8000"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = (
@@ -20,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CAIRNBOOK_DRIVER_MEMORY", "8g"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_LIMIT)
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.sql.streaming.stateStore.providerClass",
@@ -30,6 +36,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the operators rely on, for sessions made elsewhere."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_LIMIT)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -20,7 +20,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options:
     if fmt in ("csv", "tsv"):
         return read_delimited(spark, path, "\t" if fmt == "tsv" else ",")
     if fmt in ("json", "jsonl", "ndjson"):
-        return read_json(spark, path, multi_line=fmt == "json")
+        return read_json(spark, path, None if fmt == "json" else False)
     raise ValueError(f"no reader for {fmt} files; only tabular data can be read")
 
 
@@ -32,11 +32,21 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",",
     return reader.csv(path)
 
 
-def read_json(spark: SparkSession, path: str, multi_line: bool = False,
+def read_json(spark: SparkSession, path: str, multi_line: bool | None = None,
               schema: T.StructType | str | None = None) -> DataFrame:
-    """JSON documents with their nested schema found by reading them all."""
-    reader = spark.read.option("multiLine", str(multi_line).lower())
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """JSON documents with their nested schema found by reading them all.
+
+    Unless told, one document or array per line is tried first; only files in which no
+    line is a document by itself are read whole.  Lines that do not parse are left out.
+    """
+    bad = "_corrupt_record"
+    if schema is None:
+        found = spark.read.option("multiLine", str(bool(multi_line)).lower()).json(path).schema
+        if multi_line is None and found.names == [bad]:
+            return read_json(spark, path, True)
+        schema = T.StructType([f for f in found.fields if f.name != bad])
+    return (spark.read.schema(schema).option("multiLine", str(bool(multi_line)).lower())
+            .option("mode", "DROPMALFORMED").json(path))
 
 
 def _text_csv(spark: SparkSession, path: str, header: bool, names: list[str]) -> DataFrame:

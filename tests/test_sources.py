@@ -81,6 +81,17 @@ def test_csv_ladder(spark, tmp_path):
         readers.read_csv_ladder(spark, f"{tmp_path}/missing.csv")
 
 
+def test_json_layouts(spark, tmp_path):
+    docs = {"lines": '{"a":1,"b":{"c":"x"}}\n{"a":2}\n', "array": '[{"a":1,"b":{"c":"x"}},{"a":2}]',
+            "pretty": '[\n  {\n    "a": 1,\n    "b": {"c": "x"}\n  },\n  {\n    "a": 2\n  }\n]\n',
+            "broken": '{"a":1,"b":{"c":"x"}}\n{"a":2}\noops\n'}
+    for name, text in docs.items():
+        _write(f"{tmp_path}/{name}.json", text)
+        df = readers.read_table(spark, f"{tmp_path}/{name}.json", "json")
+        assert sorted((r.a, r.c) for r in df.select("a", "b.c").collect()) == [(1, "x"), (2, None)], name
+        assert df.count() == 2
+
+
 def test_convert_never_overwrites(spark, tmp_path):
     _write(f"{tmp_path}/t.csv", "a,b\n1,2\n")
     targets = [sinks.convert(spark, f"{tmp_path}/t.csv", str(tmp_path)) for _ in range(3)]
