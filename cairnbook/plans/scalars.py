@@ -302,3 +302,20 @@ def _f24(t):
 def _f25(t):
     """Every page as markdown; checked against brute force in the tests."""
     return html.html_to_markdown(t.pages)
+
+
+_VISIBLE = "regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
+
+
+@query("f25_html_titles_and_links", sql=f"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
+   '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS title,
+ len(regexp_extract_all(v, '<a[ >]')) AS links, len(regexp_extract_all(v, '<h[1-6][ >]')) AS headings
+FROM (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t, {_VISIBLE} AS v FROM pages)""")
+def _f25t(t):
+    """What can be counted in the markup must show up in the markdown."""
+    def times(pattern):
+        return F.size(F.regexp_extract_all("markdown", F.lit(pattern), 0)).cast("long")
+
+    return html.html_to_markdown(t.pages).select(
+        "page_id", "title", times(r"\]\(").alias("links"), times(r"(?m)^#{1,6}(?: |$)").alias("headings"))
