@@ -39,21 +39,30 @@ def _st1(t):
         F.sum("row_count").alias("row_count"))
 
 
-def _closed_sessions(key, gap):
+def _closed_sessions(key, gap, source="events"):
     """Sessions that ended before the final watermark, which trails the newest event."""
     cols = ", ".join(key)
     return f"""SELECT {cols}, CAST(min(us) AS BIGINT) AS first_us, CAST(max(us) AS BIGINT) AS last_us, count(*) AS n FROM (
  SELECT *, sum(opens) OVER (PARTITION BY {cols} ORDER BY us) AS sid FROM (
   SELECT {cols}, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY {cols} ORDER BY ts)
-    <= {gap} * 1000000::BIGINT THEN 0 ELSE 1 END AS opens FROM events)) GROUP BY {cols}, sid
+    <= {gap} * 1000000::BIGINT THEN 0 ELSE 1 END AS opens FROM {source})) GROUP BY {cols}, sid
 HAVING max(us) + {gap} * 1000000::BIGINT <= (SELECT (max(epoch_us(ts)) - {_DELAY_US}) // 1000 * 1000 FROM events)"""
 
 
-@query("st2_debounce", sql=_closed_sessions(["user_id"], 3600))
+_ROOTS = ["/u1", "/u22/", "/u2", "/u3", "/u"]
+
+
+@query("st2_debounce", sql=_closed_sessions(["folder"], 600, """(SELECT ts, CASE
+   WHEN starts_with(path, '/u1') THEN '/u1' WHEN starts_with(path, '/u22/') THEN '/u22/' WHEN starts_with(path, '/u2') THEN '/u2'
+   WHEN starts_with(path, '/u3') THEN '/u3' ELSE '/u' END AS folder
+  FROM (SELECT ts, '/u' || user_id || '/' || event_type AS path FROM events))"""))
 def _st2(t):
-    bursts = jobs.debounce(_events(t), "user_id", "ts", quiet_seconds=3600)
+    """Changed paths mapped to their folder; one row per folder and burst, most in one folder."""
+    path = F.concat(F.lit("/u"), "user_id", F.lit("/"), "event_type")
+    changes = _events(t).withColumn("folder", jobs.root_of(path, _ROOTS))
+    bursts = jobs.debounce(changes, "folder", "ts", quiet_seconds=600)
     return _appended(t, bursts, "debounce").select(
-        "user_id", F.unix_micros("first_change").alias("first_us"), F.unix_micros("last_change").alias("last_us"),
+        "folder", F.unix_micros("first_change").alias("first_us"), F.unix_micros("last_change").alias("last_us"),
         F.col("changes").alias("n"))
 
 

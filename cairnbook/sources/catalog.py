@@ -6,6 +6,7 @@ import csv
 import io
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,8 @@ from cairnbook.operators.privacy import MASK, is_personal
 from cairnbook.sources.listing import list_files, scannable
 
 SAMPLE_ROWS = 5
-HEAD_BYTES = 1 << 18
+# A longer field means a quote that never closes; the file is then reported as unreadable.
+MAX_FIELD = 64 << 20
 CHUNK_BYTES = 64 << 20
 
 _RECORD = ("path string, relative_path string, size_bytes long, modified timestamp, file_format string, "
@@ -55,7 +57,7 @@ def _masked(rows: list[dict]) -> str | None:
 
 
 def _inspect(path: str, fmt: str) -> dict:
-    """Footer or first lines of one file; never more than its head."""
+    """Footer, or header and first records, of one file; read no further than needed."""
     with _open(path) as handle:
         if fmt == "parquet":
             parquet = pq.ParquetFile(handle)
@@ -64,8 +66,9 @@ def _inspect(path: str, fmt: str) -> dict:
             rows = first.to_pylist()[:SAMPLE_ROWS] if first is not None else []
             count = parquet.metadata.num_rows
         else:
-            head = handle.read(HEAD_BYTES).decode("utf-8", "replace")
-            table = list(csv.reader(io.StringIO(head), delimiter="\t" if fmt == "tsv" else ","))[:SAMPLE_ROWS + 1]
+            csv.field_size_limit(MAX_FIELD)
+            lines = io.TextIOWrapper(handle, encoding="utf-8", errors="replace", newline="")
+            table = list(islice(csv.reader(lines, delimiter="\t" if fmt == "tsv" else ","), SAMPLE_ROWS + 1))
             names = table[0] if table else []
             cols = [(n, "VARCHAR") for n in names]
             rows = [dict(zip(names, r)) for r in table[1:]]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def node_class(mime: Column, name: Column) -> Column:
     )
 
 
-def walk_tree(edges: DataFrame, root: str, max_depth: int = 1000) -> DataFrame:
+def walk_tree(edges: DataFrame, root: str) -> DataFrame:
     """``(id, name, mime, class, depth)`` of all entries reachable from ``root``.
 
     ``edges`` has ``parent, id, name, mime``.  Folders are entered once, however many
@@ -42,7 +44,7 @@ def walk_tree(edges: DataFrame, root: str, max_depth: int = 1000) -> DataFrame:
                         .withColumn("class", node_class(F.col("mime"), F.col("name"))), "edges")
     levels, entered = new_dir(spark, "levels"), new_dir(spark, "entered")
     spark.range(1).select(F.lit(root).alias("id")).write.parquet(f"{entered}/depth=0")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         frontier = spark.read.schema("id string").parquet(f"{entered}/depth={depth - 1}")
         (edges.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi")
          .write.parquet(f"{levels}/depth={depth}"))
