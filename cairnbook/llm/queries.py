@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnbook.llm import packing, token_counts
+from cairnbook.llm import decontaminate, packing, simhash, token_counts
 from cairnbook.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_simhash(spark, sf_dir):
+    """Near-duplicate components of all documents."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op3_decontamination(spark, sf_dir):
+    """Words of all documents that occur in windows of benchmark items."""
+    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op8_packing(spark, sf_dir):
     """All documents in windows of 1024 ids."""
