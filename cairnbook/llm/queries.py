@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnbook.llm import decontaminate, packing, simhash, token_counts
+from cairnbook.llm import decontaminate, langid, packing, simhash, token_counts
 from cairnbook.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,13 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op5_language_id(spark, sf_dir):
+    """Language of every whole document; learned from four fifths of the ids."""
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.language_model(docs))
+
+
 @query
 def op8_packing(spark, sf_dir):
     """All documents in windows of 1024 ids."""
