@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from cairnbook.llm.common import blocks, table, whole_texts
 
 PER_LANGUAGE = 600
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
 DIMENSIONS = 16
 EPOCHS = 6
 REJECT_SHARE = 0.002
@@ -67,12 +67,9 @@ def _padded(text: bytes) -> np.ndarray:
 def _bag(text: bytes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares of its n-grams."""
     flat = _padded(text)
-    counts = np.zeros(buckets)
-    for lo in range(0, len(flat), _PART):
-        for n in _GRAMS:
-            counts += np.bincount(buckets_of(flat[lo:lo + _PART + n - 1], n, buckets), minlength=buckets)
-    used = np.flatnonzero(counts)
-    return used, (counts[used] / max(counts.sum(), 1)).astype(np.float32)
+    grams = [buckets_of(flat[lo:lo + _PART + n - 1], n, buckets) for lo in range(0, len(flat), _PART) for n in _GRAMS]
+    used, counts = np.unique(np.concatenate(grams), return_counts=True)
+    return used, (counts / max(counts.sum(), 1)).astype(np.float32)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
