@@ -43,7 +43,6 @@ class Model:
 
     names: list[str]
     weights: np.ndarray
-    bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
 
@@ -86,7 +85,7 @@ def train(sample: list[tuple[str, str]], *, buckets: int = BUCKETS, dimensions:
     index = {name: i for i, name in enumerate(names)}
     embed = rng.uniform(-0.5, 0.5, (buckets, dimensions)).astype(np.float32) / np.float32(dimensions)
     linear = np.zeros((dimensions, len(names)), np.float32)
-    bias = np.zeros(len(names), np.float32)
+    seen = np.zeros(buckets, bool)
     kept_back = rng.random(len(sample)) < 0.2
     for name in names:  # each language is trained on at least one text
         own = [i for i, (lang, _) in enumerate(sample) if lang == name]
@@ -107,18 +106,19 @@ def train(sample: list[tuple[str, str]], *, buckets: int = BUCKETS, dimensions:
                 rate = np.float32(2.0 * (1 - done / steps))
                 done += 1
                 mean = share @ embed[used]
-                error = _softmax(mean @ linear + bias)
+                error = _softmax(mean @ linear)
                 error[label] -= 1
                 back = linear @ error
+                seen[used] = True
                 linear -= rate * np.outer(mean, error)
-                bias -= rate * np.float32(0.1) * error
                 embed[used] -= (rate * np.float32(20)) * share[:, None] * back
-    model = Model(names, embed @ linear, bias)
+    # Without a bias, and with nothing from n-grams never met, an unknown script scores the same everywhere.
+    model = Model(names, np.where(seen[:, None], embed @ linear, np.float32(0)))
     held = [(index[lang], text) for (lang, text), back in zip(sample, kept_back) if back] or rows
     # Whole texts alone would all be right and make every score 1; short pieces of them are not.
     whole = len(held)
     held += [(label, snippet(text)) for label, text in held for _ in range(3)]
-    logits = np.array([share @ model.weights[used] + bias for used, share in (_bag(t, buckets) for _, t in held)])
+    logits = np.array([share @ model.weights[used] for used, share in (_bag(t, buckets) for _, t in held)])
     truth = np.array([label for label, _ in held])
     trials = np.exp(np.linspace(0, 3, 31))  # never sharper than trained: no error in a sample is no proof
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in trials]
@@ -160,7 +160,7 @@ def _predict(batches, model: Model | None):
                         got = np.concatenate((got, np.zeros((1, got.shape[1]), np.float32)))
                         sums[here] += np.add.reduceat(got, edges)[::2]
                         count[here] += b[here] - a[here]
-            chance = _softmax((sums / np.maximum(count, 1)[:, None] + model.bias) / model.temperature)
+            chance = _softmax((sums / np.maximum(count, 1)[:, None]) / model.temperature)
             top = chance.argmax(1)
             best = [model.names[t] if yes else UNKNOWN for t, yes in zip(top, letters)]
             score = np.where(letters, np.clip(chance[np.arange(many), top], 0, 1), 0.0)
