@@ -5,8 +5,8 @@ the softmax of a linear map of that mean.  Both are trained by stochastic gradie
 driver, from a sample of at most ``per_language`` labelled rows of each language.  A fifth of the sample is
 kept from training to calibrate: a temperature, fitted on whole texts and short pieces, makes the scores
 probabilities, and a text is
-rejected when its score is below what all but ``reject_share`` of these texts reach (but never when one
-language is more likely than all others together).  Prediction reads whole texts in one pass; as the map is
+rejected when its score, or the share of its n-grams that training met, is below what all but
+``reject_share`` of these texts reach (but not when both are above one half).  Prediction reads whole texts in one pass; as the map is
 linear, embeddings and map are multiplied once and a text costs one table row per n-gram.
 """
 
@@ -39,12 +39,13 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred"
 
 @dataclass
 class Model:
-    """``weights``: one row of language scores per bucket; ``names`` in the order of its columns."""
+    """``weights``: one row per bucket, the score of each of ``names`` and whether training met the bucket."""
 
     names: list[str]
     weights: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    familiar: float = 0.0
 
 
 def buckets_of(flat: np.ndarray, n: int, buckets: int) -> np.ndarray:
@@ -113,18 +114,20 @@ def train(sample: list[tuple[str, str]], *, buckets: int = BUCKETS, dimensions:
                 linear -= rate * np.outer(mean, error)
                 embed[used] -= (rate * np.float32(20)) * share[:, None] * back
     # Without a bias, and with nothing from n-grams never met, an unknown script scores the same everywhere.
-    model = Model(names, np.where(seen[:, None], embed @ linear, np.float32(0)))
+    model = Model(names, np.concatenate((embed @ linear, np.ones((buckets, 1), np.float32)), 1) * seen[:, None])
     held = [(index[lang], text) for (lang, text), back in zip(sample, kept_back) if back] or rows
     # Whole texts alone would all be right and make every score 1; short pieces of them are not.
-    whole = len(held)
+    whole, many = len(held), len(names)
     held += [(label, snippet(text)) for label, text in held for _ in range(3)]
     logits = np.array([share @ model.weights[used] for used, share in (_bag(t, buckets) for _, t in held)])
+    known, logits = logits[:whole, many], logits[:, :many]
     truth = np.array([label for label, _ in held])
     trials = np.exp(np.linspace(0, 3, 31))  # never sharper than trained: no error in a sample is no proof
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in trials]
     model.temperature = float(trials[int(np.argmin(loss))])
     right = _softmax(logits[:whole] / model.temperature)[np.arange(whole), truth[:whole]] if whole else np.ones(1)
     model.threshold = float(min(0.5, np.quantile(right, reject_share)))
+    model.familiar = float(min(0.5, np.quantile(known, reject_share)))
     return model
 
 
@@ -135,7 +138,7 @@ def _has_letter(text: bytes) -> bool:
 def _predict(batches, model: Model | None):
     for batch, data, starts in blocks(batches, _PART):
         many = batch.num_rows
-        raw, best, score = data.tobytes(), [UNKNOWN] * many, np.zeros(many)
+        raw, best, score, known = data.tobytes(), [UNKNOWN] * many, np.zeros(many), np.zeros(many)
         low = data | 32
         ascii_letter = np.concatenate(([0], np.cumsum((low >= 97) & (low <= 122) & (data < 128))))[starts]
         letters = np.diff(ascii_letter) > 0
@@ -145,7 +148,7 @@ def _predict(batches, model: Model | None):
             flat = np.frombuffer(b" " + b"  ".join(raw[a:b].translate(_FOLD) for a, b in zip(starts[:-1], starts[1:])) + b" ", np.uint8)
             begin = starts[:-1] + 2 * np.arange(many)  # the blank before each text
             size = np.diff(starts) + 2
-            sums = np.zeros((many, len(model.names)))
+            sums = np.zeros((many, len(model.names) + 1))
             count = np.zeros(many)
             buckets = len(model.weights)
             for lo in range(0, len(flat), _PART):
@@ -160,13 +163,15 @@ def _predict(batches, model: Model | None):
                         got = np.concatenate((got, np.zeros((1, got.shape[1]), np.float32)))
                         sums[here] += np.add.reduceat(got, edges)[::2]
                         count[here] += b[here] - a[here]
-            chance = _softmax((sums / np.maximum(count, 1)[:, None]) / model.temperature)
+            mean = sums / np.maximum(count, 1)[:, None]
+            known = mean[:, -1]
+            chance = _softmax(mean[:, :-1] / model.temperature)
             top = chance.argmax(1)
             best = [model.names[t] if yes else UNKNOWN for t, yes in zip(top, letters)]
             score = np.where(letters, np.clip(chance[np.arange(many), top], 0, 1), 0.0)
-        threshold = model.threshold if model is not None else 0
+        doubt = (score < model.threshold) | (known < model.familiar) if model is not None else np.ones(many, bool)
         yield table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": best,
-                     "score": score, "rejected": ~letters | (score < threshold) | (model is None)}, _OUT)
+                     "score": score, "rejected": ~letters | doubt}, _OUT)
 
 
 def held_out(id_col) -> F.Column:
