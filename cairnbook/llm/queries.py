@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnbook.llm import decontaminate, langid, packing, simhash, token_counts
+from cairnbook.llm import decontaminate, langid, packing, secret_scan, simhash, token_counts
 from cairnbook.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ def op5_language_id(spark, sf_dir):
     return langid.identify(docs, langid.language_model(docs))
 
 
+@query
+def op7_secret_scan(spark, sf_dir):
+    """Secrets in every whole document."""
+    docs = read(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.field_of(docs))
+
+
 @query
 def op8_packing(spark, sf_dir):
     """All documents in windows of 1024 ids."""
