@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnbook.llm import decontaminate, langid, packing, secret_scan, simhash, token_counts
+from cairnbook.llm import decontaminate, langid, packing, secret_scan, simhash, substring_dedup, token_counts, topk
 from cairnbook.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_substring_dedup(spark, sf_dir):
+    """Words of all documents that a window of 13 shared with a smaller document covers."""
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 @query
 def op5_language_id(spark, sf_dir):
     """Language of every whole document; learned from four fifths of the ids."""
@@ -63,3 +69,24 @@ def op8_packing(spark, sf_dir):
 def op9_token_counts(spark, sf_dir):
     """Tokens of every whole document."""
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_top_k(spark, sf_dir):
+    """The 20 best of all vectors for every twentieth one."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op10_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS vec FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec) WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+WHERE rank <= 20
+"""
