@@ -9,6 +9,7 @@ a value that a third of all documents hold costs one entry per block, and every
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -20,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnbook.llm.common import blocks, whole_texts, written
+from cairnbook.llm.common import blocks, whole_texts
+from cairnbook.session import new_dir
 
 # Bytes of the messages that one bucket is planned to hold.
 BUCKET_BYTES = 16 << 20
@@ -43,7 +45,7 @@ class Block:
 def shrink(*arrays: np.ndarray) -> bytes:
     """Arrays of one payload, compressed."""
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def expand(payload: bytes, *kinds) -> list[np.ndarray]:
@@ -69,10 +71,15 @@ def _pack(batches):
 
 
 def block_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``block, texts``, written once."""
-    slim = whole_texts(docs, id_col, text_col)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    return written(slim.mapInArrow(_pack, "block long, texts binary"), "blocks")
+    """``block, texts``, written once and bucketed by block: replies come to the texts, which never move again."""
+    spark = docs.sparkSession
+    packed = whole_texts(docs, id_col, text_col).mapInArrow(_pack, "block long, texts binary")
+    path, name = new_dir(spark, "blocks"), f"cairnbook_blocks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay in the shared folder
+    return table
 
 
 def opened(batches) -> Iterator[tuple[Block, list[bytes]]]:

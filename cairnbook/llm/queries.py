@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnbook.llm import decontaminate, langid, packing, secret_scan, simhash, substring_dedup, token_counts, topk
+from cairnbook.llm import decontaminate, langid, packing, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, topk
 from cairnbook.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    """Bytes of all documents that a string of 400 bytes covers which also starts elsewhere."""
+    return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents")).drop("removed")
+
+
 @query
 def op2_simhash(spark, sf_dir):
     """Near-duplicate components of all documents."""
