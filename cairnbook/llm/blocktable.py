@@ -9,6 +9,7 @@ a value that a third of all documents hold costs one entry per block, and every
 from __future__ import annotations
 
 import gc
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -37,6 +38,7 @@ class Block:
     null: np.ndarray
     data: np.ndarray
     starts: np.ndarray
+    tags: list[str | None]
 
     def id_list(self) -> list[int | None]:
         return [None if gone else i for i, gone in zip(self.ids.tolist(), self.null.tolist())]
@@ -64,16 +66,19 @@ def _pack(batches):
     number = TaskContext.get().partitionId() << 32
     for batch, data, starts in blocks(batches):
         ids = batch.column("doc_id")
+        tags = json.dumps(batch.column("tag").to_pylist()) if "tag" in batch.schema.names else "[]"
         payload = shrink(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64),
-                         ids.is_null().to_numpy(zero_copy_only=False).astype(bool), starts.astype(np.int64), data)
+                         ids.is_null().to_numpy(zero_copy_only=False).astype(bool), starts.astype(np.int64), data,
+                         np.frombuffer(tags.encode(), np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([payload], pa.binary())], names=["block", "texts"])
         number += 1
 
 
-def block_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def block_table(docs: DataFrame, id_col: str, text_col: str, tag_col: str | None = None) -> DataFrame:
     """``block, texts``, written once and bucketed by block: replies come to the texts, which never move again."""
     spark = docs.sparkSession
-    packed = whole_texts(docs, id_col, text_col).mapInArrow(_pack, "block long, texts binary")
+    tag = [docs[tag_col].cast("string").alias("tag")] if tag_col else []
+    packed = whole_texts(docs, id_col, text_col, *tag).mapInArrow(_pack, "block long, texts binary")
     path, name = new_dir(spark, "blocks"), f"cairnbook_blocks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.bucketBy(buckets, "block").option("path", path).saveAsTable(name)
@@ -86,9 +91,9 @@ def opened(batches) -> Iterator[tuple[Block, list[bytes]]]:
     """Blocks of Arrow batches with their replies, one at a time."""
     for batch in batches:
         for i in range(batch.num_rows):
-            ids, null, starts, data = expand(batch.column("texts")[i].as_py(), np.int64, bool, np.int64, np.uint8)
+            ids, null, starts, data, tags = expand(batch.column("texts")[i].as_py(), np.int64, bool, np.int64, np.uint8, np.uint8)
             replies = batch.column("replies")[i].as_py() if "replies" in batch.schema.names else []
-            yield Block(batch.column("block")[i].as_py(), ids, null, data, starts), replies or []
+            yield Block(batch.column("block")[i].as_py(), ids, null, data, starts, json.loads(tags.tobytes())), replies or []
 
 
 def ask(table: DataFrame, step: Callable, schema: str, replies: DataFrame | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnbook.llm.common import blocks, covered, spans_of, table, whole_texts, worker_memory, written
+from cairnbook.llm.common import BATCH_ROWS, blocks, covered, spans_of, table, whole_texts, worker_memory, written
 
 WINDOW = 10
 # Text of the items in one automaton; the automaton takes a small multiple of it in memory.
@@ -112,6 +112,39 @@ _REPORT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit",
                      ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("hit_spans", pa.list_(pa.int64()))])
 
 
+def _shards(benchmark: DataFrame, shard_bytes: int, item_col: str, item_text_col: str):
+    """How many automata it takes, and the items of each, read one after the other."""
+    items = whole_texts(benchmark, item_col, item_text_col).toDF("item", "text").where("item IS NOT NULL AND text <> ''")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-2 * total // shard_bytes)) if total > shard_bytes else 1
+
+    def each():
+        for shard in range(shards):
+            part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard)
+            yield [(r["item"], r["text"]) for r in part.collect()]
+
+    return shards, each()
+
+
+def _untouched(batches, name: str, items, window: int, text_col: str):
+    for batch in batches:
+        slim = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col).fill_null("")],
+                                          names=["doc_id", "text"])
+        hit = [x.column("items").is_null() for x in _scan([slim], name, items, window)]
+        if hit:
+            yield batch.filter(pa.chunked_array(hit).combine_chunks())
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES,
+                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without any word in a window of the benchmark."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for held in _shards(benchmark, shard_bytes, item_col, item_text_col)[1]:
+        run = partial(_untouched, name=f"benchmark {uuid.uuid4().hex}", items=held, window=window, text_col=text_col)
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
@@ -121,16 +154,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     Null and empty texts have no words; items without words or id are no items; repeated rows give
     repeated rows; without items nothing is contaminated; other columns are not read.
     """
-    spark = docs.sparkSession
-    items = whole_texts(benchmark, item_col, item_text_col).toDF("item", "text").where("item IS NOT NULL AND text <> ''")
-    items = items.withColumn("bytes", F.octet_length("text"))
-    total = items.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, -(-2 * total // shard_bytes)) if total > shard_bytes else 1
     slim = whole_texts(docs, id_col, text_col)
     scans = []
-    for shard in range(shards):
-        part = items if shards == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard)
-        held = [(r["item"], r["text"]) for r in part.select("item", "text").collect()]
+    shards, parts = _shards(benchmark, shard_bytes, item_col, item_text_col)
+    for held in parts:
         run = partial(_scan, name=f"benchmark {uuid.uuid4().hex}", items=held, window=window)
         if shards == 1:
             found = slim.mapInArrow(run, _HITS_SQL)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnbook.llm.common import blocks, table, whole_texts
+from cairnbook.llm.common import BATCH_ROWS, blocks, table, whole_texts
 
 PER_LANGUAGE = 600
 BUCKETS = 1 << 18
@@ -137,41 +137,61 @@ def _has_letter(text: bytes) -> bool:
 
 def _predict(batches, model: Model | None):
     for batch, data, starts in blocks(batches, _PART):
-        many = batch.num_rows
-        raw, best, score, known = data.tobytes(), [UNKNOWN] * many, np.zeros(many), np.zeros(many)
-        low = data | 32
-        ascii_letter = np.concatenate(([0], np.cumsum((low >= 97) & (low <= 122) & (data < 128))))[starts]
-        letters = np.diff(ascii_letter) > 0
-        for i in np.flatnonzero(~letters & (np.diff(starts) > 0)):
-            letters[i] = _has_letter(raw[starts[i]:starts[i + 1]])
-        if model is not None and letters.any():
-            flat = np.frombuffer(b" " + b"  ".join(raw[a:b].translate(_FOLD) for a, b in zip(starts[:-1], starts[1:])) + b" ", np.uint8)
-            begin = starts[:-1] + 2 * np.arange(many)  # the blank before each text
-            size = np.diff(starts) + 2
-            sums = np.zeros((many, len(model.names) + 1))
-            count = np.zeros(many)
-            buckets = len(model.weights)
-            for lo in range(0, len(flat), _PART):
-                for n in _GRAMS:
-                    got = model.weights[buckets_of(flat[lo:lo + _PART + n - 1], n, buckets)]
-                    # Of each text the n-grams that begin in this part and end in the text.
-                    a = np.clip(begin - lo, 0, len(got))
-                    b = np.clip(begin + size - n + 1 - lo, 0, len(got))
-                    here = np.flatnonzero(a < b)
-                    edges = np.stack((a[here], b[here]), 1).ravel()
-                    if len(edges):
-                        got = np.concatenate((got, np.zeros((1, got.shape[1]), np.float32)))
-                        sums[here] += np.add.reduceat(got, edges)[::2]
-                        count[here] += b[here] - a[here]
-            mean = sums / np.maximum(count, 1)[:, None]
-            known = mean[:, -1]
-            chance = _softmax(mean[:, :-1] / model.temperature)
-            top = chance.argmax(1)
-            best = [model.names[t] if yes else UNKNOWN for t, yes in zip(top, letters)]
-            score = np.where(letters, np.clip(chance[np.arange(many), top], 0, 1), 0.0)
-        doubt = (score < model.threshold) | (known < model.familiar) if model is not None else np.ones(many, bool)
+        best, score, rejected = judge(data, starts, model)
         yield table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": best,
-                     "score": score, "rejected": ~letters | doubt}, _OUT)
+                     "score": score, "rejected": rejected}, _OUT)
+
+
+def _accepted(batches, model: Model | None, text_col: str):
+    for batch in batches:
+        slim = pa.RecordBatch.from_arrays([batch.column(text_col).fill_null("")], names=["text"])
+        kept = [~judge(data, starts, model)[2] for _, data, starts in blocks([slim], _PART)]
+        if kept:
+            yield batch.filter(pa.array(np.concatenate(kept)))
+
+
+def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language is not rejected."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs.mapInArrow(partial(_accepted, model=model, text_col=text_col), docs.schema)
+
+
+def judge(data: np.ndarray, starts: np.ndarray, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of each text of a block."""
+    many = len(starts) - 1
+    raw, best, score, known = data.tobytes(), [UNKNOWN] * many, np.zeros(many), np.zeros(many)
+    low = data | 32
+    ascii_letter = np.concatenate(([0], np.cumsum((low >= 97) & (low <= 122) & (data < 128))))[starts]
+    letters = np.diff(ascii_letter) > 0
+    for i in np.flatnonzero(~letters & (np.diff(starts) > 0)):
+        letters[i] = _has_letter(raw[starts[i]:starts[i + 1]])
+    if model is not None and letters.any():
+        flat = np.frombuffer(b" " + b"  ".join(raw[a:b].translate(_FOLD) for a, b in zip(starts[:-1], starts[1:])) + b" ", np.uint8)
+        begin = starts[:-1] + 2 * np.arange(many)  # the blank before each text
+        size = np.diff(starts) + 2
+        sums = np.zeros((many, len(model.names) + 1))
+        count = np.zeros(many)
+        buckets = len(model.weights)
+        for lo in range(0, len(flat), _PART):
+            for n in _GRAMS:
+                got = model.weights[buckets_of(flat[lo:lo + _PART + n - 1], n, buckets)]
+                # Of each text the n-grams that begin in this part and end in the text.
+                a = np.clip(begin - lo, 0, len(got))
+                b = np.clip(begin + size - n + 1 - lo, 0, len(got))
+                here = np.flatnonzero(a < b)
+                edges = np.stack((a[here], b[here]), 1).ravel()
+                if len(edges):
+                    got = np.concatenate((got, np.zeros((1, got.shape[1]), np.float32)))
+                    sums[here] += np.add.reduceat(got, edges)[::2]
+                    count[here] += b[here] - a[here]
+        mean = sums / np.maximum(count, 1)[:, None]
+        known = mean[:, -1]
+        chance = _softmax(mean[:, :-1] / model.temperature)
+        top = chance.argmax(1)
+        best = [model.names[t] if yes else UNKNOWN for t, yes in zip(top, letters)]
+        score = np.where(letters, np.clip(chance[np.arange(many), top], 0, 1), 0.0)
+    doubt = (score < model.threshold) | (known < model.familiar) if model is not None else np.ones(many, bool)
+    return best, score, ~letters | doubt
 
 
 def held_out(id_col) -> F.Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnbook.llm import decontaminate, langid, packing, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, topk
+from cairnbook.llm import decontaminate, langid, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, topk
 from cairnbook.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,13 @@ def op5_language_id(spark, sf_dir):
     return langid.identify(docs, langid.language_model(docs))
 
 
+@query
+def op6_quality(spark, sf_dir):
+    """Perplexity of every whole document under a model of all documents labelled good and not toxic."""
+    trusted = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return quality.quality(read(spark, sf_dir, "documents"), trusted)
+
+
 @query
 def op7_secret_scan(spark, sf_dir):
     """Secrets in every whole document."""

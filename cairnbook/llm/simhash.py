@@ -170,3 +170,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int =
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("lowest.doc_id").alias("component_id"), "text_key",
         (F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("text_key") == F.col("lowest.text_key"))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, with one document of each component: that of its smallest id."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept")
+    mine = F.xxhash64(docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))).alias("row_key")
+    kept = found.select(F.xxhash64("doc_id", "text_key").alias("row_key")).distinct()
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), mine)
+    # Rows repeated with id and text are one document; the join has already brought them together.
+    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")
