@@ -42,7 +42,8 @@ def op2_simhash(spark, sf_dir):
 @query
 def op3_decontamination(spark, sf_dir):
     """Words of all documents that occur in windows of benchmark items."""
-    return decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("hit_spans")
 
 
 @query
@@ -92,9 +93,9 @@ def op10_top_k(spark, sf_dir):
 
 ORACLES["op10_top_k"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS vec FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.vec, c.vec)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.vec) = len(c.vec) WHERE q.vec_id % 20 = 0
@@ -103,3 +104,64 @@ SELECT query_id, rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 WHERE rank <= 20
 """
+
+ORACLES["op1_suffix_dedup"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), win AS (
+  SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 399)) AS i FROM d)
+), hit AS (
+  SELECT r, i FROM win WHERE k IN (SELECT k FROM win GROUP BY k HAVING count(*) > 1)
+), span AS (
+  SELECT r, min(i) AS a, max(i) + 400 AS b FROM (
+    SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS n FROM (
+      SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM hit))
+  GROUP BY r, n
+), piece AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS lo, a AS hi FROM span
+  UNION ALL SELECT d.r, coalesce(max(b), 0), any_value(len(x) // 2) FROM d LEFT JOIN span ON span.r = d.r GROUP BY d.r
+), kept AS (
+  SELECT r, string_agg(substr(x, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS y FROM piece JOIN d USING (r) GROUP BY r
+), n AS (SELECT r, count(*) AS spans, sum(b - a) AS gone FROM span GROUP BY r)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(y)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLES["op3_decontamination"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_ALNUM}) AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_ALNUM}) AS w FROM benchmark WHERE item_id IS NOT NULL
+), item AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(len(w), 10) AS n FROM b WHERE len(w) > 0))
+), win AS (
+  SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM item) WHERE len(w) >= n)
+), hit AS (SELECT r, i, n, item_id FROM win JOIN item USING (n, k)
+), word AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN word USING (r) LEFT JOIN found USING (r)
+"""
+
+ORACLES["op4_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+') AS w FROM documents
+), win AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 11)) AS i FROM d)
+), low AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k
+), gone AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM win JOIN low USING (k) WHERE first < doc_id
+), word AS (SELECT r, unnest(w) AS s, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (SELECT r, string_agg(s, ' ' ORDER BY p) AS y FROM word ANTI JOIN gone USING (r, p) GROUP BY r
+), n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(y, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
