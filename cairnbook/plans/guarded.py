@@ -34,7 +34,7 @@ def _pf16(t):
 
 @query("pf16_db_policy", sql="""
 SELECT doc_id, CASE """ + " ".join(
-    f"WHEN regexp_matches(lower(text), '(^|[^a-z0-9_]){k}([^a-z0-9_]|$)') THEN 'DB queries must be SELECT-only. Forbidden keyword: {k}'"
+    f"WHEN regexp_matches(lower(text), '(^|[^a-z0-9_]){k}([^a-z0-9_]|$)') THEN 'only SELECT may reach a database, found {k}'"
     for k in guard.DB_KEYWORDS) + " END AS reason FROM (SELECT doc_id, text || CASE lang WHEN 'de' THEN ' Drop' WHEN 'fr' THEN ';exec(' WHEN 'es' THEN ' updates _call' ELSE '' END AS text FROM documents)")
 def _pf16d(t):
     extra = (F.when(F.col("lang") == "de", " Drop").when(F.col("lang") == "fr", ";exec(")
@@ -76,7 +76,7 @@ shape("q6_cube", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n F
 shape("q6_intersect", "lineitem",
       "SELECT l_partkey FROM {{file}} WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM {{file}} WHERE l_returnflag = 'N'")
 shape("q6_except", "lineitem",
-      "SELECT l_partkey FROM {{file}} WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM {{file}} WHERE l_returnflag = 'R'")
+      "SELECT l_partkey FROM {{file}} WHERE l_quantity < 10 EXCEPT SELECT l_partkey FROM {{file}} WHERE l_quantity > 45")
 shape("q6_scalar_functions", "customer",
       "SELECT c_custkey, upper(substring(c_name, 1, 4)) AS s, length(c_mktsegment) AS n, abs(c_nationkey - 10) AS d, "
       "round(c_acctbal, 1) AS r, coalesce(nullif(c_mktsegment, 'BUILDING'), '-') AS seg FROM {{file}}")
@@ -90,4 +90,26 @@ def _q7(t):
     """A reader call on an address becomes the placeholder and is bound to that table."""
     address = t.path("lineitem")
     sql = guard.bind_address(f"SELECT l_returnflag, count(*) AS n FROM read_parquet('{address}', x=1) GROUP BY 1", address)
-    return guard.guarded_sql(t.spark, sql, t.spark.read.parquet(address), limit=1000)
+    return guard.guarded_sql(t.spark, sql, t.spark.read.parquet(address))
+
+
+@query("pf16_spark_policy", sql="""
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'not a SELECT' WHEN 2 THEN 'file address' WHEN 3 THEN 'forbidden function'
+ WHEN 4 THEN 'runs a script' WHEN 5 THEN 'names a table other than {{file}}' WHEN 6 THEN 'names a table other than {{file}}'
+ ELSE NULL END AS reason FROM events""")
+def _pf16s(t):
+    """What Spark could do from inside a statement: one shape of statement per row, with the row's own values in it."""
+    k, kind = F.col("value").cast("decimal(12,2)").cast("string"), F.col("event_id") % 8
+    tail = F.concat(F.lit(" WHERE k > "), k)
+    shapes = ["SELECT trim(both 'x' from event_type) FROM {{file}}", "INSERT OVERWRITE DIRECTORY '/tmp/x' USING parquet SELECT * FROM {{file}}",
+              "SELECT k FROM {{file}} UNION ALL SELECT k FROM `parquet`.`/tmp/x`", "SELECT `java_method`('a', 'b') FROM {{file}}",
+              "SELECT TRANSFORM(a) USING 'cat' FROM {{file}}", "SELECT * FROM {{file}} f JOIN other o USING (k)",
+              "WITH c AS (SELECT k FROM {{file}}) SELECT * FROM c, other", "WITH c AS (SELECT k FROM {{file}}) SELECT * FROM c"]
+    body = F.element_at(F.array(*[F.lit(s) for s in shapes]), (kind + 1).cast("int"))
+    return t.events.select("event_id", guard.file_sql_reason(F.concat(body, tail)).alias("reason"))
+
+
+@query("pf17_whole_result", sql="SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 0")
+def _pf17w(t):
+    """A guarded result of any size comes back whole."""
+    return guard.guarded_sql(t.spark, "SELECT l_orderkey, l_linenumber FROM {{file}} WHERE l_quantity > 0", t.lineitem)

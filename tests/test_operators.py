@@ -193,6 +193,41 @@ def test_guarded_sql(spark):
     assert (meta.row_count, meta.truncated) == (4, True)
 
 
+WRITES = ["INSERT OVERWRITE DIRECTORY '%s' USING parquet SELECT * FROM {{file}}", "SELECT id FROM {{file}} UNION ALL SELECT id FROM `parquet`.`%s`",
+          "SELECT `java_method`('java.lang.System', 'gc') FROM {{file}}", "SELECT TRANSFORM(id) USING 'touch %s/t' AS (a) FROM {{file}}",
+          "SELECT * FROM {{file}} a JOIN other o ON a.id = o.id", "CREATE TABLE z AS SELECT * FROM {{file}}", "DROP VIEW other -- {{file}}",
+          "SELECT * FROM {{file}}, other", "SELECT * FROM {{file}} JOIN parquet/**/.`%s`", "SELECT (SELECT max(id) FROM other) FROM {{file}}",
+          "WITH a AS (SELECT * FROM other) SELECT * FROM {{file}}, a", "FROM {{file}} INSERT INTO t SELECT *", "SELECT * FROM range(5), {{file}}",
+          "SELECT 1 FROM {{file}}; DROP VIEW other", "TABLE other UNION ALL SELECT * FROM {{file}}"]
+READS = ["SELECT trim(both ' ' from 'x') AS a FROM {{file}}", "SELECT extract(year from current_date()) AS a FROM {{file}}",
+         "WITH a AS (SELECT * FROM {{file}}), b(x) AS (SELECT id FROM a) SELECT b.x FROM b JOIN a ON b.x = a.id",
+         "SELECT t.id FROM (SELECT id FROM {{file}}) t, {{file}} u", "SELECT 'from other' AS s FROM {{file}} -- join other",
+         "SELECT c FROM {{file}} LATERAL VIEW explode(array(1)) t AS c"]
+
+
+def test_guard_refuses_what_is_no_select_of_the_bound_table(spark, one, tmp_path):
+    kept = tmp_path / "kept"
+    kept.mkdir()
+    (kept / "a.txt").write_text("mine")
+    spark.range(3).createOrReplaceTempView("other")
+    df, bad = spark.range(10), [s.replace("%s", str(kept)) for s in WRITES]
+    for sql in bad:
+        with pytest.raises(ValueError):
+            guard.guarded_sql(spark, sql, df)
+    assert all(one(guard.file_sql_reason, bad)) and (kept / "a.txt").read_text() == "mine" and len(list(kept.iterdir())) == 1
+    assert one(guard.file_sql_reason, READS) == [None] * len(READS) == [guard.check_file_sql(s) for s in READS]
+    for sql in READS:
+        assert guard.guarded_sql(spark, sql, df).count() >= 10
+    # The plan alone refuses them, too, whatever the words look like.
+    named = [s.replace("{{file}}", "bound_table") for s in bad if ";" not in s]
+    assert all(guard.plan_reason(spark, s) for s in named)
+
+
+def test_shown_rows_say_whether_there_are_more(spark):
+    rows, more = guard.shown(spark.range(10), 4)
+    assert len(rows) == 4 and more and guard.shown(spark.range(4), 4)[1] is False
+
+
 def test_owning_root_against_brute_force(spark):
     rng = random.Random(3)
     names = ["/".join(rng.choice(["", "a", "ab", "b", "data"]) for _ in range(rng.randint(1, 5))) for _ in range(300)]

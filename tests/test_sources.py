@@ -177,7 +177,7 @@ def test_jdbc_and_cloud_options():
     assert readers.jdbc_options(src, table="t")["dbtable"] == "t" and "query" in readers.jdbc_options(src, query="select 1")
     with pytest.raises(ValueError):
         readers.jdbc_options(src)
-    with pytest.raises(ValueError, match="SELECT-only"):
+    with pytest.raises(ValueError, match="only SELECT"):
         readers.read_jdbc(None, src, query="drop table x")
     assert guard.check_db_sql("select 1") is None
     assert readers.cloud_location("s3", "b", "/p/") == "s3a://b/p/"
