@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 import csv
+import datetime
 import io
 import json
+import sys
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairnbook.functions.html import to_markdown
 from cairnbook.functions.text import extension
 from cairnbook.operators.privacy import MASK, is_personal
-from cairnbook.sources.listing import list_files, scannable
+from cairnbook.sources.listing import (DEFAULT_EXCLUDES, LISTED_BY_DEFAULT, _file_system, list_files, scan_tier,
+                                       scannable, within_size)
+from cairnbook.sources.workbook import sheet_rows
 
 SAMPLE_ROWS = 5
-# A longer field means a quote that never closes; the file is then reported as unreadable.
-MAX_FIELD = 64 << 20
 CHUNK_BYTES = 64 << 20
+# A buffered read of this size instead of a whole row group when only the first rows are wanted.
+SAMPLE_BUFFER = 64 << 10
+# Rows from which the types of text columns are read.
+TYPE_ROWS = 1000
 
-_RECORD = ("path string, relative_path string, size_bytes long, modified timestamp, file_format string, "
+_RECORD = ("path string, relative_path string, size_bytes long, modified timestamp, file_format string, tier string, "
            "row_count long, schema_json string, sample_rows string, samples_redacted boolean, error string")
 
 
@@ -44,9 +50,7 @@ def _catalog_type(dt: pa.DataType) -> str:
 
 
 def _open(path: str):
-    if path.startswith("file:"):
-        path = "file:///" + path[5:].lstrip("/")
-    fs, inner = pafs.FileSystem.from_uri(path)
+    fs, inner = _file_system(path)
     return fs.open_input_file(inner)
 
 
@@ -56,26 +60,91 @@ def _masked(rows: list[dict]) -> str | None:
     return json.dumps([{k: MASK if is_personal(k) else v for k, v in r.items()} for r in rows], default=str)
 
 
-def _inspect(path: str, fmt: str) -> dict:
-    """Footer, or header and first records, of one file; read no further than needed."""
-    with _open(path) as handle:
-        if fmt == "parquet":
-            parquet = pq.ParquetFile(handle)
-            cols = [(f.name, _catalog_type(f.type)) for f in parquet.schema_arrow]
-            first = next(parquet.iter_batches(batch_size=SAMPLE_ROWS), None)
-            rows = first.to_pylist()[:SAMPLE_ROWS] if first is not None else []
-            count = parquet.metadata.num_rows
-        else:
-            csv.field_size_limit(MAX_FIELD)
-            lines = io.TextIOWrapper(handle, encoding="utf-8", errors="replace", newline="")
-            table = list(islice(csv.reader(lines, delimiter="\t" if fmt == "tsv" else ","), SAMPLE_ROWS + 1))
-            names = table[0] if table else []
-            cols = [(n, "VARCHAR") for n in names]
-            rows = [dict(zip(names, r)) for r in table[1:]]
-            count = None
+def _text_type(values: list[str]) -> str:
+    """Narrowest catalog type of all non-empty texts of a column."""
+    values = [v for v in values if v != ""]
+    tests = (("BIGINT", int), ("DOUBLE", float), ("DATE", datetime.date.fromisoformat), ("TIMESTAMP", datetime.datetime.fromisoformat))
+    if values and all(v.lower() in ("true", "false") for v in values):
+        return "BOOLEAN"
+    for name, parse in tests:
+        try:
+            for v in values:
+                if "_" in v or v != v.strip():  # Python reads these as numbers, tables do not
+                    raise ValueError(v)
+                parse(v)
+        except ValueError:
+            continue
+        if values:
+            return name
+    return "VARCHAR"
+
+
+def _json_type(values: list) -> str:
+    kinds = {type(v) for v in values if v is not None}
+    return {frozenset({bool}): "BOOLEAN", frozenset({int}): "BIGINT", frozenset({float}): "DOUBLE",
+            frozenset({int, float}): "DOUBLE"}.get(frozenset(kinds), "VARCHAR")
+
+
+def _text_table(rows: list[list[str]]):
+    names = rows[0] if rows else []
+    body = rows[1:]
+    cols = [(n, _text_type([r[i] for r in body if i < len(r)])) for i, n in enumerate(names)]
+    return cols, [dict(zip(names, r)) for r in body[:SAMPLE_ROWS]]
+
+
+def _json_records(handle):
+    """Count, first records and names of JSON lines, one array or one document."""
+    text = io.TextIOWrapper(handle, encoding="utf-8")
+    first, count = [], 0
+    try:
+        for line in text:
+            if line.strip():
+                found = json.loads(line)
+                for value in found if isinstance(found, list) else [found]:
+                    count += 1
+                    if len(first) < TYPE_ROWS:
+                        first.append(value)
+    except ValueError:
+        handle.seek(0)
+        found = json.loads(handle.read())
+        found = found if isinstance(found, list) else [found]
+        first, count = found[:TYPE_ROWS], len(found)
+    first = [r if isinstance(r, dict) else {"value": r} for r in first]
+    names = list(dict.fromkeys(k for r in first for k in r))
+    return count, [(n, _json_type([r.get(n) for r in first])) for n in names], first[:SAMPLE_ROWS]
+
+
+def _inspect(path: str, fmt: str, tier: str) -> dict:
+    """Footer, or first records, of one file; read no further than its format needs.  Shallow files are not opened."""
+    cols, rows, count = [], [], None
+    if tier != "shallow":
+        with _open(path) as handle:
+            if fmt == "parquet":
+                parquet = pq.ParquetFile(handle, buffer_size=SAMPLE_BUFFER)
+                cols = [(f.name, _catalog_type(f.type)) for f in parquet.schema_arrow]
+                count = parquet.metadata.num_rows
+                filled = next((i for i in range(parquet.num_row_groups) if parquet.metadata.row_group(i).num_rows), None)
+                first = next(parquet.iter_batches(SAMPLE_ROWS, row_groups=[filled]), None) if filled is not None else None
+                rows = first.to_pylist()[:SAMPLE_ROWS] if first is not None else []
+            elif fmt in ("csv", "tsv"):
+                csv.field_size_limit(sys.maxsize)
+                lines = io.TextIOWrapper(handle, encoding="utf-8", errors="replace", newline="")
+                read = csv.reader(lines, delimiter="\t" if fmt == "tsv" else ",")
+                cols, rows = _text_table(list(islice((r for r in read if r), TYPE_ROWS + 1)))
+            elif fmt in ("json", "jsonl", "ndjson"):
+                count, cols, rows = _json_records(handle)
+            elif fmt == "xlsx":
+                sheet = list(islice(sheet_rows(handle.read()), None))
+                cols, rows = _text_table(sheet[:TYPE_ROWS + 1])
+                count = max(len(sheet) - 1, 0)
+            elif fmt in ("html", "htm"):
+                title, body = to_markdown(handle.read().decode("utf-8", "replace"))
+                cols, rows, count = [("title", "VARCHAR"), ("markdown", "VARCHAR")], [{"title": title, "markdown": body}], 1
+            else:
+                return {"row_count": None, "schema_json": None, "sample_rows": None, "samples_redacted": False}
     return {
         "row_count": count,
-        "schema_json": json.dumps([{"name": n, "type": t, "nullable": True} for n, t in cols]),
+        "schema_json": json.dumps([{"name": n, "type": t, "nullable": True} for n, t in cols]) if tier != "shallow" else None,
         "sample_rows": _masked(rows),
         "samples_redacted": any(is_personal(n) for n, _ in cols),
     }
@@ -87,39 +156,72 @@ def _inspect_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in batch.to_dict("records"):
             facts = {"row_count": None, "schema_json": None, "sample_rows": None, "samples_redacted": False}
             try:
-                facts.update(_inspect(row["path"], row["file_format"]))
+                facts.update(_inspect(row["path"], row["file_format"], row["tier"]))
                 error = None
             except Exception as exc:  # noqa: BLE001 - one bad file must not stop the scan
-                error = f"{type(exc).__name__}: {exc}"[:500]
+                error = f"{type(exc).__name__}: {exc}"
             out.append({**row, **facts, "error": error})
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in _RECORD.split(", ")])
         frame["row_count"] = frame["row_count"].astype("Int64")
         yield frame
 
 
+def quote_states(data: np.ndarray, lead: int, sep: int):
+    """How quotes open and close in a range of bytes: ``(starts of quote runs, state after each, state at the end)``.
+
+    ``data`` begins with ``lead`` bytes of what stands before the range.  A quote opens a field only where the field
+    begins; inside, two quotes are one sign and a single one closes.  So a run of quotes either swaps inside and
+    outside (odd, at a field's start), or closes (odd, elsewhere), or changes nothing.  States are given for both
+    beginnings: row 0 for a range that begins outside quotes, row 1 for one that begins inside.
+    """
+    quote = data == 34
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], quote, [False])).astype(np.int8)))
+    begin, size = edge[::2], edge[1::2] - edge[::2]
+    own = begin >= lead  # a run that began before belongs to the range before
+    begin, size = begin[own], size[own]
+    before = np.where(begin > 0, data[np.maximum(begin - 1, 0)], 10)
+    opening = np.isin(before, (sep, 10, 13))
+    odd = size % 2 == 1
+    swaps = np.cumsum(odd & opening)
+    reset = np.where(odd & ~opening, np.arange(len(begin)), -1)
+    last = np.maximum.accumulate(reset) if len(reset) else reset
+    since = swaps - np.where(last >= 0, swaps[np.maximum(last, 0)], 0)
+    states = np.stack([np.where(last >= 0, since % 2, (start + swaps) % 2) for start in (0, 1)]) if len(begin) else np.empty((2, 0), int)
+    return begin, states, [int(states[k, -1]) if len(begin) else k for k in (0, 1)]
+
+
 def _line_counter(chunk: int):
     """Counter of record ends in byte ranges of at most ``chunk`` bytes."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for path, size, start in zip(batch["path"], batch["size_bytes"], batch["start"]):
+            for path, size, start, fmt in zip(batch["path"], batch["size_bytes"], batch["start"], batch["file_format"]):
                 try:
                     with _open(path) as handle:
                         lead = min(int(start), 2)
-                        raw = handle.read_at(min(chunk, int(size) - int(start)) + lead, int(start) - lead)
-                    data = np.frombuffer(raw, dtype=np.uint8)
-                    data = np.concatenate([np.full(2 - lead, 10, dtype=np.uint8), data])
-                    body, before, before2 = data[2:], data[1:-1], data[:-2]
-                    last = np.where(before == 13, before2, before)
-                    ends = (body == 10) & (last != 10)
-                    if int(start) + len(body) >= int(size) and len(body) and body[-1] not in (10, 13):
-                        ends[-1] = True
-                    inside = (np.cumsum(body == 34) & 1).astype(bool)
-                    out.append((path, int(start), int((body == 34).sum()), int((ends & ~inside).sum()),
-                                int((ends & inside).sum()), False))
+                        many = min(chunk, int(size) - int(start))
+                        raw = handle.read_at(many + lead, int(start) - lead)
+                        more, at = b"", int(start) + many
+                        while raw[-1:] == b'"' and at < size:  # a run of quotes is read to its end
+                            piece = handle.read_at(64, at)
+                            run = len(piece) - len(piece.lstrip(b'"'))
+                            more += piece[:run]
+                            at += run
+                            if run < len(piece):
+                                break
+                    data = np.frombuffer(b"\n" * (2 - lead) + raw + more, dtype=np.uint8)
+                    begin, states, end = quote_states(data, 2, 9 if fmt == "tsv" else 44)
+                    line = np.flatnonzero(data[2:2 + many] == 10) + 2
+                    before = data[line - 1]
+                    line = line[np.where(before == 13, data[line - 2], before) != 10]
+                    if int(start) + many >= int(size) and many and data[1 + many] not in (10, 13):
+                        line = np.append(line, 2 + many)
+                    place = np.searchsorted(begin, line) - 1
+                    inside = [np.where(place >= 0, states[k][np.maximum(place, 0)], k) if len(begin) else np.full(len(line), k) for k in (0, 1)]
+                    out.append((path, int(start), *(int((x == 0).sum()) for x in inside), *end, False))
                 except Exception:  # noqa: BLE001 - one bad file must not stop the scan
-                    out.append((path, int(start), 0, 0, 0, True))
-            yield pd.DataFrame(out, columns=["path", "start", "quotes", "if_outside", "if_inside", "failed"])
+                    out.append((path, int(start), 0, 0, 0, 1, True))
+            yield pd.DataFrame(out, columns=["path", "start", "if_outside", "if_inside", "outside_to", "inside_to", "failed"])
 
     return count
 
@@ -131,49 +233,59 @@ def _parts(spark: SparkSession) -> int:
 def count_lines(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """``(path, lines, failed)``: non-blank records of delimited files, header included.
 
-    Files are cut into byte ranges counted by separate tasks, so one huge file spreads
-    over the cluster.  A line end inside quotes is no record end; whether a range starts
-    inside quotes follows from the quote count of the ranges before it.
+    Files are cut into byte ranges counted by separate tasks, so one huge file spreads over the cluster.  A line
+    end inside quotes is no record end; every range says what it counts and how it ends for both ways it may
+    begin, and a file's ranges, a few numbers each, are put together in order.
     """
-    ranges = files.where(F.col("size_bytes") > 0).select("path", "size_bytes", F.explode(F.sequence(
+    if "file_format" not in files.columns:
+        files = files.withColumn("file_format", extension(F.col("path")))
+    ranges = files.where(F.col("size_bytes") > 0).select("path", "size_bytes", "file_format", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(chunk).cast("long"))).alias("start"))
     # A fixed number of partitions: each tiny row stands for much work, which adaptive
     # merging of small partitions cannot know.
     counted = ranges.repartition(_parts(files.sparkSession), "path", "start").mapInPandas(
-        _line_counter(chunk), "path string, start long, quotes long, if_outside long, if_inside long, failed boolean")
-    before = F.coalesce(F.sum("quotes").over(
-        Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (
-        counted.withColumn("open", before % 2 == 1)
-        .groupBy("path").agg(
-            F.sum(F.when(F.col("open"), F.col("if_inside")).otherwise(F.col("if_outside"))).alias("lines"),
-            F.bool_or("failed").alias("failed"))
-    )
-
-
-def scan_files(spark: SparkSession, listing: DataFrame, parts: int | None = None) -> DataFrame:
-    """Dataset records of listed files.
-
-    Parquet facts come from footers read in the tasks; delimited files are counted in
-    byte ranges.  An unreadable file keeps its record and says why.
+        _line_counter(chunk), "path string, start long, if_outside long, if_inside long, outside_to int, inside_to int, failed boolean")
+    in_order = F.array_sort(F.collect_list(F.struct("start", "if_outside", "if_inside", "outside_to", "inside_to")))
+    zero = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("lines"))
+    told = F.aggregate(in_order, zero, lambda acc, r: F.struct(
+        F.when(acc["state"] == 0, r["outside_to"]).otherwise(r["inside_to"]).alias("state"),
+        (acc["lines"] + F.when(acc["state"] == 0, r["if_outside"]).otherwise(r["if_inside"])).alias("lines")))
+    return counted.groupBy("path").agg(told["lines"].alias("lines"), F.bool_or("failed").alias("failed"))
+
+
+def scan_files(spark: SparkSession, listing: DataFrame, parts: int | None = None,
+               tiers: dict[str, str] | None = None, max_mb: int | None = None) -> DataFrame:
+    """Dataset records of listed files: one for every file, whatever its format.
+
+    Parquet facts come from footers read in the tasks; delimited files are counted in byte ranges; JSON, workbooks
+    and pages are read by their readers; a tier says how deep, and shallow files are not opened.  An unreadable
+    file keeps its record and says why, and so does one larger than ``max_mb``, if such a bound is asked for.
     """
-    files = listing.withColumn("file_format", extension(F.col("path")))
-    known = files.where(F.col("file_format").isin("parquet", "csv", "tsv"))
+    ext = extension(F.col("path"))
+    files = listing.withColumn("file_format", ext).withColumn("tier", F.when(
+        ext.isin(*LISTED_BY_DEFAULT, "jsonl", "ndjson"), "full").otherwise(scan_tier(ext, tiers)))
+    fits = F.lit(True) if max_mb is None else within_size(F.col("path"), F.col("size_bytes"), max_mb, max_mb)
+    files = files.withColumn("tier", F.when(fits, F.col("tier")).otherwise("too large"))
     n = parts or _parts(spark)
-    records = (known.select("path", "relative_path", "size_bytes", "modified", "file_format")
-               .repartition(n, "path").mapInPandas(_inspect_batches, _RECORD))
-    lines = count_lines(known.where(F.col("file_format").isin("csv", "tsv")))
+    columns = ("path", "relative_path", "size_bytes", "modified", "file_format", "tier")
+    records = (files.where("tier <> 'too large'").select(*columns).repartition(n, "path").mapInPandas(_inspect_batches, _RECORD))
+    left = files.where("tier = 'too large'").select(*columns, F.lit(None).cast("long").alias("row_count"), *[
+        F.lit(None).cast("string").alias(c) for c in ("schema_json", "sample_rows")], F.lit(False).alias("samples_redacted"),
+        F.lit(f"larger than {max_mb} MB, not read").alias("error"))
+    text = F.col("file_format").isin("csv", "tsv") & (F.col("tier") == "full")
+    lines = count_lines(files.where(text))
     partly = F.coalesce("failed", F.lit(False))
-    delimited = F.col("error").isNull() & F.col("file_format").isin("csv", "tsv") & ~partly
-    return records.join(lines, "path", "left").withColumn("row_count", F.when(
+    delimited = F.col("error").isNull() & text & ~partly
+    return records.unionByName(left).join(lines, "path", "left").withColumn("row_count", F.when(
         delimited, F.greatest(F.coalesce("lines", F.lit(0)) - 1, F.lit(0))).otherwise(
         F.col("row_count"))).withColumn("error", F.coalesce(
             "error", F.when(partly, "file could not be read to its end"))).drop("lines", "failed")
 
 
-def scan_catalog(spark: SparkSession, root: str, glob: str | None = None, **filters) -> DataFrame:
+def scan_catalog(spark: SparkSession, root: str, glob: str | None = None,
+                 patterns: tuple[str, ...] = DEFAULT_EXCLUDES, **options) -> DataFrame:
     """List a folder, drop what is excluded, and describe every remaining file."""
-    return scan_files(spark, scannable(list_files(spark, root, glob), **filters))
+    return scan_files(spark, scannable(list_files(spark, root, glob), patterns), **options)
 
 
 def schema_columns(records: DataFrame, key: list[str]) -> DataFrame:

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnbook.functions.text import extension
+from cairnbook.session import cut_lineage
 
 # Extension classes, skipped extensions, default excludes and limits.
 TABULAR = ("parquet", "csv", "xlsx", "xls", "ods", "json")
@@ -119,46 +123,79 @@ def reader_for(ext: Column, content_type: Column) -> Column:
             .when(ctype.contains("parquet"), "parquet").otherwise("csv"))
 
 
+def _file_system(path: str):
+    """pyarrow file system and inner path of a Hadoop style path."""
+    if path.startswith("file:"):
+        path = "file:///" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path)
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One level below each folder: its files, and its folders for the next round."""
+    for batch in batches:
+        out = []
+        for folder in batch["path"]:
+            fs, inner = _file_system(folder)
+            prefix = folder.rstrip("/")
+            info = fs.get_file_info(inner)
+            found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(inner))
+            for f in found:
+                own = folder if f is info else f"{prefix}/{f.base_name}"
+                out.append((own, f.type == pafs.FileType.Directory, f.size, f.mtime_ns and f.mtime_ns // 1000))
+        yield pd.DataFrame(out, columns=["path", "is_folder", "size_bytes", "modified_us"]).astype(
+            {"size_bytes": "Int64", "modified_us": "Int64"})
+
+
 def list_files(spark: SparkSession, root: str, glob: str | None = None,
                limit: int | None = None) -> DataFrame:
     """``(path, relative_path, size_bytes, modified)`` of all files below a folder.
 
-    Only file facts are selected, so no file content is read.  Without a glob the
-    listing keeps csv, tsv and parquet files.  Spark's file index leaves out empty files
-    and those whose name begins with a dot or an underscore.
+    Folders are listed level by level in tasks, each level written to the shared folder, so the driver holds no
+    file names and no file content is read.  Empty files and names that begin with a dot or an underscore are
+    files like any other.  Without a glob the listing keeps csv, tsv and parquet files.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob is not None:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(root).select(
-        "path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
-    base = re.sub(r"^[a-z0-9]+:/+", "/", root).rstrip("/") + "/"
-    files = files.withColumn("relative_path", F.substring_index("path", base, -1))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = root if re.match(r"[a-z0-9]+:", root) else f"file:{root}"
+    folders, levels = spark.createDataFrame([(root.rstrip("/"),)], "path string"), []
+    while True:
+        level = cut_lineage(folders.repartition(parts, "path").mapInPandas(
+            _listed, "path string, is_folder boolean, size_bytes long, modified_us long"), "listing")
+        levels.append(level.where("NOT is_folder"))
+        folders = level.where("is_folder").select("path")
+        if folders.isEmpty():
+            break
+    files = levels[0]
+    for level in levels[1:]:
+        files = files.unionByName(level)
+    base = root.rstrip("/") + "/"
+    files = files.select("path", F.when(F.col("path").startswith(base), F.substr("path", F.lit(len(base) + 1)))
+                         .otherwise(F.substring_index("path", "/", -1)).alias("relative_path"), "size_bytes",
+                         F.timestamp_micros("modified_us").alias("modified"))
     if glob is None:
         files = files.where(extension(F.col("path")).isin(*LISTED_BY_DEFAULT))
+    else:
+        files = files.where(F.substring_index("path", "/", -1).rlike(rf"(?s)\A(?:{glob_to_regex(glob)})\z"))
     if limit is not None:
         files = files.orderBy("path").limit(limit)
-    return files.select("path", "relative_path", "size_bytes", "modified")
+    return files
 
 
-def scannable(listing: DataFrame, patterns: tuple[str, ...] = DEFAULT_EXCLUDES,
-              max_mb: int = MAX_FILE_MB) -> DataFrame:
-    """Listing without excluded, never indexed and oversized files."""
+def scannable(listing: DataFrame, patterns: tuple[str, ...] = DEFAULT_EXCLUDES) -> DataFrame:
+    """Listing without excluded and never indexed files; size does not matter."""
     rel = F.col("relative_path")
-    return listing.where(~excluded(rel, patterns) & ~always_skipped(rel)
-                         & within_size(rel, F.col("size_bytes"), max_mb))
+    return listing.where(~excluded(rel, patterns) & ~always_skipped(rel))
 
 
 def folder_fingerprint(listing: DataFrame, folder: list[str], path: str = "relative_path",
-                       size: str = "size_bytes", mtime: str = "mtime") -> DataFrame:
-    """One fingerprint per folder over (path, size, mtime) of its data files.
+                       size: str = "size_bytes", mtime: str = "mtime", every: bool = False) -> DataFrame:
+    """One fingerprint per folder over (path, size, mtime) of its data files, or of ``every`` file listed.
 
     Every file is hashed on its own and the hashes are added up as four 64-bit
     words, then hashed again with the file count.  Sums combine on the map side, so
     neither the number of files nor one huge folder ever meets in a single task, and
     the order in which files arrive does not matter.
     """
-    files = listing.where(extension(F.col(path)).isin(*FINGERPRINTED) & ~excluded(F.col(path)))
+    files = listing if every else listing.where(extension(F.col(path)).isin(*FINGERPRINTED) & ~excluded(F.col(path)))
     digest = F.sha2(F.concat_ws("|", F.col(path), F.col(size).cast("string"),
                                 F.col(mtime).cast("string")), 256)
     words = files.select(*folder, *[

@@ -2,6 +2,7 @@
 
 import csv
 import fnmatch
+import io
 import os
 import random
 
@@ -130,7 +131,85 @@ def test_scan_catalog(spark, tmp_path):
     assert "<redacted>" in rows["a.csv"].sample_rows and "x@y" not in rows["a.csv"].sample_rows and rows["a.csv"].samples_redacted
     assert rows["p.parquet"].sample_rows.count('"k"') == 5 and rows["bad.parquet"].error and rows["bad.parquet"].row_count is None
     cols = {(r.relative_path, r.name, r.type) for r in catalog.schema_columns(catalog.scan_catalog(spark, root), ["relative_path"]).collect()}
-    assert {("p.parquet", "k", "BIGINT"), ("p.parquet", "phone", "VARCHAR"), ("a.csv", "id", "VARCHAR")} <= cols
+    assert {("p.parquet", "k", "BIGINT"), ("p.parquet", "phone", "VARCHAR"), ("a.csv", "id", "BIGINT")} <= cols
+
+
+def test_scan_keeps_a_record_of_every_file(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    book = _book(pd.DataFrame({"c_custkey": [1, 2], "c_mktsegment": ["a", "b"], "c_acctbal": [1.0, 2.0], "c_nationkey": [1, 2]}))
+    texts = {"lines.json": '{"a": 1, "b": "x"}\n{"a": 2.5}\n', "array.json": '[\n {"a": 1},\n {"a": 2}\n]', "bad.json": "{", "r.md": "# t",
+             "p.html": "<html><title>T</title><body><h1>x</h1></body></html>", "empty.csv": "", "_h.csv": "a\n1\n", ".d.tsv": "a\tb\n1\t2\n",
+             "t.csv": "i,f,d,b,s,e\n1,1.5,2024-01-02,true,x,\n2,3,2024-01-03,false,1_0,\n"}
+    for name, text in texts.items():
+        _write(f"{root}/sub/{name}", text)
+    with open(f"{root}/w.xlsx", "wb") as f:
+        f.write(book)
+    rows = {r.relative_path.split("/")[-1]: r for r in catalog.scan_catalog(spark, root, "*").collect()}
+    assert set(rows) == {*texts, "w.xlsx"} and rows["bad.json"].error
+    counts = {n: rows[n].row_count for n in ("lines.json", "array.json", "p.html", "empty.csv", "_h.csv", ".d.tsv", "t.csv", "w.xlsx", "r.md")}
+    assert counts == {"lines.json": 2, "array.json": 2, "p.html": 1, "empty.csv": 0, "_h.csv": 1, ".d.tsv": 1, "t.csv": 2, "w.xlsx": 1, "r.md": None}
+    import json
+    types = {c["name"]: c["type"] for c in json.loads(rows["t.csv"].schema_json)}
+    assert types == {"i": "BIGINT", "f": "DOUBLE", "d": "DATE", "b": "BOOLEAN", "s": "VARCHAR", "e": "VARCHAR"}
+    assert rows["r.md"].tier == "shallow" and {c["name"]: c["type"] for c in json.loads(rows["lines.json"].schema_json)} == {"a": "DOUBLE", "b": "VARCHAR"}
+    small = {r.relative_path: r.error for r in catalog.scan_catalog(spark, root, "*", max_mb=0).collect()}
+    assert len(small) == len(rows) and "not read" in small["w.xlsx"]
+
+
+def test_parquet_samples_read_little(tmp_path, monkeypatch):
+    import numpy as np
+    path = str(tmp_path / "big.parquet")
+    pd.DataFrame({f"c{i}": np.random.default_rng(i).random(1_000_000) for i in range(2)}).to_parquet(path, row_group_size=1_000_000, use_dictionary=False)
+    read = []
+
+    class Counted(io.FileIO):
+        def read(self, n=-1):
+            got = super().read(n)
+            read.append(len(got))
+            return got
+
+    monkeypatch.setattr(catalog, "_open", lambda p: Counted(p))
+    facts = catalog._inspect(path, "parquet", "full")
+    assert facts["row_count"] == 1_000_000 and facts["sample_rows"].count("c1") == 5 and sum(read) < os.path.getsize(path) / 3
+
+
+def test_stray_quotes_are_text(spark, tmp_path):
+    """As Python's csv reader sees them, however the ranges are cut."""
+    rng, expected = random.Random(8), {}
+    for i in range(30):
+        text = "".join(rng.choice(['"', "a", ",", "\n", '5"', '""', ',"', '",', "x\r\n"]) for _ in range(rng.randint(1, 60))) + '"'
+        text = text.replace('"', '"') + "\n1,2\n"
+        with open(f"{tmp_path}/q{i}.csv", "w", newline="") as f:
+            f.write(text)
+        state, records, blank = 0, 0, True
+        j = 0
+        prev = "\n"
+        while j < len(text):  # a plain machine: outside, inside
+            c = text[j]
+            if c == '"':
+                k = j
+                while k < len(text) and text[k] == '"':
+                    k += 1
+                if (k - j) % 2:
+                    state = (1 - state) if (state or prev in ",\n\r") else 0
+                prev, j, blank = '"', k, False
+                continue
+            if c == "\n" and not state:
+                records += not blank
+                blank = True
+            elif c != "\r":
+                blank = False
+            if c == "\n" and state:
+                blank = True
+            prev, j = c, j + 1
+        expected[f"q{i}.csv"] = records
+    _write(f"{tmp_path}/pipe.csv", 'id,size\n1,5" pipe\n2,6\n3,"a\nb"\n')
+    expected["pipe.csv"] = 4
+    files = listing.list_files(spark, str(tmp_path))
+    for chunk in (1, 5, 1 << 20):
+        got = {os.path.basename(r.path): r.lines for r in catalog.count_lines(files, chunk).collect()}
+        assert got["pipe.csv"] == 4
+        assert {n: got.get(n, 0) for n in expected} == expected
 
 
 def test_workbooks(spark):
