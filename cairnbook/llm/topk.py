@@ -5,8 +5,8 @@ that component.  A query walks down all lists of a block at once, from the end t
 component.  At any depth no candidate still unseen can score more than the sum over the dimensions of the
 query's component times the value at that depth; the walk ends as soon as this bound is below the k-th best
 score found so far (equal scores are still looked at: ties go to the smaller id).  Queries are dealt into
-groups and every group meets every block once, by an equi-join on the group; the k best of a query in each
-block are then ranked together.
+groups and every group meets every block once, by an equi-join on the pair of their numbers; the k best of a
+query in each block are then ranked together.
 """
 
 from __future__ import annotations
@@ -30,17 +30,38 @@ _FIRST_DEPTH = 32
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _pack(batches, rows: int):
-    """Blocks of at most ``rows`` vectors of one part, as ids and components in binary."""
+def _pack(batches):
+    """One row per block, ids and components in binary; rows come sorted by block."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now = None
+
+    def row():
+        ids, vecs = (np.concatenate(x) for x in zip(*held))
+        return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([ids.tobytes()], pa.binary()),
+                                           pa.array([np.ascontiguousarray(vecs, np.int32).tobytes()], pa.binary())],
+                                          names=["block", "ids", "vecs"])
+
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column("block").to_numpy(zero_copy_only=False)
         ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-        vec = batch.column("vec")
-        flat = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        for lo in range(0, len(ids), rows):
-            part = flat[lo:lo + rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part.shape[1]], pa.int32()), pa.array([ids[lo:lo + rows].tobytes()], pa.binary()),
-                 pa.array([np.ascontiguousarray(part, np.int32).tobytes()], pa.binary())], names=["dims", "ids", "vecs"])
+        flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if held and block[lo] != now:
+                yield row()
+                held = []
+            now = int(block[lo])
+            held.append((ids[lo:hi], flat[lo:hi].astype(np.int32)))
+    if held:
+        yield row()
+
+
+def _blocks(own: DataFrame, count: int) -> DataFrame:
+    """Vectors dealt by a hash of their ids into ``count`` blocks: ``block, ids, vecs``."""
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)))
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_pack, "block long, ids binary, vecs binary")
 
 
 def walk_lists(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
@@ -132,7 +153,7 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SC
     smaller id; an empty table gives an empty one; other columns are not read.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(max(BATCH_ROWS, block_rows)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     whole = F.transform(vectors[vector_col], lambda x: F.floor(x.cast("double") * scale))
     sound = F.forall(vectors[vector_col], lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * scale) < (1 << 20)))
     clean = (vectors.where(vectors[id_col].isNotNull() & sound & (F.size(vectors[vector_col]) > 0))
@@ -143,15 +164,13 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SC
     found = None
     for dims, (n, q) in sorted(sizes.items()):
         own = clean.where(F.col("dims") == dims).select("vec_id", "vec")
-        deal = "dims int, ids binary, vecs binary"
         blocks_wanted, groups = max(1, -(-n // block_rows)), max(1, -(-q // group_rows))
-        packed = (own.repartition(blocks_wanted, F.xxhash64("vec_id"))
-                  .mapInArrow(partial(_pack, rows=block_rows), deal).select("ids", "vecs"))
-        asked = (own.where(F.col("vec_id") % every == 0).repartition(groups, F.xxhash64("vec_id"))
-                 .mapInArrow(partial(_pack, rows=group_rows), deal).select(F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")))
-        asked = written(asked.withColumn("group", F.pmod(F.xxhash64("q_ids"), F.lit(groups))), "queries")
-        met = packed.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-        here = met.join(asked, "group").mapInArrow(partial(_search, k=k), "query_id long, vec_id long, score long")
+        # Every pair of a block and a group is a task's worth of work of its own.
+        all_of = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+        packed = _blocks(own, blocks_wanted).withColumn("group", all_of(groups))
+        asked = _blocks(own.where(F.col("vec_id") % every == 0), groups).select(
+            F.col("block").alias("group"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), all_of(blocks_wanted).alias("block"))
+        here = packed.join(asked, ["group", "block"]).mapInArrow(partial(_search, k=k), "query_id long, vec_id long, score long")
         found = here if found is None else found.unionByName(here)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
