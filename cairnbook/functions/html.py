@@ -9,7 +9,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from cairnbook.session import spread
 
 _SILENT = {"script", "style", "noscript", "template", "svg"}
 _BLOCK = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul",
@@ -79,8 +78,9 @@ def to_markdown(html: str | None) -> tuple[str, str]:
     return " ".join("".join(parser.title).split()), body
 
 
-def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``(key, title, markdown)`` of every page, as one map-only stage."""
+def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html",
+                     parts: int | None = None) -> DataFrame:
+    """``(key, title, markdown)`` of every page, as one map-only stage of ``parts`` tasks if asked for."""
     key_type = pages.schema[key].dataType.simpleString()
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,5 +89,6 @@ def html_to_markdown(pages: DataFrame, key: str = "page_id", html: str = "html")
             yield pd.DataFrame({key: batch[key], "title": [m[0] for m in made],
                                 "markdown": [m[1] for m in made]})
 
-    return spread(pages.select(key, html)).mapInPandas(
+    slim = pages.select(key, html)
+    return (slim if parts is None else slim.repartition(parts)).mapInPandas(
         convert, f"{key} {key_type}, title string, markdown string")

@@ -12,7 +12,6 @@ HISTORY_KEEP = 1000
 AUDIT_KEEP = 10_000
 NOTIFICATION_KEEP = 500
 SKIPPED_KEEP = 10_000
-TRIM_SLACK = 1.1
 BYTES_PER_ROW = 100
 
 
@@ -109,10 +108,8 @@ def load_log(lines: DataFrame, schema: str, order: list[str], n: int, body: str
     return newest(parsed.where(F.col(first).isNotNull()), order, n)
 
 
-def retain(log: DataFrame, order: list[str], keep: int, exact: bool = False) -> DataFrame:
-    """Newest ``keep`` entries; unless exact, a log is only cut once it is ten percent over."""
-    if not exact and log.count() <= int(keep * TRIM_SLACK):
-        return log
+def retain(log: DataFrame, order: list[str], keep: int) -> DataFrame:
+    """Newest ``keep`` entries."""
     return newest(log, order, keep)
 
 

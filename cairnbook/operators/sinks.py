@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import time
+from itertools import chain, count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,7 @@ from cairnbook.operators.numbering import number_rows
 from cairnbook.session import hadoop_path
 from cairnbook.sources.readers import read_csv_ladder, read_table
 
-# Attempts at a free name, version of the export bundle, queries exported.
-MAX_ATTEMPTS = 999
+# Version of the export bundle, queries exported.
 BUNDLE_VERSION = "1.0"
 BUNDLE_QUERIES = 500
 
@@ -24,19 +24,12 @@ def _bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = hadoop_path(spark, path)
-    return bool(fs.exists(p))
-
-
 def free_target(spark: SparkSession, folder: str, stem: str) -> str:
     """``stem.parquet``, else ``stem-converted-1.parquet`` and so on; existing files stay."""
-    for i in range(MAX_ATTEMPTS + 1):
-        name = f"{stem}.parquet" if i == 0 else f"{stem}-converted-{i}.parquet"
-        target = f"{folder.rstrip('/')}/{name}"
-        if not _exists(spark, target):
-            return target
-    raise ValueError(f"no free name for {stem} in {folder}")
+    fs, place = hadoop_path(spark, folder)
+    taken = {s.getPath().getName() for s in fs.listStatus(place)} if fs.exists(place) else set()
+    names = chain([f"{stem}.parquet"], (f"{stem}-converted-{i}.parquet" for i in count(1)))
+    return f"{folder.rstrip('/')}/{next(n for n in names if n not in taken)}"
 
 
 def convert(spark: SparkSession, source: str, folder: str) -> dict:
@@ -225,7 +218,7 @@ def import_warnings(bundle: DataFrame, workspace: str) -> DataFrame:
     """``(warning)`` rows for another version or workspace than expected."""
     head = bundle_part(bundle, "header", "version string, workspace_id string")
     version = F.when(F.col("version") != BUNDLE_VERSION, F.concat(
-        F.lit("Version mismatch: export is v"), "version", F.lit(f", current is v{BUNDLE_VERSION}.")))
+        F.lit("bundle version "), "version", F.lit(f" instead of {BUNDLE_VERSION}")))
     other = F.when(F.col("workspace_id") != workspace, F.concat(
-        F.lit("Workspace ID mismatch: importing from '"), "workspace_id", F.lit(f"' into '{workspace}'")))
+        F.lit("bundle of workspace "), "workspace_id", F.lit(f" goes into {workspace}")))
     return head.select(F.explode(F.filter(F.array(version, other), lambda w: w.isNotNull())).alias("warning"))

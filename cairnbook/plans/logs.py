@@ -166,7 +166,7 @@ def _w3w(t):
 @query("sk6_retain_newest", sql=f"""
 SELECT event_id, status FROM {HISTORY_SQL} ORDER BY ts DESC, event_id DESC LIMIT 1000""")
 def _sk6(t):
-    return logs.retain(history(t), ["ts", "event_id"], logs.HISTORY_KEEP, exact=True).select("event_id", "status")
+    return logs.retain(history(t), ["ts", "event_id"], logs.HISTORY_KEEP).select("event_id", "status")
 
 
 @query("t7_newest_entries", sql="""
@@ -267,9 +267,9 @@ def _pf8(t):
 
 @query("t6_listing_sort", sql="""
 SELECT doc_id, size_bytes FROM (SELECT doc_id, n_chars AS size_bytes, source || '/Doc' || doc_id || '.' || lang AS p FROM documents)
-ORDER BY size_bytes DESC, p LIMIT 50""")
+""")
 def _t6(t):
-    return logs.folder_view(_folder(t), F.current_timestamp(), sort="size-desc").limit(50).select("doc_id", "size_bytes")
+    return logs.folder_view(_folder(t), F.current_timestamp(), sort="size-desc").select("doc_id", "size_bytes")
 
 
 @query("pf11_keyword_filter", sql="""

@@ -55,9 +55,9 @@ SELECT page_id,
   CASE WHEN reason IS NULL THEN lower(scheme) || rest ||
        CASE WHEN lower(scheme) = 's3://' AND NOT contains(rest, '/') THEN '/' ELSE '' END END AS normalised,
   CASE WHEN reason IS NULL THEN lower(scheme) = 'http://' END AS insecure, reason
-FROM (SELECT *, CASE WHEN a = '' THEN 'URL is empty'
-                     WHEN scheme = '' THEN 'URL must start with https://, http://, or s3://'
-                     WHEN rest = '' THEN 'URL is missing a bucket' END AS reason
+FROM (SELECT *, CASE WHEN a = '' THEN 'no address'
+                     WHEN scheme = '' THEN 'scheme is none of https, http, s3'
+                     WHEN rest = '' THEN 'no bucket named' END AS reason
   FROM (SELECT page_id, a, regexp_extract(a, '(?i)^(https?://|s3://)', 1) AS scheme,
                regexp_replace(a, '(?i)^(https?://|s3://)', '') AS rest
     FROM (SELECT page_id, trim(CASE
@@ -301,7 +301,7 @@ def _f24(t):
 @query("f25_html_to_markdown")
 def _f25(t):
     """Every page as markdown; checked against brute force in the tests."""
-    return html.html_to_markdown(t.pages)
+    return html.html_to_markdown(t.pages, parts=t.spark.sparkContext.defaultParallelism)
 
 
 _VISIBLE = "regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
@@ -317,5 +317,5 @@ def _f25t(t):
     def times(pattern):
         return F.size(F.regexp_extract_all("markdown", F.lit(pattern), 0)).cast("long")
 
-    return html.html_to_markdown(t.pages).select(
+    return html.html_to_markdown(t.pages, parts=t.spark.sparkContext.defaultParallelism).select(
         "page_id", "title", times(r"\]\(").alias("links"), times(r"(?m)^#{1,6}(?: |$)").alias("headings"))

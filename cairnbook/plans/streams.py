@@ -85,10 +85,9 @@ def _st3s(t):
     states = jobs.alert_states(_events(t), ["user_id", "event_type"], "ts", seconds=7200)
     out = new_dir(t.spark, "alert-states")
     jobs.run_batches(states, lambda df, n: jobs.write_batch(df, out, n), new_dir(t.spark, "alert-states-ck"), "update")
-    last = t.spark.read.parquet(out).groupBy("user_id", "event_type", "alert_id").agg(
-        F.min("first_seen").alias("a"), F.max("last_seen").alias("b"), F.max("repeats").alias("n"))
-    return last.select("user_id", "event_type", F.unix_micros("a").alias("first_us"),
-                       F.unix_micros("b").alias("last_us"), "n")
+    last = jobs.current_alerts(t.spark.read.parquet(out), ["user_id", "event_type"])
+    return last.select("user_id", "event_type", F.unix_micros("first_seen").alias("first_us"),
+                       F.unix_micros("last_seen").alias("last_us"), F.col("repeats").alias("n"))
 
 
 @query("st4_drift_messages", sql="""
@@ -126,13 +125,17 @@ def _st5(t):
     return read_snapshot(t.spark, base)
 
 
-@query("st6_rescan", sql="SELECT 1 AS run, true AS read_files UNION ALL SELECT 2, false")
+@query("st6_rescan", sql=" UNION ALL ".join(
+    f"SELECT '{n}' AS dataset, (SELECT count(*) FROM {n}) AS row_count, run FROM range(1, 3) r(run)" for n in TABLES))
 def _st6(t):
-    """Two rescans of the data folder: nothing has changed, so the second reads no file."""
-    state = new_dir(t.spark, "rescan-state")
-    runs = [jobs.rescan(t.spark, t.root, state) for _ in (1, 2)]
-    seen = read_snapshot(t.spark, f"{state}/catalog").count()
-    return t.spark.createDataFrame([(i + 1, n > 0 and seen == n) for i, n in enumerate(runs)], "run int, read_files boolean")
+    """The catalog after each of two rescans; nothing has changed, so the second must leave the same records."""
+    state, runs = new_dir(t.spark, "rescan-state"), []
+    for run in (1, 2):
+        jobs.rescan(t.spark, t.root, state)
+        records = read_snapshot(t.spark, f"{jobs.rescan_state(state, t.root)}/catalog")
+        runs.append(records.groupBy(F.regexp_extract("relative_path", r"^([^/.]+)\.", 1).alias("dataset")).agg(
+            F.sum("row_count").alias("row_count")).withColumn("run", F.lit(run).cast("long")))
+    return runs[0].unionByName(runs[1])
 
 
 @query("st7_two_phase_records", sql="""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not re.match(r"local(\[|$)", master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         named = tempfile.mkdtemp(prefix="cairnbook-")
         spark.sparkContext.setCheckpointDir(named)
@@ -86,18 +87,3 @@ def hadoop_path(spark: SparkSession, path: str):
     """``(file system, path)`` of the Hadoop client for driver-side file operations."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-# Below this many bytes per core Spark packs files together instead of splitting them.
-_OPEN_COST = 4 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Small input of a costly map stage on as many partitions as there are cores.
-
-    Larger inputs are split by Spark itself and left as they are; the decision takes the
-    planner's size estimate and runs nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * _OPEN_COST else df

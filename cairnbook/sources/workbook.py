@@ -12,7 +12,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairnbook.session import spread
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -33,7 +32,7 @@ def _column_index(ref: str) -> int:
 def _first_sheet(book: zipfile.ZipFile) -> str:
     sheet = ET.fromstring(book.read("xl/workbook.xml")).find(f"{_MAIN}sheets/{_MAIN}sheet")
     if sheet is None:
-        raise ValueError("xlsx has no sheets")
+        raise ValueError("workbook without sheets")
     wanted = sheet.get(f"{_REL}id")
     for rel in ET.fromstring(book.read("xl/_rels/workbook.xml.rels")):
         if rel.get("Id") == wanted:
@@ -79,10 +78,11 @@ def sheet_rows(content: bytes) -> Iterator[list[str]]:
                 node.clear()
 
 
-def read_workbooks(files: DataFrame, batch_rows: int = 5000) -> DataFrame:
+def read_workbooks(files: DataFrame, batch_rows: int = 5000, parts: int | None = None) -> DataFrame:
     """``(path, row_no, cells, error)`` of workbooks given as ``(path, content)``.
 
-    Files are independent, so this is one map-only stage; rows leave in batches.
+    Files are independent, so this is one map-only stage; rows leave in batches.  ``parts`` asks for so many
+    tasks where few input files hold much work.
     Legacy ``.xls`` files and unreadable ones yield a single row with an error.
     """
 
@@ -93,18 +93,19 @@ def read_workbooks(files: DataFrame, batch_rows: int = 5000) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     if path.lower().endswith(".xls"):
-                        raise ValueError("Legacy .xls files are not supported; please save as .xlsx")
+                        raise ValueError("the old .xls format is not supported, only .xlsx is read")
                     for i, cells in enumerate(sheet_rows(content)):
                         out.append((path, i, cells, None))
                         if len(out) >= batch_rows:
                             yield pd.DataFrame(out, columns=names)
                             out = []
                 except Exception as exc:  # noqa: BLE001 - one bad workbook must not stop the job
-                    out.append((path, -1, None, str(exc)[:300]))
+                    out.append((path, -1, None, str(exc)))
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return spread(files.select("path", "content")).mapInPandas(
+    slim = files.select("path", "content")
+    return (slim if parts is None else slim.repartition(parts)).mapInPandas(
         parse, "path string, row_no long, cells array<string>, error string")
 
 

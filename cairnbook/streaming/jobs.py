@@ -5,6 +5,9 @@ Event time drives every window.  Late data waits for ten minutes by default.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairnbook.operators import incremental, sinks
-from cairnbook.session import new_dir
+from cairnbook.session import cut_lineage
 from cairnbook.sources import catalog, listing
 
 LATENESS = "10 minutes"
@@ -121,49 +124,66 @@ def alert_states(alerts: DataFrame, key: list[str], ts: str, seconds: int = DUPL
                  lateness: str = LATENESS) -> DataFrame:
     """Alerts as they change, with an id that stays while repeats extend the window.
 
-    Emits ``(key…, alert_id, first_seen, last_seen, repeats)`` in update mode: the first
-    row of an id is the new alert, later ones refresh it.  State per key is one open
-    alert, dropped when event time has passed its window.
+    Emits ``(key…, alert_id, first_seen, last_seen, repeats)`` in update mode: the first row of an id is the new
+    alert, later ones refresh it.  State per key holds all alerts that late events may still reach, so an event
+    belongs to the alert within the window of it on either side, and the id, made from the first event seen, never
+    changes.  An event that closes the gap between two alerts makes them one: the older id goes on, the other is
+    emitted once more with 0 repeats, which withdraws it.  Alerts leave the state when event time has passed them.
     """
     schema = T.StructType([
         *[alerts.schema[k] for k in key], T.StructField("alert_id", T.StringType()),
         T.StructField("first_seen", T.TimestampType()), T.StructField("last_seen", T.TimestampType()),
         T.StructField("repeats", T.LongType())])
-    state_schema = "first_us long, last_us long, repeats long"
     names = [f.name for f in schema.fields]
+    reach = seconds * 1_000_000
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        # Open alerts as [born, first, last, repeats] in microseconds, by birth.
+        known = json.loads(state.get[0]) if state.exists else []
+        touched: dict[int, list] = {}
+        if not state.hasTimedOut:
+            for runs in batches:
+                for first, last, n in zip(runs["first_seen"], runs["last_seen"], runs["repeats"]):
+                    lo, hi = first.value // 1000, last.value // 1000
+                    near = [a for a in known if a[1] - reach <= hi and lo - reach <= a[2]]
+                    if near:
+                        alert = near[0]
+                        for other in near[1:]:
+                            known.remove(other)
+                            touched[other[0]] = [other[0], other[1], other[2], 0]
+                            alert[1:] = [min(alert[1], other[1]), max(alert[2], other[2]), alert[3] + other[3]]
+                        alert[1:] = [min(alert[1], lo), max(alert[2], hi), alert[3] + int(n)]
+                    else:
+                        taken = {a[0] for a in known}
+                        alert = [next(b for b in itertools.count(lo) if b not in taken), lo, hi, int(n)]
+                        known.append(alert)
+                    touched[alert[0]] = alert
+        now = state.getCurrentWatermarkMs()
+        known = [a for a in known if a[2] // 1000 + seconds * 1000 > now]
+        if known:
+            state.update((json.dumps(known),))
+            state.setTimeoutTimestamp(min(a[2] for a in known) // 1000 + seconds * 1000)
+        elif state.exists:
             state.remove()
-            return
-        runs = pd.concat(list(batches)).sort_values("first_seen")
-        open_alert = list(state.get) if state.exists else None
-        out = []
-        for first, last, n in zip(runs["first_seen"], runs["last_seen"], runs["repeats"]):
-            lo, hi = first.value // 1000, last.value // 1000
-            if open_alert is not None and lo - open_alert[1] <= seconds * 1_000_000:
-                open_alert = [min(open_alert[0], lo), max(open_alert[1], hi), open_alert[2] + int(n)]
-            else:
-                open_alert = [lo, hi, int(n)]
-                out.append(None)
-            if not out:
-                out.append(None)
-            out[-1] = (*group, "-".join([*map(str, group), str(open_alert[0])]),
-                       pd.Timestamp(open_alert[0], unit="us"), pd.Timestamp(open_alert[1], unit="us"), open_alert[2])
-        state.update(tuple(open_alert))
-        expiry = open_alert[1] // 1000 + seconds * 1000
-        if expiry > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expiry)
-        else:
-            state.remove()
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([(*group, "-".join([*map(str, group), str(a[0])]), pd.Timestamp(a[1], unit="us"),
+                             pd.Timestamp(a[2], unit="us"), a[3]) for a in touched.values()], columns=names)
 
     slim = alerts.select(*key, F.col(ts).cast("timestamp").alias(ts))
     run_schema = T.StructType([*[slim.schema[k] for k in key], T.StructField("first_seen", T.TimestampType()),
                                T.StructField("last_seen", T.TimestampType()), T.StructField("repeats", T.LongType())])
     runs = slim.mapInPandas(_merge_runs(ts, seconds, key), run_schema)
     return (runs.withWatermark("last_seen", lateness).groupBy(*key)
-            .applyInPandasWithState(step, schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(step, schema, "open string", "update", GroupStateTimeout.EventTimeTimeout))
+
+
+def current_alerts(states: DataFrame, key: list[str], batch: str = "batch_id", read: DataFrame | None = None) -> DataFrame:
+    """The last row of every alert that was not withdrawn; ids listed in ``read`` stay read when they are refreshed."""
+    last = states.groupBy(*key, "alert_id").agg(F.max_by(F.struct("first_seen", "last_seen", "repeats"), batch).alias("now"))
+    last = last.select(*key, "alert_id", "now.*").where("repeats > 0")
+    if read is None:
+        return last.withColumn("read", F.lit(False))
+    seen = read.select("alert_id").distinct().withColumn("read", F.lit(True))
+    return last.join(seen, "alert_id", "left").withColumn("read", F.coalesce("read", F.lit(False)))
 
 
 def drop_redelivered(alerts: DataFrame, key: list[str], ts: str, lateness: str = LATENESS) -> DataFrame:
@@ -211,18 +231,20 @@ def upsert_stream(df: DataFrame, base: str, key: list[str], checkpoint: str, mod
 def rescan(spark: SparkSession, root: str, state: str, glob: str | None = None) -> int:
     """Bring the catalog of a folder up to date; returns how many files were read.
 
-    An unchanged fingerprint ends the run after the listing.  Otherwise the manifest
-    difference picks the files to read, and records of removed files are dropped.
+    The fingerprint covers exactly the files listed.  If it is unchanged, the run ends after the listing; otherwise
+    the manifest difference picks the files to read, and records of removed files are dropped.  Every root keeps
+    its own part of ``state`` (:func:`rescan_state`), so several roots can share it.
     """
-    found = listing.scannable(listing.list_files(spark, root, glob)).withColumn(
-        "mtime", F.unix_seconds("modified")).withColumn("mtime_marker", F.col("mtime").cast("string"))
+    state = rescan_state(state, root)
+    found = cut_lineage(listing.scannable(listing.list_files(spark, root, glob)).withColumn(
+        "mtime", F.unix_micros("modified")).withColumn("mtime_marker", F.col("mtime").cast("string")), "found")
     marked = found.withColumn("folder", F.lit(root))
-    print_now = listing.folder_fingerprint(marked, ["folder"]).select("folder", "fingerprint")
+    print_now = listing.folder_fingerprint(marked, ["folder"], every=True).select("folder", "fingerprint")
     before = sinks.read_snapshot(spark, f"{state}/fingerprint")
-    now = print_now.first()
-    if before is not None and now is not None:
-        last = before.where(F.col("folder") == root).first()
-        if last is not None and last["fingerprint"] == now["fingerprint"]:
+    now = print_now.first() or (root, "")
+    if before is not None:
+        last = before.first()
+        if last is not None and last["fingerprint"] == now[1]:
             return 0
     stored = sinks.read_snapshot(spark, f"{state}/catalog")
     current = found.select("path", "relative_path", "size_bytes", "modified", "mtime_marker")
@@ -233,12 +255,14 @@ def rescan(spark: SparkSession, root: str, state: str, glob: str | None = None)
     else:
         diff = incremental.manifest_diff(stored, current, "path")
         stale = current.join(diff.where("change IN ('new', 'changed')").select("path"), "path", "left_semi")
-        fixed = new_dir(spark, "rescan")
-        catalog.scan_files(spark, stale).join(stale.select("path", "mtime_marker"), "path").write.parquet(fixed)
-        records = spark.read.parquet(fixed)
+        records = cut_lineage(catalog.scan_files(spark, stale).join(stale.select("path", "mtime_marker"), "path"), "rescan")
         kept = stored.join(diff.where("change = 'unchanged'").select("path"), "path", "left_semi")
         sinks.commit_snapshot(kept.select(*records.columns).unionByName(records), f"{state}/catalog")
         changed = records.count()
-    if now is not None:
-        sinks.commit_snapshot(spark.createDataFrame([tuple(now)], print_now.schema), f"{state}/fingerprint")
+    sinks.commit_snapshot(spark.createDataFrame([tuple(now)], print_now.schema), f"{state}/fingerprint")
     return changed
+
+
+def rescan_state(state: str, root: str) -> str:
+    """Where the state of one root lies."""
+    return f"{state}/{hashlib.sha256(root.rstrip('/').encode()).hexdigest()[:16]}"

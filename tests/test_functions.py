@@ -45,8 +45,8 @@ def test_validate_url(one):
         "https://docs.google.com/spreadsheets/d/AbC-1_x/export?format=csv&gid=7"]
     assert [r.insecure for r in rows][:3] == [False, True, False]
     assert [r.reason for r in rows][4:9] == [
-        "URL is empty", "URL must start with https://, http://, or s3://", "URL is missing a host",
-        "URL is missing a host", "URL is missing a bucket"]
+        "no address", "scheme is none of https, http, s3", "no host named",
+        "no host named", "no bucket named"]
 
 
 def test_sheet_links(one):

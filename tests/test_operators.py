@@ -324,7 +324,7 @@ def test_import(spark):
     assert sorted(map(tuple, over.collect())) == [("/b", 2), ("/c", 2)] and tuple(n.first()) == (2, 0, 2)
     bundle = sinks.export_bundle(cur, imp, cur.withColumn("timestamp", F.lit(1)), "w1")
     assert [r.warning for r in sinks.import_warnings(bundle, "w1").collect()] == []
-    assert "mismatch" in sinks.import_warnings(bundle, "w2").first().warning
+    assert "workspace" in sinks.import_warnings(bundle, "w2").first().warning
 
 
 def test_number_rows_and_renumber(spark):
@@ -370,9 +370,8 @@ def test_counters_and_notifications(spark):
     assert logs.unread(n).first().unread == 2
     assert logs.unread(logs.mark_read(n, spark.createDataFrame([("a",), ("zz",)], "id string"))).first().unread == 1
     assert logs.unread(logs.mark_read(n)).first().unread == 0
-    assert logs.retain(spark.range(105), ["id"], 100).count() == 105
-    assert logs.retain(spark.range(111), ["id"], 100).count() == 100
-    assert logs.retain(spark.range(105), ["id"], 100, exact=True).agg(F.min("id")).first()[0] == 5
+    assert logs.retain(spark.range(99), ["id"], 100).count() == 99
+    assert logs.retain(spark.range(105), ["id"], 100).agg(F.min("id")).first()[0] == 5
 
 
 def test_profile_invariants(spark):

@@ -275,7 +275,7 @@ def test_rescan_reads_only_changes(spark, tmp_path):
     _write(f"{root}/d.csv", "x\n1\n")
     os.remove(f"{root}/c.csv")
     assert jobs.rescan(spark, root, state) == 2
-    rows = {r.relative_path: r.row_count for r in sinks.read_snapshot(spark, f"{state}/catalog").collect()}
+    rows = {r.relative_path: r.row_count for r in sinks.read_snapshot(spark, f"{jobs.rescan_state(state, root)}/catalog").collect()}
     assert rows == {"a.csv": 1, "b.csv": 3, "d.csv": 1}
     assert jobs.rescan(spark, root, state) == 0
 
@@ -299,6 +299,42 @@ def test_alert_states_over_many_batches(spark, tmp_path):
     stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", "1").parquet(inbox)
     out = str(tmp_path / "out")
     jobs.run_batches(jobs.alert_states(stream, ["key"], "ts"), lambda df, n: jobs.write_batch(df, out, n), str(tmp_path / "ck"), "update")
-    rows = spark.read.parquet(out).groupBy("key", "alert_id").agg(F.min("first_seen").alias("a"), F.max("last_seen").alias("b"), F.max("repeats").alias("n"))
-    got = {(r.key, r.a, r.b, r.n) for r in rows.select("key", F.unix_seconds("a").alias("a"), F.unix_seconds("b").alias("b"), "n").collect()}
+    rows = jobs.current_alerts(spark.read.parquet(out), ["key"])
+    got = {(r.key, r.a, r.b, r.n) for r in rows.select("key", F.unix_seconds("first_seen").alias("a"), F.unix_seconds("last_seen").alias("b"), F.col("repeats").alias("n")).collect()}
     assert got == expected
+
+
+def test_late_alerts_keep_their_own_burst_and_ids(spark, tmp_path):
+    """Late events join what is near on either side, close gaps, and leave ids as they were."""
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    batches = [[1000], [700], [1050, 640], [850], [800, 900, 950]]
+    for batch in batches:
+        part = spark.createDataFrame([("a", s) for s in batch], "key string, s long")
+        part.select("key", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(inbox)
+    stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", "1").parquet(inbox)
+    jobs.run_batches(jobs.alert_states(stream, ["key"], "ts"), lambda df, n: jobs.write_batch(df, out, n), str(tmp_path / "ck"), "update")
+    states = spark.read.parquet(out)
+    seen = {(r.batch_id, r.alert_id, r.repeats) for r in states.collect()}
+    assert (0, "a-1000000000", 1) in seen and (1, "a-700000000", 1) in seen
+    read = spark.createDataFrame([("a-1000000000",)], "alert_id string")
+    now = {r.alert_id: (r.first_seen.timestamp(), r.last_seen.timestamp(), r.repeats, r.read) for r in jobs.current_alerts(states, ["key"], read=read).collect()}
+    spans = sorted((v[0] % 100_000, v[1] % 100_000, v[2]) for v in now.values())
+    events = sorted(s for b in batches for s in b)
+    want, run = [], [events[0]]
+    for s in [*events[1:], 10**9]:
+        if s - run[-1] > 60:
+            want.append((run[0], run[-1], len(run)))
+            run = []
+        run.append(s)
+    assert spans == [(float(a), float(b), n) for a, b, n in want]
+    assert now["a-1000000000"][3] is True and sum(v[3] for v in now.values()) == 1
+
+
+def test_rescan_sees_every_listed_format_and_keeps_roots_apart(spark, tmp_path):
+    one_root, two, state = str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "state")
+    _write(f"{one_root}/a.tsv", "x\ty\n1\t2\n")
+    _write(f"{two}/b.csv", "x\n1\n")
+    assert [jobs.rescan(spark, r, state) for r in (one_root, two, one_root, two)] == [1, 1, 0, 0]
+    _write(f"{one_root}/a.tsv", "x\ty\n1\t2\n3\t4\n")
+    _write(f"{one_root}/c.tsv", "x\n")
+    assert [jobs.rescan(spark, r, state) for r in (one_root, two)] == [2, 0]
