@@ -8,6 +8,7 @@ from cairnbook.functions.cells import type_name_col
 from cairnbook.operators import preview as pv
 from cairnbook.operators import privacy, profile
 from cairnbook.plans.registry import query
+from cairnbook.sources import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -100,20 +101,23 @@ _DESCRIBE = " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, column_name, {_TYPE_CASE} AS column_type FROM (DESCRIBE {n})" for n in TABLES)
 
 
+def _columns(t):
+    records = catalog.scan_catalog(t.spark, t.root)
+    records = records.withColumn("table_name", F.regexp_extract("relative_path", r"^([^/.]+)\.", 1))
+    return catalog.schema_columns(records, ["table_name"], stored=True)
+
+
 @query("a4_describe_schema", sql=_DESCRIBE)
 def _a4(t):
-    parts = [profile.describe(getattr(t, n)).select(F.lit(n).alias("table_name"), "column_name", "column_type")
-             for n in TABLES]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Columns of all tables, from the footers that the catalog scan reads in its tasks."""
+    return _columns(t).select("table_name", F.col("name").alias("column_name"), F.col("type").alias("column_type")).distinct()
 
 
 @query("f20_type_names", sql=_DESCRIBE)
 def _f20(t):
     """Column form of the type vocabulary, over the stored type of every column."""
-    parts = [profile.describe(getattr(t, n)).select(
-        F.lit(n).alias("table_name"), "column_name", type_name_col(F.col("spark_type")).alias("column_type"))
-        for n in TABLES]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return _columns(t).select("table_name", F.col("name").alias("column_name"),
+                              type_name_col(F.col("stored")).alias("column_type")).distinct()
 
 
 @query("t4_preview", sql=f"""

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from cairnbook.functions.html import to_markdown
 from cairnbook.functions.text import extension
@@ -54,6 +55,11 @@ def _open(path: str):
     return fs.open_input_file(inner)
 
 
+def _stored(dt: pa.DataType) -> str:
+    """Spark's name of an Arrow type."""
+    return from_arrow_type(dt, True).simpleString()
+
+
 def _masked(rows: list[dict]) -> str | None:
     if not rows:
         return None
@@ -121,7 +127,7 @@ def _inspect(path: str, fmt: str, tier: str) -> dict:
         with _open(path) as handle:
             if fmt == "parquet":
                 parquet = pq.ParquetFile(handle, buffer_size=SAMPLE_BUFFER)
-                cols = [(f.name, _catalog_type(f.type)) for f in parquet.schema_arrow]
+                cols = [(f.name, _catalog_type(f.type), _stored(f.type)) for f in parquet.schema_arrow]
                 count = parquet.metadata.num_rows
                 filled = next((i for i in range(parquet.num_row_groups) if parquet.metadata.row_group(i).num_rows), None)
                 first = next(parquet.iter_batches(SAMPLE_ROWS, row_groups=[filled]), None) if filled is not None else None
@@ -144,9 +150,10 @@ def _inspect(path: str, fmt: str, tier: str) -> dict:
                 return {"row_count": None, "schema_json": None, "sample_rows": None, "samples_redacted": False}
     return {
         "row_count": count,
-        "schema_json": json.dumps([{"name": n, "type": t, "nullable": True} for n, t in cols]) if tier != "shallow" else None,
+        "schema_json": json.dumps([
+            {"name": n, "type": t, "nullable": True, "stored": s[0] if s else t} for n, t, *s in cols]) if tier != "shallow" else None,
         "sample_rows": _masked(rows),
-        "samples_redacted": any(is_personal(n) for n, _ in cols),
+        "samples_redacted": any(is_personal(n) for n, *_ in cols),
     }
 
 
@@ -288,7 +295,7 @@ def scan_catalog(spark: SparkSession, root: str, glob: str | None = None,
     return scan_files(spark, scannable(list_files(spark, root, glob), patterns), **options)
 
 
-def schema_columns(records: DataFrame, key: list[str]) -> DataFrame:
-    """``(key…, name, type)``, one row per column of the records' schema."""
-    wire = "array<struct<name:string,type:string,nullable:boolean>>"
+def schema_columns(records: DataFrame, key: list[str], stored: bool = False) -> DataFrame:
+    """``(key…, name, type, nullable)``, one row per column of the records' schema; if asked, with the ``stored`` type."""
+    wire = f"array<struct<name:string,type:string,nullable:boolean{',stored:string' if stored else ''}>>"
     return records.select(*key, F.inline(F.from_json("schema_json", wire)))
