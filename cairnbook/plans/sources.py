@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cairnbook.plans.registry import query
 from cairnbook.session import new_dir
-from cairnbook.sources import keyvalue, readers, tree, workbook
+from cairnbook.sources import catalog, keyvalue, readers, tree, workbook
 
 
 @query("sc1_parquet_scan", sql="""
@@ -55,6 +55,34 @@ def _sc2r(t):
                      F.lit(rung).alias("rung"))
 
 
+def _documents_csv(t):
+    """Documents as CSV: texts hold line ends, every field is quoted, and names hold a stray quote."""
+    path = new_dir(t.spark, "documents-csv")
+    (t.documents.select("doc_id", F.replace("text", F.lit(" "), F.lit(" \r\n")).alias("text"), "lang",
+                        F.concat("doc_id", F.lit('" pipe')).alias("size")).write
+     .option("header", "true").option("quoteAll", "true").option("escape", '"').csv(path))
+    return path
+
+
+@query("sc2_csv_quoted_line_ends", sql="""
+SELECT doc_id, md5(replace(text, ' ', ' ' || chr(13) || chr(10))) AS digest, lang, doc_id || '" pipe' AS size, 1 AS rung FROM documents""")
+def _sc2q(t):
+    """Line ends inside quotes are part of the field; every record comes back as it was written."""
+    df, rung = readers.read_csv_ladder(t.spark, _documents_csv(t))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "lang", "size", F.lit(rung).alias("rung"))
+
+
+@query("sc7_csv_record_counts", sql="SELECT count(*) AS table_rows, count(*) AS catalog_rows FROM documents")
+def _sc7c(t):
+    """The catalog counts as many records as the table has, line ends inside quotes or not."""
+    path = _documents_csv(t)
+    df, _ = readers.read_csv_ladder(t.spark, path)
+    records = catalog.scan_catalog(t.spark, path, "*.csv")
+    both = df.select(F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("c")).unionByName(
+        records.select(F.lit(0).cast("long").alias("t"), F.col("row_count").alias("c")))
+    return both.agg(F.sum("t").alias("table_rows"), F.sum("c").alias("catalog_rows"))
+
+
 @query("sc3_delimited_scan", sql="SELECT * FROM part WHERE p_size < 40")
 def _sc3(t):
     """Tab-separated rows; those whose size column holds no number are left out."""

@@ -197,6 +197,17 @@ def quote_states(data: np.ndarray, lead: int, sep: int):
     return begin, states, [int(states[k, -1]) if len(begin) else k for k in (0, 1)]
 
 
+def state_at(places: np.ndarray, begin: np.ndarray, states: np.ndarray, start: int) -> np.ndarray:
+    """Whether each place lies inside quotes, for a range that begins in the state ``start``."""
+    if not len(begin):
+        return np.full(len(places), start)
+    run = np.searchsorted(begin, places) - 1
+    return np.where(run >= 0, states[start][np.maximum(run, 0)], start)
+
+
+_RANGE_COLUMNS = ["path", "start", "if_outside", "if_inside", "outside_to", "inside_to", "all_lines", "failed"]
+
+
 def _line_counter(chunk: int):
     """Counter of record ends in byte ranges of at most ``chunk`` bytes."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,12 +234,11 @@ def _line_counter(chunk: int):
                     line = line[np.where(before == 13, data[line - 2], before) != 10]
                     if int(start) + many >= int(size) and many and data[1 + many] not in (10, 13):
                         line = np.append(line, 2 + many)
-                    place = np.searchsorted(begin, line) - 1
-                    inside = [np.where(place >= 0, states[k][np.maximum(place, 0)], k) if len(begin) else np.full(len(line), k) for k in (0, 1)]
-                    out.append((path, int(start), *(int((x == 0).sum()) for x in inside), *end, False))
+                    inside = [state_at(line, begin, states, k) for k in (0, 1)]
+                    out.append((path, int(start), *(int((x == 0).sum()) for x in inside), *end, len(line), False))
                 except Exception:  # noqa: BLE001 - one bad file must not stop the scan
-                    out.append((path, int(start), 0, 0, 0, 1, True))
-            yield pd.DataFrame(out, columns=["path", "start", "if_outside", "if_inside", "outside_to", "inside_to", "failed"])
+                    out.append((path, int(start), 0, 0, 0, 1, 0, True))
+            yield pd.DataFrame(out, columns=_RANGE_COLUMNS)
 
     return count
 
@@ -244,20 +254,93 @@ def count_lines(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     end inside quotes is no record end; every range says what it counts and how it ends for both ways it may
     begin, and a file's ranges, a few numbers each, are put together in order.
     """
+    counted = _range_facts(files, chunk)
+    told = F.aggregate(_in_order(), _ZERO(), lambda acc, r: _next(acc, r))
+    return counted.groupBy("path").agg(told["lines"].alias("lines"), F.bool_or("failed").alias("failed"))
+
+
+def _in_order():
+    return F.array_sort(F.collect_list(F.struct("start", "if_outside", "if_inside", "outside_to", "inside_to")))
+
+
+def _ZERO():
+    return F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("lines"))
+
+
+def _next(acc, r):
+    """State and records after one more range."""
+    return F.struct(F.when(acc["state"] == 0, r["outside_to"]).otherwise(r["inside_to"]).alias("state"),
+                    (acc["lines"] + F.when(acc["state"] == 0, r["if_outside"]).otherwise(r["if_inside"])).alias("lines"))
+
+
+def _range_facts(files: DataFrame, chunk: int) -> DataFrame:
     if "file_format" not in files.columns:
         files = files.withColumn("file_format", extension(F.col("path")))
     ranges = files.where(F.col("size_bytes") > 0).select("path", "size_bytes", "file_format", F.explode(F.sequence(
         F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(chunk).cast("long"))).alias("start"))
     # A fixed number of partitions: each tiny row stands for much work, which adaptive
     # merging of small partitions cannot know.
-    counted = ranges.repartition(_parts(files.sparkSession), "path", "start").mapInPandas(
-        _line_counter(chunk), "path string, start long, if_outside long, if_inside long, outside_to int, inside_to int, failed boolean")
-    in_order = F.array_sort(F.collect_list(F.struct("start", "if_outside", "if_inside", "outside_to", "inside_to")))
-    zero = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("lines"))
-    told = F.aggregate(in_order, zero, lambda acc, r: F.struct(
-        F.when(acc["state"] == 0, r["outside_to"]).otherwise(r["inside_to"]).alias("state"),
-        (acc["lines"] + F.when(acc["state"] == 0, r["if_outside"]).otherwise(r["if_inside"])).alias("lines")))
-    return counted.groupBy("path").agg(told["lines"].alias("lines"), F.bool_or("failed").alias("failed"))
+    return ranges.repartition(_parts(files.sparkSession), "path", "start").mapInPandas(
+        _line_counter(chunk), "path string, start long, if_outside long, if_inside long, outside_to int, inside_to int, "
+                              "all_lines long, failed boolean")
+
+
+def quoted_line_ends(files: DataFrame, chunk: int = CHUNK_BYTES) -> bool:
+    """Whether any record of delimited files spans several lines."""
+    facts = _range_facts(files, chunk).groupBy("path").agg(
+        F.aggregate(_in_order(), _ZERO(), _next)["lines"].alias("records"), F.sum("all_lines").alias("lines"))
+    return not facts.where("records < lines").isEmpty()
+
+
+def _splitter(chunk: int):
+    """Records that begin in a range, read on to their end, as fields."""
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            for path, start, size, state, fmt in zip(*(batch[c] for c in ("path", "start", "size_bytes", "state", "file_format"))):
+                sep = "\t" if fmt == "tsv" else ","
+                start, size = int(start), int(size)
+                with _open(path) as handle:
+                    lead, stop = min(start, 1), min(start + chunk, size)
+                    read_to = stop
+                    while True:
+                        raw = b"\n" * (1 - lead) + handle.read_at(read_to - start + lead, start - lead)
+                        data = np.frombuffer(raw, np.uint8)
+                        begin, states, _ = quote_states(data, 1, ord(sep))
+                        line = np.flatnonzero(data == 10)
+                        line = line[(line == 0) | (state_at(line, begin, states, int(state)) == 0)]
+                        if state:
+                            line = line[line > 0]
+                        after = line[line >= stop - start]  # a record end at or behind the last byte of the range
+                        if len(after) or read_to >= size:
+                            break
+                        read_to = min(size, read_to + max(chunk, 1 << 20))
+                first = line[line < stop - start + 1]
+                if not len(first) or first[0] + 1 >= stop - start + 1:
+                    continue
+                text = raw[first[0] + 1:after[0] + 1 if len(after) else len(raw)].decode("utf-8", "replace")
+                rows = [r for r in csv.reader((x + "\n" for x in text.split("\n")), delimiter=sep) if r]
+                yield pd.DataFrame({"path": path, "start": start, "no": range(len(rows)), "fields": rows})
+
+    return split
+
+
+def split_records(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """``(path, start, no, fields)``: every non-blank record of delimited files, line ends inside quotes included.
+
+    One huge file is split by many tasks: a first pass tells for each byte range whether it begins inside quotes,
+    a second reads the records that begin in it.
+    """
+    if "file_format" not in files.columns:
+        files = files.withColumn("file_format", extension(F.col("path")))
+    none = F.array().cast("array<struct<start:bigint,state:int>>")
+    states = F.aggregate(_in_order(), F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("lines"), none.alias("each")),
+                         lambda acc, r: F.struct(_next(acc, r)["state"].alias("state"), _next(acc, r)["lines"].alias("lines"),
+                                                 F.concat(acc["each"], F.array(F.struct(r["start"].alias("start"), acc["state"].alias("state")))).alias("each")))
+    ranges = _range_facts(files, chunk).groupBy("path").agg(states["each"].alias("each")).select("path", F.inline("each"))
+    ranges = ranges.join(files.select("path", "size_bytes", "file_format"), "path")
+    return ranges.repartition(_parts(files.sparkSession), "path", "start").mapInPandas(
+        _splitter(chunk), "path string, start long, no long, fields array<string>")
 
 
 def scan_files(spark: SparkSession, listing: DataFrame, parts: int | None = None,

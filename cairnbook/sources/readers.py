@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cairnbook.session import hadoop_path, new_dir
+from cairnbook.session import cut_lineage, hadoop_path, new_dir
+from cairnbook.sources.catalog import quoted_line_ends, split_records
+from cairnbook.sources.listing import list_files
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -77,11 +79,44 @@ def _rung(spark: SparkSession, path: str, rung: int) -> DataFrame:
     return text.where(~lost).select(*typed)
 
 
+# Types that text is read as, narrowest first.
+_TEXT_TYPES = ("int", "bigint", "double", "boolean", "date", "timestamp")
+
+
+def _record_rung(records: DataFrame, rung: int) -> DataFrame:
+    """The rungs over whole records, for files whose quoted fields hold line ends."""
+    heads = records.where("start = 0 AND no = 0")
+    first = heads.orderBy("path").first()
+    if first is None:
+        raise ValueError("no columns found")
+    width = len(first["fields"])
+    names = first["fields"] if rung != 3 else [f"_c{i}" for i in range(width)]
+    rows = records if rung == 3 else records.where("NOT (start = 0 AND no = 0)")
+    if rung == 1 and not rows.where(F.size("fields") != width).isEmpty():
+        raise ValueError("rows of different widths")
+    value = [F.nullif(F.get("fields", F.lit(i)), F.lit("")) for i in range(width)]
+    rows = rows.where(F.size("fields") <= width)
+    if rung == 4:
+        return rows.select(*[v.alias(n) for v, n in zip(value, names)])
+    fails = rows.agg(*[F.count_if(v.isNotNull() & v.try_cast(t).isNull()).alias(f"{i}_{t}")
+                       for i, v in enumerate(value) for t in _TEXT_TYPES],
+                     *[F.count(v).alias(f"{i}_all") for i, v in enumerate(value)]).first()
+    kinds = [next((t for t in _TEXT_TYPES if fails[f"{i}_all"] and not fails[f"{i}_{t}"]), "string") for i in range(width)]
+    return rows.select(*[v.try_cast(t).alias(n) for v, t, n in zip(value, kinds, names)])
+
+
+def csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """Listing of the data files of a delimited table, one file or a folder of them."""
+    files = list_files(spark, path, "*").where(~F.substring_index("path", "/", -1).rlike("^[._]"))
+    return files.where("size_bytes > 0").withColumn("file_format", F.lit("csv"))
+
+
 def read_csv_ladder(spark: SparkSession, path: str, out: str | None = None) -> tuple[DataFrame, int]:
     """Convert messy CSV to Parquet by the first of four readings that succeeds.
 
     1 strict with header; 2 ragged rows padded, bad ones dropped; 3 the same without a
-    header; 4 all text.  Reading is lazy, so a rung counts as good only once its
+    header; 4 all text.  Files in which a quoted field holds a line end are cut into whole records first, by many
+    tasks per file; others go to Spark's reader, which splits at every line end.  Reading is lazy, so a rung counts as good only once its
     Parquet copy is completely written.
     """
     target = out or new_dir(spark, "csv")
@@ -89,9 +124,14 @@ def read_csv_ladder(spark: SparkSession, path: str, out: str | None = None) -> t
     if fs.exists(made):
         raise ValueError(f"{target} exists")
     last: Exception | None = None
+    records = None
+    if fs.exists(hadoop_path(spark, path)[1]):
+        files = csv_files(spark, path)
+        if quoted_line_ends(files):
+            records = cut_lineage(split_records(files), "records")
     for rung in (1, 2, 3, 4):
         try:
-            df = _rung(spark, path, rung)
+            df = _rung(spark, path, rung) if records is None else _record_rung(records, rung)
             if not df.columns:
                 raise ValueError("no columns found")
             df.write.mode("errorifexists").option("compression", "zstd").parquet(target)

@@ -82,6 +82,24 @@ def test_csv_ladder(spark, tmp_path):
         readers.read_csv_ladder(spark, f"{tmp_path}/missing.csv")
 
 
+def test_csv_records_with_quoted_line_ends(spark, tmp_path):
+    _write(f"{tmp_path}/q.csv", 'a,b,c\n1,"x\ny",k\n2,z,k\n')
+    df, rung = readers.read_csv_ladder(spark, f"{tmp_path}/q.csv")
+    assert rung == 1 and sorted(map(tuple, df.collect())) == [(1, "x\ny", "k"), (2, "z", "k")] and df.dtypes[0] == ("a", "int")
+    _write(f"{tmp_path}/r.csv", 'a,b,c\r\n1,"x\r\n""y""",2024-01-02\r\n2,z\r\n3,u,2024-01-03,more\r\n4,,2024-01-04\r\n')
+    df, rung = readers.read_csv_ladder(spark, f"{tmp_path}/r.csv")
+    assert rung == 2 and sorted((r.a, r.b, str(r.c)) for r in df.collect()) == [(1, 'x\r\n"y"', "2024-01-02"), (2, "z", "None"), (4, None, "2024-01-04")]
+    rng = random.Random(6)
+    rows = [[rng.choice(["x", 'quo"te', "line\nbreak", "a,b", "é", '5" pipe', ""]) for _ in range(3)] for _ in range(150)]
+    with open(f"{tmp_path}/many.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows(rows)
+    files = readers.csv_files(spark, f"{tmp_path}/many.csv")
+    for chunk in (1 << 20, 100, 9):
+        got = [r.fields for r in catalog.split_records(files, chunk).orderBy("start", "no").collect()]
+        assert got == [r for r in rows if r], chunk
+    assert catalog.count_lines(files, 9).first().lines == len(rows)
+
+
 def test_json_layouts(spark, tmp_path):
     docs = {"lines": '{"a":1,"b":{"c":"x"}}\n{"a":2}\n', "array": '[{"a":1,"b":{"c":"x"}},{"a":2}]',
             "pretty": '[\n  {\n    "a": 1,\n    "b": {"c": "x"}\n  },\n  {\n    "a": 2\n  }\n]\n',
