@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from cairnbook.session import cut_lineage
 # Texts are worked on together until so many bytes are reached; one longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 # Rows of one Arrow batch between the JVM and Python; the default of 10000 whole texts is too much memory.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 
 def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
@@ -32,11 +33,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def worker_memory(name: str, make):
-    """A value kept by a Python worker from task to task."""
-    held = sys.modules.setdefault("_cairnbook_worker", types.ModuleType("_cairnbook_worker")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
+    """A value kept by a Python worker from task to task, until a value of another name takes its place."""
+    held = sys.modules.setdefault("_cairnbook_worker", types.ModuleType("_cairnbook_worker"))
+    if getattr(held, "name", None) != name:
+        held.name = held.value = None
+        held.name, held.value = name, make()
+    return held.value
+
+
+def give_back() -> None:
+    """Return memory that a finished task has freed to the machine; workers live on and share it with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library frees on its own
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -52,16 +63,19 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the bytes of their ``text`` and offsets that begin at 0."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        raw, starts = text_bytes(batch.column("text"))
-        lo = 0
-        while lo < batch.num_rows:
-            hi = int(np.searchsorted(starts, starts[lo] + size, "right")) - 1
-            hi = min(max(hi, lo + 1), batch.num_rows)
-            yield batch.slice(lo, hi - lo), raw[starts[lo]:starts[hi]], starts[lo:hi + 1] - starts[lo]
-            lo = hi
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            raw, starts = text_bytes(batch.column("text"))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = int(np.searchsorted(starts, starts[lo] + size, "right")) - 1
+                hi = min(max(hi, lo + 1), batch.num_rows)
+                yield batch.slice(lo, hi - lo), raw[starts[lo]:starts[hi]], starts[lo:hi + 1] - starts[lo]
+                lo = hi
+    finally:
+        give_back()
 
 
 def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
