@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import posixpath
 import time
+import uuid
+from collections.abc import Callable
 from itertools import chain, count
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -134,43 +137,82 @@ def register_sources(existing: DataFrame, offered: DataFrame, address: str = "ad
     return existing.unionByName(numbered.select(*existing.columns))
 
 
-def commit_snapshot(df: DataFrame, base: str, keep: int = 2) -> str:
-    """Write a table version and point to it; the newest ``keep`` versions stay.
+class SnapshotConflict(RuntimeError):
+    """Another writer committed the version this one was going to write."""
 
-    Readers follow the pointer, so they see either the old or the new version.
+
+def _versions(spark: SparkSession, base: str) -> list[int]:
+    fs, folder = hadoop_path(spark, base)
+    if not fs.exists(folder):
+        return []
+    names = (s.getPath().getName() for s in fs.listStatus(folder))
+    return sorted(int(n.removeprefix("_version-")) for n in names if n.startswith("_version-"))
+
+
+def _version(spark: SparkSession, base: str, number: int) -> tuple[str, str]:
+    """Folder of a version and the tag it was committed with."""
+    fs, place = hadoop_path(spark, f"{base}/_version-{number:012d}")
+    stream = fs.open(place)
+    try:
+        name, tag = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+    finally:
+        stream.close()
+    return name, tag
+
+
+def commit_snapshot(df: DataFrame, base: str, keep: int = 2, based_on: int | None = None, tag: str = "-",
+                    max_age_seconds: float = 86_400) -> str:
+    """Write the next version of a table.
+
+    A version is a folder of files and a small file that names it, created only if it is absent: of two writers that
+    both build on version n, one becomes n + 1 and the other gets a :class:`SnapshotConflict` and leaves nothing.
+    ``based_on`` is the version the rows were made from (default: the newest).  The newest ``keep`` versions stay,
+    and so does every version younger than ``max_age_seconds``, so readers of an older one can finish.
     """
     spark = df.sparkSession
-    name = f"snapshot-{time.time_ns():020d}"
+    if based_on is None:
+        based_on = max(_versions(spark, base), default=0)
+    name = f"snapshot-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(f"{base}/{name}")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs, tmp = hadoop_path(spark, f"{base}/_current.tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(name, "utf-8"))
+    fs, place = hadoop_path(spark, f"{base}/_version-{based_on + 1:012d}")
+    try:
+        out = fs.create(place, False)
+    except Py4JError as exc:
+        fs.delete(hadoop_path(spark, f"{base}/{name}")[1], True)
+        raise SnapshotConflict(f"version {based_on + 1} of {base} is taken") from exc
+    out.write(bytearray(f"{name} {tag}", "utf-8"))
     out.close()
-    mode = getattr(hadoop, "Options$Rename")
-    overwrite = spark.sparkContext._gateway.new_array(mode, 1)
-    overwrite[0] = mode.OVERWRITE
-    files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    files.rename(tmp, hadoop.Path(f"{base}/_current"), overwrite)
-    path = hadoop.Path
-    names = sorted(s.getPath().getName() for s in fs.listStatus(path(base))
-                   if s.getPath().getName().startswith("snapshot-"))
-    for old in names[:-keep]:
-        fs.delete(path(f"{base}/{old}"), True)
+    for old in _versions(spark, base)[:-keep]:
+        pointer = hadoop_path(spark, f"{base}/_version-{old:012d}")[1]
+        if time.time() - fs.getFileStatus(pointer).getModificationTime() / 1000 > max_age_seconds:
+            gone = _version(spark, base, old)[0]
+            fs.delete(pointer, False)
+            fs.delete(hadoop_path(spark, f"{base}/{gone}")[1], True)
     return f"{base}/{name}"
 
 
-def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
-    """Current version of a table, None when there is none yet."""
-    fs, pointer = hadoop_path(spark, f"{base}/_current")
-    if not fs.exists(pointer):
-        return None
-    stream = fs.open(pointer)
-    try:
-        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    finally:
-        stream.close()
-    return spark.read.parquet(f"{base}/{name.strip()}")
+def update_snapshot(spark: SparkSession, base: str, make: Callable[[DataFrame | None], DataFrame], tag: str = "-",
+                    attempts: int = 5) -> str:
+    """Commit ``make(current version)``; if another writer was faster, make it again from what that one wrote."""
+    for left in reversed(range(attempts)):
+        number = max(_versions(spark, base), default=0)
+        try:
+            return commit_snapshot(make(read_snapshot(spark, base, number)), base, based_on=number, tag=tag)
+        except SnapshotConflict:
+            if not left:
+                raise
+
+
+def has_tag(spark: SparkSession, base: str, tag: str) -> bool:
+    """Whether a version still kept was committed with ``tag``."""
+    return any(_version(spark, base, n)[1] == tag for n in _versions(spark, base))
+
+
+def read_snapshot(spark: SparkSession, base: str, number: int | None = None) -> DataFrame | None:
+    """A version of a table, by default the newest; None when there is none yet."""
+    if number is None:
+        number = max(_versions(spark, base), default=0)
+    return spark.read.parquet(f"{base}/{_version(spark, base, number)[0]}") if number else None
 
 
 def export_bundle(folders: DataFrame, datasets: DataFrame, history: DataFrame, workspace: str,

@@ -10,8 +10,6 @@ from cairnbook.plans.registry import query
 from cairnbook.session import new_dir
 from cairnbook.streaming import jobs
 
-_DELAY_US = 600_000_000
-
 
 def _stream(t, name):
     """Stream over one table, be it a file or a folder of files: hence the path as a glob."""
@@ -39,20 +37,27 @@ def _st1(t):
         F.sum("row_count").alias("row_count"))
 
 
-def _closed_sessions(key, gap, source="events"):
-    """Sessions that ended before the final watermark, which trails the newest event."""
+def _all_bursts(t, bursts, label, key, seconds, names):
+    """What a run emits, and what it leaves open at its end."""
+    out, checkpoint = new_dir(t.spark, label), new_dir(t.spark, f"{label}-state")
+    jobs.run_available(bursts, out, checkpoint)
+    emitted = t.spark.read.schema(bursts.schema).parquet(out)
+    return emitted.unionByName(jobs.open_bursts(t.spark, checkpoint, key, seconds, names))
+
+
+def _sessions(key, gap, source="events"):
+    """Runs of events of a key that are at most ``gap`` seconds apart."""
     cols = ", ".join(key)
     return f"""SELECT {cols}, CAST(min(us) AS BIGINT) AS first_us, CAST(max(us) AS BIGINT) AS last_us, count(*) AS n FROM (
  SELECT *, sum(opens) OVER (PARTITION BY {cols} ORDER BY us) AS sid FROM (
   SELECT {cols}, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY {cols} ORDER BY ts)
-    <= {gap} * 1000000::BIGINT THEN 0 ELSE 1 END AS opens FROM {source})) GROUP BY {cols}, sid
-HAVING max(us) + {gap} * 1000000::BIGINT <= (SELECT (max(epoch_us(ts)) - {_DELAY_US}) // 1000 * 1000 FROM events)"""
+    <= {gap} * 1000000::BIGINT THEN 0 ELSE 1 END AS opens FROM {source})) GROUP BY {cols}, sid"""
 
 
 _ROOTS = ["/u1", "/u22/", "/u2", "/u3", "/u"]
 
 
-@query("st2_debounce", sql=_closed_sessions(["folder"], 600, """(SELECT ts, CASE
+@query("st2_debounce", sql=_sessions(["folder"], 600, """(SELECT ts, CASE
    WHEN starts_with(path, '/u1') THEN '/u1' WHEN starts_with(path, '/u22/') THEN '/u22/' WHEN starts_with(path, '/u2') THEN '/u2'
    WHEN starts_with(path, '/u3') THEN '/u3' ELSE '/u' END AS folder
   FROM (SELECT ts, '/u' || user_id || '/' || event_type AS path FROM events))"""))
@@ -61,15 +66,15 @@ def _st2(t):
     path = F.concat(F.lit("/u"), "user_id", F.lit("/"), "event_type")
     changes = _events(t).withColumn("folder", jobs.root_of(path, _ROOTS))
     bursts = jobs.debounce(changes, "folder", "ts", quiet_seconds=600)
-    return _appended(t, bursts, "debounce").select(
+    return _all_bursts(t, bursts, "debounce", ["folder"], 600, ("first_change", "last_change", "changes")).select(
         "folder", F.unix_micros("first_change").alias("first_us"), F.unix_micros("last_change").alias("last_us"),
         F.col("changes").alias("n"))
 
 
-@query("st3_duplicate_alerts", sql=_closed_sessions(["user_id", "event_type"], 7200))
+@query("st3_duplicate_alerts", sql=_sessions(["user_id", "event_type"], 7200))
 def _st3(t):
     alerts = jobs.suppress_duplicates(_events(t), ["user_id", "event_type"], "ts", seconds=7200)
-    return _appended(t, alerts, "alerts").select(
+    return _all_bursts(t, alerts, "alerts", ["user_id", "event_type"], 7200, ("first_seen", "last_seen", "repeats")).select(
         "user_id", "event_type", F.unix_micros("first_seen").alias("first_us"),
         F.unix_micros("last_seen").alias("last_us"), F.col("repeats").alias("n"))
 

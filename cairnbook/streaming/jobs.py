@@ -105,6 +105,18 @@ def suppress_duplicates(alerts: DataFrame, key: list[str], ts: str, seconds: int
             .select(*key, F.col("w.start").alias("first_seen"), (F.col("w.end") - gap).alias("last_seen"), "repeats"))
 
 
+def open_bursts(spark: SparkSession, checkpoint: str, key: list[str], seconds: int, names: tuple[str, str, str]) -> DataFrame:
+    """Bursts still open when a run of :func:`debounce` or :func:`suppress_duplicates` has stopped, read from its state.
+
+    Emitted bursts have left the state, so both together are all bursts; ``names`` are those of the emitted
+    first, last and count columns.
+    """
+    state = spark.read.format("statestore").load(checkpoint).select("value.*")
+    gap = F.expr(f"INTERVAL {seconds} SECONDS")
+    return state.select(*key, F.col("session_window.start").alias(names[0]), (F.col("session_window.end") - gap).alias(names[1]),
+                        F.col("count").alias(names[2]))
+
+
 def _merge_runs(ts: str, seconds: int, key: list[str]):
     """Collapse an Arrow batch to runs of equal alerts, so a hot key shuffles few rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,8 +177,9 @@ def alert_states(alerts: DataFrame, key: list[str], ts: str, seconds: int = DUPL
             state.setTimeoutTimestamp(min(a[2] for a in known) // 1000 + seconds * 1000)
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([(*group, "-".join([*map(str, group), str(a[0])]), pd.Timestamp(a[1], unit="us"),
-                             pd.Timestamp(a[2], unit="us"), a[3]) for a in touched.values()], columns=names)
+        if touched:
+            yield pd.DataFrame([(*group, "-".join([*map(str, group), str(a[0])]), pd.Timestamp(a[1], unit="us"),
+                                 pd.Timestamp(a[2], unit="us"), a[3]) for a in touched.values()], columns=names)
 
     slim = alerts.select(*key, F.col(ts).cast("timestamp").alias(ts))
     run_schema = T.StructType([*[slim.schema[k] for k in key], T.StructField("first_seen", T.TimestampType()),
@@ -206,22 +219,27 @@ def upsert_stream(df: DataFrame, base: str, key: list[str], checkpoint: str, mod
 
     Rows of a batch replace stored rows with the same key.  With ``rank`` a row is only
     replaced by one of at least the same rank, as when shallow records are filled in later.
-    Each batch commits one snapshot, so a replayed batch leads to the same table.
+    Each batch commits one snapshot that carries its number, so a replayed batch commits nothing.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        order = rank or key[0]
-        stored = sinks.read_snapshot(spark, base)
+        tag = f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}:{batch_id}"
+        if not sinks.has_tag(batch.sparkSession, base, tag):  # else a replay of what is already in the table
+            sinks.update_snapshot(batch.sparkSession, base, lambda stored: merged(batch, stored), tag)
+
+    def merged(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
         if stored is None:
-            stored = spark.createDataFrame([], batch.schema)
-        best = batch.groupBy(*key).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in key]), order).alias("_b"))
+            stored = batch.sparkSession.createDataFrame([], batch.schema)
+        rest = F.struct(*[c for c in batch.columns if c not in key])
+        # Among equal ranks the greatest row, so that a replay chooses the same.
+        order = F.struct(F.col(rank), rest) if rank is not None else rest
+        best = batch.groupBy(*key).agg(F.max_by(rest, order).alias("_b"))
         live = best.select(*key, "_b.*").select(*batch.columns)
         if rank is not None:
             newest = stored.select(*key, F.col(rank).alias("_old_rank"))
             live = live.join(newest, key, "left").where(
                 F.col("_old_rank").isNull() | (F.col(rank) >= F.col("_old_rank"))).select(*batch.columns)
         kept = stored.join(live.select(*key), key, "left_anti").select(*batch.columns)
-        sinks.commit_snapshot(kept.unionByName(live), base)
+        return kept.unionByName(live)
 
     run_batches(df, each, checkpoint, mode)
 

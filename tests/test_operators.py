@@ -1,5 +1,6 @@
 """Operators on small cases and against plain-Python models."""
 
+import os
 import random
 
 import pytest
@@ -315,6 +316,43 @@ def test_snapshots(spark):
         assert sinks.read_snapshot(spark, base).count() == n
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    base = str(tmp_path / "both")
+    sinks.commit_snapshot(spark.range(1), base)
+    other = []
+
+    def make(stored):
+        if not other:  # meanwhile another writer commits
+            other.append(sinks.update_snapshot(spark, base, lambda now: now.unionByName(spark.range(10, 11))))
+        return stored.unionByName(spark.range(20, 21))
+
+    sinks.update_snapshot(spark, base, make, "mine")
+    assert sorted(r.id for r in sinks.read_snapshot(spark, base).collect()) == [0, 10, 20]
+    with pytest.raises(sinks.SnapshotConflict):
+        sinks.commit_snapshot(spark.range(5), base, based_on=1)
+    assert len([p for p in os.listdir(base) if p.startswith("snapshot-")]) == 3
+    assert sinks.has_tag(spark, base, "mine") and not sinks.has_tag(spark, base, "other")
+    sinks.commit_snapshot(spark.range(2), base, max_age_seconds=0)
+    assert len([p for p in os.listdir(base) if p.startswith("snapshot-")]) == 2
+
+
+def test_a_replayed_batch_commits_nothing(spark, tmp_path):
+    from cairnbook.streaming import jobs
+    inbox, base = str(tmp_path / "in"), str(tmp_path / "table")
+    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k long, v string").coalesce(1).write.parquet(inbox)
+
+    def stream():
+        return spark.readStream.schema("k long, v string").parquet(inbox)
+
+    jobs.upsert_stream(stream(), base, ["k"], str(tmp_path / "ck"), "append")
+    first = sorted(map(tuple, sinks.read_snapshot(spark, base).collect()))
+    assert first == [(1, "b"), (2, "c")] and len([p for p in os.listdir(base) if p.startswith("snapshot-")]) == 1
+    for name in ("0", ".0.crc"):  # as if the run had died after its commit to the table
+        os.remove(str(tmp_path / "ck" / "commits" / name))
+    jobs.upsert_stream(stream(), base, ["k"], str(tmp_path / "ck"), "append")
+    assert len([p for p in os.listdir(base) if p.startswith("snapshot-")]) == 1
+
+
 def test_import(spark):
     cur = spark.createDataFrame([("/a", 1), ("/b", 1)], "path string, v int")
     imp = spark.createDataFrame([("/b", 2), ("/c", 2)], "path string, v int")
