@@ -15,7 +15,8 @@ from pyspark.sql.types import StructType
 
 from cairnbook.operators.numbering import number_rows
 from cairnbook.session import hadoop_path
-from cairnbook.sources.readers import read_csv_ladder, read_table
+from cairnbook.sources.catalog import count_lines
+from cairnbook.sources.readers import csv_files, read_csv_ladder, read_table
 
 # Version of the export bundle, queries exported.
 BUNDLE_VERSION = "1.0"
@@ -36,7 +37,7 @@ def free_target(spark: SparkSession, folder: str, stem: str) -> str:
 
 
 def convert(spark: SparkSession, source: str, folder: str) -> dict:
-    """Convert a table file to zstd Parquet beside others; returns target and both sizes.
+    """Convert a table file to zstd Parquet beside others; returns target, both sizes, rows and, for CSV, rows left out.
 
     The output committer publishes the files only when every task has finished.
     """
@@ -45,11 +46,16 @@ def convert(spark: SparkSession, source: str, folder: str) -> dict:
     if ext == "parquet":
         raise ValueError("file is already Parquet")
     target = free_target(spark, folder, stem)
+    dropped = None
     if ext == "csv":
-        read_csv_ladder(spark, source, target)
+        made, rung = read_csv_ladder(spark, source, target)
+        files = csv_files(spark, source)
+        heads = 0 if rung == 3 else files.count()
+        dropped = int(count_lines(files).agg(F.sum("lines")).first()[0] or 0) - heads - made.count()
     else:
         read_table(spark, source, ext).write.mode("errorifexists").option("compression", "zstd").parquet(target)
-    return {"target": target, "source_bytes": _bytes(spark, source), "target_bytes": _bytes(spark, target)}
+    return {"target": target, "source_bytes": _bytes(spark, source), "target_bytes": _bytes(spark, target),
+            "rows": spark.read.parquet(target).count(), "dropped_rows": dropped}
 
 
 def _latest(updates: DataFrame, key: list[str], seq: str) -> DataFrame:

@@ -116,6 +116,9 @@ def test_convert_never_overwrites(spark, tmp_path):
     targets = [sinks.convert(spark, f"{tmp_path}/t.csv", str(tmp_path)) for _ in range(3)]
     assert [os.path.basename(t["target"]) for t in targets] == ["t.parquet", "t-converted-1.parquet", "t-converted-2.parquet"]
     assert all(t["source_bytes"] == 8 and t["target_bytes"] > 0 for t in targets)
+    assert [(t["rows"], t["dropped_rows"]) for t in targets] == [(1, 0)] * 3
+    _write(f"{tmp_path}/ragged.csv", "id,name\n1,a\n2\n3,c,more\n4,d,more,more\n")
+    assert [sinks.convert(spark, f"{tmp_path}/ragged.csv", str(tmp_path))[k] for k in ("rows", "dropped_rows")] == [2, 2]
     with pytest.raises(ValueError):
         sinks.convert(spark, targets[0]["target"], str(tmp_path))
 
