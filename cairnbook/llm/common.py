@@ -41,6 +41,11 @@ def worker_memory(name: str, make):
     return held.value
 
 
+def forget() -> None:
+    """Drop what :func:`worker_memory` keeps; tasks that need none of it begin with this."""
+    worker_memory("", lambda: None)
+
+
 def give_back() -> None:
     """Return memory that a finished task has freed to the machine; workers live on and share it with others."""
     pa.default_memory_pool().release_unused()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnbook.llm.common import BATCH_ROWS, blocks, table, whole_texts
+from cairnbook.llm.common import BATCH_ROWS, blocks, forget, table, whole_texts
 
 PER_LANGUAGE = 600
 BUCKETS = 1 << 18
@@ -136,6 +136,7 @@ def _has_letter(text: bytes) -> bool:
 
 
 def _predict(batches, model: Model | None):
+    forget()
     for batch, data, starts in blocks(batches, _PART):
         best, score, rejected = judge(data, starts, model)
         yield table({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": best,
@@ -143,6 +144,7 @@ def _predict(batches, model: Model | None):
 
 
 def _accepted(batches, model: Model | None, text_col: str):
+    forget()
     for batch in batches:
         slim = pa.RecordBatch.from_arrays([batch.column(text_col).fill_null("")], names=["text"])
         kept = [~judge(data, starts, model)[2] for _, data, starts in blocks([slim], _PART)]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnbook.llm.common import blocks, table, whole_texts, written
+from cairnbook.llm.common import blocks, forget, table, whole_texts, written
 from cairnbook.llm.components import components
 
 SHINGLE = 4
@@ -53,6 +53,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches, shingle: int):
+    forget()
     for batch, data, starts in blocks(batches):
         raw = data.tobytes()
         values = [fingerprint(raw[a:b], shingle) for a, b in zip(starts[:-1], starts[1:])]
