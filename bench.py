@@ -19,6 +19,7 @@ from cairnbook.plans import QUERIES  # noqa: E402
 from cairnbook.session import local_session  # noqa: E402
 
 HEADLINE = {
+    "t4_preview": "t4_preview",
     "t1_ranked_search": "t1_ranked_search",
     "a14_folder_fingerprint": "a14_folder_fingerprint",
     "j2_manifest_diff": "j2_manifest_diff",
