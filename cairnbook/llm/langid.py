@@ -6,7 +6,7 @@ driver, from a sample of at most ``per_language`` labelled rows of each language
 kept from training to calibrate: a temperature, fitted on whole texts and short pieces, makes the scores
 probabilities, and a text is
 rejected when its score, or the share of its n-grams that training met, is below what all but
-``reject_share`` of these texts reach (but not when both are above one half).  Prediction reads whole texts in one pass; as the map is
+``reject_share`` of these texts reach.  Prediction reads whole texts in one pass; as the map is
 linear, embeddings and map are multiplied once and a text costs one table row per n-gram.
 """
 
@@ -77,6 +77,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
+def _line(reached: np.ndarray, share: float) -> float:
+    """What all but ``share`` of texts reach.  So rare a value lies below the lowest of fewer than 1 / ``share``
+    texts: their line goes down by the log odds that are missing (a logistic tail)."""
+    at = float(np.clip(np.quantile(reached, share), 0.001, 0.999))
+    odds = at / (1 - at) * min(1.0, len(reached) * share)
+    return odds / (1 + odds)
+
+
 def train(sample: list[tuple[str, str]], *, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS,
           reject_share: float = REJECT_SHARE, seed: int = 7) -> Model:
     """Model of ``(language, text)`` rows; the order of the rows does not matter."""
@@ -104,9 +112,12 @@ def train(sample: list[tuple[str, str]], *, buckets: int = BUCKETS, dimensions:
         for i in rng.permutation(len(rows)):
             label, text = rows[i]
             for used, share in (bags[i], _bag(snippet(text), buckets)):
-                rate = np.float32(2.0 * (1 - done / steps))
+                rate = 2.0 * (1 - done / steps)
                 done += 1
                 mean = share @ embed[used]
+                # How far the scores of this very text move per error; a step beyond it (one word repeated) diverges.
+                moved = mean @ mean + 20 * (share @ share) * (linear * linear).sum()
+                rate = np.float32(rate / max(1.0, rate * moved))
                 error = _softmax(mean @ linear)
                 error[label] -= 1
                 back = linear @ error
@@ -125,9 +136,8 @@ def train(sample: list[tuple[str, str]], *, buckets: int = BUCKETS, dimensions:
     trials = np.exp(np.linspace(0, 3, 31))  # never sharper than trained: no error in a sample is no proof
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in trials]
     model.temperature = float(trials[int(np.argmin(loss))])
-    right = _softmax(logits[:whole] / model.temperature)[np.arange(whole), truth[:whole]] if whole else np.ones(1)
-    model.threshold = float(min(0.5, np.quantile(right, reject_share)))
-    model.familiar = float(min(0.5, np.quantile(known, reject_share)))
+    model.threshold = _line(_softmax(logits[:whole] / model.temperature).max(1), reject_share)
+    model.familiar = _line(known, reject_share)
     return model
 
 

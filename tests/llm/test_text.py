@@ -84,6 +84,20 @@ def test_language_of_odd_rows(spark, documents, language_model):
     assert accepted.columns == df.columns and {r.doc_id for r in accepted.collect()} >= {None, 6}
 
 
+@pytest.mark.parametrize("left_out", ["de", "es", "fr"])
+def test_language_that_was_never_learned_is_rejected(spark, documents, left_out):
+    model = langid.language_model(documents.where(documents.lang != left_out))
+    got = {r.doc_id: r for r in langid.identify(documents, model).collect()}
+    unknown, known = ([got[r.doc_id] for r in documents.collect() if (r.lang == left_out) == yes] for yes in (True, False))
+    assert left_out not in model.names and len(unknown) > 10 and sum(r.rejected for r in unknown) >= 0.95 * len(unknown)
+    assert sum(r.rejected for r in known) <= 0.02 * len(known)
+
+
+def test_language_training_stays_finite_on_repeated_words():
+    sample = [("de", "der " * 300), ("en", "the " * 300), ("fr", "le " * 300)] * 40 + [("de", "das und die"), ("en", "and of the")] * 40
+    assert np.abs(langid.train(sample).weights).max() < 1e4
+
+
 def test_language_never_reads_held_out_labels(spark, documents):
     sample = langid.labelled_sample(documents, 30)
     import zlib
