@@ -61,9 +61,9 @@ def op5_language_id(spark, sf_dir):
 
 @query
 def op6_quality(spark, sf_dir):
-    """Perplexity of every whole document under a model of all documents labelled good and not toxic."""
-    trusted = read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
-    return quality.quality(read(spark, sf_dir, "documents"), trusted)
+    """Perplexity of every whole document under a model of documents labelled good and not toxic; a fifth of them judges."""
+    trusted, held = quality.split_trusted(read(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0"))
+    return quality.quality(read(spark, sf_dir, "documents"), trusted, held=held, lowest=quality.LOWEST)
 
 
 @query

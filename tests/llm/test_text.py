@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 import numpy as np  # noqa: E402
 
-from cairnbook.llm import decontaminate, langid, quality, secret_scan  # noqa: E402
+from cairnbook.llm import decontaminate, langid, quality, queries, secret_scan  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 KEY = lambda row: tuple(map(str, row))
@@ -145,6 +145,18 @@ def test_quality_tells_junk_from_prose(spark, documents):
     assert len(good & kept) >= 0.9 * len(good)
 
 
+def test_quality_drops_labelled_junk_and_toxic_rows(spark):
+    """At the production setting, that of the query."""
+    sf = SF.replace("0.001", "0.01")
+    kept = {r.doc_id for r in queries.QUERIES["op6_quality"](spark, sf).collect() if r.kept}
+    ids: dict[tuple, set] = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        ids.setdefault((r.quality, r.toxic), set()).add(r.doc_id)
+    junk, toxic, good = ids[0, 0] | ids[0, 1], ids[1, 1], ids[1, 0]
+    assert len(junk & kept) <= 0.2 * len(junk) and len(toxic & kept) <= 0.6 * len(toxic)
+    assert len(good & kept) >= 0.85 * len(good)
+
+
 @pytest.fixture(scope="module")
 def field(documents):
     return secret_scan.field_of(documents)
