@@ -26,6 +26,7 @@ SCALE = 64
 BLOCK_ROWS = 4096
 GROUP_ROWS = 1024
 _FIRST_DEPTH = 32
+_SMALL = float(1 << 20)
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -38,7 +39,7 @@ def _pack(batches):
     def row():
         ids, vecs = (np.concatenate(x) for x in zip(*held))
         return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([ids.tobytes()], pa.binary()),
-                                           pa.array([np.ascontiguousarray(vecs, np.int32).tobytes()], pa.binary())],
+                                           pa.array([np.ascontiguousarray(vecs).tobytes()], pa.binary())],
                                           names=["block", "ids", "vecs"])
 
     for batch in batches:
@@ -53,7 +54,7 @@ def _pack(batches):
                 yield row()
                 held = []
             now = int(block[lo])
-            held.append((ids[lo:hi], flat[lo:hi].astype(np.int32)))
+            held.append((ids[lo:hi], np.floor(flat[lo:hi])))
     if held:
         yield row()
 
@@ -68,7 +69,7 @@ def walk_lists(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vect
     """The ``k`` best candidates of each query: ``(rows of queries, rows of candidates, scores)``.
 
     Components are whole numbers so small that all products and sums are exact in double precision,
-    which :func:`top_k` makes sure of.
+    which :func:`_search` makes sure of.
     """
     many, dims = vectors.shape
     order = np.argsort(vectors, axis=0, kind="stable")  # the sorted lists, lowest first
@@ -131,15 +132,35 @@ def walk_lists(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vect
     return rows_q[keep], rows_c[keep], scores[keep].astype(np.int64)
 
 
+def score_all(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
+    """Like :func:`walk_lists`, in whole numbers of any size and by looking at every candidate."""
+    exact = np.vectorize(int, otypes=[object])
+    rows_q, rows_c, scores = [], [], []
+    values = exact(vectors).T if vectors.size else None
+    for q in range(len(queries) if vectors.size else 0):
+        said = exact(queries[q]) @ values
+        best = sorted((-s, i, c) for c, (s, i) in enumerate(zip(said, ids.tolist())) if i != query_ids[q])[:k]
+        rows_q += [q] * len(best)
+        rows_c += [c for _, _, c in best]
+        scores += [-s for s, _, _ in best]
+    return np.array(rows_q, np.int64), np.array(rows_c, np.int64), scores
+
+
 def _search(batches, k: int):
     for batch in batches:
         for row in batch.to_pylist():
             ids, queries = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
             if not len(ids) or not len(queries):
                 continue
-            q, c, score = walk_lists(queries, np.frombuffer(row["q_vecs"], np.int32).reshape(len(queries), -1),
-                                     ids, np.frombuffer(row["vecs"], np.int32).reshape(len(ids), -1), k)
-            yield table({"query_id": queries[q], "vec_id": ids[c], "score": score}, _FOUND)
+            vecs = np.frombuffer(row["vecs"], np.float64).reshape(len(ids), -1)
+            probes = np.frombuffer(row["q_vecs"], np.float64).reshape(len(queries), -1)
+            # Below this size all products and sums of a pair are exact in double precision.
+            small = min(_SMALL, (2.0 ** 53 / vecs.shape[1]) ** 0.5)
+            little, few = np.abs(vecs).max(1) < small, np.abs(probes).max(1) < small
+            for search, by, of in ((walk_lists, few, little), (score_all, few, ~little), (score_all, ~few, np.ones(len(ids), bool))):
+                if by.any() and of.any():
+                    q, c, score = search(queries[by], probes[by], ids[of], vecs[of], k)
+                    yield table({"query_id": queries[by][q], "vec_id": ids[of][c], "score": score}, _FOUND)
 
 
 def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SCALE, block_rows: int = BLOCK_ROWS,
@@ -147,17 +168,17 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SC
     """``query_id, rank, vec_id, score`` of the ``k`` best rows for each row whose id is divisible by ``every``.
 
     Components become ``floor(scale * x)``.  Null vectors, vectors with null or non-finite components and rows
-    without id take no part; neither do vectors whose score could leave the whole numbers that double precision
-    holds (components of 2^20 and more after scaling).  Vectors only meet those of their own length.  Rows that
+    without id take no part.  Vectors too large for exact sums in double precision are scored in whole numbers of any
+    size; a score that does not fit 64 bits ends the run with an error, as the cast of the SQL does.  Vectors only meet those of their own length.  Rows that
     share an id are not candidates for each other; fewer than ``k`` candidates are all returned; ties go to the
     smaller id; an empty table gives an empty one; other columns are not read.
     """
     spark = vectors.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    whole = F.transform(vectors[vector_col], lambda x: F.floor(x.cast("double") * scale))
-    sound = F.forall(vectors[vector_col], lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * scale) < (1 << 20)))
+    whole = F.transform(vectors[vector_col], lambda x: x.cast("double") * scale)
+    sound = F.forall(vectors[vector_col], lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     clean = (vectors.where(vectors[id_col].isNotNull() & sound & (F.size(vectors[vector_col]) > 0))
-             .select(vectors[id_col].cast("long").alias("vec_id"), whole.cast("array<long>").alias("vec")))
+             .select(vectors[id_col].cast("long").alias("vec_id"), whole.alias("vec")))
     clean = written(clean.withColumn("dims", F.size("vec")), "vectors")
     sizes = {r["dims"]: (r["n"], r["q"]) for r in clean.groupBy("dims").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).collect()}

@@ -136,3 +136,14 @@ def test_top_k_of_odd_rows(spark):
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id long, embedding array<float>, score int, dims int")
     assert sorted(map(tuple, topk.top_k(df, block_rows=60, group_rows=7).collect())) == brute.top_k(rows)
     assert topk.top_k(df.limit(0)).collect() == []
+
+
+def test_top_k_keeps_large_finite_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-200, 200, 4) / 64]) for i in range(150)]
+    rows += [(200 + i, [float(x) for x in rng.integers(-(1 << 23), 1 << 23, 4) * 3]) for i in range(30)]
+    rows += [(300, [16384.0, 0.0, 0.0, 1.0]), (301, [-(2.0 ** 21), 1.0, 0.5, 1.0]), (302, [1.0, 2.0 ** 22 + 1 / 64, 2.0 ** 22, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute.top_k(rows)
+    assert sorted(map(tuple, topk.top_k(df, block_rows=60, group_rows=7).collect())) == want
+    assert {200, 300} <= {q for q, *_ in want} and any(abs(s) > 1 << 53 for *_, s in want)
