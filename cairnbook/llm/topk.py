@@ -60,8 +60,8 @@ def _pack(batches):
 
 
 def _blocks(own: DataFrame, count: int) -> DataFrame:
-    """Vectors dealt by a hash of their ids into ``count`` blocks: ``block, ids, vecs``."""
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)))
+    """Vectors dealt by a hash of their row numbers into ``count`` blocks: ``block, ids, vecs``."""
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(count)))
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_pack, "block long, ids binary, vecs binary")
 
 
@@ -179,12 +179,12 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SC
     sound = F.forall(vectors[vector_col], lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     clean = (vectors.where(vectors[id_col].isNotNull() & sound & (F.size(vectors[vector_col]) > 0))
              .select(vectors[id_col].cast("long").alias("vec_id"), whole.alias("vec")))
-    clean = written(clean.withColumn("dims", F.size("vec")), "vectors")
+    clean = written(clean.withColumn("dims", F.size("vec")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     sizes = {r["dims"]: (r["n"], r["q"]) for r in clean.groupBy("dims").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("long")).alias("q")).collect()}
     found = None
     for dims, (n, q) in sorted(sizes.items()):
-        own = clean.where(F.col("dims") == dims).select("vec_id", "vec")
+        own = clean.where(F.col("dims") == dims).select("row", "vec_id", "vec")
         blocks_wanted, groups = max(1, -(-n // block_rows)), max(1, -(-q // group_rows))
         # Every pair of a block and a group is a task's worth of work of its own.
         all_of = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))

@@ -147,3 +147,20 @@ def test_top_k_keeps_large_finite_vectors(spark):
     want = brute.top_k(rows)
     assert sorted(map(tuple, topk.top_k(df, block_rows=60, group_rows=7).collect())) == want
     assert {200, 300} <= {q for q, *_ in want} and any(abs(s) > 1 << 53 for *_, s in want)
+
+
+def test_rows_of_one_id_are_dealt_to_all_blocks(spark):
+    df = spark.range(2000).selectExpr("id AS row", "7L AS vec_id", "array(1.0D) AS vec")
+    sizes = [len(r.ids) // 8 for r in topk._blocks(df, 10).collect()]
+    assert sum(sizes) == 2000 and len(sizes) == 10 and max(sizes) < 300
+
+
+def test_top_k_of_repeated_ids_is_that_of_the_sql(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 130, [float(x) for x in rng.integers(-9, 9, 4)]) for i in range(300)]
+    want = {}
+    for q, v in (r for r in rows if r[0] % 20 == 0):
+        want.setdefault(q, []).extend((-64 * 64 * sum(a * b for a, b in zip(v, w)), j) for j, w in rows if j != q)
+    want = sorted((q, r, j, int(-s)) for q, found in want.items() for r, (s, j) in enumerate(sorted(found)[:20], 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df, block_rows=60, group_rows=7).collect())) == want
