@@ -32,6 +32,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)
 
 
+def joined_to_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], count: str) -> DataFrame:
+    """``rows`` left-joined to one row per key, without a task for all rows of a frequent key.
+
+    ``groups`` says in the column ``count`` how many rows each key has.  Keys with more than a fourth of what a
+    partition holds on average are broadcast: there are at most four of them per partition.  All others are shuffled.
+    """
+    keys = [key] if isinstance(key, str) else key
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = max(1, rows.count() // (4 * parts))
+    heavy, light = F.broadcast(groups.where(F.col(count) > line)), groups.where(F.col(count) <= line)
+    few = rows.join(F.broadcast(groups.where(F.col(count) > line).select(*keys)), keys, "left_anti")
+    return rows.join(heavy, keys).unionByName(few.join(light, keys, "left"))
+
+
 def worker_memory(name: str, make):
     """A value kept by a Python worker from task to task, until a value of another name takes its place."""
     held = sys.modules.setdefault("_cairnbook_worker", types.ModuleType("_cairnbook_worker"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnbook.llm import decontaminate, langid, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, topk
+from cairnbook.llm import decontaminate, exact_dedup, langid, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, topk
 from cairnbook.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,18 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op12_exact_dedup(spark, sf_dir):
+    """Groups of equal texts of all documents; the largest id of a group stays."""
+    return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (same ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 ORACLES["op10_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec FROM embeddings
