@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cairnbook.llm import decontaminate, exact_dedup, langid, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, topk
+from cairnbook.llm import decontaminate, exact_dedup, langid, packing, quality, resample, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts, topk, vector_codes
 from cairnbook.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,45 @@ def op10_top_k(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_vector_codes(spark, sf_dir):
+    """Codes of all vectors: four parts, 256 entries, four rounds."""
+    return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def _vector_round(k: int) -> str:
+    """Nearest entries under the codebooks of round ``k``, distance and number in one value, and the next codebooks."""
+    return f"""near{k} AS MATERIALIZED (
+  SELECT r, p, min((list_inner_product(x.part, x.part) - 2 * list_inner_product(x.part, c.part) + list_inner_product(c.part, c.part))::BIGINT
+    * 256 + e) AS best FROM x JOIN book{k} c USING (p) GROUP BY r, p
+), mean{k} AS (
+  SELECT p, e, list(floor(s::DOUBLE / n) ORDER BY i) AS part FROM (
+    SELECT p, best % 256 AS e, i, sum(y) AS s, count(*) AS n
+    FROM (SELECT r, p, unnest(part) AS y, unnest(range(len(part))) AS i FROM x) JOIN near{k} USING (r, p) GROUP BY p, best % 256, i)
+  GROUP BY p, e
+), book{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.part, b.part) AS part FROM book{k} b LEFT JOIN mean{k} m USING (p, e)
+)"""
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label,
+    list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), x AS MATERIALIZED (SELECT r, p, vec[p * (len(vec) // 4) + 1:(p + 1) * (len(vec) // 4)] AS part FROM v, range(4) t(p)
+), book0 AS (SELECT p, r AS e, part FROM x WHERE r < 256
+), {", ".join(_vector_round(k) for k in range(4))}, near4 AS (
+  SELECT r, p, min((list_inner_product(x.part, x.part) - 2 * list_inner_product(x.part, c.part) + list_inner_product(c.part, c.part))::BIGINT
+    * 256 + e) AS best FROM x JOIN book4 c USING (p) GROUP BY r, p
+), coded AS (
+  SELECT r, string_agg(format('{{:02x}}', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM near4 GROUP BY r
+), said AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(part, lambda y: y::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) AS s FROM book4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, s AS codebooks_sha256
+FROM v JOIN coded USING (r), said
+"""
+
+
 @query
 def op12_exact_dedup(spark, sf_dir):
     """Groups of equal texts of all documents; the largest id of a group stays."""
@@ -103,6 +142,47 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+@query
+def op13_resample(spark, sf_dir):
+    """A tenth of all documents of 20 words or more, drawn towards the words of the benchmark."""
+    rows = resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# CRC-32 of a word: its bytes, as numbers, shift through the table of the polynomial.
+ORACLES["op13_resample"] = r"""
+WITH crc AS (
+  SELECT list(list_reduce([b] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+  FROM range(256) x(b)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s FROM benchmark
+), dw AS (SELECT r, s, count(*) AS n FROM (SELECT r, unnest(w) AS s FROM d) GROUP BY r, s
+), word AS (
+  SELECT s, xor(list_reduce([4294967295] || list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+    lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS k
+  FROM (SELECT s, hex(encode(s)) AS h FROM (SELECT s FROM dw UNION SELECT s FROM b)), crc
+), mine AS (SELECT k, sum(n) AS s FROM dw JOIN word USING (s) GROUP BY k
+), goal AS (SELECT k, count(*) AS t FROM b JOIN word USING (s) GROUP BY k
+), gain AS (
+  SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM mine), 0) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM goal), 0) + 10000)::DOUBLE)))::BIGINT AS g
+  FROM (SELECT DISTINCT k FROM word) LEFT JOIN mine USING (k) LEFT JOIN goal USING (k)
+), total AS (SELECT r, sum(g * n)::BIGINT AS g, sum(n)::BIGINT AS n FROM dw JOIN word USING (s) JOIN gain USING (k) GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features,
+    coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS gumbel
+  FROM d LEFT JOIN total USING (r)
+), placed AS (
+  SELECT *, weight + gumbel AS score, count(*) FILTER (words >= 20) OVER () AS many,
+    row_number() OVER (PARTITION BY words >= 20 ORDER BY weight + gumbel DESC, doc_id NULLS LAST, n_features, weight) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= 10 * many // 100 THEN place END AS rank FROM placed
+"""
+
 ORACLES["op10_top_k"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vec FROM embeddings
