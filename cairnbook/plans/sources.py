@@ -7,9 +7,10 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import functions as F
 
+from cairnbook.operators import drift
 from cairnbook.plans.registry import query
 from cairnbook.session import new_dir
-from cairnbook.sources import catalog, keyvalue, readers, tree, workbook
+from cairnbook.sources import catalog, keyvalue, listing, readers, tree, workbook
 
 
 @query("sc1_parquet_scan", sql="""
@@ -205,3 +206,61 @@ SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT c
 FROM (SELECT {_ORDER_CLASS} AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))""")
 def _sc12t(t):
     return tree.walk_totals(tree.walk_tree(_edges(t), "root"))
+
+
+# Documents of which the last has a word where the others have a number, and the only value of one field.
+_LATE_SQL = """(SELECT CAST(doc_id AS VARCHAR) AS id, lang, CASE WHEN doc_id = last THEN 'many' ELSE CAST(n_chars AS VARCHAR) END AS size,
+  CAST(n_chars % 7 / 2.0 AS VARCHAR) AS half, CASE WHEN doc_id = last THEN '2024-02-29' END AS late
+  FROM documents, (SELECT max(doc_id) AS last FROM documents))"""
+_NARROWED_SQL = """CASE WHEN count(v) = 0 THEN 'VARCHAR' WHEN bool_and(lower(v) IN ('true', 'false')) THEN 'BOOLEAN'
+  WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]{1,18}')) THEN 'BIGINT' WHEN bool_and(v IS NULL OR TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 'DOUBLE'
+  WHEN bool_and(v IS NULL OR regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND TRY_CAST(v AS DATE) IS NOT NULL) THEN 'DATE' ELSE 'VARCHAR' END"""
+
+
+def _late_folder(t, kind, late=True):
+    """The documents as CSV or JSON lines in several files, in the order of their ids."""
+    last = F.col("doc_id") == F.col("last")
+    rows = t.documents.join(F.broadcast(t.documents.agg(F.max("doc_id").alias("last")))).withColumn("half", F.col("n_chars") % 7 / 2)
+    own = [F.col("doc_id").alias("id"), "lang"]
+    path = new_dir(t.spark, f"late-{kind}")
+    if kind == "csv":
+        size = F.when(last & F.lit(late), "many").otherwise(F.col("n_chars").cast("string"))
+        rows = rows.select(*own, size.alias("size"), "half", F.when(last & F.lit(late), "2024-02-29").alias("late"))
+        rows.repartitionByRange(3, "id").sortWithinPartitions("id").write.option("header", "true").csv(path)
+    else:
+        plain = rows.where(~last).select("doc_id", F.to_json(F.struct(*own, F.col("n_chars").alias("size"), "half")).alias("value"))
+        odd = rows.where(last).select("doc_id", F.to_json(F.struct(
+            *own, F.lit("many").alias("size"), "half", F.lit("2024-02-29").alias("late"))).alias("value"))
+        lines = plain.unionByName(odd).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select("value")
+        lines.write.text(path)
+    return path
+
+
+@query("sc7_late_types", sql=f"""
+WITH odd AS {_LATE_SQL}
+SELECT kind, name, rows, CASE WHEN kind = 'json' AND name = 'late' THEN 'VARCHAR' ELSE type END AS type FROM (
+ SELECT name, {_NARROWED_SQL} AS type, (SELECT count(*) FROM documents) AS rows FROM (
+  SELECT name, v FROM odd UNPIVOT INCLUDE NULLS (v FOR name IN (id, lang, size, half, late))) GROUP BY name), (VALUES ('csv'), ('json')) k(kind)""")
+def _sc7t(t):
+    """Columns of documents written as CSV and as JSON lines; what the last record changes is in the schema."""
+    found = None
+    for kind in ("csv", "json"):
+        files = listing.list_files(t.spark, _late_folder(t, kind), "part-*").withColumn("file_format", F.lit(kind))
+        records = catalog.scan_files(t.spark, files).withColumn("kind", F.lit(kind))
+        counts = records.groupBy("kind").agg(F.sum("row_count").alias("rows"))
+        columns = catalog.dataset_schema(catalog.schema_columns(records, ["kind"], stored=True), ["kind"])
+        found = columns.join(counts, "kind") if found is None else found.unionByName(columns.join(counts, "kind"))
+    return found.select("kind", "name", "rows", "type")
+
+
+@query("j5_late_drift", sql="""
+SELECT 'TypeChanged' AS kind, 'size' AS name, 'BIGINT' AS old_type, 'VARCHAR' AS new_type WHERE (SELECT count(*) FROM documents) > 1
+UNION ALL SELECT 'TypeChanged', 'late', 'VARCHAR', 'DATE' WHERE (SELECT count(*) FROM documents) > 1""")
+def _j5l(t):
+    """Drift between two versions of a CSV folder that differ in their last record only."""
+    versions = []
+    for late in (False, True):
+        columns = catalog.schema_columns(catalog.scan_catalog(t.spark, _late_folder(t, "csv", late), "*.csv").withColumn(
+            "dataset", F.lit("documents")), ["dataset"], stored=True)
+        versions.append(catalog.dataset_schema(columns, ["dataset"]))
+    return drift.schema_diff(*versions, ["dataset"]).select("kind", "name", "old_type", "new_type")

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import csv
-import datetime
-import io
 import json
 import sys
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, zip_longest
 
 import numpy as np
 import pandas as pd
@@ -20,7 +18,10 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from cairnbook.functions.html import to_markdown
 from cairnbook.functions.text import extension
-from cairnbook.operators.privacy import MASK, is_personal
+from cairnbook.operators.privacy import MASK, is_personal, is_personal_col
+from cairnbook.session import cut_lineage
+from cairnbook.sources import fieldtypes
+from cairnbook.sources.jsonranges import RANGE_BYTES, json_facts
 from cairnbook.sources.listing import (DEFAULT_EXCLUDES, LISTED_BY_DEFAULT, _file_system, list_files, scan_tier,
                                        scannable, within_size)
 from cairnbook.sources.workbook import sheet_rows
@@ -29,8 +30,9 @@ SAMPLE_ROWS = 5
 CHUNK_BYTES = 64 << 20
 # A buffered read of this size instead of a whole row group when only the first rows are wanted.
 SAMPLE_BUFFER = 64 << 10
-# Rows from which the types of text columns are read.
-TYPE_ROWS = 1000
+# Records whose column types are folded at a time.
+_FOLD_ROWS = 5000
+_DELIMITED, _JSON = ("csv", "tsv"), ("json", "jsonl", "ndjson")
 
 _RECORD = ("path string, relative_path string, size_bytes long, modified timestamp, file_format string, tier string, "
            "row_count long, schema_json string, sample_rows string, samples_redacted boolean, error string")
@@ -66,62 +68,27 @@ def _masked(rows: list[dict]) -> str | None:
     return json.dumps([{k: MASK if is_personal(k) else v for k, v in r.items()} for r in rows], default=str)
 
 
-def _text_type(values: list[str]) -> str:
-    """Narrowest catalog type of all non-empty texts of a column."""
-    values = [v for v in values if v != ""]
-    tests = (("BIGINT", int), ("DOUBLE", float), ("DATE", datetime.date.fromisoformat), ("TIMESTAMP", datetime.datetime.fromisoformat))
-    if values and all(v.lower() in ("true", "false") for v in values):
-        return "BOOLEAN"
-    for name, parse in tests:
-        try:
-            for v in values:
-                if "_" in v or v != v.strip():  # Python reads these as numbers, tables do not
-                    raise ValueError(v)
-                parse(v)
-        except ValueError:
-            continue
-        if values:
-            return name
-    return "VARCHAR"
+def _sheet_facts(rows: Iterator[list[str]]) -> tuple[int, list[tuple[str, str, str]], list[dict]]:
+    """Count, columns and first rows of a sheet whose first row names the columns; types come from all rows."""
+    names = next(rows, [])
+    flags, first, count = [fieldtypes.UNSEEN] * len(names), [], 0
+    while part := list(islice(rows, _FOLD_ROWS)):
+        first += part[:SAMPLE_ROWS - len(first)]
+        count += len(part)
+        flags = _folded(part, flags)[:len(names)]
+    cols = [(n, fieldtypes.type_of(f), fieldtypes.NO_VALUES if f == fieldtypes.UNSEEN else fieldtypes.type_of(f)) for n, f in zip(names, flags)]
+    return count, cols, [dict(zip(names, r)) for r in first]
 
 
-def _json_type(values: list) -> str:
-    kinds = {type(v) for v in values if v is not None}
-    return {frozenset({bool}): "BOOLEAN", frozenset({int}): "BIGINT", frozenset({float}): "DOUBLE",
-            frozenset({int, float}): "DOUBLE"}.get(frozenset(kinds), "VARCHAR")
-
-
-def _text_table(rows: list[list[str]]):
-    names = rows[0] if rows else []
-    body = rows[1:]
-    cols = [(n, _text_type([r[i] for r in body if i < len(r)])) for i, n in enumerate(names)]
-    return cols, [dict(zip(names, r)) for r in body[:SAMPLE_ROWS]]
-
-
-def _json_records(handle):
-    """Count, first records and names of JSON lines, one array or one document."""
-    text = io.TextIOWrapper(handle, encoding="utf-8")
-    first, count = [], 0
-    try:
-        for line in text:
-            if line.strip():
-                found = json.loads(line)
-                for value in found if isinstance(found, list) else [found]:
-                    count += 1
-                    if len(first) < TYPE_ROWS:
-                        first.append(value)
-    except ValueError:
-        handle.seek(0)
-        found = json.loads(handle.read())
-        found = found if isinstance(found, list) else [found]
-        first, count = found[:TYPE_ROWS], len(found)
-    first = [r if isinstance(r, dict) else {"value": r} for r in first]
-    names = list(dict.fromkeys(k for r in first for k in r))
-    return count, [(n, _json_type([r.get(n) for r in first])) for n in names], first[:SAMPLE_ROWS]
+def _folded(rows: list[list[str]], flags: list[int]) -> list[int]:
+    """Type flags of the columns after some more records; records may be short or long."""
+    columns = list(zip_longest(*rows))
+    flags = flags + [fieldtypes.UNSEEN] * (len(columns) - len(flags))
+    return [fieldtypes.fold_texts(columns[i], f) if i < len(columns) else f for i, f in enumerate(flags)]
 
 
 def _inspect(path: str, fmt: str, tier: str) -> dict:
-    """Footer, or first records, of one file; read no further than its format needs.  Shallow files are not opened."""
+    """Footer and first rows of a Parquet file, all rows of a workbook, a page; shallow files are not opened."""
     cols, rows, count = [], [], None
     if tier != "shallow":
         with _open(path) as handle:
@@ -132,17 +99,8 @@ def _inspect(path: str, fmt: str, tier: str) -> dict:
                 filled = next((i for i in range(parquet.num_row_groups) if parquet.metadata.row_group(i).num_rows), None)
                 first = next(parquet.iter_batches(SAMPLE_ROWS, row_groups=[filled]), None) if filled is not None else None
                 rows = first.to_pylist()[:SAMPLE_ROWS] if first is not None else []
-            elif fmt in ("csv", "tsv"):
-                csv.field_size_limit(sys.maxsize)
-                lines = io.TextIOWrapper(handle, encoding="utf-8", errors="replace", newline="")
-                read = csv.reader(lines, delimiter="\t" if fmt == "tsv" else ",")
-                cols, rows = _text_table(list(islice((r for r in read if r), TYPE_ROWS + 1)))
-            elif fmt in ("json", "jsonl", "ndjson"):
-                count, cols, rows = _json_records(handle)
             elif fmt == "xlsx":
-                sheet = list(islice(sheet_rows(handle.read()), None))
-                cols, rows = _text_table(sheet[:TYPE_ROWS + 1])
-                count = max(len(sheet) - 1, 0)
+                count, cols, rows = _sheet_facts(sheet_rows(handle))
             elif fmt in ("html", "htm"):
                 title, body = to_markdown(handle.read().decode("utf-8", "replace"))
                 cols, rows, count = [("title", "VARCHAR"), ("markdown", "VARCHAR")], [{"title": title, "markdown": body}], 1
@@ -254,7 +212,10 @@ def count_lines(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     end inside quotes is no record end; every range says what it counts and how it ends for both ways it may
     begin, and a file's ranges, a few numbers each, are put together in order.
     """
-    counted = _range_facts(files, chunk)
+    return _lines_of(_range_facts(files, chunk))
+
+
+def _lines_of(counted: DataFrame) -> DataFrame:
     told = F.aggregate(_in_order(), _ZERO(), lambda acc, r: _next(acc, r))
     return counted.groupBy("path").agg(told["lines"].alias("lines"), F.bool_or("failed").alias("failed"))
 
@@ -292,39 +253,116 @@ def quoted_line_ends(files: DataFrame, chunk: int = CHUNK_BYTES) -> bool:
     return not facts.where("records < lines").isEmpty()
 
 
+def _records_in(path: str, start: int, size: int, state: int, fmt: str, chunk: int) -> list[list[str]]:
+    """Records that begin in a range, read on to their end, as fields; blank ones are no records."""
+    sep = "\t" if fmt == "tsv" else ","
+    with _open(path) as handle:
+        lead, stop = min(start, 1), min(start + chunk, size)
+        read_to = stop
+        while True:
+            raw = b"\n" * (1 - lead) + handle.read_at(read_to - start + lead, start - lead)
+            data = np.frombuffer(raw, np.uint8)
+            begin, states, _ = quote_states(data, 1, ord(sep))
+            line = np.flatnonzero(data == 10)
+            line = line[(line == 0) | (state_at(line, begin, states, state) == 0)]
+            if state:
+                line = line[line > 0]
+            after = line[line >= stop - start]  # a record end at or behind the last byte of the range
+            if len(after) or read_to >= size:
+                break
+            read_to = min(size, read_to + max(chunk, 1 << 20))
+    first = line[line < stop - start + 1]
+    if not len(first) or first[0] + 1 >= stop - start + 1:
+        return []
+    text = raw[first[0] + 1:after[0] + 1 if len(after) else len(raw)].decode("utf-8", "replace")
+    return [r for r in csv.reader((x + "\n" for x in text.split("\n")), delimiter=sep) if r]
+
+
+_RANGE = ("path", "start", "size_bytes", "state", "file_format")
+
+
 def _splitter(chunk: int):
-    """Records that begin in a range, read on to their end, as fields."""
+    """Records that begin in a range, as rows."""
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         csv.field_size_limit(sys.maxsize)
         for batch in batches:
-            for path, start, size, state, fmt in zip(*(batch[c] for c in ("path", "start", "size_bytes", "state", "file_format"))):
-                sep = "\t" if fmt == "tsv" else ","
-                start, size = int(start), int(size)
-                with _open(path) as handle:
-                    lead, stop = min(start, 1), min(start + chunk, size)
-                    read_to = stop
-                    while True:
-                        raw = b"\n" * (1 - lead) + handle.read_at(read_to - start + lead, start - lead)
-                        data = np.frombuffer(raw, np.uint8)
-                        begin, states, _ = quote_states(data, 1, ord(sep))
-                        line = np.flatnonzero(data == 10)
-                        line = line[(line == 0) | (state_at(line, begin, states, int(state)) == 0)]
-                        if state:
-                            line = line[line > 0]
-                        after = line[line >= stop - start]  # a record end at or behind the last byte of the range
-                        if len(after) or read_to >= size:
-                            break
-                        read_to = min(size, read_to + max(chunk, 1 << 20))
-                first = line[line < stop - start + 1]
-                if not len(first) or first[0] + 1 >= stop - start + 1:
-                    continue
-                text = raw[first[0] + 1:after[0] + 1 if len(after) else len(raw)].decode("utf-8", "replace")
-                rows = [r for r in csv.reader((x + "\n" for x in text.split("\n")), delimiter=sep) if r]
-                yield pd.DataFrame({"path": path, "start": start, "no": range(len(rows)), "fields": rows})
+            for path, start, size, state, fmt in zip(*(batch[c] for c in _RANGE)):
+                rows = _records_in(path, int(start), int(size), int(state), fmt, chunk)
+                if rows:
+                    yield pd.DataFrame({"path": path, "start": start, "no": range(len(rows)), "fields": rows})
 
     return split
 
 
+def _typer(chunk: int):
+    """Per range: its first record, some after it as JSON, and the type flags of all columns without and with the first."""
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(sys.maxsize)
+        for batch in batches:
+            for path, start, size, state, fmt in zip(*(batch[c] for c in _RANGE)):
+                rows, failed = [], False
+                try:
+                    rows = _records_in(path, int(start), int(size), int(state), fmt, chunk)
+                except Exception:  # noqa: BLE001 - one bad file must not stop the scan
+                    failed = True
+                if not rows and not failed:
+                    continue
+                rest: list[int] = []
+                for lo in range(1, len(rows), _FOLD_ROWS):
+                    rest = _folded(rows[lo:lo + _FOLD_ROWS], rest)
+                head = rows[0] if rows else None
+                yield pd.DataFrame([(path, int(start), head, _masked([dict(zip(head, r)) for r in rows[1:SAMPLE_ROWS + 1]]) if rows else None,
+                                     rest, _folded(rows[:1], rest), failed)],
+                                   columns=["path", "start", "head", "samples", "rest", "every", "failed"])
+
+    return fold
+
+
+def _carry_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The state each range begins in; a file's ranges come in order, a few numbers each."""
+    now, state = None, 0
+    for batch in batches:
+        out = []
+        for path, start, outside_to, inside_to in zip(batch["path"], batch["start"], batch["outside_to"], batch["inside_to"]):
+            if path != now:
+                now, state = path, 0
+            out.append((path, start, state))
+            state = inside_to if state else outside_to
+        yield pd.DataFrame(out, columns=["path", "start", "state"])
+
+
+def _ranges_with_states(facts: DataFrame, files: DataFrame) -> DataFrame:
+    """Every range of ``files`` with the state it begins in, spread over tasks again."""
+    n = _parts(files.sparkSession)
+    ordered = facts.select("path", "start", "outside_to", "inside_to").repartition(n, "path").sortWithinPartitions("path", "start")
+    ranges = ordered.mapInPandas(_carry_states, "path string, start long, state int")
+    return ranges.join(files.select("path", "size_bytes", "file_format"), "path").repartition(n, "path", "start")
+
+
+def delimited_facts(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """``path, row_count, fields, sample_rows, problem`` of delimited files ``(path, size_bytes, file_format)``.
+
+    The first record names the columns; their type flags are folded over all other records, range by range.  Fields
+    behind the named ones are not described.
+    """
+    facts = cut_lineage(_range_facts(files, chunk), "text_ranges")
+    folded = cut_lineage(_ranges_with_states(facts.where("NOT failed"), files).mapInPandas(
+        _typer(chunk), "path string, start long, head array<string>, samples string, rest array<int>, every array<int>, failed boolean"), "text_types")
+    heads = folded.where("head IS NOT NULL").groupBy("path").agg(
+        F.min_by("head", "start").alias("head"), F.min_by("samples", "start").alias("sample_rows"), F.min("start").alias("head_at"))
+    flags = (folded.join(heads.select("path", "head_at"), "path")
+             .select("path", F.posexplode(F.when(F.col("start") == F.col("head_at"), F.col("rest")).otherwise(F.col("every"))))
+             .groupBy("path", "pos").agg(F.bit_and("col").alias("flags")))
+    flags = flags.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("pos", "flags"))).alias("by_place"))
+    fields = F.transform("head", lambda name, i: F.struct(name.alias("name"), F.coalesce(
+        F.try_element_at("by_place", i), F.lit(fieldtypes.UNSEEN)).alias("flags")))
+    told = heads.join(flags, "path", "left").select("path", fields.alias("fields"), "sample_rows")
+    failed = folded.where("failed").select("path").unionByName(facts.where("failed").select("path")).distinct().withColumn("_bad", F.lit(True))
+    return (files.select("path").join(_lines_of(facts), "path", "left").join(told, "path", "left").join(failed, "path", "left")
+            .select("path", F.when(F.col("_bad").isNull(), F.greatest(F.coalesce("lines", F.lit(0).cast("long")) - 1, F.lit(0).cast("long"))).alias("row_count"),
+                    "fields", "sample_rows", F.when(F.col("_bad"), "file could not be read to its end").alias("problem")))
+
+
 def split_records(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """``(path, start, no, fields)``: every non-blank record of delimited files, line ends inside quotes included.
 
@@ -333,49 +371,67 @@ def split_records(files: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
     """
     if "file_format" not in files.columns:
         files = files.withColumn("file_format", extension(F.col("path")))
-    none = F.array().cast("array<struct<start:bigint,state:int>>")
-    states = F.aggregate(_in_order(), F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("lines"), none.alias("each")),
-                         lambda acc, r: F.struct(_next(acc, r)["state"].alias("state"), _next(acc, r)["lines"].alias("lines"),
-                                                 F.concat(acc["each"], F.array(F.struct(r["start"].alias("start"), acc["state"].alias("state")))).alias("each")))
-    ranges = _range_facts(files, chunk).groupBy("path").agg(states["each"].alias("each")).select("path", F.inline("each"))
-    ranges = ranges.join(files.select("path", "size_bytes", "file_format"), "path")
-    return ranges.repartition(_parts(files.sparkSession), "path", "start").mapInPandas(
+    return _ranges_with_states(_range_facts(files, chunk), files).mapInPandas(
         _splitter(chunk), "path string, start long, no long, fields array<string>")
 
 
 def scan_files(spark: SparkSession, listing: DataFrame, parts: int | None = None,
-               tiers: dict[str, str] | None = None, max_mb: int | None = None) -> DataFrame:
+               tiers: dict[str, str] | None = None, max_mb: int | None = None, chunk: int | None = None) -> DataFrame:
     """Dataset records of listed files: one for every file, whatever its format.
 
-    Parquet facts come from footers read in the tasks; delimited files are counted in byte ranges; JSON, workbooks
-    and pages are read by their readers; a tier says how deep, and shallow files are not opened.  An unreadable
-    file keeps its record and says why, and so does one larger than ``max_mb``, if such a bound is asked for.
+    Parquet facts come from footers read in the tasks; delimited and JSON files are read in byte ranges, which fold
+    names, types and counts of all their records; workbooks and pages are read by their readers; a tier says
+    how deep, and shallow files are not opened.  An unreadable file keeps its record and says why, and so does one
+    larger than ``max_mb``, if such a bound is asked for.  A listing that has a ``file_format`` overrides the names.
     """
-    ext = extension(F.col("path"))
+    ext = F.col("file_format") if "file_format" in listing.columns else extension(F.col("path"))
     files = listing.withColumn("file_format", ext).withColumn("tier", F.when(
         ext.isin(*LISTED_BY_DEFAULT, "jsonl", "ndjson"), "full").otherwise(scan_tier(ext, tiers)))
     fits = F.lit(True) if max_mb is None else within_size(F.col("path"), F.col("size_bytes"), max_mb, max_mb)
     files = files.withColumn("tier", F.when(fits, F.col("tier")).otherwise("too large"))
     n = parts or _parts(spark)
     columns = ("path", "relative_path", "size_bytes", "modified", "file_format", "tier")
-    records = (files.where("tier <> 'too large'").select(*columns).repartition(n, "path").mapInPandas(_inspect_batches, _RECORD))
+    files = cut_lineage(files.select(*columns), "scanned")
+    by_range = F.col("file_format").isin(*_DELIMITED, *_JSON) & (F.col("tier") == "full")
+    records = files.where((F.col("tier") != "too large") & ~by_range).repartition(n, "path").mapInPandas(_inspect_batches, _RECORD)
     left = files.where("tier = 'too large'").select(*columns, F.lit(None).cast("long").alias("row_count"), *[
         F.lit(None).cast("string").alias(c) for c in ("schema_json", "sample_rows")], F.lit(False).alias("samples_redacted"),
         F.lit(f"larger than {max_mb} MB, not read").alias("error"))
-    text = F.col("file_format").isin("csv", "tsv") & (F.col("tier") == "full")
-    lines = count_lines(files.where(text))
-    partly = F.coalesce("failed", F.lit(False))
-    delimited = F.col("error").isNull() & text & ~partly
-    return records.unionByName(left).join(lines, "path", "left").withColumn("row_count", F.when(
-        delimited, F.greatest(F.coalesce("lines", F.lit(0)) - 1, F.lit(0))).otherwise(
-        F.col("row_count"))).withColumn("error", F.coalesce(
-            "error", F.when(partly, "file could not be read to its end"))).drop("lines", "failed")
+    out = records.unionByName(left)
+    ranged = files.where(by_range)
+    for formats, facts in ((_DELIMITED, lambda own: delimited_facts(own, chunk or CHUNK_BYTES)),
+                           (_JSON, lambda own: json_facts(own, _open, _masked, n, chunk or RANGE_BYTES))):
+        own = ranged.where(F.col("file_format").isin(*formats))
+        if not own.isEmpty():
+            out = out.unionByName(_described(own, facts(own)))
+    return out
+
+
+def _described(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Records of files from the facts of their ranges."""
+    said = F.transform(F.coalesce("fields", F.array().cast("array<struct<name:string,flags:int>>")), lambda f: F.struct(
+        f["name"].alias("name"), fieldtypes.type_column(f["flags"]).alias("type"), F.lit(True).alias("nullable"),
+        fieldtypes.stored_column(f["flags"]).alias("stored")))
+    personal = F.exists("fields", lambda f: is_personal_col(f["name"]))
+    return files.join(facts, "path").select(
+        *files.columns, "row_count", F.to_json(said).alias("schema_json"), "sample_rows",
+        F.coalesce(personal, F.lit(False)).alias("samples_redacted"), F.col("problem").alias("error"))
 
 
 def scan_catalog(spark: SparkSession, root: str, glob: str | None = None,
                  patterns: tuple[str, ...] = DEFAULT_EXCLUDES, **options) -> DataFrame:
-    """List a folder, drop what is excluded, and describe every remaining file."""
-    return scan_files(spark, scannable(list_files(spark, root, glob), patterns), **options)
+    """List a folder, drop what is excluded, and describe every remaining file, of whatever format."""
+    return scan_files(spark, scannable(list_files(spark, root, glob or "*"), patterns), **options)
+
+
+def dataset_schema(columns: DataFrame, key: list[str]) -> DataFrame:
+    """``(key…, name, type)`` of datasets made of several files, from :func:`schema_columns` with stored types.
+
+    Types of the files are widened as those of the values are; a file in which a column is empty has no say.
+    """
+    flags = fieldtypes.flags_column(F.col("type"), F.col("stored"))
+    merged = columns.groupBy(*key, "name").agg(F.bit_and(flags).alias("_flags"))
+    return merged.select(*key, "name", fieldtypes.type_column(F.col("_flags")).alias("type"))
 
 
 def schema_columns(records: DataFrame, key: list[str], stored: bool = False) -> DataFrame:

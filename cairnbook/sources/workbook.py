@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree as ET
 
 import pandas as pd
@@ -58,24 +59,35 @@ def _cell(cell: ET.Element, strings: list[str]) -> str:
     return _number(raw) if kind == "n" else raw
 
 
-def sheet_rows(content: bytes) -> Iterator[list[str]]:
-    """Rows of the first sheet, read element by element."""
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
+def _elements(part, tag: str) -> Iterator[ET.Element]:
+    """Elements of one kind as they end, each forgotten once it has been used."""
+    parents: list[ET.Element] = []
+    for event, node in ET.iterparse(part, ("start", "end")):
+        if event == "start":
+            parents.append(node)
+            continue
+        parents.pop()
+        if node.tag == tag:
+            yield node
+            if parents:
+                parents[-1].remove(node)
+
+
+def sheet_rows(content: bytes | BinaryIO) -> Iterator[list[str]]:
+    """Rows of the first sheet, read element by element from bytes or an open file; only shared strings are kept."""
+    with zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes | bytearray) else content) as book:
         strings: list[str] = []
         if "xl/sharedStrings.xml" in book.namelist():
-            for item in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si"):
-                strings.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
+            with book.open("xl/sharedStrings.xml") as part:
+                strings = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in _elements(part, f"{_MAIN}si")]
         with book.open(_first_sheet(book)) as part:
-            for _, node in ET.iterparse(part):
-                if node.tag != f"{_MAIN}row":
-                    continue
+            for node in _elements(part, f"{_MAIN}row"):
                 cells: list[str] = []
                 for cell in node.iter(f"{_MAIN}c"):
                     at = _column_index(cell.get("r")) if cell.get("r") else len(cells)
                     cells.extend([""] * (at - len(cells)))
                     cells.append(_cell(cell, strings))
                 yield cells
-                node.clear()
 
 
 def read_workbooks(files: DataFrame, batch_rows: int = 5000, parts: int | None = None) -> DataFrame:

@@ -254,7 +254,7 @@ def rescan(spark: SparkSession, root: str, state: str, glob: str | None = None)
     its own part of ``state`` (:func:`rescan_state`), so several roots can share it.
     """
     state = rescan_state(state, root)
-    found = cut_lineage(listing.scannable(listing.list_files(spark, root, glob)).withColumn(
+    found = cut_lineage(listing.scannable(listing.list_files(spark, root, glob or "*")).withColumn(
         "mtime", F.unix_micros("modified")).withColumn("mtime_marker", F.col("mtime").cast("string")), "found")
     marked = found.withColumn("folder", F.lit(root))
     print_now = listing.folder_fingerprint(marked, ["folder"], every=True).select("folder", "fingerprint")
