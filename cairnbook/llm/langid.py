@@ -17,7 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairnbook.llm.common import BATCH_ROWS, blocks, forget, table, whole_texts
@@ -162,8 +162,15 @@ def _accepted(batches, model: Model | None, text_col: str):
             yield batch.filter(pa.array(np.concatenate(kept)))
 
 
-def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose language is not rejected."""
+def accepted(docs: DataFrame, model: Model | None, *, text_col: str = "text", without_model: str = "keep") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose language is not rejected.
+
+    Null texts and texts without a letter are rejected; repeated rows stay or go together; texts of any length are
+    judged whole; an empty table gives an empty one.  Where no row had a label there is no model (``None``) and nothing
+    tells languages apart: all rows are kept, unless ``without_model`` is ``"drop"``.
+    """
+    if model is None and without_model == "keep":
+        return docs
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.mapInArrow(partial(_accepted, model=model, text_col=text_col), docs.schema)
 
@@ -213,10 +220,10 @@ def held_out(id_col) -> F.Column:
 
 def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id",
                     text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most ``per_language`` texts of each language, chosen by a hash of the id."""
+    """At most ``per_language`` texts of each language, chosen by a hash of id and text; rows alike in both count once."""
     known = docs.where(~held_out(docs[id_col]) & docs[lang_col].isNotNull() & docs[text_col].isNotNull())
     known = known.select(known[lang_col].alias("lang"), known[text_col].alias("text"),
-                         F.xxhash64(known[id_col]).alias("draw"))
+                         F.xxhash64(known[id_col], known[text_col]).alias("draw"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return []
@@ -224,11 +231,9 @@ def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: s
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, (1.25 * per_language + 20) / n))).otherwise(share)
-    drawn = known.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30))
-    by_lang: dict[str, list] = {}
-    for r in drawn.collect():
-        by_lang.setdefault(r["lang"], []).append((r["draw"], r["text"]))
-    return [(lang, text) for lang, rows in by_lang.items() for _, text in sorted(rows)[:per_language]]
+    drawn = known.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30)).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    return [(r["lang"], r["text"]) for r in drawn.withColumn("at", first).where(F.col("at") <= per_language).collect()]
 
 
 def identify(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ CROWD = 20_000
 SEED = 42
 
 _LOWER = bytes(c | 32 if 65 <= c <= 90 else c for c in range(256))
-_PRINT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
+_PRINT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("fp", pa.int64())])
 _EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _STEP = 1 << 16
 
@@ -62,8 +62,8 @@ def _fingerprints(batches, shingle: int):
 
 def fingerprints(docs: DataFrame, *, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text_key, fp`` per row; ``text_key`` tells rows of one id apart."""
-    slim = whole_texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    return slim.mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, text_key long, fp long")
+    slim = whole_texts(docs, id_col, text_col).withColumn("text_key", F.md5("text"))
+    return slim.mapInArrow(partial(_fingerprints, shingle=shingle), "doc_id long, text_key string, fp long")
 
 
 def _masks(parts: int, max_bits: int) -> list[int]:
@@ -174,10 +174,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, with one document of each component: that of its smallest id."""
+    """The rows of ``docs``, all columns as they are, with one document of each component: that of its smallest id.
+
+    A document is an id and a text, told apart by 128 bits of the text; of rows repeated in both one stays.  Null and empty
+    texts are linked like any other, a null id is the smallest only among null ids, and an empty table gives an empty one.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept")
-    mine = F.xxhash64(docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col], F.lit("")))).alias("row_key")
-    kept = found.select(F.xxhash64("doc_id", "text_key").alias("row_key")).distinct()
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), mine)
+    number = docs[id_col].cast("long")
+    key = ["_no_id", "_id", "_text"]
+
+    def named(doc_id, text):
+        return [doc_id.isNull().alias("_no_id"), F.coalesce(doc_id, F.lit(0)).alias("_id"), text.alias("_text")]
+
+    kept = found.select(*named(F.col("doc_id"), F.col("text_key"))).distinct()
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *named(number, F.md5(F.coalesce(docs[text_col], F.lit("")))))
     # Rows repeated with id and text are one document; the join has already brought them together.
-    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row.*")
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")
