@@ -11,27 +11,30 @@ from cairnbook.session import tune
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; learned from the labelled rows among them."""
+    """Documents whose language is recognised; learned from the labelled rows among them.
+
+    Null texts and texts without a letter go; a table in which no row has a label goes on whole.
+    """
     return langid.accepted(docs, langid.language_model(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest id."""
+    """One document of each group of near-duplicates: the one of smallest id; null ids count last, repeated rows are one."""
     return simhash.one_of_each(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and empty texts hold none, repeated rows stay repeated."""
     return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark."""
+    """All documents, secrets replaced by a mark; null texts stay null, and rows without a secret are as they were."""
     return secret_scan.redacted(docs, secret_scan.field_of(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in windows of 1024 ids."""
+    """Pieces of all documents in windows of 1024 ids; a null or empty text is one id, an empty table has no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
