@@ -15,9 +15,17 @@ def index_columns(definition: Column) -> Column:
 
 
 def collection_names(sql: Column) -> Column:
-    """Distinct names following FROM or JOIN."""
-    return F.array_distinct(F.regexp_extract_all(
-        sql, F.lit(r"(?i)(?<!\w)(?:from|join)\s+((?!\d)\w+)"), 1))
+    """Distinct names that stand directly behind FROM or JOIN, in their order.
+
+    The statement is read as a row of words, quoted texts, quoted names and signs, without comments; a name in back-quotes
+    counts without them, and neither texts nor numbers are names.
+    """
+    clean = F.regexp_replace(sql, r"(?s)/\*.*?\*/|--[^\n]*", " ")
+    parts = F.regexp_extract_all(clean, F.lit(r"(?s)'(?:[^'\\]|\\.)*'|`[^`]*`|\w+|[^\w\s]"), F.lit(0))
+    nothing = F.array(F.lit(""))
+    behind = F.zip_with(F.concat(nothing, parts), F.concat(parts, nothing), lambda before, part: F.when(
+        F.lower(before).isin("from", "join") & part.rlike(r"^[`\p{L}_]"), F.btrim(part, F.lit("`"))))
+    return F.array_distinct(F.filter(behind, lambda name: name.isNotNull()))
 
 
 def leading_keyword(sql: Column) -> Column:

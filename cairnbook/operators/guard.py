@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import threading
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,11 @@ _FROM_LIST = rf"(?i)\b(?:from|join)\s+((?:lateral\s+)?[^\s,()]+(?:(?:\s+(?:as\s+
 _CTE = rf"(?i)(?:\bwith|,)\s*({_NAME})\s*(?:\([^()]*\)\s*)?as\s*\("
 # FROM inside a call, as in trim(both 'x' from y), names no table.
 _CALL_FROM = r"(?i)\b(extract|trim|substr|substring|overlay)(\s*\([^()]*?)\bfrom\b"
+# A single table in brackets is that table.
+_IN_BRACKETS = r"(?i)\b(from|join)\s*\((?:\s*\()*\s*(?!(?:select|with|values|from|table)\b)(?=[^\s()])"
 _FOREIGN = "names a table other than {{file}}"
+# What the placeholder is no placeholder in: texts, names in back-quotes and comments.
+_UNBOUND = rf"(?s){_TEXTS}|`[^`]*`|/\*.*?\*/|--[^\n]*"
 
 # Kinds of plan nodes a SELECT is made of; everything else is refused.
 _PLAN_NODES = {
@@ -66,7 +71,6 @@ _PLAN_NODES = {
     "Sample", "UnresolvedOrdinal", "UnresolvedHint", "GroupingSets", "Expand", "LocalRelation", "ResolvedInlineTable", "View",
 }
 _CALLS = {"java_method", "reflect", "try_reflect", "read_files", "sql_keywords", *FILE_FUNCTIONS}
-_BOUND = "bound_table"
 
 
 def _first_reason(sql: str, pattern: str, reasons: dict[str, str]) -> str | None:
@@ -83,8 +87,8 @@ def check_file_sql(sql: str) -> str | None:
 
 def _bare(sql: str) -> str:
     """Statement without comments, with quoted texts as one sign and without back-quotes."""
-    return re.sub(r"`([^`]*)`", lambda m: m[1] if re.fullmatch(r"\w+", m[1]) else "§",
-                  re.sub(_CALL_FROM, r"\1\2,", re.sub(_TEXTS, "§", re.sub(_NOISE, " ", sql))))
+    bare = re.sub(_CALL_FROM, r"\1\2,", re.sub(_TEXTS, "§", re.sub(_NOISE, " ", sql)))
+    return re.sub(_IN_BRACKETS, r"\1 ", re.sub(r"`([^`]*)`", lambda m: m[1] if re.fullmatch(r"\w+", m[1]) else "§", bare))
 
 
 def _spark_reason(sql: str) -> str | None:
@@ -101,8 +105,20 @@ def _spark_reason(sql: str) -> str | None:
     return None
 
 
-def plan_reason(spark: SparkSession, sql: str) -> str | None:
-    """Reason why Spark's own parser finds more than a SELECT over the bound table in ``sql``."""
+def _bound_to(sql: str, name: str, text=lambda part: part) -> str:
+    """The statement with ``name`` for the placeholder; texts, comments and quoted names stay as ``text`` leaves them."""
+    out, at = [], 0
+    for part in [*re.finditer(_UNBOUND, sql), None]:
+        end = part.start() if part else len(sql)
+        out.append(name.join(text(x) for x in sql[at:end].split(PLACEHOLDER)))
+        if part:
+            out.append(text(part[0]))
+            at = part.end()
+    return "".join(out)
+
+
+def plan_reason(spark: SparkSession, sql: str, bound: str = "bound_table") -> str | None:
+    """Reason why Spark's own parser finds more than a SELECT over the table named ``bound`` in ``sql``."""
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as exc:  # noqa: BLE001 - a statement that does not parse says so when it is run
@@ -144,7 +160,7 @@ def plan_reason(spark: SparkSession, sql: str) -> str | None:
         for child in each(node.children()):
             yield from walk(child, known)
 
-    return next(walk(plan, frozenset({_BOUND})), None)
+    return next(walk(plan, frozenset({bound})), None)
 
 
 def check_db_sql(sql: str) -> str | None:
@@ -165,6 +181,7 @@ def file_sql_reason(sql: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(sql, _NOISE, " "), _TEXTS, "§")
     bare = F.regexp_replace(bare, _CALL_FROM, "$1$2,")
     bare = F.regexp_replace(F.regexp_replace(bare, r"`(\w+)`", "$1"), "`[^`]*`", "§")
+    bare = F.regexp_replace(bare, _IN_BRACKETS, "$1 ")
     known = F.concat(F.array(F.lit(PLACEHOLDER)), F.transform(F.regexp_extract_all(bare, F.lit(_CTE), 1), F.lower))
     lists = F.regexp_extract_all(bare, F.lit(_FROM_LIST), 1)
     names = F.transform(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda x: F.lower(
@@ -212,18 +229,19 @@ def guarded_sql(spark: SparkSession, sql: str, table: DataFrame, limit: int | No
     """Run one checked SELECT against one bound table; the result is whole unless a ``limit`` is asked for.
 
     The words of the statement are checked first, then the plan that Spark's parser makes of it: only nodes
-    of a SELECT, only the bound table and the statement's own common table expressions.
+    of a SELECT, only the bound table and the statement's own common table expressions.  The table is bound under a
+    name made up for this call, so no statement can know it.
     """
     reason = check_file_sql(sql)
     if reason:
         raise ValueError(reason)
-    text = sql.strip().rstrip(";")
-    reason = plan_reason(spark, text.replace(PLACEHOLDER, _BOUND))
+    text, name = sql.strip().rstrip(";"), f"bound_{uuid.uuid4().hex}"
+    reason = plan_reason(spark, _bound_to(text, name), name)
     if reason:
         raise ValueError(reason)
     # Braces of the statement itself are kept as they are.
-    text = text.replace("{", "{{").replace("}", "}}").replace("{{{{file}}}}", "{bound_table}")
-    out = spark.sql(text, bound_table=table)
+    text = _bound_to(text, f"{{{name}}}", lambda part: part.replace("{", "{{").replace("}", "}}"))
+    out = spark.sql(text, **{name: table})
     return out if limit is None else out.limit(limit)
 
 

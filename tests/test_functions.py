@@ -130,6 +130,8 @@ def test_sql_text(one):
         'CREATE INDEX i ON t USING btree (a, "b c")', "CREATE INDEX i ON t (lower(x), y)", "none", "f()", "(a, b"]) == [
         ["a", "b c"], ["x)", "y"], [], [], ["a", "b"]]
     assert one(sqltext.collection_names, ["select * from a join b on 1 FROM a"]) == [["a", "b"]]
+    assert one(sqltext.collection_names, ["select 'from x' from /* from y */ `my t`\n-- join z\nJoin b1.c ON a.from = 1 join (select 1 from _d)", "from 1", None]) == [
+        ["my t", "b1", "_d"], [], None]
     assert one(lambda x: sqltext.starts_with_keyword(x, ["SELECT", "WITH"]), [
         "/* c */ select 1", "-- x\nWITH RECURSIVE t AS (SELECT 1) SELECT 1", "SELECTED", "show tables", "  Select(1)"]) == [
         True, True, False, False, True]

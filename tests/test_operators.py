@@ -224,6 +224,38 @@ def test_guard_refuses_what_is_no_select_of_the_bound_table(spark, one, tmp_path
     assert all(guard.plan_reason(spark, s) for s in named)
 
 
+BRACKETS = ["SELECT * FROM {{file}} f JOIN (bound_table) b ON f.id = b.id", "SELECT (SELECT max(id) FROM(bound_table)) FROM {{file}}",
+            "SELECT * FROM {{file}} f JOIN ( (other) ) o ON f.id = o.id", "SELECT * FROM (other JOIN {{file}} USING (id))", "SELECT * FROM (\nother) x, {{file}}",
+            "SELECT * FROM {{file}}, (other) o", "SELECT * FROM bound_table, {{file}}"]
+BRACKET_READS = ["SELECT id FROM ({{file}})", "SELECT a.id FROM ({{file}} a JOIN ({{file}}) b ON a.id = b.id)", "SELECT * FROM ((SELECT id FROM {{file}}))",
+                 "SELECT * FROM (VALUES (1)) v CROSS JOIN {{file}}"]
+
+
+def test_no_name_in_brackets_reaches_another_table(spark, one):
+    spark.range(3).createOrReplaceTempView("other")
+    spark.range(100, 103).createOrReplaceTempView("bound_table")
+    df = spark.range(10)
+    try:
+        for sql in BRACKETS:
+            with pytest.raises(ValueError):
+                guard.guarded_sql(spark, sql, df)
+        # Words alone find all but a bracket behind a comma, which is also how arguments look.
+        assert [w is None for w in one(guard.file_sql_reason, BRACKETS)] == [guard.check_file_sql(s) is None for s in BRACKETS] == [False] * 5 + [True, False]
+        for sql in BRACKET_READS:
+            assert guard.check_file_sql(sql) is None and guard.guarded_sql(spark, sql, df).count() == 10, sql
+        assert one(guard.file_sql_reason, BRACKET_READS) == [None] * len(BRACKET_READS)
+    finally:
+        spark.catalog.dropTempView("bound_table")
+
+
+def test_texts_and_comments_keep_the_placeholder(spark):
+    df = spark.range(2)
+    sql = """SELECT id, '{{file}} {x}' AS a, "it''s {{file}}" AS b /* {{file}} */ FROM {{file}} AS `t{}` -- '{{file}}"""
+    assert [tuple(r) for r in guard.guarded_sql(spark, sql, df).orderBy("id").collect()] == [(i, "{{file}} {x}", "it''s {{file}}") for i in (0, 1)]
+    with pytest.raises(ValueError):
+        guard.guarded_sql(spark, "SELECT * FROM `{{file}}`", df)
+
+
 def test_shown_rows_say_whether_there_are_more(spark):
     rows, more = guard.shown(spark.range(10), 4)
     assert len(rows) == 4 and more and guard.shown(spark.range(4), 4)[1] is False
