@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairnbook.operators import sinks
+from cairnbook.operators import keyed, sinks
 from cairnbook.plans.logs import history
 from cairnbook.plans.registry import query
 from cairnbook.session import new_dir
@@ -57,6 +57,24 @@ def _sk2(t):
     return sinks.upsert_catalog(_catalog(t), _updates(t), "seq")
 
 
+@query("sk2_partitioned_upsert", sql=f"""
+WITH c AS ({_CAT}), u AS ({_UPD})
+SELECT * FROM c WHERE id NOT IN (SELECT id FROM u) AND (workspace_id, path) NOT IN (SELECT (workspace_id, path) FROM u)
+UNION ALL SELECT id, workspace_id, path, name, size_bytes FROM u
+WHERE seq IN (SELECT max(seq) FROM u GROUP BY id) AND seq IN (SELECT max(seq) FROM u GROUP BY workspace_id, path)""")
+def _sk2p(t):
+    """The same catalog as a table in hash partitions: written once, updated twice, dealt anew between."""
+    base = new_dir(t.spark, "keyed-catalog")
+    rows = _catalog(t).withColumn("seq", F.lit(-1).cast("long"))
+    keyed.upsert_catalog(rows, base, "seq", buckets=16)
+    updates = _updates(t).withColumn("seq", F.col("seq").cast("long"))
+    middle = updates.agg(F.max("seq")).first()[0] // 2
+    keyed.upsert_catalog(updates.where(F.col("seq") <= middle), base, "seq")
+    keyed.compact(t.spark, base, buckets=32)
+    keyed.upsert_catalog(updates.where(F.col("seq") > middle), base, "seq")
+    return keyed.read(t.spark, base)
+
+
 @query("sk2_snapshot_round_trip", sql=f"SELECT * FROM ({_CAT})")
 def _sk2s(t):
     """Three committed versions of the catalog; readers see the last."""

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from cairnbook.operators import drift
+from cairnbook.operators import drift, keyed
 from cairnbook.operators.sinks import read_snapshot
 from cairnbook.plans.logs import HISTORY_SQL
 from cairnbook.plans.profiles import TABLES
 from cairnbook.plans.registry import query
-from cairnbook.session import new_dir
-from cairnbook.streaming import jobs
+from cairnbook.session import hadoop_path, new_dir
+from cairnbook.streaming import changes, jobs
 
 
 def _stream(t, name):
@@ -37,6 +37,68 @@ def _st1(t):
         F.sum("row_count").alias("row_count"))
 
 
+_FOLDER_RUNS = """(SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS even
+  FROM documents GROUP BY 1)"""
+
+
+def _changing_folder(t):
+    """A folder of CSV files by language, and a second state of it: English written anew, German gone, a copy of French added."""
+    root = new_dir(t.spark, "lake")
+    docs = t.documents.select("doc_id", "lang", "source")
+    write = docs.repartition("lang").write.partitionBy("lang").option("header", "true")
+    write.csv(f"{root}/docs")
+
+    def move_on():
+        conf = t.spark.conf
+        before = conf.get("spark.sql.sources.partitionOverwriteMode")
+        conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        docs.where("lang = 'en' AND doc_id % 2 = 0").repartition("lang").write.mode("overwrite").partitionBy("lang").option(
+            "header", "true").csv(f"{root}/docs")
+        conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        fs, place = hadoop_path(t.spark, f"{root}/docs/lang=de")
+        fs.delete(place, True)
+        docs.where("lang = 'fr'").drop("lang").coalesce(1).write.option("header", "true").csv(f"{root}/docs/lang=copy")
+
+    return root, move_on
+
+
+@query("st1_folder_changes", sql=f"""
+SELECT 0 AS run, 'created' AS change, lang, 1 AS files FROM {_FOLDER_RUNS}
+UNION ALL SELECT 1, 'removed', lang, 1 FROM {_FOLDER_RUNS} WHERE lang IN ('en', 'de')
+UNION ALL SELECT 1, 'created', lang, 1 FROM {_FOLDER_RUNS} WHERE lang = 'en' AND even > 0
+UNION ALL SELECT 1, 'created', 'copy', 1 FROM {_FOLDER_RUNS} WHERE lang = 'fr'""")
+def _st1c(t):
+    """What a folder of documents gains and loses between two runs of one stream, told once each; a third run tells nothing."""
+    root, move_on = _changing_folder(t)
+    out, manifests, checkpoint = (new_dir(t.spark, n) for n in ("changes", "manifests", "changes-ck"))
+    for step in range(3):
+        if step == 1:
+            move_on()
+        jobs.run_batches(changes.watch_changes(t.spark, root, manifests), lambda df, n: jobs.write_batch(df, out, n), checkpoint)
+    told = t.spark.read.parquet(out).where(F.col("relative_path").endswith(".csv"))
+    lang = F.regexp_extract("relative_path", r"lang=([^/]*)/", 1)
+    return told.groupBy(F.col("batch_id").cast("int").alias("run"), "change", lang.alias("lang")).agg(
+        F.count("*").cast("int").alias("files"))
+
+
+@query("st1_catalog_of_changes", sql=f"""
+SELECT 0 AS run, lang, n AS rows FROM {_FOLDER_RUNS}
+UNION ALL SELECT 1, lang, CASE WHEN lang = 'en' THEN even ELSE n END FROM {_FOLDER_RUNS} WHERE lang <> 'de' AND (lang <> 'en' OR even > 0)
+UNION ALL SELECT 1, 'copy', n FROM {_FOLDER_RUNS} WHERE lang = 'fr'""")
+def _st1w(t):
+    """The catalog of that folder after each run: new files described, changed ones again, removed ones gone."""
+    root, move_on = _changing_folder(t)
+    base, state, runs = new_dir(t.spark, "watched"), new_dir(t.spark, "watched-state"), []
+    for run in range(2):
+        if run:
+            move_on()
+        jobs.catalog_of_changes(t.spark, root, base, state)
+        records = keyed.read(t.spark, base).where("file_format = 'csv'")
+        lang = F.regexp_extract("relative_path", r"lang=([^/]*)/", 1)
+        runs.append(records.groupBy(lang.alias("lang")).agg(F.sum("row_count").alias("rows")).select(F.lit(run).alias("run"), "lang", "rows"))
+    return runs[0].unionByName(runs[1])
+
+
 def _all_bursts(t, bursts, label, key, seconds, names):
     """What a run emits, and what it leaves open at its end."""
     out, checkpoint = new_dir(t.spark, label), new_dir(t.spark, f"{label}-state")
@@ -127,7 +189,7 @@ def _st5(t):
                             F.floor("value").cast("long").alias("row_count"))
     base = new_dir(t.spark, "counters")
     jobs.upsert_stream(jobs.daily_counters(log), base, ["day", "status"], new_dir(t.spark, "counters-ck"))
-    return read_snapshot(t.spark, base)
+    return keyed.read(t.spark, base)
 
 
 @query("st6_rescan", sql=" UNION ALL ".join(
@@ -155,7 +217,7 @@ def _st7(t):
     stream = t.spark.readStream.schema(shallow.schema).option("maxFilesPerTrigger", "1").parquet(inbox)
     base = new_dir(t.spark, "records")
     jobs.upsert_stream(stream, base, ["doc_id"], new_dir(t.spark, "records-ck"), "append", rank="phase")
-    return read_snapshot(t.spark, base)
+    return keyed.read(t.spark, base)
 
 
 @query("st8_replayed_batches", sql="SELECT event_id, event_type FROM events")

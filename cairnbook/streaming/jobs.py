@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cairnbook.operators import incremental, sinks
+from cairnbook.operators import incremental, keyed, sinks
 from cairnbook.session import cut_lineage
 from cairnbook.sources import catalog, listing
+from cairnbook.streaming import changes
 
 LATENESS = "10 minutes"
 
@@ -62,6 +63,29 @@ def watch_files(spark: SparkSession, root: str, patterns: tuple[str, ...] = list
     return listing.scannable(found, patterns)
 
 
+def catalog_of_changes(spark: SparkSession, root: str, base: str, state: str, published: bool = False,
+                       patterns: tuple[str, ...] = listing.DEFAULT_EXCLUDES) -> None:
+    """Bring the catalog of a folder up to date with what was created, changed and removed since the last run.
+
+    ``base`` is a table by path.  New and changed files are described again and replace their records; records of
+    removed files go.  ``state`` keeps the manifests and the checkpoint of this one stream; a batch that is run again
+    after a restart is known to the table and changes nothing.
+    """
+    stream = hashlib.sha256(f"{root}|{state}".encode()).hexdigest()[:16]
+
+    def merge(stored: DataFrame, rows: DataFrame) -> DataFrame:
+        kept = stored.join(rows.select("path"), "path", "left_anti")
+        return kept.unionByName(rows.where("change <> 'removed'").select(*stored.columns))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        told = cut_lineage(batch, "folder_changes")
+        records = catalog.scan_files(batch.sparkSession, told.where("change <> 'removed'").drop("change"))
+        rows = told.select("path", "change").join(records, "path", "left")
+        keyed.change(rows, base, ["path"], merge, schema=records.schema, batch=(stream, batch_id))
+
+    run_batches(changes.watch_changes(spark, root, f"{state}/manifests", patterns, published), each, f"{state}/checkpoint")
+
+
 def catalog_stream(spark: SparkSession, root: str, out: str, checkpoint: str, **options: str) -> None:
     """Describe new files as they appear, one catalog batch per micro-batch."""
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -215,31 +239,16 @@ def daily_counters(log: DataFrame, ts: str = "ts", lateness: str = LATENESS) ->
 
 def upsert_stream(df: DataFrame, base: str, key: list[str], checkpoint: str, mode: str = "update",
                   rank: str | None = None) -> None:
-    """Keep a snapshot table current from a stream of changed rows.
+    """Keep a table in hash partitions (:mod:`cairnbook.operators.keyed`) current from a stream of changed rows.
 
-    Rows of a batch replace stored rows with the same key.  With ``rank`` a row is only
-    replaced by one of at least the same rank, as when shallow records are filled in later.
-    Each batch commits one snapshot that carries its number, so a replayed batch commits nothing.
+    Rows of a batch replace stored rows with the same key; only the partitions of these keys are written.  With
+    ``rank`` a row is only replaced by one of at least the same rank, as when shallow records are filled in later.
+    The table remembers the last batch of the stream, so a replayed batch commits nothing.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        tag = f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}:{batch_id}"
-        if not sinks.has_tag(batch.sparkSession, base, tag):  # else a replay of what is already in the table
-            sinks.update_snapshot(batch.sparkSession, base, lambda stored: merged(batch, stored), tag)
-
-    def merged(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-        if stored is None:
-            stored = batch.sparkSession.createDataFrame([], batch.schema)
-        rest = F.struct(*[c for c in batch.columns if c not in key])
-        # Among equal ranks the greatest row, so that a replay chooses the same.
-        order = F.struct(F.col(rank), rest) if rank is not None else rest
-        best = batch.groupBy(*key).agg(F.max_by(rest, order).alias("_b"))
-        live = best.select(*key, "_b.*").select(*batch.columns)
-        if rank is not None:
-            newest = stored.select(*key, F.col(rank).alias("_old_rank"))
-            live = live.join(newest, key, "left").where(
-                F.col("_old_rank").isNull() | (F.col(rank) >= F.col("_old_rank"))).select(*batch.columns)
-        kept = stored.join(live.select(*key), key, "left_anti").select(*batch.columns)
-        return kept.unionByName(live)
+        keyed.upsert(batch, base, key, rank=rank, batch=(stream, batch_id))
 
     run_batches(df, each, checkpoint, mode)
 
