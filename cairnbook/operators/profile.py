@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from cairnbook.functions.cells import average_text, cell_text, plain_double, type_name
 
-# Columns aggregated per scan.  Each scan reads only its own columns, so nothing is read
-# twice, while generated code stays small enough for the JVM to compile.
-CHUNK = 3
+# Columns aggregated per scan: some forty functions.  Fewer cost a scan more for nothing, and beyond it the generated
+# code takes as long per column again.  Of columnar files each scan reads only its own columns, so nothing is read twice.
+CHUNK = 6
 
 PROFILE_COLUMNS = ["column_name", "column_type", "count", "null_percentage", "approx_unique",
                    "min", "max", "avg", "std"]
@@ -69,23 +69,34 @@ def _column_facts(field: T.StructField, i: int, sketch: bool) -> str:
 
 
 def exact_distinct(df: DataFrame) -> DataFrame:
-    """``(column_name, n_distinct)`` distinct counts of all columns.
+    """``(column_name, n_distinct)`` exact distinct counts of all columns in one scan and one shuffle.
 
-    Every column is a scan of its own that reads nothing else.  Values are first made
-    unique inside the tasks, so a hot value costs one row per task.
+    Every row becomes a pair (number of the column, value as text) per column.  Pairs are made unique inside the
+    tasks before they are shuffled, so a hot value costs one row per task, and no column is a task of its own.
     """
-    fields = [f for f in df.schema.fields if _has_order(f.dataType)]
-    return reduce(DataFrame.unionByName, [
-        df.agg(F.count_distinct(F.col(_quoted(f.name))).alias("n_distinct"))
-        .select(F.lit(f.name).alias("column_name"), "n_distinct") for f in fields])
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if _has_order(f.dataType)]
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column_name string, n_distinct long")
+
+    def text(field: T.StructField) -> Column:
+        c = F.col(_quoted(field.name))
+        # Both zeros are one number, and so are all ways to write NaN.
+        return (F.when(F.isnan(c), F.lit("NaN")).otherwise((c + F.lit(0.0)).cast("string")) if _is_float(field.dataType) else c.cast("string"))
+
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("no"), text(f).alias("v")) for i, f in fields])))
+    counts = pairs.where("v IS NOT NULL").distinct().groupBy("no").agg(F.count(F.lit(1)).alias("n_distinct"))
+    # Columns without values, too, have a count.
+    every = df.sparkSession.createDataFrame([(i, f.name) for i, f in fields], "no int, column_name string").withColumn("n_distinct", F.lit(0).cast("long"))
+    return (counts.withColumn("column_name", F.lit(None).cast("string")).unionByName(every)
+            .groupBy("no").agg(F.max("column_name").alias("column_name"), F.max("n_distinct").alias("n_distinct")).drop("no"))
 
 
 def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """One row per column: count, null share, distinct values, min, max, mean, deviation.
 
-    The default reads every column once and shuffles one partial row per task, with
-    distinct counts from a HyperLogLog sketch.  ``exact=True`` counts distinct values
-    in a second pass whose shuffle grows with the number of different values.
+    The default reads every column once, :data:`CHUNK` columns a scan, and shuffles one partial row per task, with
+    distinct counts from a HyperLogLog sketch.  ``exact=True`` counts distinct values in one scan more, whose shuffle
+    grows with the number of different values.
     """
     parts = []
     for at in range(0, len(df.columns), CHUNK):
@@ -95,8 +106,11 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
         parts.append(df.selectExpr("count(1) AS total", *aggs).selectExpr("total", f"inline(array({facts}))"))
     rows = reduce(DataFrame.unionByName, parts)
     if exact:
-        rows = rows.drop("approx_unique").join(exact_distinct(df), "column_name", "left").withColumn(
-            "approx_unique", F.coalesce("n_distinct", F.lit(0)).cast("long"))
+        # A row or two per column meet in a grouping; columns without an order have no distinct values to count.
+        known = exact_distinct(df).withColumnRenamed("n_distinct", "approx_unique")
+        facts = [c for c in rows.columns if c != "column_name"]
+        both = rows.withColumn("approx_unique", F.lit(0).cast("long")).unionByName(known, allowMissingColumns=True)
+        rows = both.groupBy("column_name").agg(*[F.max(c).alias(c) for c in facts])
     nulls = F.expr("CASE WHEN total > 0 THEN round((total - n) * 100.0D / total, 2) ELSE 0.0D END")
     return rows.select(
         "column_name", "column_type", F.col("total").alias("count"), nulls.alias("null_percentage"), "approx_unique",

@@ -459,6 +459,24 @@ def test_profile_invariants(spark):
     assert abs(profile.profile(big).first().approx_unique - 5000) < 500
 
 
+def test_profile_scans_once_per_group_and_once_more_for_exact_counts(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    for exact, scans in ((False, 2), (True, 3)):
+        plan = profile.profile(df, exact=exact)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == scans and "Join" not in plan
+
+
+def test_exact_distinct_counts(spark):
+    nan = float("nan")
+    rows = [(0.0, 0.0, "a", True, b"\xff", None), (-0.0, nan, "A", None, b"\xfe", None), (None, nan, "a ", False, b"\xff", None), (float("inf"), 1.0, "", True, None, None)]
+    df = spark.createDataFrame(rows, "d double, f float, s string, b boolean, raw binary, none string")
+    df = df.withColumn("t", F.timestamp_micros(F.monotonically_increasing_id() % 2)).withColumn("m", F.lit("1.50").cast("decimal(9,2)"))
+    got = {r.column_name: r.n_distinct for r in profile.exact_distinct(df).collect()}
+    assert got == {c: df.agg(F.count_distinct(c)).first()[0] for c in df.columns} == {
+        "d": 2, "f": 3, "s": 4, "b": 2, "raw": 2, "none": 0, "t": got["t"], "m": 1}
+    assert profile.exact_distinct(df.select(F.array("d").alias("a"))).count() == 0
+
+
 def test_privacy_and_preview(spark):
     yes = ["email", "UserEmail", "ssn", "credit_score", "card_no", "CVV2", "phone", "tel_no", "password_hash", "api_key", "auth_token"]
     no = ["name", "age", "city", "amount", "created_at", "id"]
