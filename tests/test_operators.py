@@ -285,6 +285,34 @@ def test_owning_root_against_brute_force(spark):
     assert {n for n, q in by_part.items() if q} == got
 
 
+def test_roots_of_paths_over_many_partitions(spark):
+    """A root that owns everything, nested and equal roots, roots beyond all paths, odd characters; every partition looks back."""
+    rng = random.Random(12)
+    parts = ["a", "ab", "b", "é", "日本", "a b", "", "z", "\U0001f600"]
+    names = list({"/".join(rng.choices(parts, k=rng.randint(0, 5))) for _ in range(900)}) + [None, "/", "//", "/a/"]
+    tops = [("", 90), ("a", 5), ("a", 3), ("ab/", 2), ("é/日", 1), ("/", 50), ("/a", 60), ("zz", 0), (None, -1), ("b/a b/z", 0), ("/a/", 61), ("\U0001f600", 4)]
+    p, r = spark.createDataFrame([(n,) for n in names], "path string"), spark.createDataFrame(tops, "root string, order int")
+    plain = {n: min(((o, q) for q, o in tops if q is not None and n is not None and n.startswith(q)), default=(0, None))[1] for n in names}
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    for many in (held, "37"):
+        spark.conf.set("spark.sql.shuffle.partitions", many)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = paths.owning_root(p, r)
+        assert {x.path: x.root for x in got.collect()} == plain and got.count() == len(set(names))
+        assert {x.path: x.root for x in paths.owning_root(p, r.where("root = 'nothing'")).collect()} == dict.fromkeys(names)
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert paths.owning_root(p.limit(0), r).count() == 0
+
+    def inside(n, q):
+        n, q = n.rstrip("/"), q.rstrip("/")
+        return (n == "" or n[:1] == "/") if q == "" else n == q or n.startswith(q + "/")
+
+    want = {n: min(((o, q) for q, o in tops if q is not None and n is not None and inside(n, q)), default=(0, None))[1] for n in names}
+    got = {x.path: x.root for x in paths.owning_root(p, r, components=True).collect()}
+    assert got == want and {x.path for x in paths.allowed(p, r).collect()} == {n for n, q in want.items() if q is not None}
+
+
 def test_resolve_addresses(spark):
     roots = spark.createDataFrame([("/w/one", 0), ("/w/two/", 1)], "root string, order int")
     files = spark.createDataFrame([("/w/one/a b.csv",), ("/w/two/a b.csv",), ("/abs/x.csv",), ("/w/two/s/y.xlsx",)], "file string")
