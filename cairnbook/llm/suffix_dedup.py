@@ -6,7 +6,8 @@ have equal anchors, and windows side by side mostly share one, so a *run* of the
 
 1. Per block the distinct (anchor, context) hashes are sent.  A context met twice is repeated as a whole.  An
    anchor met with one context only needs nothing more; one of several contexts goes on with one copy of each.
-2. The texts of these contexts meet by anchor.  Their enhanced suffix array (sorted by prefix doubling, with
+2. The texts of these contexts meet by anchor; those without a window whose hash occurs again repeat nothing and are
+   left out.  Their enhanced suffix array (sorted by prefix doubling, with
    common prefix lengths) is scanned with a stack, which visits every interval of the common-prefix tree; an
    interval of at least ``length`` bytes whose occurrences are preceded by different bytes is a maximal repeat, and
    all its occurrences are marked, not only neighbours in the array.
@@ -36,43 +37,57 @@ CROWD = 2_000
 _PART = 1 << 20
 _ARRAY_BYTES = 1 << 20
 _SALTS = 16
+# Symbols of nine bits in one number.
+_PACKED = 7
 TWICE, MIXED, SPEAKER, CROWDED = 1, 2, 4, 8
 _STATUS, _MARKS, _COUNTED = 0, 1, 2
 
 
 # ---- the suffix array and its interval tree
 
-def suffix_array(symbols: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order and the common prefix of each with the one before, by prefix doubling.
+def suffix_array(symbols: np.ndarray, wanted: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at ``wanted``, in order, and the common prefix of each with the one before.
 
-    ``symbols`` ends each text with a number met nowhere else, within ``reach`` places of any start.
+    Prefix doubling, begun with ranks of seven symbols (below 512) at once; ``reach`` symbols tell suffixes apart as far
+    as anyone asks, so the last doubling is one of the wanted places only.
     """
     n = len(symbols)
-    ranks, width = [np.unique(symbols, return_inverse=True)[1].astype(np.int64)], 1
+    padded = np.concatenate((symbols, np.zeros(_PACKED - 1, np.int64)))
+    key = np.zeros(n, np.int64)
+    for k in range(_PACKED):
+        key = (key << 9) | padded[k:k + n]
+    ranks, width = [], _PACKED
     while True:
-        rank = ranks[-1]
-        then = np.full(n, -1, np.int64)
-        then[:n - width] = rank[width:]
-        key = rank * (n + 1) + then + 1
         order = np.argsort(key)
         key = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
-        ranks.append(fresh)
-        width *= 2
-        if width >= reach or fresh.max() == n - 1:
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+        ranks.append((width, rank))
+        if 2 * width >= reach:
             break
+        key = rank * (n + 1)
+        key[:n - width] += rank[width:] + 1
+        width *= 2
+    key = rank[wanted] * (n + 1)
+    behind = wanted + max(reach - width, 0)
+    key[behind < n] += rank[behind[behind < n]] + 1
+    order = wanted[np.argsort(key)]
     a, b = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(n, np.int64)
-    for rank in ranks[::-1]:
-        width = 1 << (len(ranks) - 1)
-        ranks.pop()
-        inside = (a < n) & (b < n)
-        same = np.zeros(n - 1, bool)
-        same[inside] = rank[a[inside]] == rank[b[inside]]
-        common[1:][same] += width
+    common = np.zeros(len(order), np.int64)
+    for width, rank in ranks[::-1]:
+        same = np.flatnonzero((a < n) & (b < n))
+        same = same[rank[a[same]] == rank[b[same]]]
+        common[same + 1] += width
         a[same] += width
         b[same] += width
+    # What is left of each common prefix is shorter than the first ranks.
+    going = np.arange(len(a))
+    for _ in range(_PACKED - 1):
+        going = going[(a[going] < n) & (b[going] < n)]
+        going = going[symbols[a[going]] == symbols[b[going]]]
+        common[going + 1] += 1
+        a[going] += 1
+        b[going] += 1
     return order, common
 
 
@@ -83,10 +98,15 @@ def maximal_repeats(texts: list[bytes], least: int):
     """
     sizes = np.array([len(t) for t in texts]) + 1
     ends = np.cumsum(sizes) - 1
-    symbols = np.zeros(int(sizes.sum()), np.int64)
-    symbols[:] = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-    symbols[ends] = 256 + np.arange(len(texts))
-    order, common = suffix_array(symbols, int(sizes.max()))
+    # Bytes are 1 to 256 and the end of a text is 0, below them all: what is common never goes beyond an end.
+    symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+    symbols[ends] = 0
+    left_in_text = np.repeat(ends, sizes) - np.arange(len(symbols))
+    wanted = np.flatnonzero(left_in_text >= least)
+    if not len(wanted):
+        return [], symbols, ends
+    order, common = suffix_array(symbols, wanted, int(sizes.max()))
+    common[1:] = np.minimum(common[1:], np.minimum(left_in_text[order[1:]], left_in_text[order[:-1]]))
     before = np.full(len(symbols), -1, np.int64)
     before[1:] = symbols[:-1]
     # Nothing is known of the byte before a text: such starts differ from each other and all others.
@@ -266,6 +286,17 @@ def _say_texts(block: Block, replies, length: int, gram: int, buckets: int):
             yield message_rows(block.number, rows)
 
 
+def _sharing(texts: list[np.ndarray], count: np.ndarray, length: int) -> np.ndarray:
+    """Whether any of the first ``count`` windows of a text has the hash of another window: others repeat nothing."""
+    begin = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1]))
+    at = np.repeat(begin - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+    hashes = Rolling(BYTE_VALUE[np.concatenate(texts)]).windows(length)[at]
+    order = np.argsort(hashes)
+    equal = np.concatenate(([False], hashes[order[1:]] == hashes[order[:-1]], [False]))
+    own = np.repeat(np.arange(len(texts)), count)
+    return np.bincount(own[order[equal[1:] | equal[:-1]]], minlength=len(texts)) > 0
+
+
 def _meet_texts(bucket: int, messages, length: int):
     out = []
     texts = [(n, *expand(p, np.int64, np.uint64, np.uint64, np.int32, np.uint8, np.uint8)[1:])
@@ -283,6 +314,9 @@ def _meet_texts(bucket: int, messages, length: int):
         edges = np.concatenate((np.flatnonzero(np.concatenate(([True], batch[1:] != batch[:-1]))), [len(order)]))
         for a, b in zip(edges[:-1], edges[1:]):
             own = order[a:b]
+            own = own[_sharing([data[begin[i]:begin[i + 1]] for i in own], count[own].astype(np.int64), length)]
+            if not len(own):
+                continue
             groups, symbols, ends = maximal_repeats([data[begin[i]:begin[i + 1]].tobytes() for i in own], length)
             reach = np.zeros(len(symbols), np.int64)
             for height, starts in groups:
