@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cairnbook.operators import (dbcatalog, drift, guard, incremental, logs, numbering, paths, preview, privacy,
@@ -455,6 +456,23 @@ def test_sessions_against_brute_force(spark, gap, bucket):
     assert sorted((r.key, r.session_start, r.session_end, r.events) for r in got.collect()) == sorted(expected)
 
 
+def test_a_hot_key_in_one_hour_is_a_few_rows(spark):
+    """Nine tenths of all events: one key, one hour; no window sees more than its cells."""
+    rng = random.Random(4)
+    hot = [("hot", 7_200_000_000 + rng.randint(0, 3_599_999_999)) for _ in range(9000)] + [("hot", None)] * 10
+    cold = [(f"k{i % 50}", -5_000_000_000 + rng.randint(0, 10_000_000_000)) for i in range(1000)]
+    df = spark.createDataFrame(hot + cold, "key string, us long").repartition(6)
+    for gap in (60, 1, 0):
+        cells = sessions.event_cells(df.where("key = 'hot'"), ["key"], "us", gap * 1_000_000)
+        assert cells.agg(F.sum("_n")).first()[0] == 9000 and (not gap or cells.count() <= 3600 // gap)
+        w = Window.partitionBy("key").orderBy("us")
+        opens = F.coalesce((F.col("us") - F.lag("us").over(w) > gap * 1_000_000).cast("int"), F.lit(0))
+        plain = (df.where("us IS NOT NULL").withColumn("o", opens).withColumn("no", F.sum("o").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+                 .groupBy("key", "no").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.count("*").alias("n")).drop("no"))
+        got = sessions.gap_sessions(df, ["key"], "us", gap)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_counters_and_notifications(spark):
     h = spark.createDataFrame([("success", 10, 5, "2024-01-01 23:59:59"), ("error", None, 7, "2024-01-02 00:00:00"), ("success", None, 0, "2024-01-02 10:00:00")],
                               "status string, row_count long, duration_ms long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
