@@ -15,13 +15,13 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairnbook.operators.leases import Lease, LeaseLost
 from cairnbook.operators.sinks import SnapshotConflict
-from cairnbook.session import cut_lineage, hadoop_path
+from cairnbook.session import create_if_absent, cut_lineage, hadoop_path
 
 BUCKETS = 64
 # Rows of one partition; tables that have grown beyond are dealt anew by :func:`compact`.
@@ -38,6 +38,7 @@ class Version:
     schema: str
     places: list[str | None]
     batches: dict[str, int] = field(default_factory=dict)
+    fence: int = 0
 
     @property
     def buckets(self) -> int:
@@ -70,21 +71,16 @@ def version(spark: SparkSession, base: str, number: int | None = None) -> Versio
         stream.close()
     # Folders written by one change are named once.
     places = [None if at is None else f"{said['writes'][at]}/{_BUCKET}={k}" for k, at in enumerate(said["places"])]
-    return Version(number, said["key"], said["schema"], places, said["batches"])
+    return Version(number, said["key"], said["schema"], places, said["batches"], said["fence"])
 
 
 def _commit(spark: SparkSession, base: str, made: Version) -> None:
     writes = list(dict.fromkeys(p.split("/")[0] for p in made.places if p))
     at = {w: i for i, w in enumerate(writes)}
-    said = {"key": made.key, "schema": made.schema, "writes": writes, "batches": made.batches,
+    said = {"key": made.key, "schema": made.schema, "writes": writes, "batches": made.batches, "fence": made.fence,
             "places": [None if p is None else at[p.split("/")[0]] for p in made.places]}
-    fs, place = hadoop_path(spark, _file(base, made.number))
-    try:
-        out = fs.create(place, False)
-    except Py4JError as exc:
-        raise SnapshotConflict(f"version {made.number} of {base} is taken") from exc
-    out.write(bytearray(json.dumps(said), "utf-8"))
-    out.close()
+    if not create_if_absent(spark, _file(base, made.number), json.dumps(said)):
+        raise SnapshotConflict(f"version {made.number} of {base} is taken")
 
 
 def _bucket(key: list[str], count: int) -> Column:
@@ -125,13 +121,13 @@ def _written(rows: DataFrame, base: str, key: list[str], count: int) -> tuple[st
 
 
 def change(rows: DataFrame, base: str, key: list[str], merge: Callable[[DataFrame, DataFrame], DataFrame], *,
-           schema: T.StructType | None = None, buckets: int = BUCKETS, batch: tuple[str, int] | None = None, keep: int = 2,
-           max_age_seconds: float = 86_400, attempts: int = 5) -> Version:
+           schema: T.StructType | None = None, buckets: int = BUCKETS, batch: tuple[str, int] | None = None, lease: Lease | None = None,
+           keep: int = 2, max_age_seconds: float = 86_400, attempts: int = 5) -> Version:
     """Commit ``merge(stored, rows)``, where ``stored`` are the rows of all partitions that the keys of ``rows`` fall into.
 
     ``merge`` must leave every stored row where it is whose key is not among ``rows``.  ``schema`` is that of the table
     (default: that of ``rows``), ``buckets`` counts for a new table only.  ``batch`` names a stream and its batch:
-    one that the table already has is left out.
+    one that the table already has is left out.  A change under a ``lease`` is refused once a later lease has written.
     """
     spark = rows.sparkSession
     rows = cut_lineage(rows, "changes")
@@ -141,6 +137,8 @@ def change(rows: DataFrame, base: str, key: list[str], merge: Callable[[DataFram
             held = Version(0, key, (schema or rows.schema).json(), [None] * buckets)
         if held.key != key:
             raise ValueError(f"the table {base} is keyed by {held.key}, not {key}")
+        if lease is not None and held.fence > lease.number:
+            raise LeaseLost(f"the table {base} was written under lease {held.fence}, after {lease.number}")
         if batch is not None and held.batches.get(batch[0], -1) >= batch[1]:
             return held
         touched = sorted(r[0] for r in rows.select(_bucket(key, held.buckets)).distinct().collect())
@@ -153,7 +151,8 @@ def change(rows: DataFrame, base: str, key: list[str], merge: Callable[[DataFram
         places = list(held.places)
         for k in touched:
             places[k] = f"{name}/{_BUCKET}={k}" if k in filled else None
-        made = Version(held.number + 1, key, held.schema, places, held.batches | dict([batch] if batch else []))
+        made = Version(held.number + 1, key, held.schema, places, held.batches | dict([batch] if batch else []),
+                       max(held.fence, lease.number if lease else 0))
         try:
             _commit(spark, base, made)
         except SnapshotConflict:
@@ -220,7 +219,7 @@ def compact(spark: SparkSession, base: str, buckets: int | None = None, bucket_r
         name, filled = _written(rows, base, held.key, wanted)
         places = [f"{name}/{_BUCKET}={k}" if k in filled else None for k in range(wanted)]
         try:
-            made = Version(held.number + 1, held.key, held.schema, places, held.batches)
+            made = Version(held.number + 1, held.key, held.schema, places, held.batches, held.fence)
             _commit(spark, base, made)
             return made
         except SnapshotConflict:

@@ -8,13 +8,12 @@ import uuid
 from collections.abc import Callable
 from itertools import chain, count
 
-from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cairnbook.operators.numbering import number_rows
-from cairnbook.session import hadoop_path
+from cairnbook.session import create_if_absent, hadoop_path
 from cairnbook.sources.catalog import count_lines
 from cairnbook.sources.readers import csv_files, read_csv_ladder, read_table
 
@@ -180,14 +179,10 @@ def commit_snapshot(df: DataFrame, base: str, keep: int = 2, based_on: int | Non
         based_on = max(_versions(spark, base), default=0)
     name = f"snapshot-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(f"{base}/{name}")
-    fs, place = hadoop_path(spark, f"{base}/_version-{based_on + 1:012d}")
-    try:
-        out = fs.create(place, False)
-    except Py4JError as exc:
+    fs = hadoop_path(spark, base)[0]
+    if not create_if_absent(spark, f"{base}/_version-{based_on + 1:012d}", f"{name} {tag}"):
         fs.delete(hadoop_path(spark, f"{base}/{name}")[1], True)
-        raise SnapshotConflict(f"version {based_on + 1} of {base} is taken") from exc
-    out.write(bytearray(f"{name} {tag}", "utf-8"))
-    out.close()
+        raise SnapshotConflict(f"version {based_on + 1} of {base} is taken")
     for old in _versions(spark, base)[:-keep]:
         pointer = hadoop_path(spark, f"{base}/_version-{old:012d}")[1]
         if time.time() - fs.getFileStatus(pointer).getModificationTime() / 1000 > max_age_seconds:

@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -83,6 +84,46 @@ def cut_lineage(df: DataFrame, label: str = "cut", partition_by: list[str] | Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that does not exist yet; False if it does, whoever was faster.
+
+    Others see the whole file or none: it is written beside its place and then linked (local folders) or renamed (HDFS)
+    there, which fails where a file is.  Other stores create it on condition that it is absent.
+    """
+    fs, place = hadoop_path(spark, path)
+    scheme = place.toUri().getScheme() or fs.getUri().getScheme()
+    if scheme == "file":
+        target = place.toUri().getPath()
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        beside = f"{os.path.dirname(target)}/.{uuid.uuid4().hex}"
+        with open(beside, "w", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(beside, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(beside)
+        return True
+    if scheme in ("hdfs", "viewfs"):
+        beside = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}")[1]
+        _put(fs.create(beside, False), text)
+        if fs.rename(beside, place):
+            return True
+        fs.delete(beside, False)
+        return False
+    try:
+        _put(fs.create(place, False), text)
+    except Py4JError:
+        return False
+    return True
+
+
+def _put(stream, text: str) -> None:
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+
+
 def hadoop_path(spark: SparkSession, path: str):
     """``(file system, path)`` of the Hadoop client for driver-side file operations."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -23,7 +23,7 @@ from cairnbook.session import cut_lineage
 from cairnbook.sources import fieldtypes
 from cairnbook.sources.jsonranges import RANGE_BYTES, json_facts
 from cairnbook.sources.listing import (DEFAULT_EXCLUDES, LISTED_BY_DEFAULT, _file_system, list_files, scan_tier,
-                                       scannable, within_size)
+                                       scannable, unreadable, walk_folders, within_size)
 from cairnbook.sources.workbook import sheet_rows
 
 SAMPLE_ROWS = 5
@@ -420,8 +420,14 @@ def _described(files: DataFrame, facts: DataFrame) -> DataFrame:
 
 def scan_catalog(spark: SparkSession, root: str, glob: str | None = None,
                  patterns: tuple[str, ...] = DEFAULT_EXCLUDES, **options) -> DataFrame:
-    """List a folder, drop what is excluded, and describe every remaining file, of whatever format."""
-    return scan_files(spark, scannable(list_files(spark, root, glob or "*"), patterns), **options)
+    """List a folder, drop what is excluded, and describe every remaining file, of whatever format.
+
+    A folder below the root that cannot be read has a record of its own that says why.
+    """
+    found = walk_folders(spark, root)
+    records = scan_files(spark, scannable(list_files(spark, root, glob or "*", found=found), patterns), **options)
+    lost = unreadable(found).select("path", F.lit("folder").alias("tier"), F.lit(False).alias("samples_redacted"), "error")
+    return records.unionByName(lost, allowMissingColumns=True)
 
 
 def dataset_schema(columns: DataFrame, key: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,46 +132,73 @@ def _file_system(path: str):
 
 
 def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One level below each folder: its files, and its folders for the next round."""
+    """One level below each folder: its files, and its folders for the next round; a folder that cannot be read says why."""
     for batch in batches:
         out = []
         for folder in batch["path"]:
-            fs, inner = _file_system(folder)
             prefix = folder.rstrip("/")
-            info = fs.get_file_info(inner)
-            found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(inner))
+            try:
+                fs, inner = _file_system(folder)
+                info = fs.get_file_info(inner)
+                found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(inner))
+            except (OSError, pa.ArrowException) as exc:
+                out.append((folder, False, None, None, f"{type(exc).__name__}: {exc}"))
+                continue
             for f in found:
                 own = folder if f is info else f"{prefix}/{f.base_name}"
-                out.append((own, f.type == pafs.FileType.Directory, f.size, f.mtime_ns and f.mtime_ns // 1000))
-        yield pd.DataFrame(out, columns=["path", "is_folder", "size_bytes", "modified_us"]).astype(
+                out.append((own, f.type == pafs.FileType.Directory, f.size, f.mtime_ns and f.mtime_ns // 1000, None))
+        yield pd.DataFrame(out, columns=["path", "is_folder", "size_bytes", "modified_us", "error"]).astype(
             {"size_bytes": "Int64", "modified_us": "Int64"})
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None,
-               limit: int | None = None) -> DataFrame:
-    """``(path, relative_path, size_bytes, modified)`` of all files below a folder.
+def _address(root: str) -> str:
+    return (root if re.match(r"[a-z0-9]+:", root) else f"file:{root}").rstrip("/")
+
+
+def walk_folders(spark: SparkSession, root: str) -> DataFrame:
+    """``(path, size_bytes, modified_us, error)``: all files below a folder, and the folders that could not be read.
 
     Folders are listed level by level in tasks, each level written to the shared folder, so the driver holds no
-    file names and no file content is read.  Empty files and names that begin with a dot or an underscore are
-    files like any other.  Without a glob the listing keeps csv, tsv and parquet files.
+    file names and no file content is read.
     """
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    root = root if re.match(r"[a-z0-9]+:", root) else f"file:{root}"
-    folders, levels = spark.createDataFrame([(root.rstrip("/"),)], "path string"), []
+    folders, levels = spark.createDataFrame([(_address(root),)], "path string"), []
     while True:
         level = cut_lineage(folders.repartition(parts, "path").mapInPandas(
-            _listed, "path string, is_folder boolean, size_bytes long, modified_us long"), "listing")
-        levels.append(level.where("NOT is_folder"))
+            _listed, "path string, is_folder boolean, size_bytes long, modified_us long, error string"), "listing")
+        levels.append(level.where("NOT is_folder").drop("is_folder"))
         folders = level.where("is_folder").select("path")
         if folders.isEmpty():
             break
-    files = levels[0]
+    found = levels[0]
     for level in levels[1:]:
-        files = files.unionByName(level)
-    base = root.rstrip("/") + "/"
-    files = files.select("path", F.when(F.col("path").startswith(base), F.substr("path", F.lit(len(base) + 1)))
-                         .otherwise(F.substring_index("path", "/", -1)).alias("relative_path"), "size_bytes",
-                         F.timestamp_micros("modified_us").alias("modified"))
+        found = found.unionByName(level)
+    return found
+
+
+def unreadable(found: DataFrame) -> DataFrame:
+    """``(path, error)`` of the folders that :func:`walk_folders` could not read."""
+    return found.where("error IS NOT NULL").select("path", "error")
+
+
+def list_files(spark: SparkSession, root: str, glob: str | None = None,
+               limit: int | None = None, found: DataFrame | None = None) -> DataFrame:
+    """``(path, relative_path, size_bytes, modified)`` of all files below a folder.
+
+    Empty files and names that begin with a dot or an underscore are files like any other.  Without a glob the listing
+    keeps csv, tsv and parquet files.  Folders below the root that cannot be read are left out (``found``, from
+    :func:`walk_folders`, tells which); a root that cannot be read is an error.
+    """
+    base = _address(root)
+    found = walk_folders(spark, root) if found is None else found
+    lost = found.where((F.col("path") == base) & F.col("error").isNotNull()).first()
+    if lost is not None:
+        raise FileNotFoundError(lost["error"])
+    base += "/"
+    files = found.where("error IS NULL").select(
+        "path", F.when(F.col("path").startswith(base), F.substr("path", F.lit(len(base) + 1)))
+        .otherwise(F.substring_index("path", "/", -1)).alias("relative_path"), "size_bytes",
+        F.timestamp_micros("modified_us").alias("modified"))
     if glob is None:
         files = files.where(extension(F.col("path")).isin(*LISTED_BY_DEFAULT))
     else:
@@ -196,8 +224,10 @@ def folder_fingerprint(listing: DataFrame, folder: list[str], path: str = "relat
     the order in which files arrive does not matter.
     """
     files = listing if every else listing.where(extension(F.col(path)).isin(*FINGERPRINTED) & ~excluded(F.col(path)))
-    digest = F.sha2(F.concat_ws("|", F.col(path), F.col(size).cast("string"),
-                                F.col(mtime).cast("string")), 256)
+    # A part that is missing is no empty part, and a sign inside a part is none between parts.
+    parts = [F.coalesce(F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\0"))
+             for c in (path, size, mtime)]
+    digest = F.sha2(F.concat_ws("|", *parts), 256)
     words = files.select(*folder, *[
         F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)").alias(f"w{i}")
         for i in range(4)])

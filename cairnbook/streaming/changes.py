@@ -138,7 +138,11 @@ def publish(spark: SparkSession, root: str, folder: str) -> str:
     """The same by a Spark job: folders are listed in tasks and every task writes its part of the shards."""
     names = manifests(folder)
     last = _facts(folder, names[-1] if names else "")
-    files = listing.list_files(spark, root, "*").select("path", "size_bytes", F.unix_micros("modified").alias("modified_us"))
+    found = listing.walk_folders(spark, root)
+    lost = listing.unreadable(found).first()
+    if lost is not None:  # else its files would be told as removed
+        raise OSError(f"{lost['path']}: {lost['error']}")
+    files = listing.list_files(spark, root, "*", found=found).select("path", "size_bytes", F.unix_micros("modified").alias("modified_us"))
     digest = F.sha2(F.concat_ws("\0", "path", F.col("size_bytes").cast("string"), F.col("modified_us").cast("string")), 256)
     # Fifteen bytes of each hash, added up in two halves that stay within the decimals Spark adds exactly.
     halves = [F.sum(F.conv(F.substring(digest, *at), 16, 10).cast("decimal(20,0)")) for at in ((1, 15), (16, 15))]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cairnbook.operators import incremental, keyed, sinks
+from cairnbook.operators import incremental, keyed, leases, paths, sinks
 from cairnbook.session import cut_lineage
 from cairnbook.sources import catalog, listing
 from cairnbook.streaming import changes
@@ -64,12 +64,14 @@ def watch_files(spark: SparkSession, root: str, patterns: tuple[str, ...] = list
 
 
 def catalog_of_changes(spark: SparkSession, root: str, base: str, state: str, published: bool = False,
-                       patterns: tuple[str, ...] = listing.DEFAULT_EXCLUDES) -> None:
+                       patterns: tuple[str, ...] = listing.DEFAULT_EXCLUDES, wait: float = 0.0,
+                       lease_seconds: float = leases.LEASE_SECONDS) -> None:
     """Bring the catalog of a folder up to date with what was created, changed and removed since the last run.
 
     ``base`` is a table by path.  New and changed files are described again and replace their records; records of
     removed files go.  ``state`` keeps the manifests and the checkpoint of this one stream; a batch that is run again
-    after a restart is known to the table and changes nothing.
+    after a restart is known to the table and changes nothing.  One job at a time works on a folder: another waits so
+    many seconds for its lease and then leaves with :class:`LeaseTaken`; a job that has lost its lease cannot commit.
     """
     stream = hashlib.sha256(f"{root}|{state}".encode()).hexdigest()[:16]
 
@@ -77,13 +79,15 @@ def catalog_of_changes(spark: SparkSession, root: str, base: str, state: str, pu
         kept = stored.join(rows.select("path"), "path", "left_anti")
         return kept.unionByName(rows.where("change <> 'removed'").select(*stored.columns))
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        told = cut_lineage(batch, "folder_changes")
-        records = catalog.scan_files(batch.sparkSession, told.where("change <> 'removed'").drop("change"))
-        rows = told.select("path", "change").join(records, "path", "left")
-        keyed.change(rows, base, ["path"], merge, schema=records.schema, batch=(stream, batch_id))
+    with leases.held(spark, f"{state}/lease", lease_seconds, wait) as lease:
+        def each(batch: DataFrame, batch_id: int) -> None:
+            told = cut_lineage(batch, "folder_changes")
+            records = catalog.scan_files(batch.sparkSession, told.where("change <> 'removed'").drop("change"))
+            rows = told.select("path", "change").join(records, "path", "left")
+            lease.check()
+            keyed.change(rows, base, ["path"], merge, schema=records.schema, batch=(stream, batch_id), lease=lease)
 
-    run_batches(changes.watch_changes(spark, root, f"{state}/manifests", patterns, published), each, f"{state}/checkpoint")
+        run_batches(changes.watch_changes(spark, root, f"{state}/manifests", patterns, published), each, f"{state}/checkpoint")
 
 
 def catalog_stream(spark: SparkSession, root: str, out: str, checkpoint: str, **options: str) -> None:
@@ -263,7 +267,8 @@ def rescan(spark: SparkSession, root: str, state: str, glob: str | None = None)
     its own part of ``state`` (:func:`rescan_state`), so several roots can share it.
     """
     state = rescan_state(state, root)
-    found = cut_lineage(listing.scannable(listing.list_files(spark, root, glob or "*")).withColumn(
+    walked = listing.walk_folders(spark, root)
+    found = cut_lineage(listing.scannable(listing.list_files(spark, root, glob or "*", found=walked)).withColumn(
         "mtime", F.unix_micros("modified")).withColumn("mtime_marker", F.col("mtime").cast("string")), "found")
     marked = found.withColumn("folder", F.lit(root))
     print_now = listing.folder_fingerprint(marked, ["folder"], every=True).select("folder", "fingerprint")
@@ -283,7 +288,10 @@ def rescan(spark: SparkSession, root: str, state: str, glob: str | None = None)
         diff = incremental.manifest_diff(stored, current, "path")
         stale = current.join(diff.where("change IN ('new', 'changed')").select("path"), "path", "left_semi")
         records = cut_lineage(catalog.scan_files(spark, stale).join(stale.select("path", "mtime_marker"), "path"), "rescan")
-        kept = stored.join(diff.where("change = 'unchanged'").select("path"), "path", "left_semi")
+        # Of what lies in a folder that cannot be read nothing is known; its records stay.
+        lost = listing.unreadable(walked).select(F.col("path").alias("root"))
+        unseen = paths.allowed(diff.where("change = 'removed'").select("path"), lost)
+        kept = stored.join(diff.where("change = 'unchanged'").select("path").unionByName(unseen), "path", "left_semi")
         sinks.commit_snapshot(kept.select(*records.columns).unionByName(records), f"{state}/catalog")
         changed = records.count()
     sinks.commit_snapshot(spark.createDataFrame([tuple(now)], print_now.schema), f"{state}/fingerprint")

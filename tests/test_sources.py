@@ -301,6 +301,40 @@ def test_rescan_reads_only_changes(spark, tmp_path):
     assert jobs.rescan(spark, root, state) == 0
 
 
+def test_a_folder_that_cannot_be_read_does_not_end_the_listing(spark, tmp_path, monkeypatch):
+    root, state = str(tmp_path / "lake"), str(tmp_path / "state")
+    for name in ("a.csv", "shut/b.csv", "shut/deep/c.csv", "open/d.csv"):
+        _write(f"{root}/{name}", "x\n1\n")
+    assert jobs.rescan(spark, root, state) == 4
+    _write(f"{root}/e.csv", "x\n")
+    real = listing.walk_folders
+
+    def walk(spark_, root_):  # as root may read everything, the folder is shut by hand
+        found = real(spark_, root_)
+        shut = F.col("path").contains("/shut")
+        return found.where(~shut).unionByName(spark_.createDataFrame([(f"file:{root_}/shut", None, None, "PermissionError: no")], found.schema))
+
+    monkeypatch.setattr(listing, "walk_folders", walk)
+    monkeypatch.setattr(catalog, "walk_folders", walk)
+    found = {r.path.split("/lake/")[1]: r.error for r in catalog.scan_catalog(spark, root).collect()}
+    assert found == {"a.csv": None, "open/d.csv": None, "e.csv": None, "shut": "PermissionError: no"}
+    assert jobs.rescan(spark, root, state) == 1
+    kept = sinks.read_snapshot(spark, f"{jobs.rescan_state(state, root)}/catalog")
+    assert {r.relative_path for r in kept.collect()} == {"a.csv", "shut/b.csv", "shut/deep/c.csv", "open/d.csv", "e.csv"}
+    monkeypatch.undo()
+    with pytest.raises(FileNotFoundError):
+        listing.list_files(spark, str(tmp_path / "none"))
+    lost = spark.createDataFrame([("file:/x/gone",)], "path string").mapInPandas(listing._listed, "path string, is_folder boolean, size_bytes long, modified_us long, error string")
+    assert "gone" in lost.first().error
+
+
+def test_fingerprint_parts_do_not_run_together(spark):
+    rows = [("a", "x|1", 2, None), ("b", "x", 1, 2), ("c", "x|1", None, 2), ("d", "x\\|1", 2, None), ("e", None, 1, 2), ("f", "", 1, 2)]
+    df = spark.createDataFrame([(f, p and p + ".csv", s, m) for f, p, s, m in rows], "folder string, relative_path string, size_bytes long, mtime long")
+    prints = [r.fingerprint for r in listing.folder_fingerprint(df, ["folder"], every=True).collect()]
+    assert len(set(prints)) == len(rows)
+
+
 def test_alert_states_over_many_batches(spark, tmp_path):
     """The stateful and the window form see the same bursts, however the events are cut."""
     rng = random.Random(9)
