@@ -47,7 +47,7 @@ def _done(spark: SparkSession, entry: str) -> dict | None:
 
 def _format(path: str, fmt: str | None) -> str:
     ext = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
-    return fmt or (ext if ext in ("parquet", "csv", "tsv", "json", "jsonl", "ndjson") else "csv")
+    return fmt or (ext if ext in ("parquet", "csv", "tsv", "json", "jsonl", "ndjson", "xlsx") else "csv")
 
 
 def parquet_copy(spark: SparkSession, path: str, cache: str, fmt: str | None = None, wait: float = WAIT_SECONDS) -> tuple[str, bool]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnbook.operators.leases import Lease, LeaseLost
-from cairnbook.operators.sinks import SnapshotConflict
+from cairnbook.operators.sinks import SnapshotConflict, last_of_each
 from cairnbook.session import create_if_absent, cut_lineage, hadoop_path
 
 BUCKETS = 64
@@ -181,13 +181,6 @@ def _forget(spark: SparkSession, base: str, keep: int, max_age_seconds: float) -
         fs.delete(hadoop_path(spark, f"{base}/{name}")[1], True)
 
 
-def last_of_each(updates: DataFrame, key: list[str], seq: str | None = None) -> DataFrame:
-    """One row per key: the last by ``seq``; among equals the greatest row, so that a second run chooses the same."""
-    rest = F.struct(*[c for c in updates.columns if c not in key])
-    order = rest if seq is None else F.struct(F.col(seq), rest)
-    return updates.groupBy(*key).agg(F.max_by(rest, order).alias("_last")).select(*key, "_last.*").select(*updates.columns)
-
-
 def upsert(updates: DataFrame, base: str, key: list[str], seq: str | None = None, rank: str | None = None, **options) -> Version:
     """Rows of ``updates`` take the place of stored rows with their key.
 
@@ -210,6 +203,16 @@ def delete(keys: DataFrame, base: str, key: list[str], **options) -> Version:
     return change(keys.select(*key).distinct(), base, key, lambda stored, rows: stored.join(rows, key, "left_anti"), **options)
 
 
+def rows_changed(spark: SparkSession, base: str, old: int, new: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of two versions in the partitions in which they differ; all others are the same files."""
+    before, after = version(spark, base, old), version(spark, base, new)
+    if before is None or before.buckets != after.buckets:
+        empty = spark.createDataFrame([], T.StructType.fromJson(json.loads(after.schema)))
+        return (empty if before is None else read(spark, base, old)), read(spark, base, new)
+    other = [k for k in range(after.buckets) if before.places[k] != after.places[k]]
+    return _rows_of(spark, base, before, other), _rows_of(spark, base, after, other)
+
+
 def compact(spark: SparkSession, base: str, buckets: int | None = None, bucket_rows: int = BUCKET_ROWS, attempts: int = 5) -> Version:
     """All rows in one folder again, in as many partitions as they need; nothing else about the table changes."""
     for left in reversed(range(attempts)):

@@ -61,6 +61,13 @@ def _latest(updates: DataFrame, key: list[str], seq: str) -> DataFrame:
     return updates.groupBy(*key).agg(F.max(seq).alias(seq))
 
 
+def last_of_each(updates: DataFrame, key: list[str], seq: str | None = None) -> DataFrame:
+    """One row per key: the last by ``seq``; among equals the greatest row, so that a second run chooses the same."""
+    rest = F.struct(*[c for c in updates.columns if c not in key])
+    order = rest if seq is None else F.struct(F.col(seq), rest)
+    return updates.groupBy(*key).agg(F.max_by(rest, order).alias("_last")).select(*key, "_last.*").select(*updates.columns)
+
+
 def upsert_catalog(base: DataFrame, updates: DataFrame, seq: str, id_key: str = "id",
                    path_key: tuple[str, ...] = ("workspace_id", "path")) -> DataFrame:
     """Catalog after applying updates in ``seq`` order.
@@ -79,8 +86,8 @@ def upsert_catalog(base: DataFrame, updates: DataFrame, seq: str, id_key: str =
 
 
 def upsert_keyed(base: DataFrame, updates: DataFrame, key: list[str], seq: str) -> DataFrame:
-    """Cache table after its updates; the last one per key counts."""
-    live = updates.join(_latest(updates, key, seq), [*key, seq], "left_semi")
+    """Cache table after its updates; the last one per key counts, among equal ones the greatest row."""
+    live = last_of_each(updates, key, seq)
     kept = base.join(updates.select(*key).distinct(), key, "left_anti")
     return kept.select(*base.columns).unionByName(live.select(*base.columns))
 

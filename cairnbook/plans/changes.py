@@ -211,6 +211,33 @@ def _j8(t):
     return relations.merge_edges(edges)
 
 
+# Past queries that join a part's table with another, as often as its lines were returned.
+_JOINED = """(SELECT lower(replace(p_name, ' ', '') || p_size) AS l, lower(replace(p_name, ' ', '') || p_size || 's') AS r,
+  l_returnflag = 'R' AS good FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
+def _part_history(t):
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), "p_size")
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    return rows.select(F.when(F.col("l_returnflag") == "R", "success").otherwise("error").alias("status"),
+                       F.concat(F.lit("SELECT 1 FROM x JOIN "), name, F.lit("s AS b ON "), name, F.lit("."), name, F.lit("_id = b.id")).alias("sql"))
+
+
+@query("j6_j8_detect", sql=f"""
+WITH hist AS (
+  SELECT a.target_id AS source_id, b.target_id, l || '_id' AS source_column, 'id' AS target_column, count(*) AS times
+  FROM {_JOINED} JOIN {_BYNAME} a ON a.table_name = l JOIN {_BYNAME} b ON b.table_name = r WHERE good GROUP BY ALL
+), edge AS (
+  SELECT source_id, target_id, source_column, target_column, 60 AS first, 1 AS times, 0 AS h, 'schema_fk_pattern' AS method, 0 AS seq FROM {_NAME_EDGES}
+  UNION ALL SELECT source_id, target_id, source_column, target_column, 80, times, times, 'query_history_join', 1 FROM hist)
+SELECT source_id, target_id, source_column, target_column, CAST(least(100, first(first ORDER BY seq) + 20 * (sum(times) - 1)) AS INTEGER) AS confidence,
+  CASE WHEN sum(h) > first(CASE WHEN seq = 1 THEN 1 ELSE 0 END ORDER BY seq) THEN 'query_history_join+schema' ELSE first(method ORDER BY seq) END AS method
+FROM edge GROUP BY source_id, target_id, source_column, target_column""")
+def _j68(t):
+    """Relationships by name and by history together, each edge once."""
+    return relations.detect(_datasets(t), _dataset_columns(t), _part_history(t))
+
+
 # Listing tables of a database made of order lines: orders are tables, lines are columns.
 _ICOL = """(SELECT DISTINCT 't' || l_orderkey AS table_name, l_linenumber AS ordinal, 'c' || l_linenumber AS column_name FROM lineitem)"""
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from cairnbook.functions.cells import type_name_col
 from cairnbook.operators import preview as pv
-from cairnbook.operators import privacy, profile
+from cairnbook.operators import copies, privacy, profile
 from cairnbook.plans.registry import query
+from cairnbook.session import new_dir
 from cairnbook.sources import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -57,6 +58,15 @@ def _a1x(t):
     return profile.profile(t.lineitem, exact=True)
 
 
+@query("a1_profile_by_path", sql=_profile_sql("customer", CUSTOMER, True))
+def _a1p(t):
+    """A CSV folder profiled by its path, twice: the second time by the Parquet copy that the first one made."""
+    path, cache = new_dir(t.spark, "customer-csv"), new_dir(t.spark, "copies")
+    t.customer.write.option("header", "true").csv(path)
+    copies.profile_path(t.spark, path, cache, "csv").count()
+    return copies.profile_path(t.spark, path, cache, "csv", exact=True)
+
+
 def _mask_sql():
     masked = "(SELECT c_custkey, '<redacted>' AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer)"
     return ("SELECT 'customer' AS table_name, * FROM (" + _profile_sql(masked, CUSTOMER, False)

@@ -1,11 +1,12 @@
 """Writing queries: conversion, upserts, caches, deletes, publishing, import and export (SK1-SK9, J12)."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cairnbook.operators import keyed, sinks
 from cairnbook.plans.logs import history
 from cairnbook.plans.registry import query
-from cairnbook.session import new_dir
+from cairnbook.session import hadoop_path, new_dir
 
 
 @query("sk1_convert", sql="SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, true AS first_free, true AS second_numbered FROM customer")
@@ -23,6 +24,32 @@ def _sk1(t):
                      F.lit(second["target"].endswith("/customer-converted-1.parquet")).alias("second_numbered"))
 
 
+@query("sk1_convert_workbook", sql="""
+SELECT c_custkey, c_mktsegment || ',"x"' AS segment, c_acctbal, c_nationkey > 10 AS far FROM customer WHERE c_custkey % 50 <> 0""")
+def _sk1w(t):
+    """Workbooks of fifty customers each, converted to Parquet as one folder; the first customer of a book names its columns."""
+    from cairnbook.plans.sources import _book
+
+    folder = new_dir(t.spark, "workbooks")
+    root = f"{folder}/customers.xlsx"
+    hadoop_path(t.spark, root)[0].mkdirs(hadoop_path(t.spark, root)[1])
+
+    def pack(key, pdf):
+        from cairnbook.sources.listing import _file_system
+
+        fs, inner = _file_system(f"{root if ':' in root else 'file:' + root}/book-{key[0]}.xlsx")
+        with fs.open_output_stream(inner) as out:
+            out.write(_book(pdf.sort_values("c_custkey")))
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    books = t.customer.withColumn("book", F.floor(F.col("c_custkey") / 50))
+    books.groupBy("book").applyInPandas(pack, "n long").count()
+    made = sinks.convert(t.spark, root, folder)
+    df = t.spark.read.parquet(made["target"])
+    number, segment, _, balance, far, _ = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(number.cast("long").alias("c_custkey"), segment.alias("segment"), balance.cast("double").alias("c_acctbal"), far.alias("far"))
+
+
 # Catalog rows made of conversation turns: the turn is the file, its text the description.
 _CAT = "SELECT 'id-' || conv_id || '-' || turn AS id, 'w' || (conv_id // 10) AS workspace_id, '/c' || conv_id || '/' || turn AS path, role AS name, length(text) AS size_bytes FROM conversations"
 _UPD = """SELECT conv_id * 1000 + turn AS seq, CASE role WHEN 'system' THEN 'new-' || conv_id ELSE 'id-' || conv_id || '-' || (turn // 2) END AS id,

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from cairnbook.operators import drift, keyed
+from cairnbook.operators import drift, keyed, leases
 from cairnbook.operators.sinks import read_snapshot
 from cairnbook.plans.logs import HISTORY_SQL
 from cairnbook.plans.profiles import TABLES
 from cairnbook.plans.registry import query
 from cairnbook.session import hadoop_path, new_dir
+from cairnbook.sources import listing
 from cairnbook.streaming import changes, jobs
 
 
@@ -99,6 +100,71 @@ def _st1w(t):
     return runs[0].unionByName(runs[1])
 
 
+_REFRESH = """(SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, count(*) AS n FROM documents GROUP BY 1)"""
+
+
+@query("e2_refresh", sql=f"""
+SELECT 'record' AS part, lang AS name, n AS value FROM {_REFRESH} WHERE lang <> 'de'
+UNION ALL SELECT 'drift', 'Added ' || c, 1 FROM {_REFRESH}, (VALUES ('n_chars'), ('late')) v(c) WHERE lang = 'en'
+UNION ALL SELECT 'drift', 'Removed source', 1 FROM {_REFRESH} WHERE lang = 'en'
+UNION ALL SELECT 'total', 'datasets', count(*) FROM {_REFRESH} WHERE lang <> 'de'
+UNION ALL SELECT 'total', 'columns', CAST(sum(CASE WHEN lang = 'en' THEN 4 ELSE 3 END) AS BIGINT) FROM {_REFRESH} WHERE lang <> 'de'
+UNION ALL SELECT 'published', 'pub/' || lang || '.json', 1 FROM {_REFRESH} WHERE lang <> 'de'
+UNION ALL SELECT 'errors', 'lake', 0""")
+def _e2(t):
+    """Two refreshes of a folder with one JSON file per language: English gets other fields, the last one late, German goes."""
+    root, base, state = (new_dir(t.spark, n) for n in ("refreshed", "refreshed-catalog", "refreshed-state"))
+    fs = hadoop_path(t.spark, root)[0]
+
+    def write(rows, lang_of):
+        """One file per language, under its own name."""
+        staged = new_dir(t.spark, "staged")
+        rows.withColumn("_lang", lang_of).repartition("_lang").sortWithinPartitions("doc_id").write.partitionBy("_lang").json(staged)
+        for folder in fs.listStatus(hadoop_path(t.spark, staged)[1]):
+            name = folder.getPath().getName()
+            if name.startswith("_lang="):
+                file = next(f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-"))
+                target = hadoop_path(t.spark, f"{root}/{name[6:]}.json")[1]
+                fs.mkdirs(target.getParent())
+                fs.delete(target, False)
+                fs.rename(file, target)
+
+    write(t.documents.select("doc_id", "source", "lang").withColumn("source", F.coalesce("source", F.lit(""))), F.col("lang"))
+    # Sums that a local file system keeps beside the files are no data.
+    patterns = (*listing.DEFAULT_EXCLUDES, "*.crc")
+    jobs.refresh(t.spark, root, base, state, "/pub", patterns)
+    last = t.documents.where("lang = 'en'").agg(F.max("doc_id").alias("last"))
+    english = t.documents.where("lang = 'en'").join(F.broadcast(last))
+    write(english.select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.when(F.col("doc_id") == F.col("last"), 1).alias("late"), "lang"), F.col("lang"))
+    fs.delete(hadoop_path(t.spark, f"{root}/de.json")[1], False)
+    done = jobs.refresh(t.spark, root, base, state, "/pub", patterns)
+    one = F.lit(1).cast("long")
+    records = done.records.select(F.lit("record").alias("part"), F.regexp_replace("relative_path", r"\.json$", "").alias("name"), F.col("row_count").alias("value"))
+    found = done.drift.groupBy(F.concat_ws(" ", "kind", "name").alias("name")).agg(F.count("*").alias("value")).select(F.lit("drift").alias("part"), "name", "value")
+    totals = done.totals.select(F.lit("total").alias("part"), F.inline(F.array(
+        F.struct(F.lit("datasets").alias("name"), F.col("datasets").alias("value")), F.struct(F.lit("columns").alias("name"), F.col("columns").alias("value")))))
+    public = done.published.select(F.lit("published").alias("part"), F.col("relative_path").alias("name"), one.alias("value"))
+    errors = done.stats.select(F.lit("errors").alias("part"), F.lit("lake").alias("name"), F.col("errors").cast("long").alias("value"))
+    return records.unionByName(found).unionByName(totals).unionByName(public).unionByName(errors)
+
+
+@query("st8_one_sync", sql=f"SELECT lang, n AS rows, true AS second_left FROM {_FOLDER_RUNS}")
+def _st8o(t):
+    """Two jobs for one folder: the second finds the first at work and leaves; the catalog is that of one."""
+    root, _ = _changing_folder(t)
+    base, state, left = new_dir(t.spark, "synced"), new_dir(t.spark, "synced-state"), False
+    lease = leases.acquire(t.spark, f"{state}/lease")
+    try:
+        jobs.catalog_of_changes(t.spark, root, base, state)
+    except leases.LeaseTaken:
+        left = True
+    lease.release()
+    jobs.catalog_of_changes(t.spark, root, base, state)
+    records = keyed.read(t.spark, base).where("file_format = 'csv'")
+    return records.groupBy(F.regexp_extract("relative_path", r"lang=([^/]*)/", 1).alias("lang")).agg(
+        F.sum("row_count").alias("rows")).withColumn("second_left", F.lit(left))
+
+
 def _all_bursts(t, bursts, label, key, seconds, names):
     """What a run emits, and what it leaves open at its end."""
     out, checkpoint = new_dir(t.spark, label), new_dir(t.spark, f"{label}-state")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairnbook.session import cut_lineage, hadoop_path, new_dir
-from cairnbook.sources.catalog import quoted_line_ends, split_records
+from cairnbook.sources.catalog import _open, quoted_line_ends, split_records
 from cairnbook.sources.listing import list_files
+from cairnbook.sources.workbook import workbook_records
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -23,6 +24,8 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options:
         return read_delimited(spark, path, "\t" if fmt == "tsv" else ",")
     if fmt in ("json", "jsonl", "ndjson"):
         return read_json(spark, path, None if fmt == "json" else False)
+    if fmt == "xlsx":
+        return read_workbook_table(spark, path)
     raise ValueError(f"no reader for {fmt} files; only tabular data can be read")
 
 
@@ -105,6 +108,19 @@ def _record_rung(records: DataFrame, rung: int) -> DataFrame:
     return rows.select(*[v.try_cast(t).alias(n) for v, t, n in zip(value, kinds, names)])
 
 
+def read_workbook_table(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheet of a workbook, or of all workbooks of a folder, whose first row names the columns.
+
+    Types are the narrowest that all cells of a column fit; short rows are padded, rows with too many cells left out.
+    """
+    files = list_files(spark, path, "*.xlsx")
+    records = cut_lineage(workbook_records(files, _open, parts=max(1, spark.sparkContext.defaultParallelism)), "sheet")
+    bad = records.where("error IS NOT NULL").first()
+    if bad is not None:
+        raise ValueError(f"{bad['path']}: {bad['error']}")
+    return _record_rung(records.drop("error"), 2)
+
+
 def csv_files(spark: SparkSession, path: str) -> DataFrame:
     """Listing of the data files of a delimited table, one file or a folder of them."""
     files = list_files(spark, path, "*").where(~F.substring_index("path", "/", -1).rlike("^[._]"))

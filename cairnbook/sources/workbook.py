@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 from xml.etree import ElementTree as ET
 
@@ -121,6 +121,33 @@ def read_workbooks(files: DataFrame, batch_rows: int = 5000, parts: int | None =
         parse, "path string, row_no long, cells array<string>, error string")
 
 
+def workbook_records(files: DataFrame, open_file: Callable, batch_rows: int = 5000, parts: int | None = None) -> DataFrame:
+    """``(path, start, no, fields, error)`` of workbooks given as ``(path)``: every row of their first sheets.
+
+    Files are opened in the tasks and read as they are parsed, so neither a file nor its rows are held as a whole.
+    """
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", "start", "no", "fields", "error"]
+        for batch in batches:
+            for path in batch["path"]:
+                out = []
+                try:
+                    with open_file(path) as handle:
+                        for i, cells in enumerate(sheet_rows(handle)):
+                            out.append((path, 0, i, cells, None))
+                            if len(out) >= batch_rows:
+                                yield pd.DataFrame(out, columns=names)
+                                out = []
+                except Exception as exc:  # noqa: BLE001 - the reader of the rows decides
+                    out.append((path, 0, -1, None, f"{type(exc).__name__}: {exc}"))
+                if out:
+                    yield pd.DataFrame(out, columns=names)
+
+    slim = files.select("path")
+    return (slim if parts is None else slim.repartition(parts, "path")).mapInPandas(
+        parse, "path string, start long, no long, fields array<string>, error string")
+
+
 def csv_line(cells: Column) -> Column:
     """Cells joined to one CSV line; fields with commas, quotes or line ends are quoted."""
     quote = F.lit('"')

@@ -9,6 +9,7 @@ import hashlib
 import itertools
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cairnbook.operators import incremental, keyed, leases, paths, sinks
+from cairnbook.operators import drift, incremental, keyed, leases, logs, paths, sinks
 from cairnbook.session import cut_lineage
 from cairnbook.sources import catalog, listing
 from cairnbook.streaming import changes
@@ -90,6 +91,39 @@ def catalog_of_changes(spark: SparkSession, root: str, base: str, state: str, pu
         run_batches(changes.watch_changes(spark, root, f"{state}/manifests", patterns, published), each, f"{state}/checkpoint")
 
 
+@dataclass(frozen=True)
+class Refreshed:
+    """A catalog after a refresh, and what the refresh found."""
+
+    records: DataFrame
+    drift: DataFrame
+    totals: DataFrame
+    stats: DataFrame
+    published: DataFrame
+
+
+def refresh(spark: SparkSession, root: str, base: str, state: str, public_root: str | None = None,
+            patterns: tuple[str, ...] = listing.DEFAULT_EXCLUDES, wait: float = 0.0) -> Refreshed:
+    """The whole refresh of a folder: list, compare, describe what changed, find drift, store, count, publish.
+
+    The folder is listed by a Spark job (:func:`changes.publish`); only new and changed files are opened; drift is looked
+    for in the partitions of the catalog that have changed; the published view carries paths below ``public_root``.
+    """
+    before = keyed.version(spark, base)
+    changes.publish(spark, root, f"{state}/manifests")
+    catalog_of_changes(spark, root, base, state, True, patterns, wait)
+    now = keyed.version(spark, base)
+    if now is None:
+        raise FileNotFoundError(f"nothing below {root} to describe")
+    old, new = keyed.rows_changed(spark, base, before.number if before else 0, now.number)
+    records = keyed.read(spark, base, now.number)
+    counted = records.withColumn("columns", F.coalesce(F.size(F.from_json("schema_json", "array<struct<name:string>>")), F.lit(0)).cast("long"))
+    counted = counted.withColumn("source_id", F.lit(root)).withColumn("scanned_at", F.col("modified"))
+    is_document = listing.format_class(F.col("file_format")) == "document"
+    return Refreshed(records, drift.catalog_drift(old, new, ["path"]), logs.dataset_totals(counted, is_document),
+                     logs.scan_stats(counted), sinks.publish_view(records.withColumn("document_text", F.lit(None).cast("string")), public_root))
+
+
 def catalog_stream(spark: SparkSession, root: str, out: str, checkpoint: str, **options: str) -> None:
     """Describe new files as they appear, one catalog batch per micro-batch."""
     def each(batch: DataFrame, batch_id: int) -> None:
