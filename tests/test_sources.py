@@ -259,6 +259,22 @@ def test_walk_tree_with_cycles_and_shared_folders(spark):
     assert tree.walk_tree(df, "nowhere").count() == 0
 
 
+def test_a_level_reads_the_partitions_of_its_frontier(spark, monkeypatch):
+    d = tree.FOLDER_TYPE
+    edges = [(f"f{i}", f"f{i}-{j}", f"{j}.csv", "text/csv") for i in range(200) for j in range(3)] + [("root", f"f{i}", f"F{i}", d) for i in range(200)]
+    df = spark.createDataFrame(edges, "parent string, id string, name string, mime string").withColumn("class", F.lit("x"))
+    stored = tree.stored_edges(df, 5)
+    frontier = spark.createDataFrame([("f3",), ("f77",), ("f3",), ("none",)], "id string")
+    for small in (50_000, 1):
+        monkeypatch.setattr(tree, "_SMALL_FRONTIER", small)
+        found = tree.children(spark, stored, frontier)
+        assert {r.id for r in found.collect()} == {f"f{i}-{j}" for i in (3, 77) for j in range(3)}
+        read = {f.split("_bucket=")[1].split("/")[0] for f in found.inputFiles() if "_bucket=" in f}
+        assert 1 <= len(read) <= 3 and len(stored.there) > 50
+    walked = tree.walk_tree(df.drop("class"), "root")
+    assert walked.count() == 800 and walked.agg(F.max("depth")).first()[0] == 2
+
+
 def test_key_values(spark):
     df = spark.createDataFrame([
         ("s", "string", 5, "v", None, None), ("l", "list", None, None, [str(i) for i in range(12)], None), ("z", "zset", None, None, ["a"], None),
