@@ -258,12 +258,28 @@ def result_meta(df: DataFrame, limit: int) -> DataFrame:
 
 
 def with_timeout(spark: SparkSession, action, seconds: float = TIMEOUT_SECONDS, tag: str = "guarded"):
-    """Run a driver action and cancel its Spark jobs when it takes too long."""
-    spark.addTag(tag)
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
-    timer.start()
+    """Run a driver action; after ``seconds`` its Spark jobs are cancelled, also those it starts later, with a ``TimeoutError``."""
+    context = spark.sparkContext
+    own, over, late = f"{tag}-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not over.wait(seconds):
+            late.set()
+            while True:
+                context.cancelJobsWithTag(own)
+                if over.wait(0.2):
+                    return
+
+    context.addJobTag(own)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     try:
         return action()
+    except Exception as exc:
+        if late.is_set():
+            raise TimeoutError(f"ended after {seconds} seconds") from exc
+        raise
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
+        over.set()
+        watcher.join()
+        context.removeJobTag(own)

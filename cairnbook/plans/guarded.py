@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from cairnbook.operators import guard
+from cairnbook.operators import guard, routes
 from cairnbook.plans.registry import query
+from cairnbook.session import new_dir
 
 
 def shape(name, table, spark_sql, duck_sql=None, limit=None):
@@ -93,6 +94,24 @@ def _q7(t):
     return guard.guarded_sql(t.spark, sql, t.spark.read.parquet(address))
 
 
+@query("q7_local_address", sql="SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+def _q7l(t):
+    """The same table by a ``local://`` address below the second of two roots."""
+    address = "local://me/lineitem.parquet#1"
+    return routes.run(t.spark, f"SELECT l_returnflag, count(*) AS n FROM read_parquet('{address}') GROUP BY 1", address,
+                      roots=[new_dir(t.spark, "other-root"), t.root], agent="me")
+
+
+@query("q7_text_address", sql="SELECT c_mktsegment, count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS nations FROM customer GROUP BY 1")
+def _q7t(t):
+    """A CSV folder by a ``local://`` address with an encoded name, read by its Parquet copy."""
+    root = new_dir(t.spark, "text-root")
+    t.customer.write.option("header", "true").csv(f"{root}/my customers.csv")
+    address = "local://me/my%20customers.csv"
+    return routes.run(t.spark, "SELECT c_mktsegment, count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS nations FROM {{file}} GROUP BY 1",
+                      address, roots=[root], agent="me", cache=new_dir(t.spark, "text-copies"))
+
+
 @query("pf16_spark_policy", sql="""
 SELECT event_id, CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN 'not a SELECT' WHEN 2 THEN 'file address' WHEN 3 THEN 'forbidden function'
  WHEN 4 THEN 'runs a script' WHEN 5 THEN 'names a table other than {{file}}' WHEN 6 THEN 'names a table other than {{file}}'

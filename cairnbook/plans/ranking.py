@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairnbook.operators import paths, search
+from cairnbook.operators import paths, routes, search
 from cairnbook.plans.registry import query
 
 # Search entries: documents and pages with their text, parts as tables with two columns.
@@ -156,6 +156,18 @@ def _j10(t):
     return paths.resolve_addresses(t.documents.select(address.alias("address")), roots, files, "me")
 
 
+@query("j10_places_tried", sql="""
+SELECT 'local://me/gone/' || doc_id AS address, array_to_string(['/gone/' || doc_id] || (SELECT list(r || '/gone/' || doc_id ORDER BY o) FROM (
+  SELECT '/' || source AS r, min(doc_id) AS o FROM documents WHERE source IN ('src1', 'src2', 'src3') GROUP BY 1)), '|') AS places
+FROM documents WHERE n_chars >= 2000""")
+def _j10p(t):
+    """Where an address was looked for that leads nowhere: as it is, then below every root in their order."""
+    missing = t.documents.where("n_chars >= 2000").select(F.concat(F.lit("local://me/gone/"), "doc_id").alias("address"))
+    roots = t.documents.where("source IN ('src1', 'src2', 'src3')").groupBy("source").agg(
+        F.min("doc_id").alias("order")).select(F.concat(F.lit("/"), "source").alias("root"), "order")
+    return routes.places_tried(missing, roots).select("address", F.array_join("places", "|").alias("places"))
+
+
 @query("so3_distinct_union", sql="""
 SELECT p AS path, CAST(min(seq) AS BIGINT) AS seq FROM (SELECT o_custkey AS p, o_orderkey AS seq FROM orders WHERE o_orderstatus = 'F'
  UNION ALL SELECT o_custkey, 100000000 + o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1""")

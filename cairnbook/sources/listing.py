@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -125,10 +126,14 @@ def reader_for(ext: Column, content_type: Column) -> Column:
 
 
 def _file_system(path: str):
-    """pyarrow file system and inner path of a Hadoop style path."""
-    if path.startswith("file:"):
-        path = "file:///" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path)
+    """pyarrow file system and inner path of a Hadoop style path, whatever signs its names have."""
+    scheme, mark, rest = path.partition(":")
+    if not mark or "/" in scheme:
+        return pafs.LocalFileSystem(), path
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    authority, slash, inner = rest.removeprefix("//").partition("/")
+    return pafs.FileSystem.from_uri(f"{scheme}://{authority}{slash}{quote(inner)}")
 
 
 def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

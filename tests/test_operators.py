@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from cairnbook.operators import (dbcatalog, drift, guard, incremental, logs, numbering, paths, preview, privacy,
                                  profile, relations, search, sessions, sinks)
+from cairnbook.operators import routes
 from cairnbook.session import new_dir
+from cairnbook.sources import readers
 
 COL = "array<struct<name:string,type:string>>"
 
@@ -257,6 +260,37 @@ def test_texts_and_comments_keep_the_placeholder(spark):
         guard.guarded_sql(spark, "SELECT * FROM `{{file}}`", df)
 
 
+def test_routes(spark, tmp_path):
+    one, two = tmp_path / "one", tmp_path / "two"
+    two.mkdir()
+    (two / "a b.csv").write_text("id,v\n1,x\n2,y\n")
+    (tmp_path / "secret.csv").write_text("id\n1\n")
+    said = dict(roots=[str(one), f"{two}/"], agent="me", cache=str(tmp_path / "cache"))
+    assert routes.route("local://me/a/b") == ("local", "me/a/b") and routes.route("db://x") == ("db", "x") and routes.route("/a") == ("path", "/a")
+    for sql in ("SELECT count(*) AS n FROM read_csv_auto('local://me/a%20b.csv#S')", "SELECT count(*) AS n FROM {{file}}"):
+        address = "local://me/a%20b.csv#S" if "read_" in sql else "local://me/a%20b.csv"
+        assert routes.run(spark, sql, address, **said).first().n == 2
+    assert routes.run(spark, "SELECT v FROM {{file}} WHERE id = 2", f"local://me{two}/a b.csv", **said).first().v == "y"
+    assert routes.shown(spark, "SELECT id FROM {{file}} ORDER BY id", "local://me/a b.csv", rows=1, **said) == ([(1,)], True)
+    for address, why in (("local://me", "bad-format"), ("local://me/", "bad-format"), ("local://you/a b.csv", "mismatch"), ("local://me/gone.csv", "not-found"),
+                         ("local://me/../secret.csv", "not-found"), (f"local://me{tmp_path}/secret.csv", "not-found"), ("db://none", "no-database")):
+        with pytest.raises(routes.AddressError) as told:
+            routes.run(spark, "SELECT * FROM {{file}}", address, **said)
+        assert told.value.why == why
+    with pytest.raises(routes.AddressError) as told:
+        routes.run(spark, "SELECT * FROM {{file}}", "local://me/gone.csv", **said)
+    assert told.value.places == ["/gone.csv", f"{one}/gone.csv", f"{two}/gone.csv"]
+    with pytest.raises(ValueError, match="only SELECT"):
+        routes.run(spark, "DROP TABLE x", "db://d", databases={"d": readers.JdbcSource("sqlite", "jdbc:sqlite::memory:")})
+    with pytest.raises(ValueError, match="COPY"):
+        routes.run(spark, "COPY {{file}} TO 'x'", "local://me/gone.csv", **said)  # refused before anything is opened
+    began = time.monotonic()
+    with pytest.raises(TimeoutError):  # the limit holds for all jobs of a run, also for those that start later
+        routes.shown(spark, "SELECT id FROM {{file}}", "local://me/a b.csv", seconds=0.3,
+                     act=lambda df: [spark.range(1 << 44).agg(F.max(F.sqrt("id"))).collect() for _ in range(2)], **said)
+    assert time.monotonic() - began < 30
+
+
 def test_shown_rows_say_whether_there_are_more(spark):
     rows, more = guard.shown(spark.range(10), 4)
     assert len(rows) == 4 and more and guard.shown(spark.range(4), 4)[1] is False

@@ -344,6 +344,14 @@ def test_a_folder_that_cannot_be_read_does_not_end_the_listing(spark, tmp_path,
     assert "gone" in lost.first().error
 
 
+def test_names_with_any_signs(spark, tmp_path):
+    names = ["a b.csv", "50%.csv", "x%20y.csv", "q?.csv", "h#1.csv", "é 日本.json", "s p/a+b.tsv", "c:d.csv"]
+    for name in names:
+        _write(f"{tmp_path}/{name}", '{"a": 1}' if name.endswith("json") else "x\n1\n")
+    found = {r.relative_path: (r.row_count, r.error) for r in catalog.scan_catalog(spark, str(tmp_path)).collect()}
+    assert found == dict.fromkeys(names, (1, None))
+
+
 def test_fingerprint_parts_do_not_run_together(spark):
     rows = [("a", "x|1", 2, None), ("b", "x", 1, 2), ("c", "x|1", None, 2), ("d", "x\\|1", 2, None), ("e", None, 1, 2), ("f", "", 1, 2)]
     df = spark.createDataFrame([(f, p and p + ".csv", s, m) for f, p, s, m in rows], "folder string, relative_path string, size_bytes long, mtime long")
