@@ -298,9 +298,36 @@ def _f24(t):
     return t.events.groupBy(cells.day_key(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
 
 
-@query("f25_html_to_markdown")
+def _replaced(text: str, *steps: tuple[str, str]) -> str:
+    """SQL that replaces patterns in turn; line feeds of a replacement are written as ``§``."""
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', replace('{by}', '§', chr(10)), 'g')"
+    return text
+
+
+def _named_signs(text: str) -> str:
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{sign}')"
+    return text
+
+
+_MARKED = _named_signs(_replaced(
+    "html", (r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<![^>]*>|<title>.*?</title>", ""), (r"\s+", " "),
+    *[(rf"<h{k}(?: [^>]*)?>", "§§" + "#" * k + " ") for k in range(1, 7)],
+    (r'<a(?: [^>]*?)?href="([^"]*)"[^>]*>(.*?)</a>', r"[\2](\1)"), (r"<li(?: [^>]*)?>", "§- "), (r"<br */?>", "§"),
+    (r"</?(?:b|strong)>", "**"), (r"</?(?:i|em)>", "*"),
+    (r"</?(?:p|div|section|article|main|header|footer|nav|aside|ul|ol|table|tr|blockquote|pre|form|figure)(?: [^>]*)?>|</h[1-6]>", "§§"),
+    (r"</?[a-z][^>]*>", "")))
+_TITLE = _named_signs("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")
+
+
+@query("f25_html_to_markdown", sql=f"""
+SELECT page_id, trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')) AS title,
+ regexp_replace(regexp_replace(array_to_string(list_transform(string_split(body, chr(10)), lambda l: trim(l)), chr(10)),
+  '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') AS markdown
+FROM (SELECT page_id, html, {_MARKED} AS body FROM pages)""")
 def _f25(t):
-    """Every page as markdown; checked against brute force in the tests."""
+    """Every page as markdown."""
     return html.html_to_markdown(t.pages, parts=t.spark.sparkContext.defaultParallelism)
 
 
