@@ -59,9 +59,9 @@ def _file(base: str, number: int) -> str:
 
 def version(spark: SparkSession, base: str, number: int | None = None) -> Version | None:
     """A version of the table, by default the newest; None when there is none yet."""
-    if number is None:
-        number = max(_numbers(spark, base), default=0)
-    if not number:
+    numbers = _numbers(spark, base)
+    number = max(numbers, default=0) if number is None else number
+    if number not in numbers:
         return None
     fs, place = hadoop_path(spark, _file(base, number))
     stream = fs.open(place)
@@ -111,7 +111,7 @@ def lookup(spark: SparkSession, base: str, keys: DataFrame) -> DataFrame | None:
 
 def _written(rows: DataFrame, base: str, key: list[str], count: int) -> tuple[str, set[int]]:
     """Folder of the rows, dealt into partitions, and which partitions have any."""
-    spark, name = rows.sparkSession, f"rows-{uuid.uuid4().hex}"
+    spark, name = rows.sparkSession, f"snapshot-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn(_BUCKET, _bucket(key, count)).repartition(parts, _BUCKET)
     dealt.write.mode("errorifexists").partitionBy(_BUCKET).parquet(f"{base}/{name}")

@@ -43,10 +43,11 @@ def places_tried(missing: DataFrame, roots: DataFrame, address: str = "address")
 
     The roots are a configuration; they come to the addresses as one list.
     """
-    listed = roots.agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "root"))), lambda r: F.rtrim(r["root"], F.lit("/"))).alias("_roots"))
+    ordered = F.array_sort(F.collect_list(F.struct("order", "root")))
+    below = roots.agg(F.transform(ordered, lambda r: F.rtrim(r["root"], F.lit("/")))).scalar()
     own = F.ltrim(F.substring_index(percent_decode(F.regexp_replace(F.substr(F.col(address), F.lit(len(LOCAL) + 1)), r"^[^/]*/", "")), "#", 1), F.lit("/"))
-    return (missing.select(address, own.alias("_own"), F.lit(1).alias("_one")).join(F.broadcast(listed.withColumn("_one", F.lit(1))), "_one")
-            .select(address, F.array_distinct(F.concat(F.array(F.concat(F.lit("/"), "_own")), F.transform("_roots", lambda r: F.concat(r, F.lit("/"), F.col("_own"))))).alias("places")))
+    named = missing.select(address, F.concat(F.lit("/"), own).alias("_own"), below.alias("_roots"))
+    return named.select(address, F.array_distinct(F.concat(F.array("_own"), F.transform("_roots", lambda r: F.concat(r, F.col("_own"))))).alias("places"))
 
 
 def local_file(spark: SparkSession, rest: str, roots: list[str], agent: str | None, address: str) -> str:

@@ -217,7 +217,11 @@ def has_tag(spark: SparkSession, base: str, tag: str) -> bool:
 
 
 def read_snapshot(spark: SparkSession, base: str, number: int | None = None) -> DataFrame | None:
-    """A version of a table, by default the newest; None when there is none yet."""
+    """A version of a table, by default the newest; None when there is none yet.  Tables in hash partitions are read, too."""
+    from cairnbook.operators import keyed  # which builds on this module
+
+    if keyed.version(spark, base, number) is not None:
+        return keyed.read(spark, base, number)
     if number is None:
         number = max(_versions(spark, base), default=0)
     return spark.read.parquet(f"{base}/{_version(spark, base, number)[0]}") if number else None

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cairnbook.functions.text import extension
 from cairnbook.plans.profiles import TABLES, _TYPE_CASE
 from cairnbook.plans.registry import query
+from cairnbook.session import new_dir
 from cairnbook.sources import catalog, listing
 
 # A listing derived from part: folder, file name with an extension by size class, bytes, time.
@@ -43,6 +44,18 @@ def _sc6(t):
                         extension(F.col("path")).alias("file_format")).distinct()
 
 
+@query("sc6_list_partitions", sql="""
+SELECT coalesce(source, '__HIVE_DEFAULT_PARTITION__') AS source, coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS lang, 1 AS files,
+ CAST(length('doc_id') + 1 + sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS size_bytes FROM documents GROUP BY 1, 2""")
+def _sc6p(t):
+    """Documents written as one CSV file per source and language, then listed: every folder with its file and its bytes."""
+    root = new_dir(t.spark, "partitions")
+    t.documents.select("doc_id", "source", "lang").repartition("source", "lang").write.partitionBy("source", "lang").option("header", "true").csv(root)
+    files = listing.list_files(t.spark, root, "*.csv")
+    part = [F.regexp_extract("relative_path", rf"{name}=([^/]*)/", 1).alias(name) for name in ("source", "lang")]
+    return files.groupBy(*part).agg(F.count("*").cast("int").alias("files"), F.sum("size_bytes").alias("size_bytes"))
+
+
 @query("sc7_catalog_scan", sql=" UNION ALL ".join(
     f"""SELECT '{n}' AS dataset, (SELECT count(*) FROM {n}) AS row_count, column_name AS name,
     {_TYPE_CASE} AS type, true AS has_samples FROM (DESCRIBE {n})""" for n in TABLES))

@@ -271,6 +271,25 @@ def _st6(t):
     return runs[0].unionByName(runs[1])
 
 
+@query("st6_rescan_changes", sql=f"""
+SELECT 0 AS run, lang, n AS rows, (SELECT count(*) FROM {_FOLDER_RUNS}) AS files_read FROM {_FOLDER_RUNS}
+UNION ALL SELECT 1, lang, CASE WHEN lang = 'en' THEN even ELSE n END, (SELECT count(*) FROM {_FOLDER_RUNS} WHERE lang = 'fr' OR lang = 'en' AND even > 0)
+ FROM {_FOLDER_RUNS} WHERE lang <> 'de' AND (lang <> 'en' OR even > 0)
+UNION ALL SELECT 1, 'copy', n, (SELECT count(*) FROM {_FOLDER_RUNS} WHERE lang = 'fr' OR lang = 'en' AND even > 0) FROM {_FOLDER_RUNS} WHERE lang = 'fr'""")
+def _st6c(t):
+    """Two rescans of a folder that changes between them: what the catalog holds, and how many files each run has read."""
+    root, move_on = _changing_folder(t)
+    state, runs = new_dir(t.spark, "rescan-changes"), []
+    for run in range(2):
+        if run:
+            move_on()
+        read = jobs.rescan(t.spark, root, state, "*.csv")
+        records = read_snapshot(t.spark, f"{jobs.rescan_state(state, root)}/catalog")
+        runs.append(records.groupBy(F.regexp_extract("relative_path", r"lang=([^/]*)/", 1).alias("lang")).agg(F.sum("row_count").alias("rows")).select(
+            F.lit(run).alias("run"), "lang", "rows", F.lit(read).cast("long").alias("files_read")))
+    return runs[0].unionByName(runs[1])
+
+
 @query("st7_two_phase_records", sql="""
 SELECT doc_id, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS phase, CASE WHEN lang = 'en' THEN n_chars END AS content_chars FROM documents""")
 def _st7(t):
