@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ from cairnbook.functions.cells import average_text, cell_text, plain_double, typ
 # code takes as long per column again.  Of columnar files each scan reads only its own columns, so nothing is read twice.
 CHUNK = 6
 
+# Different values of one column that a task of the exact count holds before it sends them on.
+HELD_VALUES = 2_000_000
+
 PROFILE_COLUMNS = ["column_name", "column_type", "count", "null_percentage", "approx_unique",
                    "min", "max", "avg", "std"]
 
@@ -68,26 +73,60 @@ def _column_facts(field: T.StructField, i: int, sketch: bool) -> str:
         fact("mean", f"a{i}", "DOUBLE", number), fact("deviation", f"s{i}", "DOUBLE", number)]) + ")"
 
 
+def _different(held_values: int):
+    """The different values of every column of a task as pairs (number, text); at most so many of a column are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def told(no: int, values: pa.Array) -> Iterator[pa.RecordBatch]:
+            values = values.drop_null().cast(pa.string())
+            for lo in range(0, len(values), 100_000):
+                part = values.slice(lo, 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([no] * len(part), pa.int32()), part], names=["no", "v"])
+
+        for batch in batches:
+            for no, column in enumerate(batch.columns):
+                held.setdefault(no, []).append(column.unique())
+                if sum(map(len, held[no])) > held_values:
+                    one = pa.chunked_array(held[no]).unique()
+                    held[no] = [one]
+                    if len(one) > held_values // 2:
+                        yield from told(no, one)
+                        held[no] = []
+        for no, parts in held.items():
+            if parts:
+                yield from told(no, pa.chunked_array(parts).unique())
+
+    return run
+
+
 def exact_distinct(df: DataFrame) -> DataFrame:
     """``(column_name, n_distinct)`` exact distinct counts of all columns in one scan and one shuffle.
 
-    Every row becomes a pair (number of the column, value as text) per column.  Pairs are made unique inside the
-    tasks before they are shuffled, so a hot value costs one row per task, and no column is a task of its own.
+    The tasks of the scan make the values of every column unique, in vectors, and send pairs of the column's number and a
+    value as text: a hot value costs one row per task, and no column is a task of its own.
     """
     fields = [(i, f) for i, f in enumerate(df.schema.fields) if _has_order(f.dataType)]
+    spark = df.sparkSession
     if not fields:
-        return df.sparkSession.createDataFrame([], "column_name string, n_distinct long")
+        return spark.createDataFrame([], "column_name string, n_distinct long")
 
-    def text(field: T.StructField) -> Column:
+    def value(field: T.StructField) -> Column:
         c = F.col(_quoted(field.name))
-        # Both zeros are one number, and so are all ways to write NaN.
-        return (F.when(F.isnan(c), F.lit("NaN")).otherwise((c + F.lit(0.0)).cast("string")) if _is_float(field.dataType) else c.cast("string"))
-
-    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("no"), text(f).alias("v")) for i, f in fields])))
-    counts = pairs.where("v IS NOT NULL").distinct().groupBy("no").agg(F.count(F.lit(1)).alias("n_distinct"))
+        if _is_float(field.dataType):
+            return c + F.lit(0.0)  # both zeros are one number
+        if isinstance(field.dataType, T.BinaryType):
+            return F.hex(c)
+        plain = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+        return c if isinstance(field.dataType, plain) else c.cast("string")
+
+    named = df.select(*[value(f).alias(f"c{k}") for k, (_, f) in enumerate(fields)])
+    pairs = named.mapInArrow(_different(HELD_VALUES), "no int, v string")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = pairs.repartition(parts, "no", "v").distinct().groupBy("no").agg(F.count(F.lit(1)).alias("n_distinct"))
     # Columns without values, too, have a count.
-    every = df.sparkSession.createDataFrame([(i, f.name) for i, f in fields], "no int, column_name string").withColumn("n_distinct", F.lit(0).cast("long"))
-    return (counts.withColumn("column_name", F.lit(None).cast("string")).unionByName(every)
+    every = spark.createDataFrame([(k, f.name) for k, (_, f) in enumerate(fields)], "no int, column_name string")
+    return (counts.withColumn("column_name", F.lit(None).cast("string")).unionByName(every.withColumn("n_distinct", F.lit(0).cast("long")))
             .groupBy("no").agg(F.max("column_name").alias("column_name"), F.max("n_distinct").alias("n_distinct")).drop("no"))
 
 

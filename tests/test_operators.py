@@ -546,7 +546,7 @@ def test_profile_scans_once_per_group_and_once_more_for_exact_counts(spark):
         assert plan.count("FileScan parquet") == scans and "Join" not in plan
 
 
-def test_exact_distinct_counts(spark):
+def test_exact_distinct_counts(spark, monkeypatch):
     nan = float("nan")
     rows = [(0.0, 0.0, "a", True, b"\xff", None), (-0.0, nan, "A", None, b"\xfe", None), (None, nan, "a ", False, b"\xff", None), (float("inf"), 1.0, "", True, None, None)]
     df = spark.createDataFrame(rows, "d double, f float, s string, b boolean, raw binary, none string")
@@ -555,6 +555,10 @@ def test_exact_distinct_counts(spark):
     assert got == {c: df.agg(F.count_distinct(c)).first()[0] for c in df.columns} == {
         "d": 2, "f": 3, "s": 4, "b": 2, "raw": 2, "none": 0, "t": got["t"], "m": 1}
     assert profile.exact_distinct(df.select(F.array("d").alias("a"))).count() == 0
+    many = spark.range(0, 30_000, 1, 3).select((F.col("id") % 7000).alias("a"), F.lit("hot").alias("b"), (F.col("id") / 3).alias("c"))
+    for held in (10, 5000, 10 ** 6):
+        monkeypatch.setattr(profile, "HELD_VALUES", held)
+        assert {r.column_name: r.n_distinct for r in profile.exact_distinct(many).collect()} == {"a": 7000, "b": 1, "c": 30_000}
 
 
 def test_privacy_and_preview(spark):
