@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from cairnbook.operators.numbering import number_rows
 from cairnbook.session import create_if_absent, hadoop_path
-from cairnbook.sources.catalog import count_lines
+from cairnbook.sources.catalog import count_lines, scan_files
 from cairnbook.sources.readers import csv_files, read_csv_ladder, read_table
 
 # Version of the export bundle, queries exported.
@@ -36,7 +36,7 @@ def free_target(spark: SparkSession, folder: str, stem: str) -> str:
 
 
 def convert(spark: SparkSession, source: str, folder: str) -> dict:
-    """Convert a table file to zstd Parquet beside others; returns target, both sizes, rows and, for CSV, rows left out.
+    """Convert a table file to zstd Parquet beside others; returns target, both sizes, rows, and rows left out.
 
     The output committer publishes the files only when every task has finished.
     """
@@ -44,17 +44,26 @@ def convert(spark: SparkSession, source: str, folder: str) -> dict:
     ext = ext.lstrip(".").lower()
     if ext == "parquet":
         raise ValueError("file is already Parquet")
-    target = free_target(spark, folder, stem)
-    dropped = None
+    target, headed = free_target(spark, folder, stem), True
     if ext == "csv":
-        made, rung = read_csv_ladder(spark, source, target)
-        files = csv_files(spark, source)
-        heads = 0 if rung == 3 else files.count()
-        dropped = int(count_lines(files).agg(F.sum("lines")).first()[0] or 0) - heads - made.count()
+        _, rung = read_csv_ladder(spark, source, target)
+        headed = rung != 3
     else:
         read_table(spark, source, ext).write.mode("errorifexists").option("compression", "zstd").parquet(target)
+    rows = spark.read.parquet(target).count()
     return {"target": target, "source_bytes": _bytes(spark, source), "target_bytes": _bytes(spark, target),
-            "rows": spark.read.parquet(target).count(), "dropped_rows": dropped}
+            "rows": rows, "dropped_rows": max(records_in(spark, source, ext, headed) - rows, 0)}
+
+
+def records_in(spark: SparkSession, source: str, ext: str, headed: bool = True) -> int:
+    """Records of a table file, or of a folder of them, that a reader could take, those it cannot read included."""
+    files = csv_files(spark, source).withColumn("file_format", F.lit(ext))
+    if ext in ("csv", "tsv"):
+        lines = int(count_lines(files).agg(F.sum("lines")).first()[0] or 0)
+        return lines - (files.count() if headed else 0)
+    found = scan_files(spark, files).agg(F.sum("row_count"), F.sum(F.coalesce(
+        F.regexp_extract("error", r"^([0-9]+) of its records", 1).try_cast("long"), F.lit(0)))).first()
+    return int(found[0] or 0) + int(found[1] or 0)
 
 
 def _latest(updates: DataFrame, key: list[str], seq: str) -> DataFrame:

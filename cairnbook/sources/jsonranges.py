@@ -21,6 +21,8 @@ from cairnbook.session import cut_lineage
 from cairnbook.sources import fieldtypes
 
 RANGE_BYTES = 16 << 20
+# What is read of a file to see how its values lie.
+FIRST_LINE_BYTES = 1 << 20
 SAMPLE_ROWS = 5
 
 _QUOTE, _BACKSLASH, _OPEN_LIST, _CLOSE_LIST, _OPEN, _CLOSE = 34, 92, 91, 93, 123, 125
@@ -227,19 +229,78 @@ def _folder(open_file: Callable, chunk: int, masked: Callable):
     return fold
 
 
+def _layouts(open_file: Callable):
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, size in zip(batch["path"], batch["size_bytes"].tolist()):
+                with open_file(path) as handle:
+                    head = handle.read_at(min(size, FIRST_LINE_BYTES), 0).removeprefix(b"\xef\xbb\xbf").lstrip()
+                line, end, _ = head.partition(b"\n")
+                whole = bool(end) or size <= FIRST_LINE_BYTES
+                try:
+                    found = json.loads(line) if whole else None
+                except ValueError:
+                    found = None
+                # A document or list that ends with its line; a word or number says nothing and is left to the lines.
+                opens = head[:1] in (b"{", b"[")
+                out.append((path, bool(head) and opens and not isinstance(found, dict | list)))
+            yield pd.DataFrame(out, columns=["path", "by_value"])
+
+    return look
+
+
+def layouts(files: DataFrame, open_file: Callable, parts: int) -> DataFrame:
+    """``path, by_value``: whether a file begins with a document or list that does not end with its first line."""
+    return files.where(F.col("size_bytes") > 0).select("path", "size_bytes").repartition(parts, "path").mapInPandas(
+        _layouts(open_file), "path string, by_value boolean")
+
+
+def _teller(open_file: Callable, chunk: int):
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, size, start, inside, depth, opener in zip(*(batch[c].tolist() for c in ("path", "size_bytes", "start", "inside", "depth", "opener"))):
+                out = []
+                with open_file(path) as handle:
+                    for at, text in values_in(handle, start, min(start + chunk, size), size, inside, depth, opener):
+                        if text is not None:
+                            # A line end that is not written as a sign of its own is a blank between values.
+                            out.append((path, at, text.replace(b"\r", b" ").replace(b"\n", b" ").decode("utf-8", "replace")))
+                        if len(out) >= 1000:
+                            yield pd.DataFrame(out, columns=["path", "at", "value"])
+                            out = []
+                if out:
+                    yield pd.DataFrame(out, columns=["path", "at", "value"])
+
+    return tell
+
+
+def json_values(files: DataFrame, open_file: Callable, parts: int, chunk: int = RANGE_BYTES) -> DataFrame:
+    """``path, at, value``: the text of every record of JSON files ``(path, size_bytes)``, on one line, by many tasks per file."""
+    _, carried = _states(files, open_file, parts, chunk)
+    begins = carried.where("start IS NOT NULL").join(files.select("path", "size_bytes"), "path").repartition(parts, "path", "start")
+    return begins.select("path", "size_bytes", "start", "inside", "depth", "opener").mapInPandas(
+        _teller(open_file, chunk), "path string, at long, value string")
+
+
+def _states(files: DataFrame, open_file: Callable, parts: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Facts of all ranges, and how each begins."""
+    ranges = files.where(F.col("size_bytes") > 0).select("path", "size_bytes", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(chunk).cast("long"))).alias("start"))
+    facts = cut_lineage(ranges.repartition(parts, "path", "start").mapInPandas(_scanner(open_file, chunk), _FACTS), "json_ranges")
+    # A few numbers per range; the ranges of one file follow each other in one task.
+    carried = facts.where("NOT failed").repartition(parts, "path").sortWithinPartitions("path", "start").mapInPandas(_carry, _BEGINS)
+    return facts, cut_lineage(carried, "json_begins")
+
+
 def json_facts(files: DataFrame, open_file: Callable, masked: Callable, parts: int, chunk: int = RANGE_BYTES) -> DataFrame:
     """``path, row_count, fields, sample_rows, problem`` of JSON files ``(path, size_bytes)``.
 
     ``fields`` are ``(name, flags)`` in the order in which the file first shows them, over all its records.  Records that
     do not parse are counted in ``problem``.  Samples come from the first range in which a record begins.
     """
-    ranges = files.where(F.col("size_bytes") > 0).select("path", "size_bytes", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(chunk).cast("long"))).alias("start"))
-    facts = cut_lineage(ranges.repartition(parts, "path", "start").mapInPandas(_scanner(open_file, chunk), _FACTS), "json_ranges")
+    facts, carried = _states(files, open_file, parts, chunk)
     unread = facts.where("failed").select("path", F.lit(True).alias("unread")).distinct()
-    # A few numbers per range; the ranges of one file follow each other in one task.
-    carried = facts.where("NOT failed").repartition(parts, "path").sortWithinPartitions("path", "start").mapInPandas(_carry, _BEGINS)
-    carried = cut_lineage(carried, "json_begins")
     begins = carried.where("start IS NOT NULL")
     folded = (begins.join(files.select("path", "size_bytes"), "path").repartition(parts, "path", "start")
               .select("path", "size_bytes", "start", "inside", "depth", "opener").mapInPandas(_folder(open_file, chunk, masked), _FOLDED))

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from cairnbook.session import cut_lineage, hadoop_path, new_dir
 from cairnbook.sources.catalog import _open, quoted_line_ends, split_records
+from cairnbook.sources.jsonranges import json_values, layouts
 from cairnbook.sources.listing import list_files
 from cairnbook.sources.workbook import workbook_records
 
@@ -23,7 +24,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options:
     if fmt in ("csv", "tsv"):
         return read_delimited(spark, path, "\t" if fmt == "tsv" else ",")
     if fmt in ("json", "jsonl", "ndjson"):
-        return read_json(spark, path, None if fmt == "json" else False)
+        return read_json(spark, path)
     if fmt == "xlsx":
         return read_workbook_table(spark, path)
     raise ValueError(f"no reader for {fmt} files; only tabular data can be read")
@@ -41,19 +42,30 @@ def read_json(spark: SparkSession, path: str, multi_line: bool | None = None,
               schema: T.StructType | str | None = None) -> DataFrame:
     """JSON documents with their nested schema found by reading them all.
 
-    Unless told, one document or array per line is tried first; only files in which no
-    line is a document by itself are read whole.  Lines that do not parse are left out.
+    Unless told, files whose first line holds a whole document or list are read line by line; if any file of the table
+    is laid out otherwise (one list over several lines, indented documents, one endless line), all are cut into their records
+    first, by many tasks per file.  What does not parse is left out.
     """
     bad = "_corrupt_record"
+    if multi_line is None:
+        files = json_files(spark, path)
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if not layouts(files, _open, parts).where("by_value").isEmpty():
+            path = new_dir(spark, "json-values")
+            json_values(files, _open, parts).select("value").write.text(path)
+        multi_line = False
     if schema is None:
-        found = spark.read.option("multiLine", str(bool(multi_line)).lower()).json(path).schema
-        if multi_line is None and found.names == [bad]:
-            return read_json(spark, path, True)
+        found = spark.read.option("multiLine", str(multi_line).lower()).json(path).schema
         schema = T.StructType([f for f in found.fields if f.name != bad])
-    return (spark.read.schema(schema).option("multiLine", str(bool(multi_line)).lower())
+    return (spark.read.schema(schema).option("multiLine", str(multi_line).lower())
             .option("mode", "DROPMALFORMED").json(path))
 
 
+def json_files(spark: SparkSession, path: str) -> DataFrame:
+    """Listing of the data files of a JSON table, one file or a folder of them."""
+    return list_files(spark, path, "*").where(~F.substring_index("path", "/", -1).rlike("^[._]")).where("size_bytes > 0")
+
+
 def _text_csv(spark: SparkSession, path: str, header: bool, names: list[str]) -> DataFrame:
     """All fields as text: short rows padded with nulls, rows with too many fields dropped."""
     extra = "_more_fields"

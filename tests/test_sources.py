@@ -111,6 +111,24 @@ def test_json_layouts(spark, tmp_path):
         assert df.count() == 2
 
 
+def test_json_of_any_layout_is_read_whole(spark, tmp_path, monkeypatch):
+    import json
+
+    from cairnbook.sources import jsonranges
+    rng = random.Random(7)
+    docs = [{"a": i, "t": "".join(rng.choices('x{[",\\\n é]}', k=8)), "l": [{"b": i}]} for i in range(60)]
+    layouts = {"list.json": json.dumps(docs), "loose.json": "[" + ",\n".join(map(json.dumps, docs)) + "]", "pretty.json": json.dumps(docs, indent=3),
+               "documents.json": "\n".join(json.dumps(d, indent=1) for d in docs), "lines.jsonl": "\n".join(map(json.dumps, docs)),
+               "lists.json": "\n".join(json.dumps([d]) for d in docs), "dense.json": "".join(map(json.dumps, docs))}
+    for first in (1 << 20, 5):  # also with a first line that is longer than what is looked at
+        monkeypatch.setattr(jsonranges, "FIRST_LINE_BYTES", first)
+        for name, text in layouts.items():
+            _write(f"{tmp_path}/{name}", text)
+            got = readers.read_table(spark, f"{tmp_path}/{name}", "json").select("a", "t", "l.b").collect()
+            assert sorted((r.a, r.t, r.b[0]) for r in got) == [(d["a"], d["t"], d["a"]) for d in docs], name
+    assert readers.read_json(spark, str(tmp_path)).count() == 60 * len(layouts)
+
+
 def test_convert_never_overwrites(spark, tmp_path):
     _write(f"{tmp_path}/t.csv", "a,b\n1,2\n")
     targets = [sinks.convert(spark, f"{tmp_path}/t.csv", str(tmp_path)) for _ in range(3)]
@@ -123,6 +141,15 @@ def test_convert_never_overwrites(spark, tmp_path):
         sinks.convert(spark, targets[0]["target"], str(tmp_path))
 
 
+def test_convert_says_what_it_leaves_out(spark, tmp_path):
+    _write(f"{tmp_path}/a.tsv", "id\tn\n1\tx\n2\ty\n")
+    _write(f"{tmp_path}/b.json", '{"a": 1}\n{"a": oops}\n{"a": 3}\n')
+    _write(f"{tmp_path}/c.ndjson", '{"a": 1}\n\n{"a": 2}\n')
+    _write(f"{tmp_path}/d.json", '[{"a": 1},\n {"a": 2}]')
+    got = {n: sinks.convert(spark, f"{tmp_path}/{n}", str(tmp_path)) for n in ("a.tsv", "b.json", "c.ndjson", "d.json")}
+    assert {n: (g["rows"], g["dropped_rows"]) for n, g in got.items()} == {"a.tsv": (2, 0), "b.json": (2, 1), "c.ndjson": (2, 0), "d.json": (2, 0)}
+
+
 def test_line_counts_across_ranges(spark, tmp_path):
     rng = random.Random(5)
     expected = {}
