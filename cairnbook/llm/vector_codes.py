@@ -28,6 +28,7 @@ ENTRIES = 256
 ROUNDS = 4
 # Vectors of one block: its dictionaries pay once they hold fewer values than the block has vectors.
 BLOCK_ROWS = 8192
+_BLOCK_VALUES = 1 << 21
 # Blocks that come to a task in one Arrow batch.
 _BLOCKS_AT_ONCE = 4
 _PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -108,12 +109,12 @@ def _opened(batches):
 
 def squared_tables(books: list[np.ndarray], entries: np.ndarray) -> list[np.ndarray]:
     """Per dimension: squared differences of every dictionary value to that component of all entries."""
-    tables = [(book[:, None] - entries[None, :, d]) ** 2 for d, book in enumerate(books)]
-    if all(t.dtype != object for t in tables) and sum(int(t.max(initial=0)) for t in tables) < 1 << 31:
-        return [t.astype(np.int32) for t in tables]
-    if any(t.dtype != object and int(t.max(initial=0)) * len(tables) >= 1 << 62 for t in tables):
-        return [(book.astype(object)[:, None] - entries.astype(object)[None, :, d]) ** 2 for d, book in enumerate(books)]
-    return tables
+    if entries.dtype == object or any(book.dtype == object for book in books):
+        return [(book[:, None] - entries[None, :, d]) ** 2 for d, book in enumerate(books)]
+    # No difference is larger than the largest value and the largest entry together.
+    most = [(int(np.abs(book).max(initial=0)) + int(np.abs(entries[:, d]).max(initial=0))) ** 2 for d, book in enumerate(books)]
+    kind = np.int32 if sum(most) < 1 << 31 else np.int64 if sum(most) < 1 << 62 else object
+    return [(book.astype(kind)[:, None] - entries[:, d].astype(kind)[None, :]) ** 2 for d, book in enumerate(books)]
 
 
 def assign(books: list[np.ndarray], codes: list[np.ndarray], entries: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +122,16 @@ def assign(books: list[np.ndarray], codes: list[np.ndarray], entries: np.ndarray
     tables = squared_tables(books, entries)
     kind = object if any(t.dtype == object for t in tables) else tables[0].dtype if tables else np.int64
     nearest, distance = np.zeros(count, np.int64), np.zeros(count, object if kind is object else np.int64)
+    sums = np.empty((min(count, _AT_ONCE), len(entries)), kind)
+    found = np.empty_like(sums)
+    codes = [code.astype(np.intp) for code in codes]
     for lo in range(0, count, _AT_ONCE):
         hi = min(lo + _AT_ONCE, count)
-        total = np.zeros((hi - lo, len(entries)), kind)
-        for found, code in zip(tables, codes):
-            total += found[code[lo:hi]]
+        total = sums[:hi - lo]
+        total[:] = 0
+        for own, code in zip(tables, codes):
+            # Places in a dictionary are never out of range; the mode spares a copy.
+            total += np.take(own, code[lo:hi], axis=0, out=found[:hi - lo], mode="clip")
         nearest[lo:hi] = total.argmin(1)
         distance[lo:hi] = total[np.arange(hi - lo), nearest[lo:hi]]
     return nearest, distance
@@ -212,7 +218,7 @@ def codebooks(vectors: DataFrame, *, scale: int = SCALE, parts: int = PARTS, ent
     # Sums of all rows in limbs of 30 bits, so that adding them up in Spark stays within 64 bits.
     largest = abs(_whole(facts[1] or 0.0, scale)) + 1
     limbs = 1 if largest * max(facts[2], 1) < 1 << 62 and largest < _WIDE else -(-largest.bit_length() // _LIMB) + 2
-    packed = blocks_of(vectors, dims, scale, block_rows)
+    packed = blocks_of(vectors, dims, scale, min(block_rows, max(64, _BLOCK_VALUES // dims)))
     kept = first_entries(vectors, dims, scale, parts, entries)
     for _ in range(rounds if kept[0] else 0):
         kept = refined(packed, kept, limbs)
