@@ -134,19 +134,23 @@ def _around(batches, inner: int, outer: int):
 
 
 def links(prints: DataFrame, *, max_bits: int = MAX_BITS, parts: int = BLOCKS, crowd: int = CROWD) -> DataFrame:
-    """Edges ``u, v`` between different fingerprints of ``prints.fp`` (distinct) that connect all close ones."""
+    """Edges ``u, v`` between different fingerprints of ``prints.fp`` (distinct) that connect all close ones.
+
+    A fingerprint becomes 35 keys or two thousand points, which the size of its file does not tell: the joins of
+    these are merged, or Spark would take them for small and send them through the driver.
+    """
     masks = F.array(*[F.lit(m) for m in _masks(parts, max_bits)])
     keys = prints.select("fp", F.posexplode(masks).alias("t", "mask")).select(
         "t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     shared = keys.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(keys.join(shared, ["t", "key"]), "buckets")
+    members = written(keys.join(shared.hint("merge"), ["t", "key"]), "buckets")
     near = (members.where(F.col("n") <= crowd).repartition("t", "key").sortWithinPartitions("t", "key", "fp")
             .select("t", "key", "fp").mapInArrow(partial(_forests, max_bits=max_bits), "u long, v long"))
     packed = members.where(F.col("n") > crowd).select("fp").distinct()
     points = packed.mapInArrow(partial(_around, inner=max_bits // 2, outer=max_bits - max_bits // 2),
                                "point long, fp long, near boolean")
     least = points.groupBy("point").agg(F.min(F.expr("IF(near, fp, NULL)")).alias("v"), F.count(F.lit(1)).alias("n"))
-    far = points.join(least.where("n > 1 AND v IS NOT NULL"), "point").select(F.col("fp").alias("u"), "v")
+    far = points.join(least.where("n > 1 AND v IS NOT NULL").hint("merge"), "point").select(F.col("fp").alias("u"), "v")
     return near.unionByName(far.where("u <> v"))
 
 
@@ -167,7 +171,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, max_bits: int =
     rooted = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("lowest"))
     known = rooted.join(lowest, "root").select("fp", "lowest")
-    return rows.join(known, "fp").select(
+    return rows.join(known.hint("merge"), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("lowest.doc_id").alias("component_id"), "text_key",
         (F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("text_key") == F.col("lowest.text_key"))).alias("kept"))

@@ -155,6 +155,29 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 if i <= 100 else 101 for i in range(301)}
 
 
+def test_no_join_of_keys_or_edges_goes_through_the_driver(spark, tmp_path, monkeypatch):
+    """Files of few MB become many rows: neither the keys of fingerprints nor a large edge table may be broadcast."""
+    plans = []
+
+    def seen(df, label):
+        plans.append((label, df._jdf.queryExecution().toString()))
+        return written(df, label)
+
+    written = simhash.written
+    monkeypatch.setattr(simhash, "written", seen)
+    monkeypatch.setattr(components, "written", seen)
+    monkeypatch.setattr(components, "MERGED_EDGES", 2, raising=False)
+    path = str(tmp_path / "prints")
+    spark.range(300).selectExpr("id * 7 AS fp").write.parquet(path)
+    for crowd in (20_000, 2):
+        edges = simhash.links(spark.read.parquet(path), crowd=crowd)
+        plans.append(("links", edges._jdf.queryExecution().toString()))
+        found = components.components(edges)
+        assert found.where("root = 0").count() == found.count() == 300
+    assert {label for label, _ in plans} >= {"buckets", "links", "edges"}
+    assert not [label for label, plan in plans if "BroadcastExchange" in plan]
+
+
 def test_one_document_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(3, text, "c"), (1, text, "a"), (1, text, "b"), (2, "other", "d"), (None, text, "e")],
