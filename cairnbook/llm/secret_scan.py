@@ -2,10 +2,9 @@
 
 Base spans are the matches of three patterns.  The field tags each token of a text as begin, inside or
 outside of a secret, from the token's shape, the words beside it, the signs between them and the file it
-stands in, and is decoded by Viterbi.  By rule a token can only belong to a secret if it is long enough and
-mixes kinds of characters; every other token is outside, so a text falls into short runs of open tokens
-whose best tags are independent of each other given the outside tokens around them, and the decoding of the
-runs is exactly the decoding of the text.
+stands in, and is decoded by Viterbi.  Every token of every text is scored and takes part in the decoding.  Scores are
+sums over features that repeat from place to place and are looked up; where they leave no doubt that the best
+path is outside, a text is cut, and the runs between are decoded on their own, which is the decoding of the whole text.
 
 The field is trained on the driver by stochastic gradient ascent on its likelihood, from at most
 ``sample_rows`` documents: base matches are the labels, and made-up secrets of public formats and harmless
@@ -18,8 +17,9 @@ import bisect
 import hashlib
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
-from functools import partial
+from functools import cache, partial
 from random import Random
 
 import numpy as np
@@ -50,6 +50,15 @@ _UPPER = (_CODE >= 65) & (_CODE <= 90)
 _LETTER = _UPPER | ((_CODE >= 97) & (_CODE <= 122))
 _HEX = _DIGIT | ((_CODE >= 97) & (_CODE <= 102))
 _TOKEN = _DIGIT | _LETTER | (_CODE >= 128) | np.isin(_CODE, list(b"+/_.-"))
+_CODE_SIGN = np.isin(_CODE, list(b"={};<>"))
+_WORD = re.compile(rb"[0-9A-Za-z+/_.\x80-\xff-]+")
+_DIGITS, _UPPERS, _LETTERS = (bytes(np.flatnonzero(x).tolist()) for x in (_DIGIT, _UPPER, _LETTER))
+_SIGNS = frozenset(b"+/_.-")
+# How many values each part of a shape has.
+_SHAPES = (8, 6, 5, 2, 4)
+_SHAPE_CODES = 8 * 6 * 5 * 2 * 4
+# Feature numbers of no word before and no word after.
+_NO_WORD = zlib.crc32(b"before ") % FEATURES, zlib.crc32(b"after ") % FEATURES
 OUT, BEGIN, INSIDE = 0, 1, 2
 
 
@@ -75,53 +84,164 @@ def base_spans(flat: bytes, data: np.ndarray) -> list[tuple[int, int, int, int]]
     return sorted(found)
 
 
+def _number(name: bytes) -> int:
+    return zlib.crc32(name) % FEATURES
+
+
+@cache
+def _shape_facts(*shape: int) -> tuple[int, int]:
+    """Feature number and number of a shape."""
+    code = 0
+    for value, many in zip(shape, _SHAPES):
+        code = code * many + value
+    return _number(b"shape %d %d %d %d %d" % shape), code
+
+
+@cache
+def _small(name: bytes) -> int:
+    return _number(name)
+
+
+def _word_facts(own: bytes) -> tuple[int, ...]:
+    """Feature numbers of a token: five of its own, as the word before, as the word after; and the number of its shape."""
+    size = len(own)
+    digit = size - len(own.translate(None, _DIGITS))
+    upper = size - len(own.translate(None, _UPPERS))
+    letter = size - len(own.translate(None, _LETTERS))
+    shape, code = _shape_facts(min(size.bit_length(), 7), digit * 5 // size, upper * 4 // size, min(letter - upper, 1), min(size - digit - letter, 3))
+    kinds = set(own)
+    signs = b"signs " if kinds.isdisjoint(_SIGNS) else b"signs " + bytes(sorted(kinds & _SIGNS))
+    low = own.translate(_LOWER)
+    return (_small(b"bias"), shape, _small(b"distinct %d %d" % (min(len(kinds) * 6 // min(size, 32), 6), min(size // 8, 5))),
+            _number(b"head " + own[:4]), _small(signs), _number(b"before " + low[-16:]), _number(b"after " + low[:16]), code)
+
+
+def _gap_facts(gap: bytes) -> tuple[int, ...]:
+    """Feature numbers of the signs in front of a token and behind one, the last sign (256: none), and whether a line ends."""
+    signs = gap.replace(b" ", b"")
+    return _number(b"gap " + signs[-3:]), _number(b"tail " + signs[:2]), signs[-1] if signs else 256, b"\n" in gap
+
+
+class _Met(dict):
+    """Numbers of byte strings in the order they are met, and the facts of each."""
+
+    def __init__(self, facts, width: int):
+        super().__init__()
+        self.facts, self.width, self.rows, self.size = facts, width, array("i"), 0
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        self.rows.extend(self.facts(key))
+        self.size += len(key)
+        return n
+
+    def table(self) -> np.ndarray:
+        return np.frombuffer(self.rows, np.int32).reshape(-1, self.width).astype(np.int64)
+
+
+class Lexicon:
+    """Tokens, and signs between them, that were met so far: their features are made once for all places they stand in."""
+
+    def __init__(self):
+        self.words, self.gaps = _Met(_word_facts, 8), _Met(_gap_facts, 4)
+        self.pairs = np.full(_SHAPE_CODES * 257, -1, np.int64)
+
+    def full(self) -> bool:
+        return self.words.size + self.gaps.size > 16 << 20 or len(self.words) + len(self.gaps) > 1 << 18
+
+    def pair_numbers(self, codes: np.ndarray) -> np.ndarray:
+        """Feature numbers of shape and last sign of the gap together."""
+        new = self.pairs[codes] < 0
+        if new.any():
+            for code in set(codes[new].tolist()):
+                (rest, sign), shape = divmod(code, 257), []
+                for many in reversed(_SHAPES):
+                    rest, value = divmod(rest, many)
+                    shape.append(value)
+                self.pairs[code] = _number(b"shape, gap " + b"%d %d %d %d %d" % tuple(shape[::-1]) + (bytes([sign]) if sign < 256 else b""))
+        return self.pairs[codes]
+
+
+def line_of(data: np.ndarray, starts: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The texts with a line end before each and behind the last, and where each text begins there."""
+    flat = b"\n".join([b"", *(data[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])), b""])
+    return flat, starts[:-1] + 1 + np.arange(len(starts) - 1)
+
+
 class Tokens:
-    """Tokens of texts joined by line ends, and which of them are open to be secrets."""
-
-    def __init__(self, flat: bytes, data: np.ndarray):
-        self.flat = flat
-        self.lo, self.hi = spans_of(_TOKEN[data])
-        sums = {n: np.concatenate(([0], np.cumsum(c[data], dtype=np.int32)))
-                for n, c in (("digit", _DIGIT), ("upper", _UPPER), ("letter", _LETTER))}
-        n = {k: s[self.hi] - s[self.lo] for k, s in sums.items()}
-        size = self.hi - self.lo
-        lower = n["letter"] - n["upper"]
-        self.open = (size >= 8) & (((n["digit"] > 0) & (n["letter"] > 0)) | ((n["upper"] >= 2) & (lower >= 2))
-                                   | (n["digit"] >= 12) | (size >= 24))
-        self.counts = n
-
-    def runs(self) -> list[tuple[int, int]]:
-        return list(zip(*(x.tolist() for x in spans_of(self.open))))
-
-    def features(self, i: int, file: bytes) -> list[int]:
-        """Feature numbers of token ``i``: shape, neighbouring words, signs between, file."""
-        flat, lo, hi = self.flat, int(self.lo[i]), int(self.hi[i])
-        own = flat[lo:hi]
-        size = hi - lo
-        digit, upper, letter = (int(self.counts[k][i]) for k in ("digit", "upper", "letter"))
-        before = flat[int(self.lo[i - 1]):int(self.hi[i - 1])] if i else b""
-        after = flat[int(self.lo[i + 1]):int(self.hi[i + 1])] if i + 1 < len(self.lo) else b""
-        gap = flat[int(self.hi[i - 1]):lo] if i else b""
-        tail = flat[hi:int(self.lo[i + 1])] if i + 1 < len(self.lo) else b""
-        if b"\n" in gap:
-            before = b""
-        if b"\n" in tail:
-            after = b""
-        shape = b"%d %d %d %d %d" % (min(size.bit_length(), 7), digit * 5 // size, upper * 4 // size,
-                                     min(letter - upper, 1), min(size - digit - letter, 3))
-        distinct = len(set(own)) * 6 // min(size, 32)
-        names = (b"bias", b"shape " + shape, b"distinct %d %d" % (min(distinct, 6), min(size // 8, 5)),
-                 b"head " + own[:4], b"before " + before.translate(_LOWER)[-16:], b"after " + after.translate(_LOWER)[:16],
-                 b"gap " + gap.replace(b" ", b"")[-3:], b"tail " + tail.replace(b" ", b"")[:2], b"file " + file,
-                 b"shape, gap " + shape + gap.replace(b" ", b"")[-1:], b"signs " + bytes(sorted(set(own) & set(b"+/_.-"))))
-        return [zlib.crc32(n) % FEATURES for n in names]
+    """All tokens of texts (:func:`line_of`): where they stand, and by number what they and the signs around them are."""
+
+    def __init__(self, flat: bytes, begins: np.ndarray, ends: np.ndarray, lexicon: Lexicon):
+        joined = np.frombuffer(flat, np.uint8)
+        self.lexicon = lexicon
+        self.lo, self.hi = spans_of(_TOKEN[joined])
+        self.doc = np.searchsorted(begins, self.lo, "right") - 1
+        n = len(self.lo)
+        self.word = np.fromiter(map(lexicon.words.__getitem__, _WORD.findall(flat)), np.int64, n)
+        between = np.fromiter(map(lexicon.gaps.__getitem__, _WORD.split(flat)), np.int64, n + 1)
+        self.gap, self.tail = between[:-1].copy(), between[1:].copy()
+        edge = np.diff(self.doc, prepend=-1, append=len(begins)) != 0
+        self.first, self.last = edge[:-1], edge[1:]
+        # What stands in the texts before and behind has no say.
+        for i in np.flatnonzero(self.first).tolist():
+            self.gap[i] = lexicon.gaps[flat[begins[self.doc[i]] - 1:self.lo[i]]]
+        for i in np.flatnonzero(self.last).tolist():
+            self.tail[i] = lexicon.gaps[flat[self.hi[i]:ends[self.doc[i]] + 1]]
+        self.file = np.array([_number(b"file " + file_features(joined[a:b])) for a, b in zip(begins, ends)], np.int64)
+
+    def _neighbours(self, before, after, gaps, none_before, none_after):
+        """What the words beside each token are worth, or nothing where a line ends between."""
+        said = [np.concatenate((before[self.word[:1]], before[self.word[:-1]])), np.concatenate((after[self.word[1:]], after[self.word[:1]]))]
+        said[0][gaps[self.gap, 3] > 0], said[1][gaps[self.tail, 3] > 0] = none_before, none_after
+        return said
+
+    def numbers(self) -> np.ndarray:
+        """The feature numbers of each token, a row."""
+        words, gaps = self.lexicon.words.table(), self.lexicon.gaps.table()
+        before, after = self._neighbours(words[:, 5], words[:, 6], gaps, *_NO_WORD)
+        pair = self.lexicon.pair_numbers(words[self.word, 7] * 257 + gaps[self.gap, 2])
+        return np.column_stack((words[self.word, :5], before, after, gaps[self.gap, 0], gaps[self.tail, 1], self.file[self.doc], pair))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """Score of each tag for each token: the sums of the weights of its features."""
+        words, gaps = self.lexicon.words.table(), self.lexicon.gaps.table()
+        before, after = self._neighbours(weights[words[:, 5]], weights[words[:, 6]], gaps, *weights[list(_NO_WORD)])
+        out = weights[words[:, :5]].sum(1)[self.word]
+        out += before
+        out += after
+        out += weights[gaps[:, 0]][self.gap]
+        out += weights[gaps[:, 1]][self.tail]
+        out += weights[self.file][self.doc]
+        out += weights[self.lexicon.pair_numbers(words[self.word, 7] * 257 + gaps[self.gap, 2])]
+        return out
+
+    def runs(self, scores: np.ndarray, steps: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of tokens of one text among which the best path may leave the outside; around them it never does.
+
+        A path with another tag at a token is compared with the same path with that tag outside (and an inside behind it
+        a begin).  Where the second is better whatever the other tags, the token is outside in the best path: a text falls
+        into runs that are decoded on their own, and this is the decoding of the whole text.
+        """
+        if not len(scores):
+            return []
+        ahead = np.full(len(scores), np.inf)
+        ahead[:-1] = np.where(self.last[:-1], np.inf, scores[1:, BEGIN] - scores[1:, INSIDE])
+        sure = np.ones(len(scores), bool)
+        for tag in (BEGIN, INSIDE):
+            change = (steps[:, OUT] - steps[:, tag]).min()
+            stay = min(steps[OUT, c] - steps[tag, c] for c in (OUT, BEGIN))
+            go_on = steps[OUT, BEGIN] - steps[tag, INSIDE] + (steps[BEGIN] - steps[INSIDE]).min() + ahead
+            sure &= scores[:, OUT] - scores[:, tag] + change + np.minimum(stay, go_on) > 1e-6
+        key = np.where(sure, 0, self.doc + 1)
+        at = np.flatnonzero(np.diff(key, prepend=0, append=0))
+        return [(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist()) if key[a]]
 
 
 def file_features(data: np.ndarray) -> bytes:
     """How much of a file is digits and how much is signs of code, in steps."""
     size = max(len(data), 1)
     digits = int(np.count_nonzero(_DIGIT[data])) * 20 // size
-    signs = int(np.count_nonzero(np.isin(data, np.frombuffer(b"={};<>", np.uint8)))) * 50 // size
+    signs = int(np.count_nonzero(_CODE_SIGN[data])) * 50 // size
     return b"%d %d" % (min(digits, 5), min(signs, 5))
 
 
@@ -151,22 +271,31 @@ def viterbi(scores: np.ndarray, steps: np.ndarray) -> list[int]:
 
 
 def _expected(scores: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tags of the tokens and expected tag changes under the field (forward-backward)."""
-    n = len(scores)
-    ahead, behind = np.empty((n, 3)), np.empty((n, 3))
-    ahead[0] = steps[OUT] + scores[0]
-    for t in range(1, n):
-        ahead[t] = np.logaddexp.reduce(ahead[t - 1][:, None] + steps, axis=0) + scores[t]
-    behind[-1] = steps[:, OUT]
-    for t in range(n - 2, -1, -1):
-        behind[t] = np.logaddexp.reduce(steps + (scores[t + 1] + behind[t + 1])[None], axis=1)
-    total = np.logaddexp.reduce(ahead[-1] + behind[-1])
-    tags = np.exp(ahead + behind - total)
+    """Expected tags of the tokens and expected tag changes under the field (forward-backward, scaled at every token)."""
+    own = np.exp(scores - scores.max(1, keepdims=True))
+    moves = np.exp(steps)
+    (oo, ob, oi), (bo, bb, bi), (io, ib, ii) = moves.tolist()
+    rows = own.tolist()
+    ahead, scale, x, y, z = [], [], 1.0, 0.0, 0.0
+    for e, f, g in rows:
+        x, y, z = (x * oo + y * bo + z * io) * e, (x * ob + y * bb + z * ib) * f, (x * oi + y * bi + z * ii) * g
+        c = 1 / (x + y + z)
+        x, y, z = x * c, y * c, z * c
+        ahead.append((x, y, z))
+        scale.append(c)
+    behind, x, y, z = [], oo, bo, io
+    for (e, f, g), c in zip(reversed(rows), reversed(scale)):
+        behind.append((x, y, z))
+        e, f, g = e * x * c, f * y * c, g * z * c
+        x, y, z = oo * e + ob * f + oi * g, bo * e + bb * f + bi * g, io * e + ib * f + ii * g
+    ahead, behind = np.array(ahead), np.array(behind[::-1])
+    tags = ahead * behind
+    total = tags.sum(1, keepdims=True)
+    tags /= total
     changes = np.zeros((3, 3))
     changes[OUT] += tags[0]
     changes[:, OUT] += tags[-1]
-    for t in range(1, n):
-        changes += np.exp(ahead[t - 1][:, None] + steps + (scores[t] + behind[t])[None] - total)
+    changes += moves * (ahead[:-1].T @ (own[1:] * behind[1:] * np.array(scale)[1:, None] / total[1:]))
     return tags, changes
 
 
@@ -220,62 +349,52 @@ def _lesson(text: str, rnd: Random) -> tuple[bytes, list[tuple[int, int]]]:
 def train(texts: list[str], *, epochs: int = EPOCHS, seed: int = SEED) -> Field:
     """Field trained on texts; the same texts in any order give the same field."""
     rnd = Random(seed)
-    runs = []
+    lessons, lexicon = [], Lexicon()
     for text in sorted(texts) or ["a b c d e f g h"]:
-        flat, marks = _lesson(text, rnd)
-        data = np.frombuffer(flat, np.uint8)
-        marks = sorted(marks + [(secret, end) for _, _, end, secret in base_spans(flat, data)])
-        tokens, file = Tokens(flat, data), file_features(data)
-        begins = [a for a, _ in marks]
-        for a, b in tokens.runs():
-            tags, last = [], None
-            for i in range(a, b):
-                k = bisect.bisect_right(begins, int(tokens.hi[i]) - 1) - 1
-                inside = k >= 0 and marks[k][1] > tokens.lo[i]
-                tags.append(OUT if not inside else INSIDE if last == k else BEGIN)
-                last = k if inside else None
-            runs.append(([tokens.features(i, file) for i in range(a, b)], tags))
+        lesson, marks = _lesson(text, rnd)
+        flat, begins = line_of(np.frombuffer(lesson, np.uint8), np.array([0, len(lesson)]))
+        marks = sorted([(a + 1, b + 1) for a, b in marks] + [(secret, end) for _, _, end, secret in base_spans(flat, np.frombuffer(flat, np.uint8))])
+        lexicon = Lexicon() if lexicon.full() else lexicon
+        tokens = Tokens(flat, begins, begins + len(lesson), lexicon)
+        if len(tokens.lo):
+            opens, closes = np.array([(-1, -1), *marks]).T
+            mark = np.searchsorted(opens, tokens.hi - 1, "right") - 1
+            mark[closes[mark] <= tokens.lo] = 0
+            goes_on = np.concatenate(([False], mark[1:] == mark[:-1]))
+            lessons.append((tokens.numbers().astype(np.uint16), np.where(mark == 0, OUT, np.where(goes_on, INSIDE, BEGIN))))
     weights, steps = np.zeros((FEATURES, 3)), np.zeros((3, 3))
     steps[OUT, INSIDE] = _NEVER
     seen, seen_steps = np.full((FEATURES, 3), 1e-6), np.full((3, 3), 1e-6)
     for _ in range(epochs):
-        rnd.shuffle(runs)
-        for features, tags in runs:
-            index = np.array(features)
-            scores = weights[index].sum(1)
-            belief, changes = _expected(scores, steps)
+        rnd.shuffle(lessons)
+        for index, tags in lessons:
+            belief, changes = _expected(weights[index].sum(1), steps)
             grad = -belief
             grad[np.arange(len(tags)), tags] += 1
             path = np.zeros((3, 3))
             np.add.at(path, ([OUT, *tags], [*tags, OUT]), 1)
             up = path - changes
             up[OUT, INSIDE] = 0
-            for row, g in zip(index, grad):
-                seen[row] += g * g
-                weights[row] += 0.3 * g / np.sqrt(seen[row])
+            flat = index.ravel()
+            grad = np.column_stack([np.bincount(flat, np.repeat(g, index.shape[1]), FEATURES) for g in grad.T])
+            seen += grad * grad
+            weights += 0.3 * grad / np.sqrt(seen)
             seen_steps += up * up
             steps += 0.3 * up / np.sqrt(seen_steps)
     return Field(weights.astype(np.float32), steps)
 
 
-def spans_in(data: np.ndarray, starts: np.ndarray, field: Field | None) -> list[list[tuple[int, int, int]]]:
+def spans_in(data: np.ndarray, starts: np.ndarray, field: Field | None, lexicon: Lexicon | None = None) -> list[list[tuple[int, int, int]]]:
     """Of each text the sorted ``(start, kind, end)`` in bytes: base spans, and the field's beside them."""
-    flat = b"\n".join(data[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:]))
-    joined = np.frombuffer(flat, np.uint8)
-    begins = starts[:-1] + np.arange(len(starts) - 1)
-    spans = [(a, kind, b) for a, kind, b, _ in base_spans(flat, joined)]
+    flat, begins = line_of(data, starts)
+    spans = [(a, kind, b) for a, kind, b, _ in base_spans(flat, np.frombuffer(flat, np.uint8))]
     if field is not None:
         taken = sorted((a, b) for a, _, b in spans)
         firsts, lasts = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
-        tokens, files = Tokens(flat, joined), {}
-        for a, b in tokens.runs():
-            doc = int(np.searchsorted(begins, tokens.lo[a], "right")) - 1
-            if doc not in files:
-                files[doc] = file_features(data[starts[doc]:starts[doc + 1]])
-            scores = field.weights[np.array([tokens.features(i, files[doc]) for i in range(a, b)])].sum(1)
-            if b - a == 1 and scores[0, BEGIN] + field.steps[OUT, BEGIN] + field.steps[BEGIN, OUT] <= scores[0, OUT] + 2 * field.steps[OUT, OUT]:
-                continue
-            tags = viterbi(scores, field.steps)
+        tokens = Tokens(flat, begins, begins + np.diff(starts), lexicon or Lexicon())
+        scores = tokens.scores(field.weights)
+        for a, b in tokens.runs(scores, field.steps):
+            tags = viterbi(scores[a:b], field.steps)
             i = 0
             while i < len(tags):
                 j = i + 1
@@ -308,9 +427,11 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access",
 
 def _scan(batches, field: Field | None):
     forget()
+    lexicon = Lexicon()
     for batch, data, starts in blocks(batches):
         rows = []
-        for doc, spans, a, b in zip(batch.column("doc_id").to_pylist(), spans_in(data, starts, field), starts[:-1], starts[1:]):
+        lexicon = Lexicon() if lexicon.full() else lexicon
+        for doc, spans, a, b in zip(batch.column("doc_id").to_pylist(), spans_in(data, starts, field, lexicon), starts[:-1], starts[1:]):
             spans = _characters(data[a:b], spans) if spans else []
             said = [f"{KINDS[kind]}:{lo}:{hi}" for lo, kind, hi in spans]
             base = ",".join(s for s, (_, kind, _) in zip(said, spans) if kind < 3)
@@ -348,6 +469,7 @@ def scan(docs: DataFrame, field: Field | None, *, id_col: str = "doc_id", text_c
 
 def _redact(batches, field: Field | None, text_col: str, mark: bytes, size_col: str | None):
     forget()
+    lexicon = Lexicon()
     for batch in batches:
         at = batch.schema.get_field_index(text_col)
         slim = pa.RecordBatch.from_arrays([batch.column(at).fill_null("")], names=["text"])
@@ -355,7 +477,8 @@ def _redact(batches, field: Field | None, text_col: str, mark: bytes, size_col:
         changed = np.zeros(batch.num_rows, bool)
         row = 0
         for _, data, starts in blocks([slim], _REDACT_BYTES):
-            for spans, a, b in zip(spans_in(data, starts, field), starts[:-1], starts[1:]):
+            lexicon = Lexicon() if lexicon.full() else lexicon
+            for spans, a, b in zip(spans_in(data, starts, field, lexicon), starts[:-1], starts[1:]):
                 if spans:
                     text, parts, end = data[a:b].tobytes(), [], 0
                     for lo, _, hi in spans:

@@ -3,6 +3,7 @@
 import os
 import random
 import sys
+import zlib
 
 import pytest
 
@@ -205,6 +206,44 @@ def test_viterbi_finds_the_best_path():
         assert abs(value(secret_scan.viterbi(scores, steps)) - max(map(value, product(range(3), repeat=n)))) < 1e-9
 
 
+def test_every_token_takes_part_in_the_decoding():
+    """Short and plain tokens can be secrets, too; runs decoded apart, texts together, are whole texts decoded alone."""
+    weights = np.zeros((secret_scan.FEATURES, 3), np.float32)
+    steps = np.zeros((3, 3))
+    steps[0, 2] = -1e4
+    weights[zlib.crc32(b"head pin1") % secret_scan.FEATURES, 1] = 5
+    weights[zlib.crc32(b"before pin1") % secret_scan.FEATURES, 2] = 5
+    raw = b"say pin1 two, pin1"
+    assert secret_scan.spans_in(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), secret_scan.Field(weights, steps)) == [[(4, 3, 12), (14, 3, 18)]]
+    rng = np.random.default_rng(5)
+    texts = [b"", b"(one two) three: 4444", b"a=b; c-d \n e", *(bytes(rng.choice(list(b"ab1 ,(\n="), 60)) for _ in range(30)), b" "]
+    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    for scale in (0.3, 1, 3):
+        weights = (rng.normal(size=weights.shape) * scale).astype(np.float32)
+        weights[zlib.crc32(b"bias") % secret_scan.FEATURES, 0] += 4 * scale
+        steps = rng.normal(size=(3, 3))
+        steps[0, 2] = -1e4
+        field = secret_scan.Field(weights, steps)
+        got = secret_scan.spans_in(np.frombuffer(b"".join(texts), np.uint8), starts, field)
+        cut = 0
+        for text, spans in zip(texts, got):
+            flat, begins = secret_scan.line_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            tokens = secret_scan.Tokens(flat, begins, begins + len(text), secret_scan.Lexicon())
+            want, last = [], None
+            scores = weights[tokens.numbers()].sum(1) if len(tokens.lo) else np.empty((0, 3))
+            cut += sum(b - a for a, b in tokens.runs(scores, steps)) < len(scores)
+            for lo, hi, tag in zip(tokens.lo, tokens.hi, secret_scan.viterbi(scores, steps) if len(scores) else ()):
+                hi = int(hi)
+                while flat[hi] == 61:
+                    hi += 1
+                if tag == 1:
+                    want.append([int(lo) - 1, 3, hi - 1])
+                elif tag == 2:
+                    want[-1][2] = hi - 1
+            assert [list(s) for s in spans] == want
+        assert cut
+
+
 def test_redaction_keeps_all_else(spark, field):
     df = spark.createDataFrame([(1, TEXTS[1], 7, "a"), (2, "plain text", 99, None), (3, None, None, "b")],
                                "doc_id long, text string, n_chars long, x string")
