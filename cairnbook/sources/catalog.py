@@ -27,7 +27,8 @@ from cairnbook.sources.listing import (DEFAULT_EXCLUDES, LISTED_BY_DEFAULT, _fil
 from cairnbook.sources.workbook import sheet_rows
 
 SAMPLE_ROWS = 5
-CHUNK_BYTES = 64 << 20
+# Delimited text is counted, split and typed in ranges of this size; a task holds all records of one, as Python objects.
+CHUNK_BYTES = 4 << 20
 # A buffered read of this size instead of a whole row group when only the first rows are wanted.
 SAMPLE_BUFFER = 64 << 10
 # Records whose column types are folded at a time.

@@ -444,3 +444,25 @@ def test_rescan_sees_every_listed_format_and_keeps_roots_apart(spark, tmp_path):
     _write(f"{one_root}/a.tsv", "x\ty\n1\t2\n3\t4\n")
     _write(f"{one_root}/c.tsv", "x\n")
     assert [jobs.rescan(spark, r, state) for r in (one_root, two)] == [2, 0]
+
+
+def test_records_of_a_large_file_are_held_in_parts(tmp_path):
+    """A task reads range after range; what it holds as Python objects is that of one range, however large the file is."""
+    import tracemalloc
+
+    import pandas as pd
+
+    path = tmp_path / "big.csv"
+    path.write_bytes(b"".join(b'"%d","%s\r\n%s"\n' % (i, b"a" * 200, b"b " * 100) for i in range(60_000)))
+    size = path.stat().st_size
+    ranges = pd.DataFrame([(f"file:{path}", at, size, 0, "csv") for at in range(0, size, catalog.CHUNK_BYTES)], columns=list(catalog._RANGE))
+    tracemalloc.start()
+    counted = pd.concat(catalog._line_counter(catalog.CHUNK_BYTES)(iter([ranges])))
+    states = [0]
+    for outside_to, inside_to in zip(counted["outside_to"], counted["inside_to"]):
+        states.append(inside_to if states[-1] else outside_to)
+    ranges["state"] = states[:-1]
+    assert sum(len(rows) for rows in catalog._splitter(catalog.CHUNK_BYTES)(iter([ranges]))) == 60_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * size
