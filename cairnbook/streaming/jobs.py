@@ -6,7 +6,6 @@ Event time drives every window.  Late data waits for ten minutes by default.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -194,6 +193,31 @@ def _merge_runs(ts: str, seconds: int, key: list[str]):
     return run
 
 
+def _joined_alerts(rows: list[tuple], old: int, reach: int) -> tuple[list[list], list[list]]:
+    """Alerts that rows ``(born, first, last, repeats, number)`` make, by birth, and those of them that have changed.
+
+    Rows numbered below ``old`` are alerts known before; rows within ``reach`` of each other, directly or through others,
+    are one alert, with the birth of the row of least number.  One sweep in order of time finds them.  Known alerts that
+    are swallowed count as changed, with 0 repeats.
+    """
+    made: list[list] = []
+    for row in sorted(rows, key=lambda r: r[1]):
+        if made and row[1] - reach <= made[-1][2]:
+            alert = made[-1]
+            alert[2], alert[3] = max(alert[2], row[2]), alert[3] + row[3]
+            alert[5].append(row)
+        else:
+            made.append([row[0], row[1], row[2], row[3], row[4], [row]])
+    touched = []
+    for alert in made:
+        eldest = min(alert[5], key=lambda r: r[4])
+        alert[0], alert[4] = eldest[0], eldest[4]
+        if any(r[4] >= old for r in alert[5]):
+            touched.append(alert[:4])
+            touched += [[r[0], r[1], r[2], 0] for r in alert[5] if r[4] < old and r is not eldest]
+    return [a[:4] for a in sorted(made, key=lambda a: a[4])], touched
+
+
 def alert_states(alerts: DataFrame, key: list[str], ts: str, seconds: int = DUPLICATE_SECONDS,
                  lateness: str = LATENESS) -> DataFrame:
     """Alerts as they change, with an id that stays while repeats extend the window.
@@ -214,24 +238,13 @@ def alert_states(alerts: DataFrame, key: list[str], ts: str, seconds: int = DUPL
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # Open alerts as [born, first, last, repeats] in microseconds, by birth.
         known = json.loads(state.get[0]) if state.exists else []
-        touched: dict[int, list] = {}
+        touched: list[list] = []
         if not state.hasTimedOut:
+            rows = [(*a, i) for i, a in enumerate(known)]
             for runs in batches:
-                for first, last, n in zip(runs["first_seen"], runs["last_seen"], runs["repeats"]):
-                    lo, hi = first.value // 1000, last.value // 1000
-                    near = [a for a in known if a[1] - reach <= hi and lo - reach <= a[2]]
-                    if near:
-                        alert = near[0]
-                        for other in near[1:]:
-                            known.remove(other)
-                            touched[other[0]] = [other[0], other[1], other[2], 0]
-                            alert[1:] = [min(alert[1], other[1]), max(alert[2], other[2]), alert[3] + other[3]]
-                        alert[1:] = [min(alert[1], lo), max(alert[2], hi), alert[3] + int(n)]
-                    else:
-                        taken = {a[0] for a in known}
-                        alert = [next(b for b in itertools.count(lo) if b not in taken), lo, hi, int(n)]
-                        known.append(alert)
-                    touched[alert[0]] = alert
+                firsts, lasts = ((runs[c].to_numpy("datetime64[ns]").astype("int64") // 1000).tolist() for c in ("first_seen", "last_seen"))
+                rows += [(lo, lo, hi, n, len(rows) + i) for i, (lo, hi, n) in enumerate(zip(firsts, lasts, runs["repeats"].tolist()))]
+            known, touched = _joined_alerts(rows, len(known), reach)
         now = state.getCurrentWatermarkMs()
         known = [a for a in known if a[2] // 1000 + seconds * 1000 > now]
         if known:
@@ -241,7 +254,7 @@ def alert_states(alerts: DataFrame, key: list[str], ts: str, seconds: int = DUPL
             state.remove()
         if touched:
             yield pd.DataFrame([(*group, "-".join([*map(str, group), str(a[0])]), pd.Timestamp(a[1], unit="us"),
-                                 pd.Timestamp(a[2], unit="us"), a[3]) for a in touched.values()], columns=names)
+                                 pd.Timestamp(a[2], unit="us"), a[3]) for a in touched], columns=names)
 
     slim = alerts.select(*key, F.col(ts).cast("timestamp").alias(ts))
     run_schema = T.StructType([*[slim.schema[k] for k in key], T.StructField("first_seen", T.TimestampType()),

@@ -80,3 +80,39 @@ def test_shards_of_unequal_manifests_line_up(tmp_path, monkeypatch):
         assert {r["path"] for r in rows if r["change"] == "removed"} == old - new
         assert len(rows) == len(new ^ old)
     assert reader.partitions(told[1], told[1]) == []
+
+
+def test_many_alerts_of_one_key_are_joined_in_one_sweep():
+    """As by comparing each row with all alerts in the order of arrival, which takes minutes for the last case."""
+    import random
+    import time
+
+    rnd = random.Random(3)
+    for _ in range(200):
+        old, reach = [], 5
+        for at in rnd.sample(range(0, 200, 20), rnd.randint(0, 4)):
+            old.append([at, at, at + rnd.randint(0, 9), rnd.randint(1, 4)])
+        rows = [(*a, i) for i, a in enumerate(old)]
+        for i in range(rnd.randint(0, 12)):
+            lo = rnd.randint(0, 200)
+            rows.append((lo, lo, lo + rnd.randint(0, 12), 1, len(old) + i))
+        known, changed, gone = [list(a) for a in old], set(), set()
+        for born, lo, hi, n, _ in rows[len(old):]:
+            near = [a for a in known if a[1] - reach <= hi and lo - reach <= a[2]]
+            for other in near[1:]:
+                known.remove(other)
+                changed.discard(other[0])
+                gone.add(other[0])
+                near[0][1:] = [min(near[0][1], other[1]), max(near[0][2], other[2]), near[0][3] + other[3]]
+            if not near:
+                near = [[born, lo, hi, 0]]
+                known.append(near[0])
+            near[0][1:] = [min(near[0][1], lo), max(near[0][2], hi), near[0][3] + n]
+            changed.add(near[0][0])
+        got, touched = jobs._joined_alerts(rows, len(old), reach)
+        assert got == known
+        assert sorted(a for a in touched if a[3]) == sorted(a for a in known if a[0] in changed)
+        assert {a[0] for a in touched if not a[3]} == gone & {a[0] for a in old}
+    began = time.monotonic()
+    many = [(20 * i, 20 * i, 20 * i + 1, 1, i) for i in range(100_000)]
+    assert len(jobs._joined_alerts(many, 0, 5)[0]) == 100_000 and time.monotonic() - began < 20
