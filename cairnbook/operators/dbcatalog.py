@@ -10,17 +10,16 @@ def index_groups(index_rows: DataFrame, key: list[str]) -> DataFrame:
     """``(key…, columns)``: index columns in ordinal order.
 
     A database limits the columns of an index to a few dozen, so the list is short
-    however many indexes there are; repeated rows are dropped before.
+    however many indexes there are; repeated rows are dropped while it is made.
     """
-    cols = F.array_sort(F.collect_list(F.struct("ordinal", "column_name")))
-    return index_rows.select(*key, "ordinal", "column_name").distinct().groupBy(*key).agg(cols.getField("column_name").alias("columns"))
+    cols = F.array_sort(F.collect_set(F.struct("ordinal", "column_name")))
+    return index_rows.groupBy(*key).agg(cols.getField("column_name").alias("columns"))
 
 
 def foreign_key_groups(fk_rows: DataFrame, key: list[str]) -> DataFrame:
     """``(key…, target_table, columns, target_columns)`` per constraint."""
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "target_column")))
-    needed = fk_rows.select(*key, "ordinal", "column_name", "target_table", "target_column").distinct()
-    return needed.groupBy(*key).agg(
+    rows = F.array_sort(F.collect_set(F.struct("ordinal", "column_name", "target_column", "target_table")))
+    return fk_rows.groupBy(*key).agg(
         F.max("target_table").alias("target_table"), rows.alias("_r")).select(
         *key, "target_table", F.col("_r.column_name").alias("columns"),
         F.col("_r.target_column").alias("target_columns"))
@@ -46,14 +45,15 @@ def table_catalog(columns: DataFrame, primary: DataFrame, stats: DataFrame, inde
     ``primary(table_name, column_name)``, ``stats(table_name, row_estimate, size_bytes)``,
     ``indexes`` and ``foreign`` as the grouping functions take them, with ``index_name``
     and ``constraint_name``.  Columns, indexes and keys of one table are limited by the
-    database, so the nested lists stay small; tables spread over all tasks.
+    database, so the nested lists stay small; tables spread over all tasks, and rows are shuffled once for each
+    grouping: repeated ones are dropped while lists are made.
     """
-    pk = primary.select("table_name", "column_name").distinct().withColumn("_pk", F.lit(True))
-    columns = columns.select("table_name", "ordinal", "column_name", "data_type", "nullable").distinct()
-    cols = columns.join(pk, ["table_name", "column_name"], "left").groupBy("table_name").agg(
-        F.array_sort(F.collect_list(F.struct(
-            "ordinal", "column_name", "data_type", "nullable",
-            F.coalesce("_pk", F.lit(False)).alias("is_primary_key")))).alias("columns"))
+    pk = primary.groupBy("table_name").agg(F.collect_set("column_name").alias("_pk"))
+    cols = columns.groupBy("table_name").agg(
+        F.array_sort(F.collect_set(F.struct("ordinal", "column_name", "data_type", "nullable"))).alias("_columns"))
+    cols = cols.join(pk, "table_name", "left").select("table_name", F.transform("_columns", lambda c: F.struct(
+        c["ordinal"].alias("ordinal"), c["column_name"].alias("column_name"), c["data_type"].alias("data_type"), c["nullable"].alias("nullable"),
+        F.coalesce(F.array_contains("_pk", c["column_name"]), F.lit(False)).alias("is_primary_key"))).alias("columns"))
     idx = index_groups(indexes, ["table_name", "index_name"]).groupBy("table_name").agg(
         F.array_sort(F.collect_list(F.struct("index_name", "columns"))).alias("indexes"))
     fks = foreign_key_groups(foreign, ["table_name", "constraint_name"]).groupBy("table_name").agg(

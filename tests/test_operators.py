@@ -580,3 +580,17 @@ def test_sample_rows_are_limited_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), "id")
     plan = preview.sample_rows(df, ["g"], [F.asc("id")])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_database_lists_are_shuffled_once(spark):
+    """Repeated rows are dropped while the lists are made, not by a shuffle of their own."""
+    from cairnbook.operators import dbcatalog
+
+    rows = spark.createDataFrame([("t", "i", 2, "b", "x", "p"), ("t", "i", 1, "a", "x", "q"), ("t", "i", 1, "a", "x", "q"), ("t", None, None, None, None, None)],
+                                 "table_name string, name string, ordinal int, column_name string, target_table string, target_column string")
+    made = dbcatalog.index_groups(rows, ["table_name", "name"])
+    keys = dbcatalog.foreign_key_groups(rows, ["table_name", "name"])
+    assert [df._jdf.queryExecution().sparkPlan().toString().count("ObjectHashAggregate") for df in (made, keys)] == [2, 2]
+    assert [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (made, keys)] == [1, 1]
+    assert {r.name: r.columns for r in made.collect()} == {"i": ["a", "b"], None: [None]}
+    assert {r.name: (r.target_table, r.columns, r.target_columns) for r in keys.collect()} == {"i": ("x", ["a", "b"], ["q", "p"]), None: (None, [None], [None])}
