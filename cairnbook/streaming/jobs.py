@@ -6,11 +6,12 @@ Event time drives every window.  Late data waits for ten minutes by default.
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,9 @@ LATENESS = "10 minutes"
 QUIET_SECONDS = 2
 DUPLICATE_SECONDS = 60
 
+# Groups of keys that share a state of :func:`alert_states`; a checkpoint goes with the number it began with.
+ALERT_GROUPS = 2048
+
 
 def run_available(df: DataFrame, out: str, checkpoint: str) -> None:
     """Process what is there now, append it to Parquet, and stop."""
@@ -193,29 +197,66 @@ def _merge_runs(ts: str, seconds: int, key: list[str]):
     return run
 
 
+def _join_alerts(keys: np.ndarray, first: np.ndarray, last: np.ndarray, repeats: np.ndarray, old: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Alerts that rows of many keys make, found in one sweep over all keys in order of time.
+
+    Rows of a key within ``reach`` of each other, directly or through others, are one alert.  The first ``old`` rows are
+    alerts known before, the others are in the order of arrival.  Gives for each alert its eldest row, its first and last
+    time, its repeats and whether it has changed, by key and eldest row; then the known rows that were swallowed by others.
+    """
+    order = np.lexsort((first, keys))
+    # How far the rows of a key have come so far: the running maximum of the ranks of their ends, which starts anew with each key.
+    ends, rank = np.unique(last, return_inverse=True)
+    base = keys[order] * len(ends)
+    far = ends[np.maximum.accumulate(base + rank[order]) - base]
+    opens = np.ones(len(order), bool)
+    opens[1:] = (np.diff(keys[order]) != 0) | (first[order][1:] - reach > far[:-1])
+    starts = np.flatnonzero(opens)
+    eldest, fresh = np.minimum.reduceat(order, starts), np.maximum.reduceat(order, starts) >= old
+    alert = np.cumsum(opens) - 1
+    gone = order[(order < old) & (order != eldest[alert]) & fresh[alert]]
+    by = np.lexsort((eldest, keys[eldest]))
+    return (eldest[by], first[order[starts]][by], np.maximum.reduceat(last[order], starts)[by],
+            np.add.reduceat(repeats[order], starts)[by], fresh[by], gone)
+
+
 def _joined_alerts(rows: list[tuple], old: int, reach: int) -> tuple[list[list], list[list]]:
-    """Alerts that rows ``(born, first, last, repeats, number)`` make, by birth, and those of them that have changed.
+    """:func:`_join_alerts` for rows ``(born, first, last, repeats, number)`` of one key, those numbered below ``old`` known.
 
-    Rows numbered below ``old`` are alerts known before; rows within ``reach`` of each other, directly or through others,
-    are one alert, with the birth of the row of least number.  One sweep in order of time finds them.  Known alerts that
-    are swallowed count as changed, with 0 repeats.
+    Gives the alerts by birth and those that have changed, among them the swallowed ones with 0 repeats.
     """
-    made: list[list] = []
-    for row in sorted(rows, key=lambda r: r[1]):
-        if made and row[1] - reach <= made[-1][2]:
-            alert = made[-1]
-            alert[2], alert[3] = max(alert[2], row[2]), alert[3] + row[3]
-            alert[5].append(row)
-        else:
-            made.append([row[0], row[1], row[2], row[3], row[4], [row]])
-    touched = []
-    for alert in made:
-        eldest = min(alert[5], key=lambda r: r[4])
-        alert[0], alert[4] = eldest[0], eldest[4]
-        if any(r[4] >= old for r in alert[5]):
-            touched.append(alert[:4])
-            touched += [[r[0], r[1], r[2], 0] for r in alert[5] if r[4] < old and r is not eldest]
-    return [a[:4] for a in sorted(made, key=lambda a: a[4])], touched
+    if not rows:
+        return [], []
+    born, first, last, repeats, number = np.array(sorted(rows, key=lambda r: r[4]), dtype="int64").T
+    eldest, starts, ends, counts, fresh, gone = _join_alerts(np.zeros(len(rows), "int64"), first, last, repeats, int((number < old).sum()), reach)
+    made = np.stack([born[eldest], starts, ends, counts], axis=1)
+    lost = np.stack([born[gone], first[gone], last[gone], np.zeros(len(gone), "int64")], axis=1)
+    return made.tolist(), [*made[fresh].tolist(), *lost.tolist()]
+
+
+def _codes(columns: list[pd.Series]) -> np.ndarray:
+    """A number for every row, equal for equal values in all columns; missing values are equal."""
+    codes = np.zeros(len(columns[0]), "int64")
+    for column in columns:
+        one, values = pd.factorize(column)
+        codes = pd.factorize(codes * (len(values) + 1) + one + 1)[0]
+    return codes
+
+
+def _packed(key: list[pd.Series], born: np.ndarray, first: np.ndarray, last: np.ndarray, repeats: np.ndarray) -> bytes:
+    """Open alerts for the state; birth and end are kept as differences, which are small and compress well."""
+    rows = pa.table([*[pa.array(k, from_pandas=True) for k in key], *map(pa.array, (born - first, first, last - first, repeats))],
+                    names=list(map(str, range(len(key) + 4))))
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(state: bytes) -> tuple[list[pd.Series], list[np.ndarray]]:
+    columns = pa.ipc.open_stream(state).read_all().columns
+    born, first, last, repeats = (c.to_numpy() for c in columns[-4:])
+    return [c.to_pandas() for c in columns[:-4]], [born + first, first, last + first, repeats]
 
 
 def alert_states(alerts: DataFrame, key: list[str], ts: str, seconds: int = DUPLICATE_SECONDS,
@@ -227,41 +268,60 @@ def alert_states(alerts: DataFrame, key: list[str], ts: str, seconds: int = DUPL
     belongs to the alert within the window of it on either side, and the id, made from the first event seen, never
     changes.  An event that closes the gap between two alerts makes them one: the older id goes on, the other is
     emitted once more with 0 repeats, which withdraws it.  Alerts leave the state when event time has passed them.
+
+    Keys are dealt by their hash to ``ALERT_GROUPS`` groups with one state each, and the alerts of all keys of a group
+    are joined at once; a call of Python for each key would take milliseconds, twice.
     """
-    schema = T.StructType([
-        *[alerts.schema[k] for k in key], T.StructField("alert_id", T.StringType()),
-        T.StructField("first_seen", T.TimestampType()), T.StructField("last_seen", T.TimestampType()),
-        T.StructField("repeats", T.LongType())])
-    names = [f.name for f in schema.fields]
+    kinds = [alerts.schema[k].dataType for k in key]
+    # Whole numbers travel as text: pandas makes them floats where some are missing.
+    texts = ["string" if isinstance(kind, T.IntegralType) else kind for kind in kinds]
+    plain = [f"key_{i}" for i in range(len(key))]
+    slim = alerts.select(*[F.col(k).cast(text).alias(p) for k, text, p in zip(key, texts, plain)], F.col(ts).cast("timestamp").alias("at"))
+    # What an id has in place of a key that is missing.
+    blanks = ["nan" if isinstance(kind, (T.IntegralType, T.FractionalType)) and not isinstance(kind, T.DecimalType)
+              else "NaT" if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else "None" for kind in kinds]
+    fields = [slim.schema[p] for p in plain]
+    seen = [T.StructField("first_seen", T.TimestampType()), T.StructField("last_seen", T.TimestampType()), T.StructField("repeats", T.LongType())]
     reach = seconds * 1_000_000
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Open alerts as [born, first, last, repeats] in microseconds, by birth.
-        known = json.loads(state.get[0]) if state.exists else []
-        touched: list[list] = []
+        # Open alerts of the keys of a group, those of a key by birth; times are in microseconds.
+        parts = [_unpacked(state.get[0])] if state.exists else []
+        old = sum(len(times[0]) for _, times in parts)
         if not state.hasTimedOut:
-            rows = [(*a, i) for i, a in enumerate(known)]
             for runs in batches:
-                firsts, lasts = ((runs[c].to_numpy("datetime64[ns]").astype("int64") // 1000).tolist() for c in ("first_seen", "last_seen"))
-                rows += [(lo, lo, hi, n, len(rows) + i) for i, (lo, hi, n) in enumerate(zip(firsts, lasts, runs["repeats"].tolist()))]
-            known, touched = _joined_alerts(rows, len(known), reach)
-        now = state.getCurrentWatermarkMs()
-        known = [a for a in known if a[2] // 1000 + seconds * 1000 > now]
-        if known:
-            state.update((json.dumps(known),))
-            state.setTimeoutTimestamp(min(a[2] for a in known) // 1000 + seconds * 1000)
+                first, last = (runs[c].to_numpy("datetime64[ns]").astype("int64") // 1000 for c in ("first_seen", "last_seen"))
+                parts.append(([runs[p] for p in plain], [first, first, last, runs["repeats"].to_numpy("int64")]))
+        names = [pd.concat(p, ignore_index=True) if len(parts) > 1 else p[0].reset_index(drop=True) for p in zip(*[p for p, _ in parts])]
+        born, first, last, repeats = (np.concatenate(c) for c in zip(*[c for _, c in parts]))
+        keys = _codes(names)
+        eldest, starts, ends, counts, fresh, gone = _join_alerts(keys, first, last, repeats, old, reach)
+        # A key is looked through if it has new rows, or if event time has passed the first end of its alerts.
+        now, until, of = state.getCurrentWatermarkMs(), ends // 1000 + seconds * 1000, keys[eldest]
+        idle, least = np.ones(len(keys), bool), np.full(len(keys), np.iinfo("int64").max)
+        idle[keys[old:]] = False
+        np.minimum.at(least, of, until)
+        kept = (until > now) | (idle & (least >= now))[of]
+        if kept.any():
+            left = eldest[kept]
+            state.update((_packed([k.take(left) for k in names], born[left], starts[kept], ends[kept], counts[kept]),))
+            state.setTimeoutTimestamp(int(until[kept].min()))
         elif state.exists:
             state.remove()
-        if touched:
-            yield pd.DataFrame([(*group, "-".join([*map(str, group), str(a[0])]), pd.Timestamp(a[1], unit="us"),
-                                 pd.Timestamp(a[2], unit="us"), a[3]) for a in touched], columns=names)
-
-    slim = alerts.select(*key, F.col(ts).cast("timestamp").alias(ts))
-    run_schema = T.StructType([*[slim.schema[k] for k in key], T.StructField("first_seen", T.TimestampType()),
-                               T.StructField("last_seen", T.TimestampType()), T.StructField("repeats", T.LongType())])
-    runs = slim.mapInPandas(_merge_runs(ts, seconds, key), run_schema)
-    return (runs.withWatermark("last_seen", lateness).groupBy(*key)
-            .applyInPandasWithState(step, schema, "open string", "update", GroupStateTimeout.EventTimeTimeout))
+        if fresh.any():
+            rows = np.concatenate([eldest[fresh], gone])
+            told = [k.take(rows).reset_index(drop=True) for k in names]
+            words = [k.map(str).where(k.notna(), blank) for k, blank in zip(told, blanks)]
+            yield pd.DataFrame({
+                **dict(zip(plain, told)), "alert_id": ["-".join(w) for w in zip(*words, map(str, born[rows].tolist()))],
+                "first_seen": np.concatenate([starts[fresh], first[gone]]).astype("datetime64[us]"),
+                "last_seen": np.concatenate([ends[fresh], last[gone]]).astype("datetime64[us]"),
+                "repeats": np.concatenate([counts[fresh], np.zeros(len(gone), "int64")])})
+
+    runs = slim.mapInPandas(_merge_runs("at", seconds, plain), T.StructType([*fields, *seen])).withWatermark("last_seen", lateness)
+    states = runs.withColumn("alert_group", F.pmod(F.hash(*plain), F.lit(ALERT_GROUPS))).groupBy("alert_group").applyInPandasWithState(
+        step, T.StructType([*fields, T.StructField("alert_id", T.StringType()), *seen]), "open binary", "update", GroupStateTimeout.EventTimeTimeout)
+    return states.select(*[F.col(p).cast(kind).alias(k) for p, kind, k in zip(plain, kinds, key)], "alert_id", "first_seen", "last_seen", "repeats")
 
 
 def current_alerts(states: DataFrame, key: list[str], batch: str = "batch_id", read: DataFrame | None = None) -> DataFrame:

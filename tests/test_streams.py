@@ -116,3 +116,37 @@ def test_many_alerts_of_one_key_are_joined_in_one_sweep():
     began = time.monotonic()
     many = [(20 * i, 20 * i, 20 * i + 1, 1, i) for i in range(100_000)]
     assert len(jobs._joined_alerts(many, 0, 5)[0]) == 100_000 and time.monotonic() - began < 20
+
+
+def test_keys_share_states_and_keep_their_own_alerts(spark, tmp_path, monkeypatch):
+    """Few states hold the alerts of many keys; the rows told and their ids are those of keys by themselves."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(5)
+    keys = [(user, kind) for user in (None, 2**53, 2**53 + 1, *range(40)) for kind in (None, "a", "b")]
+    events, inbox = [], f"{tmp_path}/inbox"
+    for batch in range(4):
+        part = [(*k, 5000 + 400 * batch + rnd.randint(-500, 0)) for k in keys for _ in range(rnd.randint(0, 4))]
+        spark.createDataFrame(part, "user long, kind string, s long").select("user", "kind", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode(
+            "append").parquet(inbox)
+        events += part
+    told, left = {}, {}
+    for groups in (3, 4096):
+        monkeypatch.setattr(jobs, "ALERT_GROUPS", groups, raising=False)
+        stream = spark.readStream.schema("user long, kind string, ts timestamp").option("maxFilesPerTrigger", "1").parquet(inbox)
+        out, checkpoint = f"{tmp_path}/out{groups}", f"{tmp_path}/ck{groups}"
+        jobs.run_batches(jobs.alert_states(stream, ["user", "kind"], "ts"), lambda df, n, out=out: jobs.write_batch(df, out, n), checkpoint, "update")
+        states = spark.read.parquet(out)
+        told[groups] = sorted(map(str, states.collect()))
+        left[groups] = spark.read.format("statestore").load(checkpoint).count()
+    assert told[3] == told[4096]
+    assert left[3] <= 3 < left[4096] <= len(keys)
+    want = []
+    for key in keys:
+        times = sorted(s for *k, s in events if tuple(k) == key)
+        ends = [i for i, s in enumerate(times) if i + 1 == len(times) or times[i + 1] - s > 60]
+        want += [(*key, times[a], times[b], b - a + 1) for a, b in zip([0, *(e + 1 for e in ends)], ends)]
+    got = jobs.current_alerts(states, ["user", "kind"]).select("user", "kind", F.unix_seconds("first_seen"), F.unix_seconds("last_seen"), "repeats")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
